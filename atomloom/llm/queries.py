@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from atomloom.llm.sharding import op1_rendezvous_sharding
+from atomloom.llm.toxicity import op10_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_rendezvous_sharding,)}
+    return {f.__name__: f for f in (op1_rendezvous_sharding, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
