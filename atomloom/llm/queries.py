@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from atomloom.llm.bpe import op5_bpe
+from atomloom.llm.quality import op3_quality
 from atomloom.llm.sharding import op1_rendezvous_sharding
 from atomloom.llm.toxicity import op10_toxicity
 
@@ -14,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_rendezvous_sharding, op5_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_rendezvous_sharding, op3_quality, op5_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
