@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from atomloom.llm.bpe import op5_bpe
 from atomloom.llm.langid import op2_language_id
+from atomloom.llm.neardup import op6_near_duplicates
 from atomloom.llm.quality import op3_quality
 from atomloom.llm.sharding import op1_rendezvous_sharding
 from atomloom.llm.toxicity import op10_toxicity
@@ -16,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_rendezvous_sharding, op2_language_id, op3_quality, op5_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_rendezvous_sharding, op2_language_id, op3_quality, op5_bpe, op6_near_duplicates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
