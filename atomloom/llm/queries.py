@@ -12,12 +12,14 @@ from atomloom.llm.neardup import op6_near_duplicates
 from atomloom.llm.quality import op3_quality
 from atomloom.llm.sharding import op1_rendezvous_sharding
 from atomloom.llm.toxicity import op10_toxicity
+from atomloom.llm.warc import op9_warc
+from atomloom.llm.wavelet import op8_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_rendezvous_sharding, op2_language_id, op3_quality, op5_bpe, op6_near_duplicates, op10_toxicity)}
+    return {f.__name__: f for f in (op1_rendezvous_sharding, op2_language_id, op3_quality, op5_bpe, op6_near_duplicates, op8_token_files, op9_warc, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
