@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -18,6 +18,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from atomloom.llm.common import table
 
@@ -191,23 +192,24 @@ def tokenizer(path: str) -> SegmentTreeBpe:
     return SegmentTreeBpe(path)
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with token_ids, n_tokens and decoded text; a null text is encoded as the empty one (no tokens).
+def encode_documents(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` of every document, its ``token_ids``, ``n_tokens`` and the ``decoded_sha256`` of the ids' text.
 
-    Only doc_id and text are read. Texts of any length are encoded whole; repeated rows give equal results.
+    A null text is encoded as the empty one (no tokens). Texts of any length are encoded whole.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
             ids = list(bpe.encode_many(t.as_py() for t in batch.column("text")))
+            digests = [hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in ids]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array([bpe.decode(i) for i in ids], pa.string())],
-                names=["doc_id", "token_ids", "n_tokens", "decoded"],
+                [*(batch.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(digests, pa.string())],
+                names=[*keep, "token_ids", "n_tokens", "decoded_sha256"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, token_ids array<int>, n_tokens long, decoded string")
+    schema = T.StructType([docs.schema[c] for c in keep]).add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("decoded_sha256", T.StringType())
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(encoded, schema)
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -18,6 +18,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atomloom.llm.common import materialize, table
 from atomloom.llm.labelled import fold, unit_hash
@@ -215,11 +216,12 @@ class Scorer:
             yield self.logs[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64) if words else None
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """(doc_id, lang_pred, score): the likeliest language of each whole text and its posterior under equal priors.
+def predict(docs: DataFrame, model: LanguageModel, keep: Sequence[str] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """Columns ``keep`` of every document, the likeliest language ``lang_pred`` of its whole text and as ``score`` its
+    posterior under equal priors (with ``prefix`` before these two names).
 
     Null texts, texts without a letter, and all texts if no language was learnt get ``und`` with score 0.
-    Ties go to the language that comes first in alphabetical order. Only doc_id and text are read.
+    Ties go to the language that comes first in alphabetical order.
     """
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +236,10 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     best = int(z.argmax())
                     langs.append(model.languages[best])
                     scores.append(float(1.0 / np.exp(z - z[best]).sum()))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, f"{prefix}lang_pred", f"{prefix}score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(predicted, f"doc_id {kind}, lang_pred string, score double")
+    schema = T.StructType([docs.schema[c] for c in keep]).add(f"{prefix}lang_pred", T.StringType()).add(f"{prefix}score", T.DoubleType())
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(predicted, schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ documents that the first pair of dictionaries has not seen; then the dictionarie
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atomloom.llm.common import materialize, table
 from atomloom.llm.labelled import fold, labelled_sample, logistic_fit, sigmoid
@@ -134,18 +135,21 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     return ToxicityModel(*dictionaries(sample), tuple(weights))
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(doc_id, score, predicted) of every document; whole texts are read, a null or empty one has no windows."""
+def score(docs: DataFrame, model: ToxicityModel, keep: Sequence[str] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """Columns ``keep`` of every document, its ``score`` and ``predicted`` (with ``prefix`` before these two names).
+
+    Whole texts are read; a null or empty one has no windows and gets the score of a text without toxic windows.
+    """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = MarginScorer(model.toxic, model.ordinary)
         for batch in batches:
             x = np.array([evidence(scorer.margins(t.as_py())) for t in batch.column("text")]).reshape(-1, len(MARGINS))
             p = sigmoid(np.column_stack([x, np.ones(len(x))]) @ np.array(model.weights))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, f"{prefix}score", f"{prefix}predicted"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double, predicted int")
+    schema = T.StructType([docs.schema[c] for c in keep]).add(f"{prefix}score", T.DoubleType()).add(f"{prefix}predicted", T.IntegerType())
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(scored, schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
