@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from atomloom.llm.bpe import op5_bpe
 from atomloom.llm.langid import op2_language_id
+from atomloom.llm.media import op7_media_copies
 from atomloom.llm.mixing import op4_mix_sources
 from atomloom.llm.neardup import op6_near_duplicates
 from atomloom.llm.quality import op3_quality
@@ -20,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_rendezvous_sharding, op2_language_id, op3_quality, op4_mix_sources, op5_bpe, op6_near_duplicates, op8_token_files, op9_warc, op10_toxicity)}
+    return {f.__name__: f for f in (op1_rendezvous_sharding, op2_language_id, op3_quality, op4_mix_sources, op5_bpe, op6_near_duplicates, op7_media_copies, op8_token_files, op9_warc, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
