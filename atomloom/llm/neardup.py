@@ -7,7 +7,8 @@
    holds bound each one's best possible similarity; those that can link with nobody go (exact, no pairs needed).
 4. Each bucket's most central member is compared with its other members: joint maximum likelihood on the registers first,
    then the full sets. Links give components.
-5. Members of a bucket that are still in different components and whose bound allows a link are compared likewise.
+5. Members of a bucket that are still in different components are compared likewise, if they can still link: shingles
+   that at most RARE of them hold are joined exactly, and the rest of a set bounds what pairs without those can reach.
 """
 
 from __future__ import annotations
@@ -29,8 +30,12 @@ SHINGLE = 5
 PERCENT = 75
 ROWS_PER_BAND, BANDS = 4, 32
 REGISTERS = ROWS_PER_BAND * BANDS
-#: Register base and rate: values fit in a byte for sets of up to about a million shingles and saturate beyond.
-REGISTER_BASE, RATE, LIMIT = 1.09, 20.0, 255
+#: Register base and rate: the base is so fine that unlike sets hardly ever agree in a register, whatever the number of
+#: documents; values fit in two bytes for any set size.
+REGISTER_BASE, RATE, LIMIT = 1.001, 20.0, 65535
+REGISTER = np.dtype("<u2")
+#: A shingle is rare if at most so many documents of the last step hold it.
+RARE = 32
 #: Pairs whose likelihood estimate is this many standard errors below the threshold are not verified.
 SLACK = 5.0
 _rng = np.random.default_rng(20240229)
@@ -66,7 +71,7 @@ def shingle_sets(column: pa.Array) -> Iterator[list[np.ndarray]]:
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
-    """Registers [set, REGISTERS] as bytes; an empty set has zeros. Sketches of a union are the registers' maxima."""
+    """Registers [set, REGISTERS]; an empty set has zeros. Sketches of a union are the registers' maxima."""
     lengths = np.array([len(s) for s in sets])
     least = np.full((len(sets), REGISTERS), np.iinfo(np.uint64).max, dtype=np.uint64)
     flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
@@ -81,7 +86,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     unit = (least >> np.uint64(11)).astype(np.float64) + 0.5
     x = -np.log1p(-unit / float(1 << 53)) / RATE
     value = np.floor(1.0 - np.log(x) / np.log(REGISTER_BASE))
-    return np.where(lengths[:, None] > 0, np.clip(value, 0, LIMIT), 0).astype(np.uint8)
+    return np.where(lengths[:, None] > 0, np.clip(value, 0, LIMIT), 0).astype(REGISTER)
 
 
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +156,7 @@ def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS) for c in ("r_a", "r_b"))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=REGISTER).reshape(-1, REGISTERS) for c in ("r_a", "r_b"))
                 estimate = likelihood_similarity(a, b, *(batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b")))
                 yield batch.select(["a", "b"]).filter(pa.array(estimate >= least))
 
@@ -174,6 +179,34 @@ def may_link(shared_a: Column, n_a: Column, shared_b: Column, n_b: Column) -> Co
     return 100 * most >= PERCENT * (n_a + n_b - most)
 
 
+def open_pairs(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of the (bucket, rep, n, component) rows in different components that can link; no such pair is left out.
+
+    With r rare shingles in common, two sets share at most r plus the smaller number of their other shingles. Pairs with
+    a rare shingle in common come from a join on it, of at most RARE rows a shingle; all others have r = 0 and come from
+    the buckets, where most are ruled out by the number of their other shingles.
+    """
+    nodes = named.select("rep", "n", "component").distinct()
+    postings = sets.join(nodes, "rep").select("rep", "n", "component", F.explode("shingles").alias("h"))
+    postings = materialize(postings, "neardup-postings")
+    counts = materialize(postings.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") <= RARE), "neardup-rare")
+    rare = postings.join(counts, "h")
+    own = rare.groupBy("rep").agg(F.count(F.lit(1)).alias("rare"))
+    nodes = nodes.join(own, "rep", "left").select("rep", "n", "component", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("other"))
+    nodes = materialize(nodes, "neardup-nodes")
+    listed = materialize(rare.filter(F.col("k") > 1).select("h", "rep", "component").join(nodes.select("rep", "n", "other"), "rep"), "neardup-listed")
+    left, right = listed.alias("l"), listed.alias("r")
+    shared = left.join(right, (F.col("l.h") == F.col("r.h")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.component") != F.col("r.component")))
+    columns = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("rep", "n", "other")]
+    shared = shared.select(*columns).groupBy(*(f"{s}_{c}" for s in "lr" for c in ("rep", "n", "other"))).agg(F.count(F.lit(1)).alias("r"))
+    by_rare = shared.filter(may_link(F.col("l_other") + F.col("r"), F.col("l_n"), F.col("r_other") + F.col("r"), F.col("r_n"))).select(F.col("l_rep").alias("a"), F.col("r_rep").alias("b"))
+    members = materialize(named.select("bucket", "rep").join(nodes.filter(100 * F.col("other") >= PERCENT * F.col("n")), "rep"), "neardup-members-open")
+    left, right = members.alias("l"), members.alias("r")
+    near = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.component") != F.col("r.component"))
+    by_bucket = left.join(right, near & may_link(F.col("l.other"), F.col("l.n"), F.col("r.other"), F.col("r.n"))).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
+    return by_rare.unionByName(by_bucket).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> Classes:
     """Classes of near-duplicate documents by (doc_id, text).
 
@@ -186,7 +219,8 @@ def near_duplicates(docs: DataFrame) -> Classes:
     linked = every.filter(F.col("doc_id").isNotNull() & F.col("fingerprint").isNotNull())
     classes = linked.groupBy("fingerprint").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "registers")).alias("first"), F.count(F.lit(1)).alias("rows"))
     classes = materialize(classes.select("fingerprint", "rows", F.col("first.doc_id").alias("rep"), F.col("first.n").alias("n"), F.col("first.registers").alias("registers")), "neardup-classes")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * ROWS_PER_BAND + 1, F.lit(ROWS_PER_BAND))))
+    width = ROWS_PER_BAND * REGISTER.itemsize
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * width + 1, F.lit(width))))
     banded = classes.select("rep", "n", F.explode(bands).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("bucket")
     shared = materialize(shared, "neardup-shared")  # a table on both sides lets Spark split a hot bucket
@@ -217,15 +251,11 @@ def near_duplicates(docs: DataFrame) -> Classes:
     labels = connected_components(links, "neardup-first")
 
     # What is left: members of one bucket in different components that may still link.
-    named = close.join(labels, close["rep"] == labels["id"], "left").select("bucket", "rep", "n", "common", F.coalesce("component", "rep").alias("component"))
-    split = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"))
-    open_buckets = materialize(split.filter(F.col("low") != F.col("high")).select("bucket", "least"), "neardup-split")
-    most = F.col("common")
-    named = named.join(open_buckets, "bucket").filter(100 * most >= PERCENT * (F.col("n") + F.greatest("least", most) - most))
-    named = materialize(named.select("bucket", "rep", "n", "common", "component"), "neardup-open")
-    left, right = named.alias("l"), named.alias("r")
-    cross = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.component") != F.col("r.component")))
-    cross = cross.filter(may_link(F.col("l.common"), F.col("l.n"), F.col("r.common"), F.col("r.n"))).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
+    named = close.join(labels, close["rep"] == labels["id"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    span = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_buckets = materialize(span.filter(F.col("low") != F.col("high")).select("bucket"), "neardup-split")
+    named = materialize(named.join(open_buckets, "bucket"), "neardup-open")
+    cross = open_pairs(named, sets)
     more = materialize(verified(plausible(cross, first), sets), "neardup-cross")
     links = links.unionByName(more)
     if more.limit(1).count():
