@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,11 +20,13 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atomloom.llm.bpe import byte_alphabet
 from atomloom.llm.common import materialize, shared_dir, table
 from atomloom.llm.files import put, read_files
 
@@ -31,9 +34,10 @@ MAGIC = b"WMTX0001"
 END_ID = 2
 #: Tokens after which a task begins the next file; a longer document has a file of its own.
 SHARD_TOKENS = 1 << 20
-#: Words whose ids one worker remembers before it starts afresh.
-CACHE = 500_000
+#: Pieces of text, and parts of them, whose ids one worker remembers.
+PIECES, PARTS = 400_000, 900_000
 GROUP_WORDS = 300_000
+SIMPLE = re.compile(r"[!-~\xa1-\u02ff]*").fullmatch
 
 
 class WaveletMatrix:
@@ -106,12 +110,13 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All numbers in order, by undoing the planes from the last."""
-        value = np.zeros(self.n, dtype=np.int64)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32 if len(self.planes) <= 32 else np.uint64
+        value = np.zeros(self.n, dtype=kind)
         for level in range(len(self.planes) - 1, -1, -1):
             ones = np.unpackbits(self.planes[level].view(np.uint8), bitorder="little")[: self.n].astype(bool)
-            above = np.empty(self.n, dtype=np.int64)
+            above = np.empty(self.n, dtype=kind)
             above[~ones] = value[: self.zeros[level]]
-            above[ones] = value[self.zeros[level] :] | (1 << (len(self.planes) - 1 - level))
+            above[ones] = value[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             value = above
         return value
 
@@ -162,7 +167,10 @@ class WordEncoder:
     """Ids of texts with a word-end vocabulary of the tokenizers library.
 
     Its pattern never crosses white space and its normalizer never joins characters across it, so texts are cut at
-    ASCII white space and each distinct piece goes through the library once while it is remembered.
+    spaces and line ends. A piece of printable characters below U+0300 has no combining marks, so normalizing it is
+    lower-casing it; it is cut by the vocabulary's pattern and each distinct part goes through the library's model once.
+    Any other piece goes through the whole library. What is known stays known; once the memory is full, further words
+    are encoded but not kept.
     """
 
     def __init__(self, path: str):
@@ -172,10 +180,34 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        self.alphabet = byte_alphabet()
         self.bits = max(2, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.kind = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
-        self.seen: dict[str, bytes] = {}
-        self.end = np.array([END_ID], dtype=self.kind).tobytes()
+        self.pieces: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.end = self.packed([END_ID])
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.kind).tobytes()
+
+    def part(self, text: str) -> bytes:
+        known = self.parts.get(text)
+        if known is None:
+            spelled = text if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
+            known = self.packed([t.id for t in self.model.tokenize(spelled)])
+            if len(self.parts) < PARTS:
+                self.parts[text] = known
+        return known
+
+    def piece(self, text: str) -> bytes:
+        if SIMPLE(text) and not self.special.search(text):
+            return b"".join(map(self.part, self.pattern.findall(text.lower())))
+        return self.packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def encode_many(self, texts: Iterator[str | None]) -> Iterator[bytes]:
         """Ids of each text (null: none) and the end id, as bytes of ``kind``."""
@@ -189,17 +221,15 @@ class WordEncoder:
         yield from self._encoded(group)
 
     def _encoded(self, group: list[list[str]]) -> Iterator[bytes]:
-        words = set(chain.from_iterable(group))
-        new = [w for w in words if w not in self.seen]
-        if len(self.seen) + len(new) > CACHE:
-            self.seen.clear()
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[word] = np.array(found.ids, dtype=self.kind).tobytes()
+        known = self.pieces
+        fresh = {w: self.piece(w) for w in set(chain.from_iterable(group)).difference(known)}
+        if len(known) + len(fresh) <= PIECES:
+            known.update(fresh)
+            find = known.__getitem__
+        else:
+            find = lambda w: known.get(w) or fresh.get(w, b"")
         for pieces in group:
-            yield b"".join([*map(self.seen.__getitem__, pieces), self.end])
+            yield b"".join([*map(find, pieces), self.end])
 
 
 @lru_cache(maxsize=2)
