@@ -20,14 +20,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from atomloom.llm.common import table
+from atomloom.llm.common import sliced, table
 
 #: The published pattern of the byte-level vocabulary.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Pre-tokens whose ids one worker remembers before it starts afresh.
-CACHE = 400_000
+#: Pre-tokens whose ids one worker remembers.
+CACHE = 200_000
 #: Pre-tokens of texts that are looked up together.
-GROUP = 400_000
+GROUP = 200_000
 NONE = np.int64(1) << 62
 
 
@@ -118,8 +118,9 @@ class SegmentTreeBpe:
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
             leaves >>= 1
 
-    def learn(self, pretokens: Iterable[str]) -> None:
-        """Encode pre-tokens not yet remembered, in groups of like length."""
+    def learn(self, pretokens: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of pre-tokens, merged in groups of like length."""
+        learnt: dict[str, tuple[int, ...]] = {}
         groups: dict[int, list[tuple[str, bytes]]] = {}
         for p in pretokens:
             raw = p.encode("utf-8", "surrogatepass")
@@ -137,8 +138,9 @@ class SegmentTreeBpe:
                 ends = np.cumsum(kept.sum(axis=1)).tolist()
                 ids, start = list(map(self.ids.__getitem__, done[kept].tolist())), 0
                 for (p, _), end in zip(part, ends, strict=True):
-                    self.seen[p] = tuple(ids[start:end])
+                    learnt[p] = tuple(ids[start:end])
                     start = end
+        return learnt
 
     def pretokens(self, text: str) -> list[str]:
         """Pre-tokens in order; a special token in the text stays whole."""
@@ -163,21 +165,19 @@ class SegmentTreeBpe:
         yield from self.encoded(group)
 
     def encoded(self, group: list[list[str]]) -> Iterator[list[int]]:
-        self.remember(set(chain.from_iterable(group)))
-        for words in group:
-            yield list(chain.from_iterable(map(self.seen.__getitem__, words)))
+        words = set(chain.from_iterable(group))
+        fresh = self.learn(words.difference(self.seen))
+        if len(self.seen) + len(fresh) <= CACHE:
+            self.seen.update(fresh)
+            known = self.seen
+        else:  # full: what is known stays, the rest serves this group only
+            known = {w: fresh[w] if w in fresh else self.seen[w] for w in words}
+        for words_of_text in group:
+            yield list(chain.from_iterable(map(known.__getitem__, words_of_text)))
 
     def encode(self, text: str | None) -> list[int]:
         return next(self.encode_many([text]))
 
-    def remember(self, words: set[str]) -> None:
-        new = words.difference(self.seen)
-        if len(self.seen) + len(new) > CACHE:
-            self.seen = {s: (i,) for s, i in self.specials.items()}
-            new = words.difference(self.seen)
-        if new:
-            self.learn(new)
-
     def decode(self, ids: Iterable[int]) -> str:
         """Bytes of the tokens, read as UTF-8; what is not UTF-8 becomes U+FFFD."""
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -200,7 +200,7 @@ def encode_documents(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id"
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = list(bpe.encode_many(t.as_py() for t in batch.column("text")))
             digests = [hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in ids]
             yield pa.record_batch(
@@ -217,7 +217,7 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, ids_sha, text_sha = [], [], []
             for ids in bpe.encode_many(t.as_py() for t in batch.column("text")):
                 counts.append(len(ids))

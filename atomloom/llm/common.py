@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,10 @@ def join_on_key(left: DataFrame, right: DataFrame, key: str, count: str, total:
     cold_rows = cold_rows.join(cold, cold_rows[key] == cold["_cold_key"], "left").drop("_cold_key").withColumnRenamed("_cold", "_got")
     both = hot_rows.unionByName(cold_rows)
     return both.select(*[c for c in left.columns], *[F.col(f"_got.{c}").alias(c) for c in rest])
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller parts, so that what is made of one is small on both sides of the pipe."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atomloom.llm.common import materialize, table
+from atomloom.llm.common import materialize, sliced, table
 from atomloom.llm.labelled import fold, unit_hash
 
 #: Expected number of training documents of a language (or all, if there are fewer).
@@ -30,8 +30,8 @@ SMOOTHING = 0.05
 FOLDS, HELD_OUT_FOLD = 3, 1
 #: Runs of letters longer than this are cut, so that products of piece probabilities stay in range.
 LONGEST = 32
-CACHE = 400_000
-GROUP_WORDS = 300_000
+CACHE = 250_000
+GROUP_WORDS = 200_000
 LETTERS = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
 MARK = "▁"
@@ -177,26 +177,16 @@ class Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.clear()
-
-    def clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.logs = np.zeros((CACHE + GROUP_WORDS, len(self.model.languages)), dtype=np.float32)
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.rows]
-        if len(self.rows) + len(new) > len(self.logs):
-            self.clear()
-            if len(words) > len(self.logs):
-                self.logs = np.zeros((len(words), self.logs.shape[1]), dtype=np.float32)
-            new = list(words)
-        new.sort(key=len)
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            _, total = forward(self.model.vocabulary.edges(part), self.model.probabilities)
-            start = len(self.rows)
-            self.logs[start : start + len(part)] = np.log(np.maximum(total, 1e-300))
-            self.rows.update(zip(part, range(start, start + len(part)), strict=True))
+        self.logs = np.zeros((CACHE, len(model.languages)), dtype=np.float32)
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Log probabilities [word, language]."""
+        out = np.zeros((len(words), self.logs.shape[1]), dtype=np.float32)
+        for at in range(0, len(words), 5000):
+            _, total = forward(self.model.vocabulary.edges(words[at : at + 5000]), self.model.probabilities)
+            out[at : at + 5000] = np.log(np.maximum(total, 1e-300))
+        return out
 
     def totals(self, texts: Iterator[str | None]) -> Iterator[np.ndarray | None]:
         """Log probability of each text under every language; None where it has no letter."""
@@ -211,9 +201,18 @@ class Scorer:
         yield from self.of(group)
 
     def of(self, group: list[list[str]]) -> Iterator[np.ndarray | None]:
-        self.learn(set(chain.from_iterable(group)))
-        for words in group:
-            yield self.logs[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64) if words else None
+        words = set(chain.from_iterable(group))
+        fresh = sorted(words.difference(self.rows), key=len)
+        learnt, known, logs, start = self.learn(fresh), self.rows, self.logs, len(self.rows)
+        if start + len(fresh) <= CACHE:
+            logs[start : start + len(fresh)] = learnt
+            known.update(zip(fresh, range(start, start + len(fresh)), strict=True))
+        else:  # full: what is known stays, the rest serves this group only
+            logs = np.concatenate([logs[:start], learnt])
+            new = dict(zip(fresh, range(start, start + len(fresh)), strict=True))
+            known = {w: new[w] if w in new else self.rows[w] for w in words}
+        for text in group:
+            yield logs[np.fromiter(map(known.__getitem__, text), np.int64, len(text))].sum(axis=0, dtype=np.float64) if text else None
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: Sequence[str] = ("doc_id",), prefix: str = "") -> DataFrame:
@@ -226,7 +225,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: Sequence[str] = ("doc_i
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in sliced(batches):
             langs, scores = [], []
             for z in scorer.totals(t.as_py() for t in batch.column("text")):
                 if z is None or not len(z):

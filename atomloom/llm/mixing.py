@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atomloom.llm.common import materialize, table
+from atomloom.llm.common import materialize, sliced, table
 from atomloom.llm.labelled import unit_hash
 from atomloom.llm.words import groups, span_hashes
 
@@ -41,7 +41,7 @@ def with_topics(docs: DataFrame, keep: Sequence[str], prefix: str = "") -> DataF
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, topics = [], []
             for texts in groups(batch.column("text"), lower=True):
                 starts, ends, offsets = texts.words()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm.common import join_on_key, materialize, table
+from atomloom.llm.common import join_on_key, materialize, sliced, table
 from atomloom.llm.components import connected_components
 from atomloom.llm.words import BASE, groups, mix, span_hashes, windows
 
@@ -91,7 +91,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
 
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_shingles, fingerprint, registers); equal sets have equal fingerprints of 16 bytes."""
-    for batch in batches:
+    for batch in sliced(batches):
         n, prints, registers = [], [], []
         for sets in shingle_sets(batch.column("text")):
             for s in sets:
@@ -103,7 +103,7 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         sets = [s.astype(np.int64) for group in shingle_sets(batch.column("text")) for s in group]
         yield pa.record_batch([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
 

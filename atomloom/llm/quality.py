@@ -12,7 +12,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm.common import materialize, table
+from atomloom.llm.common import materialize, sliced, table
 from atomloom.llm.labelled import fold, labelled_sample, logistic_fit, sigmoid
 from atomloom.llm.words import IS_WORD, Texts, groups, mix, span_hashes, windows
 
@@ -176,7 +176,7 @@ def judge(docs: DataFrame, model: QualityModel) -> DataFrame:
     """
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts, probability = [np.zeros((0, 5), np.int64)], [np.zeros(0)]
             for texts in groups(batch.column("text")):
                 starts, ends, word_offsets = texts.words()

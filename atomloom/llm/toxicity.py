@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atomloom.llm.common import materialize, table
+from atomloom.llm.common import materialize, sliced, table
 from atomloom.llm.labelled import fold, labelled_sample, logistic_fit, sigmoid
 
 TOXIC_BYTES = 1 << 16
@@ -32,8 +32,8 @@ MIN_Z = 3.5
 MIN_RATIO = 10.0
 MARGINS = (3, 4, 5, 6, 8)
 HELD_OUT_FOLD, FOLDS, CALIBRATION_FOLD = 0, 5, 1
-#: Windows whose margin one worker remembers before it starts afresh.
-CACHE = 400_000
+#: Windows whose margin one worker remembers.
+CACHE = 200_000
 WORD = re.compile(r"[^\W_]+")
 FRAME = b"\x01%b\x02\x03\x04\x05\x06\x07\x08\x0e\x0f"
 
@@ -65,15 +65,18 @@ class MarginScorer:
 
     def margins(self, text: str | None) -> np.ndarray:
         words = WORD.findall((text or "").lower())
-        new = set(words).difference(self.seen)
-        if len(self.seen) + len(new) > CACHE:
-            self.seen.clear()
-            new = set(words)
+        distinct = set(words)
         ordinary, toxic = self.compressors
-        for word in new:
+        fresh = {}
+        for word in distinct.difference(self.seen):
             framed = window(word)
-            self.seen[word] = max(-100, min(100, len(ordinary.compress(framed)) - len(toxic.compress(framed))))
-        return np.fromiter(map(self.seen.__getitem__, words), np.int16, len(words))
+            fresh[word] = max(-100, min(100, len(ordinary.compress(framed)) - len(toxic.compress(framed))))
+        if len(self.seen) + len(fresh) <= CACHE:
+            self.seen.update(fresh)
+            known = self.seen
+        else:  # full: what is known stays, the rest serves this text only
+            known = {w: fresh[w] if w in fresh else self.seen[w] for w in distinct}
+        return np.fromiter(map(known.__getitem__, words), np.int16, len(words))
 
 
 def evidence(margins: np.ndarray) -> list[float]:
@@ -143,7 +146,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: Sequence[str] = ("doc_id"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = MarginScorer(model.toxic, model.ordinary)
-        for batch in batches:
+        for batch in sliced(batches):
             x = np.array([evidence(scorer.margins(t.as_py())) for t in batch.column("text")]).reshape(-1, len(MARGINS))
             p = sigmoid(np.column_stack([x, np.ones(len(x))]) @ np.array(model.weights))
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, f"{prefix}score", f"{prefix}predicted"])
