@@ -1,0 +1,222 @@
+"""The atom network's forward pass, and flow sampling, one structure at a time inside Spark's grouped maps.
+
+A structure's tokens are one group; the parameters travel with the function. Library defaults that the semantics leave
+open are fixed here: tanh-form gelu, layer-norm epsilon 1e-5.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from atomloom.functions.vocab import MODALITIES, N_ELEMENTS, N_POLYMER_ATOMS
+from atomloom.operators.flow import PriorConfig
+
+N_BUCKETS, N_CONDITIONS = 66, 4
+Params = dict[str, np.ndarray]
+
+
+@dataclass(frozen=True)
+class ModelConfig:
+    d_single: int = 32
+    d_pair: int = 16
+    n_heads: int = 4
+    n_encoder: int = 2
+    n_decoder: int = 2
+    d_time: int = 32
+    d_hidden_mult: int = 4
+
+    def __post_init__(self) -> None:
+        if self.d_single % self.n_heads:
+            raise ValueError("d_single must be divisible by n_heads")
+
+
+def _dense(rng: np.random.Generator, p: Params, name: str, n_in: int, n_out: int, zero: bool = False) -> None:
+    bound = np.sqrt(6.0 / (n_in + n_out))
+    p[f"{name}.w"] = np.zeros((n_in, n_out)) if zero else rng.uniform(-bound, bound, (n_in, n_out))
+    p[f"{name}.b"] = np.zeros(n_out)
+
+
+def _attention(rng: np.random.Generator, p: Params, name: str, d: int, hidden: int) -> None:
+    for part in ("wq", "wk", "wv", "wo"):
+        _dense(rng, p, f"{name}.{part}", d, d)
+    _dense(rng, p, f"{name}.mlp1", d, hidden)
+    _dense(rng, p, f"{name}.mlp2", hidden, d)
+
+
+def _norm(p: Params, name: str, d: int) -> None:
+    p[f"{name}.g"], p[f"{name}.s"] = np.ones(d), np.zeros(d)
+
+
+def init_model(config: ModelConfig, seed: int = 0) -> Params:
+    rng, p = np.random.default_rng(seed), {}
+    d, dp = config.d_single, config.d_pair
+    for name, rows, columns in (("element", N_ELEMENTS, d), ("modality", len(MODALITIES), d), ("polymer", N_POLYMER_ATOMS, d), ("relpos", N_BUCKETS, dp)):
+        p[name] = rng.normal(0, 1, (rows, columns))
+    _dense(rng, p, "condition", N_CONDITIONS, d)
+    _dense(rng, p, "coordinate", 3, d)
+    _dense(rng, p, "time1", config.d_time, config.d_time)
+    _dense(rng, p, "time2", config.d_time, config.d_time)
+    _dense(rng, p, "head", d, 3, zero=True)
+    for k in range(config.n_encoder):
+        _attention(rng, p, f"encoder{k}", d, d * config.d_hidden_mult)
+        for name, n_in, n_out in (("bias", dp, config.n_heads), ("left", d, dp), ("right", d, dp), ("mix", dp, dp)):
+            _dense(rng, p, f"encoder{k}.{name}", n_in, n_out)
+        for name, width in (("norm1", d), ("norm2", d), ("norm3", dp)):
+            _norm(p, f"encoder{k}.{name}", width)
+    for k in range(config.n_decoder):
+        _attention(rng, p, f"decoder{k}", d, d * config.d_hidden_mult)
+        _dense(rng, p, f"decoder{k}.bias", dp, config.n_heads)
+        _dense(rng, p, f"decoder{k}.ada1", config.d_time, 2 * d)
+        _dense(rng, p, f"decoder{k}.ada2", config.d_time, 2 * d)
+    return p
+
+
+def init_verifier(d: int = 32, n_heads: int = 4, n_layers: int = 2, hidden_mult: int = 4, seed: int = 0) -> Params:
+    rng, p = np.random.default_rng(seed), {}
+    for name, rows in (("element", N_ELEMENTS), ("modality", len(MODALITIES)), ("polymer", N_POLYMER_ATOMS), ("relpos", N_BUCKETS)):
+        p[name] = rng.normal(0, 1, (rows, d))
+    _dense(rng, p, "coordinate", 3, d)
+    _dense(rng, p, "bias", d, n_heads)
+    for k in range(n_layers):
+        _attention(rng, p, f"block{k}", d, d * hidden_mult)
+        _norm(p, f"block{k}.norm1", d)
+        _norm(p, f"block{k}.norm2", d)
+    _dense(rng, p, "confidence", d, 1)
+    _dense(rng, p, "clash", d, 1)
+    return p
+
+
+def count_params(p: Params) -> int:
+    return sum(v.size for v in p.values())
+
+
+def _apply(p: Params, name: str, x: np.ndarray) -> np.ndarray:
+    return x @ p[f"{name}.w"] + p[f"{name}.b"]
+
+
+def gelu(x: np.ndarray) -> np.ndarray:
+    return 0.5 * x * (1 + np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3)))
+
+
+def layer_norm(x: np.ndarray, p: Params | None = None, name: str = "") -> np.ndarray:
+    y = (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5)
+    return y if p is None else y * p[f"{name}.g"] + p[f"{name}.s"]
+
+
+def attention(p: Params, name: str, x: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Multi-head self-attention of rows x with an additive [head, query, key] bias; softmax over keys."""
+    heads, n = bias.shape[0], len(x)
+    q, k, v = (_apply(p, f"{name}.{part}", x).reshape(n, heads, -1) for part in ("wq", "wk", "wv"))
+    logits = np.einsum("ihc,jhc->hij", q, k) / np.sqrt(q.shape[-1]) + bias
+    weight = np.exp(logits - logits.max(-1, keepdims=True))
+    weight /= weight.sum(-1, keepdims=True)
+    return _apply(p, f"{name}.wo", np.einsum("hij,jhc->ihc", weight, v).reshape(n, -1))
+
+
+def relative_buckets(chain: np.ndarray, residue: np.ndarray, window: int = 32) -> np.ndarray:
+    offset = np.clip(residue[:, None] - residue[None], -window, window) + window + 1
+    return np.where(chain[:, None] == chain[None], offset, 2 * window + 2)
+
+
+def time_embedding(t: float, d: int) -> np.ndarray:
+    f = np.exp(-np.log(10000.0) * np.arange(d // 2) / (d // 2))
+    return np.concatenate([np.sin(f * t), np.cos(f * t)])
+
+
+def velocity(p: Params, config: ModelConfig, feat: pd.DataFrame, x: np.ndarray, t: float, cond: np.ndarray, pad: np.ndarray | None = None) -> np.ndarray:
+    """Predicted velocity [atom, 3]. ``pad`` marks real atoms; keys that are not real get a bias of -1e9."""
+    mask = 0.0 if pad is None else np.where(pad, 0.0, -1e9)[None, None, :]
+    at = {c: feat[c].to_numpy(dtype=int) for c in ("element_idx", "modality_idx", "polymer_atom_idx", "chain_idx", "res_index")}
+    s = p["element"][at["element_idx"] - 1] + p["modality"][at["modality_idx"] - 1] + p["polymer"][at["polymer_atom_idx"] - 1] + _apply(p, "condition", cond)
+    z = p["relpos"][relative_buckets(at["chain_idx"], at["res_index"]) - 1]
+    for k in range(config.n_encoder):
+        b = f"encoder{k}"
+        s = layer_norm(s + attention(p, b, s, _apply(p, f"{b}.bias", z).transpose(2, 0, 1) + mask), p, f"{b}.norm1")
+        s = layer_norm(s + _apply(p, f"{b}.mlp2", gelu(_apply(p, f"{b}.mlp1", s))), p, f"{b}.norm2")
+        pair = _apply(p, f"{b}.left", s)[:, None] + _apply(p, f"{b}.right", s)[None]
+        z = layer_norm(z + gelu(_apply(p, f"{b}.mix", pair)), p, f"{b}.norm3")
+    time = _apply(p, "time2", gelu(_apply(p, "time1", time_embedding(t, config.d_time))))
+    s = s + _apply(p, "coordinate", x)
+    for k in range(config.n_decoder):
+        b = f"decoder{k}"
+        modulate = lambda y, name: layer_norm(y) * (1 + (m := _apply(p, f"{b}.{name}", time))[: config.d_single]) + m[config.d_single :]  # noqa: B023, E731
+        s = s + attention(p, b, modulate(s, "ada1"), _apply(p, f"{b}.bias", z).transpose(2, 0, 1) + mask)
+        s = s + _apply(p, f"{b}.mlp2", gelu(_apply(p, f"{b}.mlp1", modulate(s, "ada2"))))
+    return _apply(p, "head", s)
+
+
+def verify(p: Params, n_layers: int, feat: pd.DataFrame, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(confidence in 0..1, clash logit) of every atom."""
+    at = {c: feat[c].to_numpy(dtype=int) for c in ("element_idx", "modality_idx", "polymer_atom_idx", "chain_idx", "res_index")}
+    s = p["element"][at["element_idx"] - 1] + p["modality"][at["modality_idx"] - 1] + p["polymer"][at["polymer_atom_idx"] - 1] + _apply(p, "coordinate", x)
+    bias = _apply(p, "bias", p["relpos"][relative_buckets(at["chain_idx"], at["res_index"]) - 1]).transpose(2, 0, 1)
+    for k in range(n_layers):
+        b = f"block{k}"
+        s = layer_norm(s + attention(p, b, s, bias), p, f"{b}.norm1")
+        s = layer_norm(s + _apply(p, f"{b}.mlp2", gelu(_apply(p, f"{b}.mlp1", s))), p, f"{b}.norm2")
+    return 1 / (1 + np.exp(-_apply(p, "confidence", s)[:, 0])), _apply(p, "clash", s)[:, 0]
+
+
+def prior(rng: np.random.Generator, chain: np.ndarray, config: PriorConfig = PriorConfig()) -> np.ndarray:
+    x = np.zeros((len(chain), 3))
+    for i in range(len(chain)):
+        if i and chain[i] == chain[i - 1]:
+            u = rng.normal(size=3)
+            x[i] = x[i - 1] + (config.bond_length + config.bond_std * rng.normal()) * u / np.linalg.norm(u)
+        else:
+            x[i] = config.free_std * rng.normal(size=3)
+    return x
+
+
+def sample(p: Params, config: ModelConfig, feat: pd.DataFrame, seed: int, n_steps: int = 40, fixed: np.ndarray | None = None, fixed_at: np.ndarray | None = None, cond: np.ndarray | None = None, uncond: np.ndarray | None = None, guidance: float = 1.0, post_step: Callable[[np.ndarray, float], np.ndarray] | None = None) -> np.ndarray:
+    """Coordinates after ``n_steps`` Euler steps from the prior.
+
+    Fixed atoms are clamped after every step in a frame centred on them; ``post_step`` runs after the clamp, so what it
+    moves stays moved.
+    """
+    n = len(feat)
+    cond = np.zeros((n, N_CONDITIONS)) if cond is None else cond
+    clamp = fixed is not None and fixed.any()
+    center = fixed_at[fixed].mean(axis=0) if clamp else np.zeros(3)
+    x = prior(np.random.default_rng(seed), feat["chain_idx"].to_numpy())
+    if clamp:
+        x[fixed] = fixed_at[fixed] - center
+    for step in range(n_steps):
+        t = step / n_steps
+        v = velocity(p, config, feat, x, t, cond)
+        if uncond is not None and guidance != 1:
+            free = velocity(p, config, feat, x, t, uncond)
+            v = free + guidance * (v - free)
+        x = x + v / n_steps
+        if clamp:
+            x[fixed] = fixed_at[fixed] - center
+        if post_step is not None:
+            x = post_step(x, t + 1 / n_steps)
+    return x + center
+
+
+def _grouped(features: DataFrame, function: Callable[[pd.DataFrame], np.ndarray], names: tuple[str, ...]) -> DataFrame:
+    kind = features.schema["structure_id"].dataType.simpleString()
+
+    def mapped(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("atom_idx")
+        return pd.concat([g[["structure_id", "atom_idx"]].reset_index(drop=True), pd.DataFrame(function(g), columns=list(names))], axis=1)
+
+    return features.groupBy("structure_id").applyInPandas(mapped, f"structure_id {kind}, atom_idx {features.schema['atom_idx'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
+
+
+def network_forward(features: DataFrame, params: Params, config: ModelConfig, t: float) -> DataFrame:
+    """(structure_id, atom_idx, vx, vy, vz) of feature rows with coordinates x, y, z."""
+    return _grouped(features, lambda g: velocity(params, config, g, g[["x", "y", "z"]].to_numpy(), t, np.zeros((len(g), N_CONDITIONS))), ("vx", "vy", "vz"))
+
+
+def sample_flow(features: DataFrame, params: Params, config: ModelConfig, seed: int, n_steps: int = 40) -> DataFrame:
+    """(structure_id, atom_idx, x, y, z): one sampled structure for each group of feature rows; a trajectory needs no shuffle."""
+    import zlib
+
+    return _grouped(features, lambda g: sample(params, config, g, seed + zlib.crc32(str(g["structure_id"].iloc[0]).encode()), n_steps), ("x", "y", "z"))
