@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atomloom.functions.geometry import distance, normalized_chiral_volume, xyz
@@ -63,7 +63,7 @@ def residue_atoms(atoms: DataFrame, names: Sequence[str], carry: Sequence[str] =
     """One row a protein residue with a struct column for each name (null if absent); of equal names the last counts."""
     fields = F.struct("atom_idx", *carry)
     picked = [F.max(F.when(F.col("atom_name") == n, fields)).alias(n) for n in names]
-    return atoms.groupBy("structure_id", "chain_id", "res_index").agg(*picked)
+    return atoms.groupBy("structure_id", "chain_id", "res_index").agg(*picked, F.count(F.lit(1)).alias("n_atoms"))
 
 
 def backbone_bonds(atoms: DataFrame) -> DataFrame:
@@ -108,11 +108,44 @@ def chirality_summary(centers: DataFrame, energy_margin: float = 0.3, count_marg
     return centers.groupBy("structure_id").agg(F.sum(short * short).alias("chirality_energy"), F.count_if(F.col("volume") <= count_margin + tie_eps).alias("chirality_violations"), F.count(F.lit(1)).alias("n_chiral_centers"))
 
 
+def backbone_summary(atoms: DataFrame, energy_margin: float = 0.3, count_margin: float = 0.0, tie_eps: float = 0.0) -> DataFrame:
+    """Sizes, bond and chirality sums of every structure from one shuffle by structure.
+
+    Atoms are dealt by structure once; residues, the peptide link to the next residue (``lead``, which must be numbered
+    one higher) and the sums a structure all follow in place. The same numbers come from the graph operators above.
+    """
+    dealt = atoms.repartition("structure_id")
+    residues = residue_atoms(dealt, ("N", "CA", "C", "O", "CB"), ("x", "y", "z"))
+    ahead = Window.partitionBy("structure_id", "chain_id").orderBy("res_index")
+    residues = residues.withColumns({"next": F.lead("N").over(ahead), "next_index": F.lead("res_index").over(ahead)})
+
+    def square(p: str, q: str, ideal: float, condition: Column | None = None) -> Column:
+        off = distance(xyz(f"{p}."), xyz(f"{q}.")) - F.lit(ideal)
+        known = F.col(p).isNotNull() & F.col(q).isNotNull()
+        return F.when(known if condition is None else known & condition, off * off)
+
+    squares = [square(p, q, ideal) for (p, q), ideal in INTRA_BONDS.items()] + [square("C", "next", PEPTIDE_BOND, F.col("next_index") == F.col("res_index") + 1)]
+    full = F.col("CA").isNotNull() & F.col("N").isNotNull() & F.col("C").isNotNull() & F.col("CB").isNotNull()
+    volume = F.when(full, normalized_chiral_volume(*(xyz(f"{n}.") for n in ("CA", "N", "C", "CB"))))
+    terms = residues.select("structure_id", "n_atoms", F.array(*squares).alias("squares"), volume.alias("volume"))
+    short = F.greatest(F.lit(energy_margin) - F.col("volume"), F.lit(0.0))
+    total = F.coalesce(F.sum(F.aggregate(F.filter("squares", lambda v: v.isNotNull()), F.lit(0.0), lambda x, v: x + v)), F.lit(0.0))
+    n_bonds = F.sum(F.size(F.filter("squares", lambda v: v.isNotNull())))
+    return terms.groupBy("structure_id").agg(
+        F.sum("n_atoms").alias("n_atoms"),
+        total.alias("bond_energy"),
+        F.when(n_bonds > 0, F.sqrt(total / n_bonds)).otherwise(0.0).alias("bond_rmsd"),
+        n_bonds.cast("long").alias("n_bonds"),
+        F.coalesce(F.sum(F.when(F.col("volume").isNotNull(), short * short)), F.lit(0.0)).alias("chirality_energy"),
+        F.count_if(F.col("volume") <= count_margin + tie_eps).alias("chirality_violations"),
+        F.count("volume").alias("n_chiral_centers"),
+    )
+
+
 def validity_parts(atoms: DataFrame, tie_eps: float = 0.0) -> DataFrame:
     """One row a structure with all energies and counts; parts that a structure lacks are 0."""
-    sizes = atoms.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_atoms"))
-    parts = sizes.join(clashes(atoms, tie_eps=tie_eps), "structure_id", "left").join(bond_summary(bond_deviations(atoms, backbone_bonds(atoms))), "structure_id", "left").join(chirality_summary(chiral_centers(atoms), tie_eps=tie_eps), "structure_id", "left")
-    return parts.fillna(0, [c for c in parts.columns if c != "structure_id"])
+    parts = backbone_summary(atoms, tie_eps=tie_eps).join(clashes(atoms, tie_eps=tie_eps), "structure_id", "left")
+    return parts.fillna(0, ["clash_energy", "clashes"])
 
 
 def validity_energy(atoms: DataFrame, w_clash: float = 1.0, w_bond: float = 1.0, w_chirality: float = 1.0) -> DataFrame:
