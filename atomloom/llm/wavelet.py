@@ -11,15 +11,17 @@ import json
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomloom.llm.bpe import byte_alphabet
-from atomloom.llm.common import materialize, shared_dir, table
+from atomloom.llm.common import materialize, shared_dir, sliced, table
 from atomloom.llm.files import put, read_files
 
 MAGIC = b"WMTX0001"
@@ -35,8 +37,9 @@ END_ID = 2
 #: Tokens after which a task begins the next file; a longer document has a file of its own.
 SHARD_TOKENS = 1 << 20
 #: Pieces of text, and parts of them, whose ids one worker remembers.
-PIECES, PARTS = 400_000, 900_000
-GROUP_WORDS = 300_000
+PIECES, PARTS = 600_000, 1_000_000
+#: Runs of lower-case ASCII letters are one part of the pattern, and so is a single mark after them.
+LETTERS = re.compile(r"[a-z]+").fullmatch
 SIMPLE = re.compile(r"[!-~\xa1-\u02ff]*").fullmatch
 
 
@@ -167,7 +170,7 @@ class WordEncoder:
     """Ids of texts with a word-end vocabulary of the tokenizers library.
 
     Its pattern never crosses white space and its normalizer never joins characters across it, so texts are cut at
-    spaces and line ends. A piece of printable characters below U+0300 has no combining marks, so normalizing it is
+    ASCII white space. A piece of printable characters below U+0300 has no combining marks, so normalizing it is
     lower-casing it; it is cut by the vocabulary's pattern and each distinct part goes through the library's model once.
     Any other piece goes through the whole library. What is known stays known; once the memory is full, further words
     are encoded but not kept.
@@ -184,16 +187,19 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        self.specials = [t["content"] for t in spec["added_tokens"]]
         self.alphabet = byte_alphabet()
         self.bits = max(2, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.kind = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
+        self.kind, self.code = (np.dtype("<u2"), "H") if self.bits <= 16 else (np.dtype("<u4"), "I")
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.end = self.packed([END_ID])
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def part(self, text: str) -> bytes:
         known = self.parts.get(text)
@@ -205,31 +211,38 @@ class WordEncoder:
         return known
 
     def piece(self, text: str) -> bytes:
-        if SIMPLE(text) and not self.special.search(text):
-            return b"".join(map(self.part, self.pattern.findall(text.lower())))
+        if SIMPLE(text) and not any(s in text for s in self.specials):
+            text = text.lower()
+            if LETTERS(text):
+                return self.part(text)
+            if LETTERS(text[:-1]) and text[-1] in ".,!?;:":
+                return self.part(text[:-1]) + self.part(text[-1])
+            return b"".join(map(self.part, self.pattern.findall(text)))
         return self.packed(self.library.encode(text, add_special_tokens=False).ids)
 
-    def encode_many(self, texts: Iterator[str | None]) -> Iterator[bytes]:
-        """Ids of each text (null: none) and the end id, as bytes of ``kind``."""
-        group, size = [], 0
-        for text in texts:
-            group.append((text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-            size += len(group[-1])
-            if size >= GROUP_WORDS:
-                yield from self._encoded(group)
-                group, size = [], 0
-        yield from self._encoded(group)
-
-    def _encoded(self, group: list[list[str]]) -> Iterator[bytes]:
-        known = self.pieces
-        fresh = {w: self.piece(w) for w in set(chain.from_iterable(group)).difference(known)}
+    def encode_many(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text (null: none) and the end id, as bytes of ``kind``.
+
+        Arrow splits the texts and numbers their distinct pieces; only those become Python strings.
+        """
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        numbered = lists.flatten().dictionary_encode()
+        known, ids, fresh = self.pieces, [], {}
+        for piece in numbered.dictionary.to_pylist():
+            found = known.get(piece)
+            if found is None:
+                found = fresh[piece] = self.piece(piece)
+            ids.append(found)
         if len(known) + len(fresh) <= PIECES:
             known.update(fresh)
-            find = known.__getitem__
-        else:
-            find = lambda w: known.get(w) or fresh.get(w, b"")
-        for pieces in group:
-            yield b"".join([*map(find, pieces), self.end])
+        laid = pa.array(ids, pa.large_binary()).take(numbered.indices)
+        ends = np.frombuffer(laid.buffers()[1], dtype=np.int64)[laid.offset :][: len(laid) + 1] if len(laid) else np.zeros(1, np.int64)
+        data = laid.buffers()[2].to_pybytes() if len(laid) and laid.buffers()[2] is not None else b""
+        first = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
+        cut = ends[first].tolist()
+        for at, to in zip(cut[:-1], cut[1:], strict=True):
+            yield data[at:to] + self.end
 
 
 @lru_cache(maxsize=2)
@@ -242,8 +255,8 @@ def tokens(docs: DataFrame, path: str) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        for batch in batches:
-            ids = list(words.encode_many(t.as_py() for t in batch.column("text")))
+        for batch in sliced(batches, 500):
+            ids = list(words.encode_many(batch.column("text")))
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encoded, "doc_id long, ids binary")
