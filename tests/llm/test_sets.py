@@ -137,13 +137,33 @@ def test_media_copies(spark, no_documents):
     }
     rows = [(k, media.encode(v)) for k, v in pictures.items()] + [(9, None), (300, None), (10, b""), (400, b"no image"), (11, b"no image"), (None, media.encode(big)), (12, b"P5 3 3 255 x")]
     images = spark.createDataFrame(rows, "id long, media binary")
-    found = {(r.query_id, r.id) for r in media.find_copies(images, F.col("id") % 100 == 0).collect()}
-    assert found == {(100, k) for k in (1, 2, 3, 4)} | {(200, 7), (400, 11)}
-    assert media.find_copies(images.limit(0), F.col("id") % 100 == 0).count() == 0
+    found = media.find_copies(images)
+    classes = collections.defaultdict(set)
+    for r in found.members.collect():
+        classes[r.component_id].add(r.id)
+    assert {frozenset(c) for c in classes.values() if len(c) > 1} == {frozenset({1, 2, 3, 4, 100}), frozenset({7, 200}), frozenset({11, 400})}
+    assert sum(map(len, classes.values())) == 17 and classes[None] == {None}
+    assert media.find_copies(images.limit(0)).members.count() == 0
     colour = b"P6 # c\n2 1\n255\n" + bytes([255, 0, 0, 0, 0, 255])
     assert media.decode(colour).round().tolist() == [[76.0, 29.0]]
 
 
+def test_media_recall(spark):
+    """Links of brute-force consensus over all pairs of pictures: at least nine tenths end up in one class."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 64))
+    vectors = np.concatenate([b + rng.normal(scale=s, size=(8, 64)) for b, s in zip(base, np.linspace(0.02, 0.3, 30), strict=True)])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    source = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    pictures = source.mapInArrow(media.render, "id long, media binary")
+    grey = np.stack([media.decode(r.media) for r in pictures.orderBy("id").collect()])
+    described = media.corners(grey)
+    brute = [(i, j) for i in range(len(vectors)) for j in range(i) if media.consensus(described[i], described[j])[0] >= media.MIN_INLIERS]
+    component = {r.id: r.component_id for r in media.find_copies(pictures).members.collect()}
+    assert len(brute) > 300
+    assert sum(component[i] == component[j] for i, j in brute) >= 0.9 * len(brute)
+
+
 def test_pipeline_stages(spark, odd_documents, no_documents):
     sf = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "minhash_near_dedup", "mixing", "bpe"]
