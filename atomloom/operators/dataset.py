@@ -82,28 +82,17 @@ def append_library(tokens: DataFrame, path: str, limit: int | None = None) -> di
     return {"written": written, "present": already, "left": total - written - already}
 
 
-def library_stream(spark: SparkSession, source: str, path: str, checkpoint: str, recursive: bool = False):
-    """Keep a library up to date from a folder of structure files: each new file is parsed once (available-now trigger)."""
-    from atomloom.operators.tokens import tokenize
-    from atomloom.sources.structures import is_structure_file, parse_structures
-
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", recursive).load(source).filter(is_structure_file(F.col("path")))
-    cif = F.lower("path").rlike(r"\.(cif|mmcif)$")
-    texts = files.select(F.col("path").alias("structure_id"), F.when(cif, "cif").otherwise("pdb").alias("format"), F.decode("content", F.lit("UTF-8")).alias("content"))
-
-    def add(batch: DataFrame, _: int) -> None:
-        append_library(tokenize(parse_structures(batch)), path)
-
-    return texts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def within_size(library: DataFrame, max_atoms: int) -> DataFrame:
+    """Tokens of the structures of at most ``max_atoms`` atoms."""
+    sizes = library.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_atoms")).filter(F.col("n_atoms") <= max_atoms)
+    return library.join(sizes.select("structure_id"), "structure_id", "left_semi")
 
 
 def load_targets(library: DataFrame, n_targets: int, max_atoms: int | None, seed: int) -> DataFrame:
     """Tokens of ``n_targets`` structures of at most ``max_atoms`` atoms in a seeded order; the limit counts what passes."""
-    sizes = library.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_atoms"))
-    fit = sizes if max_atoms is None else sizes.filter(F.col("n_atoms") <= max_atoms)
-    chosen = fit.orderBy(F.xxhash64("structure_id", F.lit(seed)), "structure_id").limit(n_targets)
-    return library.join(chosen.select("structure_id"), "structure_id", "left_semi")
+    fit = library if max_atoms is None else within_size(library, max_atoms)
+    chosen = fit.select("structure_id").distinct().orderBy(F.xxhash64("structure_id", F.lit(seed)), "structure_id").limit(n_targets)
+    return library.join(chosen, "structure_id", "left_semi")
 
 
 def cached(spark: SparkSession, path: str, key: Mapping[str, object], build) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atomloom.functions.geometry import constraint_features, interpolant, sinusoidal_embedding
 from atomloom.functions.vocab import classify_residue, element_index, modality_index, normalize_element, polymer_atom_index, vdw_radius
-from atomloom.operators import dataset, flow, geometry, network, tokens
+from atomloom.operators import dataset, flow, geometry, network, tokens, training
 from atomloom.plans.projections import EVENTS_SQL, MOL_SQL, MOVED_SQL, event_atoms, mol, moved
 from atomloom.sources.structures import largest_chain, restrict_to_largest_chain, with_runs
 
@@ -353,8 +353,6 @@ DENSE_SQL = "d AS (SELECT structure_id, row_number() OVER (PARTITION BY structur
 
 
 def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     dense = mol(spark, sf_dir).withColumn("atom_idx", F.row_number().over(Window.partitionBy("structure_id").orderBy("atom_idx")))
     features = tokens.featurize(dense.withColumns({"modality": F.lit("PROTEIN"), "res_name": F.lit("ALA"), "is_virtual": F.lit(False)}))
     groups = dense.select("structure_id").distinct().withColumn("batch_id", F.floor(F.col("structure_id") / 4).cast("long"))
@@ -371,6 +369,42 @@ def pad_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pad_bias(padded(spark, sf_dir)).groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("bias").alias("bias"))
 
 
+@query(f"WITH {MOL_SQL}, {DENSE_SQL}, xyz AS (SELECT structure_id, row_number() OVER (PARTITION BY structure_id ORDER BY atom_idx) AS atom_idx, x, y, z FROM mol) SELECT g.batch_id, g.structure_id, CAST(g.atom_idx AS BIGINT) AS atom_idx, round(coalesce(x, 0e0), 6) + 0e0 AS x, round(coalesce(y, 0e0), 6) + 0e0 AS y, round(coalesce(z, 0e0), 6) + 0e0 AS z FROM g LEFT JOIN xyz v ON v.structure_id = g.structure_id AND v.atom_idx = g.atom_idx")
+def pad_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = mol(spark, sf_dir).withColumn("atom_idx", F.row_number().over(Window.partitionBy("structure_id").orderBy("atom_idx")))
+    out = tokens.pad_columns(dense, padded(spark, sf_dir), "xyz")
+    return out.select("batch_id", "structure_id", F.col("atom_idx").cast("long").alias("atom_idx"), "x", "y", "z").withColumns(r6("x", "y", "z"))
+
+
+@query(
+    f"""WITH {MOL_SQL}, {DENSE_SQL}, f AS (SELECT g.structure_id, g.atom_idx, d.chain_id, d.res_index FROM g LEFT JOIN d ON d.structure_id = g.structure_id AND d.atom_idx = g.atom_idx),
+    p AS (SELECT CASE WHEN a.chain_id IS NULL OR b.chain_id IS NULL THEN 1 WHEN a.chain_id <> b.chain_id THEN 66 ELSE greatest(-32, least(32, a.res_index - b.res_index)) + 33 END AS bucket FROM f a JOIN f b ON a.structure_id = b.structure_id)
+    SELECT CAST(bucket AS BIGINT) AS bucket, count(*) AS n FROM p GROUP BY 1"""
+)
+def pad_relative_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = padded(spark, sf_dir)
+    pairs = tokens.relative_positions(frame.filter("pad_mask"))
+    return tokens.pad_pairs(pairs, frame).groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id % 5 AS epoch, event_type AS phase, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS most FROM events GROUP BY 1, 2")
+def epoch_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    losses = e.select((F.col("event_id") % 5).alias("epoch"), F.col("event_type").alias("phase"), F.col("event_id").alias("batch_id"), F.col("value").alias("loss"))
+    return dataset.epoch_statistics(losses).withColumns({c: F.round(c, 6) for c in ("mean", "least", "most")})
+
+
+@query(f"WITH {ORDERED_SQL}, z AS (SELECT greatest(1, CAST(round_even(0.1e0*n, 0) AS BIGINT)) AS v, greatest(1, CAST(round_even(0.05e0*n, 0) AS BIGINT)) AS t FROM n) SELECT id FROM r, z WHERE rank >= v AND rank < v + t ORDER BY id LIMIT 5")
+def check_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.check_pool(dataset.split(order_ids(spark, sf_dir), order_key(), "id", 0.1, 0.05), "id")
+
+
+@query(f"WITH {MOL_SQL}, s AS (SELECT structure_id, count(*) AS n FROM mol GROUP BY 1 HAVING count(*) <= 12) SELECT structure_id, atom_idx FROM mol JOIN s USING (structure_id)")
+def size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms = mol(spark, sf_dir)
+    return dataset.within_size(atoms, 12).select("structure_id", "atom_idx")
+
+
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber >= 5 AND l_orderkey IS NOT NULL)")
 def library_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     present = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber >= 5").select(F.col("l_orderkey").alias("id"))
