@@ -32,7 +32,7 @@ def read_structures(spark: SparkSession, directory: str, recursive: bool = False
     """(structure_id, format, content) of the structure files of a directory; the id is the path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(directory)
     cif = F.lower("path").rlike(r"\.(cif|mmcif)$")
-    return files.filter(is_structure_file(F.col("path"))).select(F.col("path").alias("structure_id"), F.when(cif, "cif").otherwise("pdb").alias("format"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return files.filter(is_structure_file(F.col("path"))).select(F.col("path").alias("structure_id"), F.when(cif, "cif").otherwise("pdb").alias("format"), F.decode("content", "UTF-8").alias("content"))
 
 
 def pdb_atoms(texts: DataFrame) -> DataFrame:

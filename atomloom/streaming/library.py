@@ -21,7 +21,7 @@ def library_stream(spark: SparkSession, source: str, path: str, checkpoint: str,
     """
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", recursive).load(source).filter(is_structure_file(F.col("path")))
     cif = F.lower("path").rlike(r"\.(cif|mmcif)$")
-    texts = files.select(F.col("path").alias("structure_id"), F.when(cif, "cif").otherwise("pdb").alias("format"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    texts = files.select(F.col("path").alias("structure_id"), F.when(cif, "cif").otherwise("pdb").alias("format"), F.decode("content", "UTF-8").alias("content"))
 
     def add(batch: DataFrame, _: int) -> None:
         append_library(tokenize(parse_structures(batch)), path)

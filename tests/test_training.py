@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from atomloom.operators import training
+from atomloom.sources.structures import read_structures
 from atomloom.streaming.library import library_stream
 
 LINE = "ATOM  {n:5d} {name:<4s} ALA A{res:4d}    {x:8.3f}{y:8.3f}{z:8.3f}  1.00  0.00           {element:>2s}\n"
@@ -40,3 +41,11 @@ def test_library_stream_takes_each_file_once(spark, tmp_path):
             library_stream(spark, str(source), library, str(tmp_path / "checkpoint")).awaitTermination()
         rows = spark.read.parquet(library)
         assert rows.select("structure_id").distinct().count() == expected and rows.count() == 5 * expected
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    for name in ("a.pdb", "deep/b.CIF", "notes.txt"):
+        (tmp_path / name).write_text("x")
+    flat, deep = (read_structures(spark, str(tmp_path), recursive).collect() for recursive in (False, True))
+    assert [r.format for r in flat] == ["pdb"] and sorted(r.format for r in deep) == ["cif", "pdb"] and flat[0].content == "x"
