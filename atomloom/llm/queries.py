@@ -24,5 +24,13 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_rendezvous_sharding, op2_language_id, op3_quality, op4_mix_sources, op5_bpe, op6_near_duplicates, op7_media_copies, op8_token_files, op9_warc, op10_toxicity)}
 
 
+#: SHA-1 in base 32: five hex digits (20 bits) give four characters.
+_WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
+ array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha1(payload), ((i // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+ CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to
+FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": _WARC_SQL}
