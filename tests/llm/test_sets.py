@@ -164,6 +164,28 @@ def test_media_recall(spark):
     assert sum(component[i] == component[j] for i, j in brute) >= 0.9 * len(brute)
 
 
+def test_media_copies_behind_strangers(spark):
+    """Two copies whose shared buckets all hold a smaller and a larger id that agrees with them in two corners only."""
+    rng = np.random.default_rng(5)
+
+    def picture(n):
+        record = np.zeros(n, media.CORNER)
+        record["x"], record["y"], record["scale"] = rng.uniform(0, 200, n), rng.uniform(0, 200, n), 1.0
+        record["angle"], record["bits"] = rng.uniform(-3, 3, n), rng.integers(0, 256, (n, media.TESTS // 8))
+        return record
+
+    copy = picture(8)
+    rows = [(50, copy), (60, copy)]
+    for k in range(4):
+        for i in (k, 100 + k):
+            stranger = picture(10)
+            stranger["bits"][:2] = copy["bits"][2 * k : 2 * k + 2]
+            rows.append((i, stranger))
+    every = spark.createDataFrame([(i, str(i).encode(), r.tobytes(), media.table_keys(r, b"")) for i, r in rows], "id long, digest binary, corners binary, keys array<long>")
+    found = {r.id: (r.component_id, r.n_confirmed_links) for r in media.copy_classes(every).members.collect()}
+    assert found == {i: (i, 0) for i, _ in rows} | {50: (50, 1), 60: (50, 1)}
+
+
 def test_pipeline_stages(spark, odd_documents, no_documents):
     sf = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "minhash_near_dedup", "mixing", "bpe"]
