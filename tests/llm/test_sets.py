@@ -181,11 +181,27 @@ def test_media_copies_behind_strangers(spark):
             stranger = picture(10)
             stranger["bits"][:2] = copy["bits"][2 * k : 2 * k + 2]
             rows.append((i, stranger))
-    every = spark.createDataFrame([(i, str(i).encode(), r.tobytes(), media.table_keys(r, b"")) for i, r in rows], "id long, digest binary, corners binary, keys array<long>")
+    every = spark.createDataFrame([(i, str(i).encode(), r.tobytes()) for i, r in rows], "id long, digest binary, corners binary")
     found = {r.id: (r.component_id, r.n_confirmed_links) for r in media.copy_classes(every).members.collect()}
     assert found == {i: (i, 0) for i, _ in rows} | {50: (50, 1), 60: (50, 1)}
 
 
+def test_media_crops(spark):
+    """Crops of 9 to 25 percent of a picture: its corners there are all kept, and the crop is found."""
+    rows, sides = [], (72, 96, 120)
+    for k in range(6):
+        whole = texture(20 + k, 240)
+        rows += [(10 * k, whole)] + [(10 * k + n, whole[100 : 100 + side, 90 : 90 + side]) for n, side in enumerate(sides, 1)]
+    whole = media.corners(texture(20, 240)[None])[0]
+    inside = whole[(whole["scale"] == 1) & (np.abs(whole["x"] - 138) < 35) & (np.abs(whole["y"] - 148) < 35)]
+    crop = media.corners(texture(20, 240)[None, 100:196, 90:186])[0]
+    places = {(round(float(c["x"])) + 90, round(float(c["y"])) + 100) for c in crop[crop["scale"] == 1]}
+    assert len(whole) > 100 and {(round(float(c["x"])), round(float(c["y"]))) for c in inside} <= places
+    images = spark.createDataFrame([(i, media.encode(p)) for i, p in rows], "id long, media binary")
+    found = {r.id: r.component_id for r in media.find_copies(images).members.collect()}
+    assert [found[10 * k + n] for k in range(6) for n in (1, 2, 3)] == [10 * k for k in range(6) for _ in range(3)]
+
+
 def test_pipeline_stages(spark, odd_documents, no_documents):
     sf = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "minhash_near_dedup", "mixing", "bpe"]
