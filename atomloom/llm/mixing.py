@@ -1,12 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall in cells (source, language, topic). Expected sampled tokens of the cells are raked to the marginal targets
-of each dimension in turn, never above what a cell has, until nothing moves; a document is then sampled with its cell's
-probability by a hash of its id.
+of each dimension in turn, never above what a cell has, until nothing moves; the rate is the largest, up to the one asked
+for, at which the targets are met. A document is then sampled with its cell's probability by a hash of its id.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -24,11 +25,14 @@ TOPICS = 8
 #: Words of fewer bytes say nothing about the topic.
 TOPIC_WORD_BYTES = 5
 ROUNDS, TOLERANCE = 2000, 1e-10
+#: Targets count as met if no share of a category, and not the rate, is further off; halvings of the rate's interval.
+SHARE_TOLERANCE, HALVINGS = 1e-3, 12
 OTHER, NO_TOPIC = "other", "none"
 #: Production targets: shares of tokens. Categories that are not named keep their own share together, as OTHER.
 SOURCE_TARGETS = {f"src{k}": 1 / 20 for k in range(20)}
 LANGUAGE_TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 TOPIC_TARGETS = {f"t{k}": 1 / TOPICS for k in range(TOPICS)}
+#: The most that is sampled; less if the targets ask for more tokens than a category has.
 RATE = 0.5
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -67,6 +71,15 @@ class Mixture:
 
     probabilities: dict[tuple[str, str, str], float]
     achieved: dict[str, dict[str, float]]
+    #: Shares asked for, and the share of all tokens that was asked for and that is got.
+    wanted: dict[str, dict[str, float]]
+    rate: float
+    got: float
+
+    def gap(self) -> float:
+        """The furthest that a share, or the rate as a share of itself, is off."""
+        shares = (abs(share - self.achieved[d][name]) for d, wanted in self.wanted.items() for name, share in wanted.items())
+        return max(shares, default=0.0) if not self.rate else max(abs(self.got / self.rate - 1), *shares, 0.0)
 
 
 def rake(cells: Mapping[tuple[str, str, str], float], targets: Mapping[str, Mapping[str, float]], rate: float) -> Mixture:
@@ -81,14 +94,15 @@ def rake(cells: Mapping[tuple[str, str, str], float], targets: Mapping[str, Mapp
         have[tuple(names[d].index(key[d]) for d in range(3))] = tokens
     total = have.sum()
     if total == 0:
-        return Mixture({k: rate for k in cells}, {})
-    wanted = []
+        return Mixture({k: rate for k in cells}, {}, {}, rate, rate)
+    wanted, asked = [], {}
     for d, dimension in enumerate(DIMENSIONS):
         own = have.sum(axis=tuple(x for x in range(3) if x != d))
         named = np.array([targets[dimension].get(n, 0.0) if o > 0 else 0.0 for n, o in zip(names[d], own, strict=True)])
         free = np.array([n not in targets[dimension] for n in names[d]])
         rest = own[free].sum() / total
         share = np.where(free, own / total, named / named.sum() * (1 - rest) if named.sum() else 0.0)
+        asked[dimension] = dict(zip(names[d], share.tolist(), strict=True))
         wanted.append(share * rate * total)
     fitted = have * rate
     for _ in range(ROUNDS):
@@ -101,13 +115,33 @@ def rake(cells: Mapping[tuple[str, str, str], float], targets: Mapping[str, Mapp
             break
     chance = np.divide(fitted, have, out=np.zeros_like(have), where=have > 0)
     achieved = {dim: dict(zip(names[d], (fitted.sum(axis=tuple(x for x in range(3) if x != d)) / max(fitted.sum(), 1e-300)).tolist(), strict=True)) for d, dim in enumerate(DIMENSIONS)}
-    return Mixture({k: float(chance[tuple(names[d].index(k[d]) for d in range(3))]) for k in cells}, achieved)
+    return Mixture({k: float(chance[tuple(names[d].index(k[d]) for d in range(3))]) for k in cells}, achieved, asked, rate, float(fitted.sum() / total))
+
+
+def largest_feasible(cells: Mapping[tuple[str, str, str], float], targets: Mapping[str, Mapping[str, float]], rate: float) -> Mixture:
+    """The raking of the largest rate, up to ``rate``, that meets the targets within SHARE_TOLERANCE.
+
+    If none does (combinations without tokens), the raking at ``rate`` comes back with a warning that names its gap.
+    """
+    whole = rake(cells, targets, rate)
+    if whole.gap() <= SHARE_TOLERANCE:
+        return whole
+    best, low, high = None, 0.0, rate
+    for _ in range(HALVINGS):
+        tried = rake(cells, targets, (low + high) / 2)
+        if tried.gap() <= SHARE_TOLERANCE:
+            best, low = tried, tried.rate
+        else:
+            high = tried.rate
+    if best is None:
+        warnings.warn(f"no rate meets the mixing targets; at {rate} a share is off by {whole.gap():.3f}", stacklevel=2)
+    return best or whole
 
 
 def fit(rows: DataFrame, targets: Mapping[str, Mapping[str, float]], rate: float) -> Mixture:
-    """Rake the cells of (source, lang, topic, n_tokens) rows. Only cell sums, bounded by the targets, reach the driver."""
+    """Rake the cells of (source, lang, topic, n_tokens) rows at the largest feasible rate up to ``rate``. Only cell sums, bounded by the targets, reach the driver."""
     cells = rows.groupBy(*(category(F.col(d), targets[d]).alias(d) for d in DIMENSIONS)).agg(F.sum("n_tokens").alias("tokens")).collect()
-    return rake({(r["source"], r["lang"], r["topic"]): float(r["tokens"]) for r in cells}, targets, rate)
+    return largest_feasible({(r["source"], r["lang"], r["topic"]): float(r["tokens"]) for r in cells}, targets, rate)
 
 
 def sampling(mixture: Mixture, targets: Mapping[str, Mapping[str, float]], doc_id: Column, source: Column, lang: Column, topic: Column) -> tuple[Column, Column]:
@@ -128,4 +162,4 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(with_topics(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang"]), "mixing-rows")
     mixture = fit(rows, PRODUCTION, RATE)
     chance, kept = sampling(mixture, PRODUCTION, F.col("doc_id"), F.col("source"), F.col("lang"), F.col("topic"))
-    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", (chance / RATE).alias("weight"), chance.alias("probability"), kept.alias("kept"))
+    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", (chance / mixture.rate).alias("weight"), chance.alias("probability"), kept.alias("kept"))

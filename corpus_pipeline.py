@@ -11,6 +11,7 @@ from atomloom.llm.common import materialize, table
 
 #: A document stays if its language is determined and at least so likely.
 MIN_LANGUAGE_SCORE = 0.5
+#: The most of the tokens that the mixture keeps; less if the targets ask for more than a category has.
 RATE = 0.7
 
 
@@ -42,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents with token shares near the production targets."""
+    """The largest sample of the documents, up to RATE, with the production targets as token shares."""
     rows = materialize(mixing.with_topics(docs, ["source", "lang"]), "pipeline-mixing")
     mixture = mixing.fit(rows, mixing.PRODUCTION, RATE)
     found = mixing.with_topics(docs, docs.columns, "_mixing_")

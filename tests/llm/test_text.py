@@ -135,3 +135,19 @@ def test_mixing_query(spark, sf, odd_documents, no_documents):
     assert topics[1] == (0, "none") and topics[8] == (2, "none") and topics[4][0] == 120_000
     assert mixing.with_topics(no_documents, ["doc_id"]).count() == 0
     assert mixing.fit(mixing.with_topics(no_documents, ["source", "lang"]), mixing.PRODUCTION, 0.5).probabilities == {}
+
+
+@pytest.mark.parametrize("rate", [mixing.RATE, 0.7])
+def test_mixing_meets_targets_on_tables(spark, rate):
+    """Expected and drawn token shares of the given tables against the targets, at the rates of op4 and the pipeline."""
+    rows = mixing.with_topics(table(spark, "/root/testdata/sf0.1", "documents"), ["doc_id", "source", "lang"]).cache()
+    mixture = mixing.fit(rows, mixing.PRODUCTION, rate)
+    chance, kept = mixing.sampling(mixture, mixing.PRODUCTION, F.col("doc_id"), F.col("source"), F.col("lang"), F.col("topic"))
+    drawn = rows.select("source", "lang", "topic", "n_tokens", chance.alias("p"), kept.alias("kept")).toPandas()
+    assert 0 < mixture.rate <= rate
+    for dimension, targets in mixing.PRODUCTION.items():
+        for tokens, off in ((drawn.n_tokens * drawn.p, 0.002), (drawn.n_tokens * drawn.kept, 0.03)):
+            shares = tokens.groupby(drawn[dimension]).sum() / tokens.sum()
+            for name, share in mixture.wanted[dimension].items():
+                if name in targets:
+                    assert shares.get(name, 0.0) == pytest.approx(share, abs=off), (dimension, name, off)
