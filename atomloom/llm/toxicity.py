@@ -1,5 +1,6 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
+"""Toxicity by compression with two word lists as raw zstandard dictionaries, one of toxic and one of ordinary words.
 
+No dictionary is trained; the README gives held-out figures of both ways.
 A text is cut into windows, one for each word (maximal runs of letters and digits, lower case), each in a fixed
 frame. A window that a dictionary holds compresses to a single match. The margin of a window is its compressed length
 with the ordinary dictionary less that with the toxic one; a document's evidence is the share of its windows whose
