@@ -191,7 +191,9 @@ def open_pairs(named: DataFrame, sets: DataFrame) -> DataFrame:
     postings = materialize(postings, "neardup-postings")
     counts = materialize(postings.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") <= RARE), "neardup-rare")
     rare = postings.join(counts, "h")
-    own = rare.groupBy("rep").agg(F.count(F.lit(1)).alias("rare"))
+    # An id with several texts has no bound: its rare shingles are not those of the one text that n counts.
+    single = sets.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") == 1).select("rep")
+    own = rare.groupBy("rep").agg(F.count(F.lit(1)).alias("rare")).join(single, "rep")
     nodes = nodes.join(own, "rep", "left").select("rep", "n", "component", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("other"))
     nodes = materialize(nodes, "neardup-nodes")
     listed = materialize(rare.filter(F.col("k") > 1).select("h", "rep", "component").join(nodes.select("rep", "n", "other"), "rep"), "neardup-listed")
@@ -248,7 +250,12 @@ def near_duplicates(docs: DataFrame) -> Classes:
     star = star.filter((F.col("rep") != F.col("center")) & may_link(F.col("common"), F.col("n"), F.col("common_c"), F.col("n_c")))
     pairs = star.select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
     links = materialize(verified(plausible(pairs, first), sets), "neardup-star")
-    labels = connected_components(links, "neardup-first")
+    # Texts of one id are one node, whatever stands for their classes.
+    spread = linked.groupBy("doc_id").agg(F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high")).filter(F.col("low") != F.col("high")).select("doc_id")
+    spread = materialize(spread, "neardup-spread")
+    same = linked.select("doc_id", "fingerprint").join(spread, "doc_id").distinct().join(classes.select("fingerprint", "rep"), "fingerprint")
+    same = materialize(same.filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "neardup-same")
+    labels = connected_components(links.unionByName(same), "neardup-first")
 
     # What is left: members of one bucket in different components that may still link.
     named = close.join(labels, close["rep"] == labels["id"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
@@ -259,7 +266,7 @@ def near_duplicates(docs: DataFrame) -> Classes:
     more = materialize(verified(plausible(cross, first), sets), "neardup-cross")
     links = links.unionByName(more)
     if more.limit(1).count():
-        labels = connected_components(links, "neardup-all")
+        labels = connected_components(links.unionByName(same), "neardup-all")
 
     named_classes = classes.select("fingerprint", "rows", "rep").join(labels, F.col("rep") == F.col("id"), "left")
     named_classes = named_classes.select("fingerprint", "rows", F.coalesce("component", "rep").alias("component"))

@@ -78,6 +78,16 @@ def test_near_duplicates_equal_brute_force(spark, odd_documents, no_documents):
     assert neardup.near_duplicates(no_documents).members.count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (8, b + " end"), (3, c), (8, c), (7, "a text of its own that nobody else has")]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).members.collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (5, 1), (8, 1), (3, 1), (7, 7)}
+    named = spark.createDataFrame([(0, 5, 20, 5), (0, 9, 20, 9)], "bucket long, rep long, n long, component long")
+    sets = spark.createDataFrame([(5, list(range(20))), (5, list(range(100, 140))), (9, list(range(2, 22)))], "rep long, shingles array<long>")
+    assert [tuple(r) for r in neardup.open_pairs(named, sets).collect()] == [(5, 9)]
+
+
 def test_registers_are_mergeable_and_estimate():
     rng = np.random.default_rng(0)
     whole = rng.integers(0, 1 << 63, 1400, dtype=np.uint64)
