@@ -1,16 +1,21 @@
-"""Toxicity by compression with two word lists as raw zstandard dictionaries, one of toxic and one of ordinary words.
-
-No dictionary is trained; the README gives held-out figures of both ways.
-A text is cut into windows, one for each word (maximal runs of letters and digits, lower case), each in a fixed
-frame. A window that a dictionary holds compresses to a single match. The margin of a window is its compressed length
-with the ordinary dictionary less that with the toxic one; a document's evidence is the share of its windows whose
-margin reaches each of a few thresholds. The weights of the thresholds are calibrated by logistic regression on labelled
-documents that the first pair of dictionaries has not seen; then the dictionaries are rebuilt from all training folds.
+"""Toxicity by compression distance: zstandard dictionaries trained on windows of toxic and of ordinary text.
+
+A text is lower-cased, runs of anything but letters and digits become one space, and its UTF-8 bytes are cut into
+overlapping windows, several words each, whatever the script. One dictionary is trained (zstandard's cover algorithm) on
+windows of ordinary text. Another is trained on windows of toxic text, in two rounds: half of the toxic documents train a
+dictionary, and those windows of the other half that it compresses better than windows of ordinary text that no
+dictionary has seen train the next one, so that strings stay which toxic documents share and ordinary ones lack.
+
+The toxic side compresses with the toxic dictionary before the ordinary one, the ordinary side with the ordinary one alone;
+the margin of a window is the difference of its compressed lengths. A document's evidence is the share of its windows whose
+margin reaches each of a few thresholds; their weights are calibrated by logistic regression on labelled documents that no
+dictionary was trained on.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,121 +27,151 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from atomloom.llm.common import materialize, sliced, table
-from atomloom.llm.labelled import fold, labelled_sample, logistic_fit, sigmoid
-
-TOXIC_BYTES = 1 << 16
-ORDINARY_BYTES = 1 << 18
-#: Fast match search: higher levels cost more and separate short windows no better.
-LEVEL = 3
-#: Words enter the toxic dictionary if their document share differs by so many standard errors and by such a factor.
-MIN_Z = 3.5
-MIN_RATIO = 10.0
-MARGINS = (3, 4, 5, 6, 8)
+from atomloom.llm.labelled import fold, labelled_sample, logistic_fit, sigmoid, unit_hash
+
+#: Bytes of a window and of the step to the next: a string of up to WINDOW - STEP bytes is whole in one of them.
+WINDOW, STEP = 48, 24
+#: Bytes of the dictionaries: ordinary text, toxic text of the first round and of the last.
+ORDINARY_BYTES, FIRST_BYTES, TOXIC_BYTES = 1 << 19, 1 << 17, 1 << 13
+#: Expected windows of each class that dictionaries are trained on (or all, if there are fewer).
+WINDOWS_PER_CLASS = 300_000
+#: Lengths of the substrings that training counts, and of the segments it takes into a dictionary.
+SUBSTRING, ORDINARY_SEGMENT, TOXIC_SEGMENT = 6, 64, 16
+ROUNDS = 2
+#: A toxic window goes on to the next round if its margin is above this quantile of unseen ordinary windows.
+QUANTILE = 0.98
+#: Ordinary windows of this share, by a hash, train nothing and stand for unseen ordinary text.
+CONTROL = 0.2
+MARGINS = (1, 2, 3, 4, 5, 6, 8)
 HELD_OUT_FOLD, FOLDS, CALIBRATION_FOLD = 0, 5, 1
-#: Windows whose margin one worker remembers.
-CACHE = 200_000
-WORD = re.compile(r"[^\W_]+")
-FRAME = b"\x01%b\x02\x03\x04\x05\x06\x07\x08\x0e\x0f"
+_GAP = re.compile(r"[\W_]+")
 
 
-def window(word: str) -> bytes:
-    return FRAME % word.encode("utf-8", "surrogatepass")
+def windows(text: str | None) -> list[bytes]:
+    """Overlapping windows over the whole text; none if it has no letter or digit."""
+    plain = _GAP.sub(" ", (text or "").lower()).strip()
+    data = f" {plain} ".encode("utf-8", "surrogatepass")
+    return [data[at : at + WINDOW] for at in range(0, max(1, len(data) - WINDOW + STEP), STEP)] if plain else []
 
 
-@dataclass(frozen=True)
-class ToxicityModel:
-    toxic: bytes
-    ordinary: bytes
-    weights: tuple[float, ...]
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary trained on windows, of at most ``size`` bytes and a quarter of their text; empty if they are too few
+    or too much alike to train on. The order of the windows does not matter."""
+    samples = sorted(samples, key=lambda w: (zlib.crc32(w), w))
+    try:
+        return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 4), samples, k=segment, d=SUBSTRING).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
 
 
-class MarginScorer:
-    """Margins of windows under one pair of dictionaries, with a bounded memory of those already seen."""
+class Margins:
+    """Compressed length with the ordinary dictionary less that with the toxic one before it."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.compressors = [self._compressor(d, n) for d, n in ((ordinary, ORDINARY_BYTES), (toxic, TOXIC_BYTES))]
-        self.seen: dict[str, int] = {}
+        # The ordinary part stands next to the window on both sides, so only what the toxic part adds makes a difference.
+        self.compressors = [self._compressor(content) for content in (ordinary, toxic + ordinary)]
 
     @staticmethod
-    def _compressor(content: bytes, size: int) -> zstandard.ZstdCompressor:
-        parameters = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, dict_size=size, source_size=32, write_content_size=False, write_dict_id=False, write_checksum=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS
-        )
-        return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters)
-
-    def margins(self, text: str | None) -> np.ndarray:
-        words = WORD.findall((text or "").lower())
-        distinct = set(words)
-        ordinary, toxic = self.compressors
-        fresh = {}
-        for word in distinct.difference(self.seen):
-            framed = window(word)
-            fresh[word] = max(-100, min(100, len(ordinary.compress(framed)) - len(toxic.compress(framed))))
-        if len(self.seen) + len(fresh) <= CACHE:
-            self.seen.update(fresh)
-            known = self.seen
-        else:  # full: what is known stays, the rest serves this text only
-            known = {w: fresh[w] if w in fresh else self.seen[w] for w in distinct}
-        return np.fromiter(map(known.__getitem__, words), np.int16, len(words))
+    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+        parameters = zstandard.ZstdCompressionParameters(
+            window_log=20, hash_log=20, chain_log=20, search_log=4, min_match=4, target_length=0, strategy=zstandard.STRATEGY_GREEDY,
+            write_content_size=False, write_dict_id=False, write_checksum=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+        )
+        known = zstandard.ZstdCompressionDict(content or bytes(64), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return zstandard.ZstdCompressor(dict_data=known, compression_params=parameters)
+
+    def of(self, found: Sequence[bytes]) -> np.ndarray:
+        ordinary, toxic = (c.compress for c in self.compressors)
+        return np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in found), np.int64, len(found))
+
+
+@dataclass(frozen=True)
+class ToxicityModel:
+    toxic: bytes
+    ordinary: bytes
+    weights: tuple[float, ...]
 
 
 def evidence(margins: np.ndarray) -> list[float]:
-    """For each threshold, the log share of windows that reach it. No windows: as one window that reaches none."""
-    return [float(np.log(np.count_nonzero(margins >= at) / max(1, len(margins)) + 5e-4)) for at in MARGINS]
+    """For each threshold the log share of windows that reach it, then the mean margin. No windows: as of one without margin."""
+    n = max(1, len(margins))
+    return [*(float(np.log(np.count_nonzero(margins >= at) / n + 5e-4)) for at in MARGINS), float(margins.sum() / n)]
 
 
-def dictionary(words: list[str], size: int) -> bytes:
-    """Framed words up to ``size`` bytes; the first ones stand last, where references are shortest."""
-    kept, used = [], 0
-    for word in words:
-        framed = window(word)
-        if used + len(framed) > size:
-            break
-        kept.append(framed)
-        used += len(framed)
-    return b"".join(reversed(kept)) or window("")
+def drawn_windows(sample: DataFrame) -> DataFrame:
+    """(y, half, part, window) of about WINDOWS_PER_CLASS windows of each class of (doc_id, text, y) rows, drawn by a hash."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 100):
+            lists = pa.array([windows(t.as_py()) for t in batch.column("text")], pa.list_(pa.binary()))
+            yield pa.record_batch([batch.column("key"), batch.column("y"), lists], names=["key", "y", "windows"])
+
+    keyed = sample.select(F.col("doc_id").cast("string").alias("key"), "y", "text").mapInArrow(cut, "key string, y int, windows array<binary>")
+    every = materialize(keyed, "toxicity-cut")
+    sizes = {r["y"]: r["n"] for r in every.groupBy("y").agg(F.sum(F.size("windows")).alias("n")).collect()}
+    rate = F.lit(1.0)
+    for y, n in sizes.items():
+        rate = F.when(F.col("y") == y, F.lit(min(1.0, WINDOWS_PER_CLASS / max(1, n)))).otherwise(rate)
+    flat = every.select("key", "y", F.posexplode("windows").alias("at", "window"))
+    place = F.concat_ws(":", "key", F.col("at").cast("string"))
+    half = F.pmod(F.shiftright(F.crc32(F.col("key").cast("binary")), 8), F.lit(2)).cast("int")
+    return flat.filter(unit_hash(place, "toxicity-window") < rate).select("y", half.alias("half"), unit_hash(place, "toxicity-part").alias("part"), "window")
 
 
 def dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
-    """Both dictionaries from the (text, y) rows of a bounded labelled sample.
+    """(toxic, ordinary) dictionaries from the (doc_id, text, y) rows of a bounded labelled sample.
 
-    Document counts of words are aggregated by Spark; only as many words as fit in a dictionary reach the driver.
+    Tasks cut and measure the windows; the driver gets a bounded number of them and trains.
     """
-    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    words = sample.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
-    counts = words.filter(F.length("word") <= 256).groupBy("word").agg(F.sum("y").alias("k1"), F.sum(1 - F.col("y")).alias("k0"))
-    share = (F.col("k1") + F.col("k0")) / F.lit(max(1, n1 + n0))
-    error = F.sqrt(share * (1 - share) * F.lit(1 / max(1, n1) + 1 / max(1, n0)) + F.lit(1e-12))
-    scored = counts.withColumns(
-        {
-            "z": (F.col("k1") / F.lit(max(1, n1)) - F.col("k0") / F.lit(max(1, n0))) / error,
-            "ratio": ((F.col("k1") + 0.5) / (n1 + 1)) / ((F.col("k0") + 0.5) / (n0 + 1)),
-        }
-    )
-    marked = (F.col("k1") >= 2) & (F.col("z") >= MIN_Z) & (F.col("ratio") >= MIN_RATIO)
-    least = len(window(""))
-    toxic = scored.filter(marked).orderBy(F.desc("z"), "word").limit(TOXIC_BYTES // least).collect()
-    ordinary = scored.filter(~marked & (F.col("k0") > 0)).orderBy(F.desc("k0"), "word").limit(ORDINARY_BYTES // least).collect()
-    return dictionary([r["word"] for r in toxic], TOXIC_BYTES), dictionary([r["word"] for r in ordinary], ORDINARY_BYTES)
+    drawn = materialize(drawn_windows(sample), "toxicity-windows")
+    control = F.col("part") < CONTROL
+    gathered = lambda rows: rows.select("window").toArrow().column("window").to_pylist()
+    ordinary = trained(gathered(drawn.filter((F.col("y") == 0) & ~control)), ORDINARY_BYTES, ORDINARY_SEGMENT)
+    toxic = drawn.filter(F.col("y") == 1)
+    # A toxic window is measured by the other half's dictionary, an unseen ordinary one by both.
+    measured = toxic.select("y", (1 - F.col("half")).alias("by"), "window").unionByName(drawn.filter((F.col("y") == 0) & control).select("y", F.explode(F.array(F.lit(0), F.lit(1))).alias("by"), "window"))
+    halves = [gathered(toxic.filter(F.col("half") == h)) for h in (0, 1)]
+    for step in range(ROUNDS):
+        pair = [trained(h, TOXIC_BYTES if step else FIRST_BYTES, TOXIC_SEGMENT) for h in halves]
+
+        def measure(batches: Iterator[pa.RecordBatch], pair: list[bytes] = pair) -> Iterator[pa.RecordBatch]:
+            sides = [Margins(p, ordinary) for p in pair]
+            for batch in batches:
+                by, found = batch.column("by").to_numpy(), batch.column("window").to_pylist()
+                margin = np.zeros(len(found), np.int64)
+                for k, side in enumerate(sides):
+                    own = np.flatnonzero(by == k)
+                    margin[own] = side.of([found[i] for i in own])
+                yield pa.record_batch([batch.column("y"), batch.column("by"), batch.column("window"), pa.array(margin)], names=["y", "by", "window", "margin"])
+
+        margins = materialize(measured.mapInArrow(measure, "y int, by int, window binary, margin long"), f"toxicity-margins-{step}")
+        tally = margins.filter(F.col("y") == 0).groupBy("by", "margin").count().collect()  # margins are a few small numbers
+        for h in (0, 1):
+            values, times = (np.array([r[c] for r in tally if r["by"] == 1 - h], dtype=np.int64) for c in ("margin", "count"))
+            least = max(0.0, float(np.quantile(np.repeat(values, times), QUANTILE))) if len(values) else 0.0
+            halves[h] = gathered(margins.filter((F.col("y") == 1) & (F.col("by") == 1 - h) & (F.col("margin") > least)))
+    return trained(halves[0] + halves[1], TOXIC_BYTES, TOXIC_SEGMENT), ordinary
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """A model from a bounded sample (labelled.ROWS_PER_CLASS a class) of labels outside the held-out fold."""
+    """A model from a bounded sample (labelled.ROWS_PER_CLASS a class) of labels outside the held-out fold.
+
+    Without labels of both classes, or with too little text, margins are 0 and every text gets the classes' smoothed odds.
+    """
     sample = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != HELD_OUT_FOLD)
     sample = materialize(sample.withColumn("fold", fold(F.col("doc_id"), FOLDS)), "toxicity-sample")
-    first = dictionaries(sample.filter(F.col("fold") != CALIBRATION_FOLD))
+    toxic, ordinary = dictionaries(sample.filter(F.col("fold") != CALIBRATION_FOLD))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = MarginScorer(*first)
+        side = Margins(toxic, ordinary)
         for batch in batches:
-            x = [evidence(scorer.margins(t.as_py())) for t in batch.column("text")]
+            x = [evidence(side.of(windows(t.as_py()))) for t in batch.column("text")]
             yield pa.record_batch([batch.column("y").cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
     measured = sample.filter(F.col("fold") == CALIBRATION_FOLD).select("text", "y").mapInArrow(measure, "y int, x array<double>").collect()
-    x = np.array([r["x"] for r in measured], dtype=float).reshape(-1, len(MARGINS))
-    weights = logistic_fit(x, np.array([r["y"] for r in measured], dtype=float), ridge=1.0)
-    return ToxicityModel(*dictionaries(sample), tuple(weights))
+    x = np.array([r["x"] for r in measured], dtype=float).reshape(-1, len(MARGINS) + 1)
+    weights = logistic_fit(x, np.array([r["y"] for r in measured], dtype=float), ridge=0.3)
+    return ToxicityModel(toxic, ordinary, tuple(weights))
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: Sequence[str] = ("doc_id",), prefix: str = "") -> DataFrame:
@@ -146,9 +181,9 @@ def score(docs: DataFrame, model: ToxicityModel, keep: Sequence[str] = ("doc_id"
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = MarginScorer(model.toxic, model.ordinary)
+        side = Margins(model.toxic, model.ordinary)
         for batch in sliced(batches):
-            x = np.array([evidence(scorer.margins(t.as_py())) for t in batch.column("text")]).reshape(-1, len(MARGINS))
+            x = np.array([evidence(side.of(windows(t.as_py()))) for t in batch.column("text")]).reshape(-1, len(MARGINS) + 1)
             p = sigmoid(np.column_stack([x, np.ones(len(x))]) @ np.array(model.weights))
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, f"{prefix}score", f"{prefix}predicted"])
 
@@ -157,7 +192,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: Sequence[str] = ("doc_id"
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of every whole text of ``documents``; rows of fold 0 of 5 are never learnt from."""
+    """Score of every whole text of ``documents``; rows of fold 0 of 5 are never learnt from (``held_out``; null without an id)."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT_FOLD).alias("held_out"), "score", "predicted")

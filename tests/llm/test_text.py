@@ -67,27 +67,41 @@ def test_quality_learns(spark, sf):
     assert quality.judge(table(spark, sf, "documents").limit(5), empty).count() == 5
 
 
-def test_toxicity_held_out():
+def test_toxicity_windows_and_margins():
+    text = "Ünï code, -- 漢字" + "語" * 100 + " end." + "x" * 200
+    cut = toxicity.windows(text)
+    plain = " ünï code 漢字" + "語" * 100 + " end " + "x" * 200 + " "
+    data = plain.encode()
+    assert all(w == data[k * toxicity.STEP : k * toxicity.STEP + toxicity.WINDOW] for k, w in enumerate(cut))
+    assert (len(cut) - 1) * toxicity.STEP + toxicity.WINDOW >= len(data) and toxicity.windows(None) == toxicity.windows(" ,. ") == []
     rng = np.random.default_rng(0)
-    ordinary = [f"w{k}" for k in range(300)]
-    scorer = toxicity.MarginScorer(toxicity.dictionary(["grobian", "lumpenhund"], toxicity.TOXIC_BYTES), toxicity.dictionary(ordinary, toxicity.ORDINARY_BYTES))
-    margins = scorer.margins("w1 Grobian w2 lumpenhund " + " ".join(rng.choice(ordinary, 20)))
-    assert (margins[[1, 3]] >= 3).all() and margins[[0, 2]].max() <= 0
-    assert len(scorer.margins(None)) == 0 and len(scorer.margins("x" * 200_000)) == 1
-
-
-def test_toxicity_on_tables(spark, odd_documents, no_documents):
-    sf = "/root/testdata/sf0.01"
-    labels = table(spark, sf, "labels")
-    model = toxicity.train(table(spark, sf, "documents"), labels)
-    rows = toxicity.score(table(spark, sf, "documents"), model).join(labels, "doc_id").toPandas()
-    held = rows[rows.doc_id.map(lambda d: __import__("zlib").crc32(str(d).encode()) % 5 == 0)]
-    assert (held.predicted == held.toxic).mean() > 0.9
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    ordinary = [" ".join(word() for _ in range(8)).encode() for _ in range(4000)]
+    marked = [w[:20] + b" grobian lump " + w[20:] for w in ordinary[:600]]
+    o = toxicity.trained(ordinary[600:], 1 << 14, toxicity.ORDINARY_SEGMENT)
+    t = toxicity.trained(marked, 1 << 12, toxicity.TOXIC_SEGMENT)
+    assert b" grob" in t and b" grob" not in o and toxicity.trained(marked[::-1], 1 << 12, toxicity.TOXIC_SEGMENT) == t
+    side = toxicity.Margins(t, o)
+    fresh = [" ".join(word() for _ in range(6)).encode() for _ in range(300)]
+    plain_margin, whole, part = (side.of([f[:16] + x + f[16:] for f in fresh]).mean() for x in (b" wxyzvut qsvw ", b" grobian lump ", b" grobian qsvw "))
+    assert whole > part > plain_margin  # graded by how much of the string is known
+    assert toxicity.trained([], 100, 16) == b"" and (toxicity.Margins(b"", b"").of(fresh) == 0).all()
+
+
+def test_toxicity_held_out(spark, odd_documents, no_documents):
+    """Rows of the held-out fold alone: nearly all toxic English texts are found, clean texts are left alone."""
+    docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    held = docs.filter(toxicity.fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT_FOLD)
+    rows = toxicity.score(held, model).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    english = rows[(rows.toxic == 1) & (rows.lang == "en")]
+    assert len(rows) > 700 and english.predicted.mean() > 0.8 and rows[rows.toxic == 0].predicted.mean() < 0.02
     odd = toxicity.score(odd_documents, model, odd_documents.columns, "_toxicity_")
     assert odd.count() == 11 and odd.filter("_toxicity_predicted = 1").count() == 0
     assert toxicity.score(no_documents, model).count() == 0
-    nobody = toxicity.train(table(spark, sf, "documents"), labels.filter("toxic = 0"))
-    assert toxicity.score(odd_documents, nobody).filter("predicted = 1").count() == 0
+    nobody = toxicity.train(docs, labels.filter("toxic = 0"))
+    assert nobody.toxic == b"" and toxicity.score(odd_documents, nobody).filter("predicted = 1").count() == 0
+    assert toxicity.train(no_documents, labels).toxic == b""
 
 
 def test_forward_sums_all_segmentations():
