@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from atomloom.llm import media, neardup, sharding, warc
-from atomloom.llm.common import join_on_key, shared_dir
+from atomloom.llm.common import join_on_key, shared_dir, table
 from atomloom.llm.components import connected_components
 from atomloom.llm.files import read_files
+from atomloom.llm.queries import queries
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -166,21 +167,22 @@ def test_media_recall(spark):
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     source = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
     pictures = source.mapInArrow(media.render, "id long, media binary")
-    grey = np.stack([media.decode(r.media) for r in pictures.orderBy("id").collect()])
-    described = media.corners(grey)
-    brute = [(i, j) for i in range(len(vectors)) for j in range(i) if media.consensus(described[i], described[j])[0] >= media.MIN_INLIERS]
+    drawn = pictures.orderBy("id").collect()
+    described = {r.id: media.corners(media.decode(r.media)[None])[0] for r in drawn}
+    brute = [(i, j) for i in described for j in described if j < i and media.consensus(described[i], described[j])[0] >= media.MIN_INLIERS]
     component = {r.id: r.component_id for r in media.find_copies(pictures).members.collect()}
     assert len(brute) > 300
     assert sum(component[i] == component[j] for i, j in brute) >= 0.9 * len(brute)
 
 
 def test_media_copies_behind_strangers(spark):
-    """Two copies whose shared buckets all hold a smaller and a larger id that agrees with them in two corners only."""
+    """Two copies whose shared buckets all hold a smaller and a larger id that agrees with them in four corners only."""
     rng = np.random.default_rng(5)
 
     def picture(n):
         record = np.zeros(n, media.CORNER)
-        record["x"], record["y"], record["scale"] = rng.uniform(0, 200, n), rng.uniform(0, 200, n), 1.0
+        record["x"], record["y"], record["scale"] = rng.uniform(0, 20, n) + 400 * np.repeat(np.arange(n // 2 + 1), 2)[:n], rng.uniform(0, 20, n), 1.0
+        record["y"][1::2] = record["y"][: n - 1 : 2] + 8
         record["angle"], record["bits"] = rng.uniform(-3, 3, n), rng.integers(0, 256, (n, media.TESTS // 8))
         return record
 
@@ -189,13 +191,64 @@ def test_media_copies_behind_strangers(spark):
     for k in range(4):
         for i in (k, 100 + k):
             stranger = picture(10)
-            stranger["bits"][:2] = copy["bits"][2 * k : 2 * k + 2]
+            stranger[:2] = copy[2 * k : 2 * k + 2]
             rows.append((i, stranger))
     every = spark.createDataFrame([(i, str(i).encode(), r.tobytes()) for i, r in rows], "id long, digest binary, corners binary")
     found = {r.id: (r.component_id, r.n_confirmed_links) for r in media.copy_classes(every).members.collect()}
     assert found == {i: (i, 0) for i, _ in rows} | {50: (50, 1), 60: (50, 1)}
 
 
+def turned(image, angle, scale, side):
+    """The middle of an image, turned and scaled (bilinear)."""
+    place = np.stack(np.mgrid[0:side, 0:side]) - (side - 1) / 2
+    y, x = place / scale
+    x, y = np.cos(angle) * x - np.sin(angle) * y + (image.shape[1] - 1) / 2, np.sin(angle) * x + np.cos(angle) * y + (image.shape[0] - 1) / 2
+    x, y = np.clip(x, 0, image.shape[1] - 1.001), np.clip(y, 0, image.shape[0] - 1.001)
+    i, j = y.astype(int), x.astype(int)
+    fy, fx = y - i, x - j
+    return image[i, j] * (1 - fy) * (1 - fx) + image[i, j + 1] * (1 - fy) * fx + image[i + 1, j] * fy * (1 - fx) + image[i + 1, j + 1] * fy * fx
+
+
+def test_media_edits(spark):
+    """Crops, turns, scalings, brightness and noise of pictures of many and of few corners, against consensus of all pairs."""
+    rng = np.random.default_rng(9)
+    edits = [
+        lambda p: p[30:110, 40:120],
+        lambda p: p[90:150, 20:80],
+        lambda p: np.rot90(p),
+        lambda p: turned(p, 0.3, 1.0, 112),
+        lambda p: turned(p, 0.0, 0.8, 128),
+        lambda p: media.resize(p, 112, 112),
+        lambda p: np.clip(p * 0.7 + 30, 0, 255),
+        lambda p: p + rng.normal(0, 8, p.shape),
+    ]
+    pictures = []
+    for k in range(12):
+        whole = texture(60 + k) if k < 9 else media.resize(np.random.default_rng(k).normal(128, 60, (5, 5)).astype(np.float32), 160, 160)
+        pictures += [np.asarray(p, np.float32) for p in (whole, *(e(whole) for e in edits))]
+    media_of = [media.encode(p) for p in pictures]
+    described = [media.corners(media.decode(m)[None])[0] for m in media_of]
+    assert min(map(len, described)) < 24 < max(map(len, described))
+    brute = [(i, j) for i in range(len(pictures)) for j in range(i) if media.consensus(described[i], described[j])[0] >= media.MIN_INLIERS]
+    found = {r.id: r.component_id for r in media.find_copies(spark.createDataFrame(list(enumerate(media_of)), "id long, media binary")).members.collect()}
+    size = len(edits) + 1
+    assert len(brute) > 200 and sum(found[i] == found[j] for i, j in brute) >= 0.9 * len(brute)
+    own = [i for i, c in found.items() if i % size and c // size == i // size and c != i]
+    assert len(own) >= 0.9 * sum(any(j // size == i // size for j in range(i) if (i, j) in set(brute)) for i in found if i % size)
+
+
+def test_media_query(spark):
+    """Edited pictures meet their originals; rows are one a picture."""
+    rows = queries()["op7_media_copies"](spark, "/root/testdata/sf0.001").toPandas()
+    n = table(spark, "/root/testdata/sf0.001", "embeddings").count()
+    edited = rows[rows.edited]
+    assert len(rows) == n + len(edited) and rows.picture_id.is_unique and len(edited) >= n // 10
+    assert (edited.component_id == edited.picture_id - 1).mean() >= 0.9 and rows[~rows.edited].kept.all()
+    source = spark.createDataFrame([(0, None), (1, []), (2, [1.0]), (None, [1.0, None]), (3, [float("nan")] * 64)], "vec_id long, embedding array<float>")
+    drawn = {(r.id, r.media is None) for r in source.mapInArrow(media.render, "id long, media binary").collect()}
+    assert drawn == {(0, True), (1, True), (2, True), (4, False), (None, False), (6, False)}
+
+
 def test_media_crops(spark):
     """Crops of 9 to 25 percent of a picture: its corners there are all kept, and the crop is found."""
     rows, sides = [], (72, 96, 120)
