@@ -242,7 +242,7 @@ def test_media_query(spark):
     rows = queries()["op7_media_copies"](spark, "/root/testdata/sf0.001").toPandas()
     n = table(spark, "/root/testdata/sf0.001", "embeddings").count()
     edited = rows[rows.edited]
-    assert len(rows) == n + len(edited) and rows.picture_id.is_unique and len(edited) >= n // 10
+    assert len(rows) == n + len(edited) and rows.picture_id.is_unique and len(edited) == -(-n // media.EDITED_EACH)
     assert (edited.component_id == edited.picture_id - 1).mean() >= 0.9 and rows[~rows.edited].kept.all()
     source = spark.createDataFrame([(0, None), (1, []), (2, [1.0]), (None, [1.0, None]), (3, [float("nan")] * 64)], "vec_id long, embedding array<float>")
     drawn = {(r.id, r.media is None) for r in source.mapInArrow(media.render, "id long, media binary").collect()}
