@@ -120,5 +120,11 @@ def polymer_atom_index(res_name: Column, atom_name: Column) -> Column:
     return F.when(slot > 0, lookup(first, res_name) + slot).otherwise(F.lit(N_POLYMER_ATOMS)).cast("int")
 
 
+def polymer_start(res_name: str) -> int:
+    """The index of the first slot of a polymer residue."""
+    names = list(SLOTS)
+    return 1 + sum(len(SLOTS[n]) for n in names[: names.index(res_name)])
+
+
 def vdw_radius(element: Column) -> Column:
     return F.coalesce(lookup(VDW_RADII, element), F.lit(DEFAULT_VDW_RADIUS))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,13 +74,15 @@ def append_library(tokens: DataFrame, path: str, limit: int | None = None) -> di
         if "PATH_NOT_FOUND" not in str(e):
             raise
         present = ids.limit(0)
-    fresh = new_rows(ids, present, "structure_id")
+    # One scan of both sides; the counts and the write read what is kept of it.
+    state = ids.join(present.withColumn("_known", F.lit(True)), "structure_id", "left").persist()
+    fresh = state.filter(F.col("_known").isNull()).select("structure_id")
     if limit is not None:
         fresh = fresh.orderBy("structure_id").limit(limit)
-    written = fresh.count()
-    total = ids.count()
-    already = ids.join(present, "structure_id", "left_semi").count()
+    already, total = state.agg(F.count("_known"), F.count(F.lit(1))).first()
+    written = min(total - already, total if limit is None else limit)
     tokens.join(fresh, "structure_id", "left_semi").write.mode("append").parquet(path)
+    state.unpersist()
     return {"written": written, "present": already, "left": total - written - already}
 
 
@@ -96,17 +100,18 @@ def load_targets(library: DataFrame, n_targets: int, max_atoms: int | None, seed
 
 
 def cached(spark: SparkSession, path: str, key: Mapping[str, object], build) -> DataFrame:
-    """The table at ``path`` if it was built with ``key``; else ``build()`` written there. The seed is no part of a key."""
-    wanted = json.dumps(dict(key), sort_keys=True)
+    """The table below ``path`` that was built with ``key``; else ``build()`` written there. The seed is no part of a key.
+
+    Each key has a folder of its own, so a write that is cut short never leaves data under another key.
+    """
+    folder = f"{path}/{hashlib.sha256(json.dumps(dict(key), sort_keys=True).encode()).hexdigest()[:32]}"
     try:
-        if spark.read.text(f"{path}/key").first()[0] == wanted:
-            return spark.read.parquet(f"{path}/data")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-    build().write.mode("overwrite").parquet(f"{path}/data")
-    spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/key")
-    return spark.read.parquet(f"{path}/data")
+    build().write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def size_statistics(tokens: DataFrame) -> DataFrame:

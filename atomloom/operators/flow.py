@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atomloom.functions.geometry import cross, dot, interpolant, minus, norm, quaternion_rotation, rotate, xyz
-from atomloom.operators.geometry import TOLERANCE, backbone_bonds, chiral_centers, clash_pairs
+from atomloom.functions.geometry import constraint_features, cross, dot, interpolant, minus, norm, quaternion_rotation, rotate, xyz
+from atomloom.functions.vocab import LARGEST_CLASH
+from atomloom.operators.geometry import ROW_BONDS, TOLERANCE, backbone_residues, clash_pairs, has_center
+from atomloom.operators.tokens import featurize, target_coordinates, tokenize
 
 
 @dataclass(frozen=True)
@@ -79,23 +81,44 @@ def apply_transform(atoms: DataFrame, transforms: DataFrame, center: DataFrame)
     return joined.withColumns(dict(zip("xyz", moved, strict=True))).select(*atoms.columns)
 
 
-def training_examples(tokens: DataFrame, constraints: DataFrame, seed: int, config: PriorConfig = PriorConfig()) -> DataFrame:
+def no_constraints(tokens: DataFrame) -> DataFrame:
+    """The constraints of plain folding, a row a token: nothing is fixed, no hotspots, no accessibility targets."""
+    none = {"is_fixed": F.lit(False), "is_hotspot": F.lit(False), "rasa_target": F.lit(0.0), "has_rasa": F.lit(False), **{f"f{a}": F.lit(0.0) for a in "xyz"}}
+    return tokens.select("structure_id", "atom_idx", *(c.alias(n) for n, c in none.items()))
+
+
+def examples(residue_atoms: DataFrame) -> DataFrame:
+    """From an atom relation to examples, a row a token: features, target coordinates and constraint columns.
+
+    A structure without tokens (no atoms, waters only, unknown polymer) has no rows; ``tokens.quarantined`` and
+    ``structures.parse_status`` say which and why.
+    """
+    listed = tokenize(residue_atoms)
+    plain = constraint_features(*(F.col(c) for c in ("is_fixed", "is_hotspot", "rasa_target", "has_rasa")))
+    conditions = no_constraints(listed).select("structure_id", "atom_idx", *plain)
+    target = target_coordinates(listed).select("structure_id", "atom_idx", "chain_id", "res_name", "atom_name", "element", "modality", "x", "y", "z")
+    return featurize(listed).join(target, ["structure_id", "atom_idx"]).join(conditions, ["structure_id", "atom_idx"])
+
+
+def training_examples(tokens: DataFrame, constraints: DataFrame, seed: int, config: PriorConfig = PriorConfig(), draws: tuple[DataFrame, DataFrame, Column] | None = None) -> DataFrame:
     """One flow-matching example a structure, all as columns of its tokens.
 
     ``constraints`` has (structure_id, atom_idx, is_fixed, fx, fy, fz) for some atoms. Real atoms and fixed targets get
     the same random turn about the real atoms' centre; without real atoms neither moves. Fixed atoms start and end at
-    their target and leave the mask; virtual ones end at the prior. ``t`` is one uniform draw a structure.
+    their target and leave the mask; virtual ones end at the prior. ``t`` is one uniform draw a structure. ``draws`` gives
+    the noise e0..e3 a token, the turns r11..r33 a structure and the time instead of the keyed draws of ``seed``.
     """
+    t = F.shiftrightunsigned(F.xxhash64("structure_id", F.lit(seed), F.lit("t")), 11).cast("double") / F.lit(float(1 << 53))
+    noisy, turns, t = draws or (with_noise(tokens, seed), random_transforms(tokens, seed), t)
     joined = tokens.join(constraints, ["structure_id", "atom_idx"], "left").withColumn("is_fixed", F.coalesce("is_fixed", F.lit(False)))
     center = centroids(joined, ~F.col("is_virtual"))
-    turned = joined.join(center, "structure_id").join(random_transforms(tokens, seed), "structure_id")
+    turned = joined.join(center, "structure_id").join(turns, "structure_id")
     matrix = [[F.col(f"r{i}{j}") for j in (1, 2, 3)] for i in (1, 2, 3)]
     move = lambda p: tuple(F.when(F.col("cx").isNull(), a).otherwise(b) for a, b in zip(p, rotate(matrix, p, (F.col("cx"), F.col("cy"), F.col("cz"))), strict=True))
     target, fixed = move(tuple(F.coalesce(a, F.lit(0.0)) for a in "xyz")), move((F.col("fx"), F.col("fy"), F.col("fz")))
     placed = turned.select("structure_id", "atom_idx", "is_virtual", "is_fixed", *(c.alias(f"{a}1") for c, a in zip(target, "xyz", strict=True)), *(c.alias(f"{a}f") for c, a in zip(fixed, "xyz", strict=True)))
-    noise = prior_walk(with_noise(tokens, seed), config)
+    noise = prior_walk(noisy, config)
     both = placed.join(noise, ["structure_id", "atom_idx"]).withColumn("mask", ~F.col("is_virtual") & ~F.col("is_fixed"))
-    t = (F.shiftrightunsigned(F.xxhash64("structure_id", F.lit(seed), F.lit("t")), 11).cast("double")) / F.lit(float(1 << 53))
     columns = []
     for a in "xyz":
         start = F.when(F.col("is_fixed"), F.col(f"{a}f")).otherwise(F.col(f"{a}0"))
@@ -136,38 +159,41 @@ def chain_guidance(atoms: DataFrame, constraints: Sequence[ChainConstraint], dt:
     return atoms
 
 
-def validity_gradient(atoms: DataFrame, w_clash: float = 1.0, w_bond: float = 1.0, w_chirality: float = 1.0, margin: float = 0.3, eps: float = 1e-6, tolerance: float = TOLERANCE) -> DataFrame:
-    """(structure_id, atom_idx, gx, gy, gz): gradient of the validity energy, summed from closed forms of its terms."""
-    side = atoms.select("structure_id", "atom_idx", "x", "y", "z")
-
-    def ends(pairs: DataFrame, factor: Column, weight: float) -> DataFrame:
-        """factor * (x_i - x_j) on i and its opposite on j; pairs at the same place add nothing."""
-        p, q = side.alias("p"), side.alias("q")
-        b = pairs.alias("b")
-        joined = b.join(p, (F.col("b.structure_id") == F.col("p.structure_id")) & (F.col("b.i") == F.col("p.atom_idx"))).join(q, (F.col("b.structure_id") == F.col("q.structure_id")) & (F.col("b.j") == F.col("q.atom_idx")))
-        u = minus(xyz("p."), xyz("q."))
-        sized = joined.select("b.*", *(c.alias(f"u{a}") for c, a in zip(u, "xyz", strict=True)), norm(u).alias("d")).filter(F.col("d") > 0).withColumn("f", F.lit(weight) * factor)
-        force = lambda sign, atom: F.struct(F.col(atom).alias("atom_idx"), *((F.lit(sign) * F.col("f") * F.col(f"u{a}")).alias(f"g{a}") for a in "xyz"))
-        return sized.select("structure_id", F.explode(F.array(force(1.0, "i"), force(-1.0, "j"))).alias("g")).select("structure_id", "g.*")
-
-    clash = ends(clash_pairs(atoms, tolerance), -2 * F.col("overlap") / F.col("d"), w_clash)
-    bond = ends(backbone_bonds(atoms), 2 * (F.col("d") - F.col("ideal")) / F.col("d"), w_bond)
-    centers = chiral_centers(atoms).drop("volume")
-    for name in ("ca", "n", "c", "cb"):
-        own = side.select("structure_id", F.col("atom_idx").alias(name), F.struct("x", "y", "z").alias(f"at_{name}"))
-        centers = centers.join(own, ["structure_id", name])
-    b = [minus(xyz(f"at_{n}."), xyz("at_ca.")) for n in ("n", "c", "cb")]
+def validity_gradient(atoms: DataFrame, w_clash: float = 1.0, w_bond: float = 1.0, w_chirality: float = 1.0, margin: float = 0.3, eps: float = 1e-6, tolerance: float = TOLERANCE, largest: float = LARGEST_CLASH / 2) -> DataFrame:
+    """(structure_id, atom_idx, gx, gy, gz): gradient of the validity energy, summed from closed forms of its terms.
+
+    Clashing pairs and backbone residues carry the coordinates of their atoms, so nothing is joined back to the atoms.
+    """
+
+    def force(atom: Column, g: Sequence[Column]) -> Column:
+        return F.struct(atom.alias("atom_idx"), *(c.alias(f"g{a}") for c, a in zip(g, "xyz", strict=True)))
+
+    def ends(i: Column, j: Column, f: Column, u: Sequence[Column], apart: Column) -> list[Column]:
+        """f * u on i and its opposite on j; pairs at the same place add nothing."""
+        return [F.when(apart, force(atom, [F.lit(sign) * f * c for c in u])) for sign, atom in ((1.0, i), (-1.0, j))]
+
+    pairs = clash_pairs(atoms, tolerance, carry=("x", "y", "z"), largest=largest)
+    u = minus(tuple(F.col(f"l_{a}") for a in "xyz"), tuple(F.col(f"r_{a}") for a in "xyz"))
+    d = norm(u)
+    clash = pairs.select("structure_id", F.explode(F.array(*ends(F.col("i"), F.col("j"), F.lit(-2 * w_clash) * F.col("overlap") / d, u, d > 0))).alias("g"))
+
+    residues, forces = backbone_residues(atoms), []
+    for p, q, ideal in ROW_BONDS:
+        u = minus(xyz(f"{p}."), xyz(f"{q}."))
+        d = norm(u)
+        forces += ends(F.col(f"{p}.atom_idx"), F.col(f"{q}.atom_idx"), F.lit(2 * w_bond) * (d - F.lit(ideal)) / d, u, d > 0)
+    b = [minus(xyz(f"{n}."), xyz("CA.")) for n in ("N", "C", "CB")]
     squares = [dot(v, v) for v in b]
-    centers = centers.withColumns({"V": dot(b[0], cross(b[1], b[2])), "P": norm(b[0]) * norm(b[1]) * norm(b[2]), **{f"q{k}": s for k, s in enumerate(squares)}})
-    centers = centers.withColumn("D", F.col("P") + F.lit(eps)).withColumn("w", F.greatest(F.lit(margin) - F.col("V") / F.col("D"), F.lit(0.0)))
+    volume, product = dot(b[0], cross(b[1], b[2])), norm(b[0]) * norm(b[1]) * norm(b[2])
+    residues = residues.withColumns({"V": volume, "P": product, "D": product + F.lit(eps)}).withColumn("w", F.greatest(F.lit(margin) - F.col("V") / F.col("D"), F.lit(0.0)))
+    usable = has_center() & (squares[0] > 0) & (squares[1] > 0) & (squares[2] > 0) & (F.col("w") > 0)
     normals = [cross(b[1], b[2]), cross(b[2], b[0]), cross(b[0], b[1])]
-    parts = [tuple(F.lit(-2 * w_chirality) * F.col("w") * (normals[k][m] / F.col("D") - F.col("V") / (F.col("D") * F.col("D")) * F.col("P") / F.col(f"q{k}") * b[k][m]) for m in range(3)) for k in range(3)]
-    as_struct = lambda atom, g: F.struct(F.col(atom).alias("atom_idx"), *(c.alias(f"g{a}") for c, a in zip(g, "xyz", strict=True)))
+    parts = [tuple(F.lit(-2 * w_chirality) * F.col("w") * (normals[k][m] / F.col("D") - F.col("V") / (F.col("D") * F.col("D")) * F.col("P") / squares[k] * b[k][m]) for m in range(3)) for k in range(3)]
     opposite = tuple(-(parts[0][m] + parts[1][m] + parts[2][m]) for m in range(3))
-    usable = centers.filter((F.col("q0") > 0) & (F.col("q1") > 0) & (F.col("q2") > 0) & (F.col("w") > 0))
-    chirality = usable.select("structure_id", F.explode(F.array(as_struct("n", parts[0]), as_struct("c", parts[1]), as_struct("cb", parts[2]), as_struct("ca", opposite))).alias("g")).select("structure_id", "g.*")
-    forces = clash.unionByName(bond).unionByName(chirality)
-    return forces.groupBy("structure_id", "atom_idx").agg(*(F.sum(f"g{a}").alias(f"g{a}") for a in "xyz"))
+    forces += [F.when(usable, force(F.col(f"{n}.atom_idx"), g)) for n, g in zip(("N", "C", "CB", "CA"), (*parts, opposite), strict=True)]
+    backbone = residues.select("structure_id", F.explode(F.filter(F.array(*forces), lambda g: g.isNotNull())).alias("g"))
+    every = clash.filter(F.col("g").isNotNull()).unionByName(backbone).select("structure_id", "g.*")
+    return every.groupBy("structure_id", "atom_idx").agg(*(F.sum(f"g{a}").alias(f"g{a}") for a in "xyz"))
 
 
 def validity_step(atoms: DataFrame, step: float = 0.05, **weights: float) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atomloom.functions.geometry import distance, normalized_chiral_volume, xyz
+from atomloom.functions.geometry import distance, normalized_chiral_volume, rotate, xyz
 from atomloom.functions.vocab import LARGEST_CLASH, vdw_radius
 
 # Ideal backbone bond lengths (Å).
@@ -20,56 +21,72 @@ LDDT_CUTOFF = 15.0
 LDDT_THRESHOLDS = (0.5, 1.0, 2.0, 4.0)
 
 
-def neighbour_pairs(atoms: DataFrame, radius: float, carry: Sequence[str] = (), ordered: bool = True, inclusive: bool = True) -> DataFrame:
-    """Pairs of atoms of a structure within ``radius``: (structure_id, i, j, d, l_<c>, r_<c> ...).
+def neighbour_pairs(atoms: DataFrame, radius: float, carry: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
+    """Unordered pairs of atoms of a structure within ``radius``: (structure_id, i, j, d, l_<c>, r_<c> ...) with i < j.
 
-    Atoms fall in cubic cells of side ``radius``; one side of the join is copied to the 27 cells around its own, so the
-    join is an equi-join on (structure, cell) and its work grows with the number of close pairs, not with all pairs.
-    ``ordered`` keeps i < j; else both orders come. Atoms with a null coordinate pair with nothing.
+    Atoms fall in cubic cells of side ``radius``. One side of the join is copied to its own cell and the 13 that come after
+    it, which meets every two neighbouring cells once, so the join is an equi-join on (structure, cell) and its work grows
+    with the number of close pairs, not with all pairs. Atoms with a null coordinate pair with nothing.
     """
-    cell = [F.floor(F.col(a) / F.lit(radius)) for a in "xyz"]
-    base = atoms.select("structure_id", "atom_idx", "x", "y", "z", *carry, *(c.alias(f"c{a}") for c, a in zip(cell, "xyz", strict=True))).filter(F.col("cx").isNotNull() & F.col("cy").isNotNull() & F.col("cz").isNotNull())
-    steps = F.array(*[F.struct(*(F.lit(v).cast("bigint").alias(f"d{a}") for v, a in zip((p, q, r), "xyz", strict=True))) for p in (-1, 0, 1) for q in (-1, 0, 1) for r in (-1, 0, 1)])
+    cell = [F.floor(F.col(a) / F.lit(radius)).alias(f"c{a}") for a in "xyz"]
+    base = atoms.select("structure_id", "atom_idx", "x", "y", "z", *carry, *cell).filter(F.col("cx").isNotNull() & F.col("cy").isNotNull() & F.col("cz").isNotNull())
+    ahead = [step for step in product((-1, 0, 1), repeat=3) if step >= (0, 0, 0)]
+    steps = F.array(*[F.struct(*(F.lit(v).cast("bigint").alias(f"d{a}") for v, a in zip(step, "xyz", strict=True))) for step in ahead])
     around = base.withColumn("step", F.explode(steps)).withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"step.d{a}") for a in "xyz"})
+    around = around.withColumn("own", (F.col("step.dx") == 0) & (F.col("step.dy") == 0) & (F.col("step.dz") == 0)).drop("step")
     left, right = base.alias("l"), around.alias("r")
     keys = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("structure_id", "cx", "cy", "cz")]
-    order = F.col("l.atom_idx") < F.col("r.atom_idx") if ordered else F.col("l.atom_idx") != F.col("r.atom_idx")
+    first = F.col("l.atom_idx") < F.col("r.atom_idx")
     d = distance(xyz("l."), xyz("r."))
     within = d <= radius if inclusive else d < radius
-    joined = left.join(right, keys[0] & keys[1] & keys[2] & keys[3] & order & within)
-    extra = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in carry]
-    return joined.select(F.col("l.structure_id").alias("structure_id"), F.col("l.atom_idx").alias("i"), F.col("r.atom_idx").alias("j"), d.alias("d"), *extra)
+    joined = left.join(right, keys[0] & keys[1] & keys[2] & keys[3] & (first | ~F.col("r.own")) & within)
+    side = lambda s, c: F.when(first, F.col(f"{s}.{c}")).otherwise(F.col(f"{'r' if s == 'l' else 'l'}.{c}"))
+    extra = [side(s, c).alias(f"{s}_{c}") for s in "lr" for c in carry]
+    return joined.select(F.col("l.structure_id").alias("structure_id"), side("l", "atom_idx").alias("i"), side("r", "atom_idx").alias("j"), d.alias("d"), *extra)
 
 
-def clash_pairs(atoms: DataFrame, tolerance: float = TOLERANCE, tie_eps: float = 0.0) -> DataFrame:
-    """(structure_id, i, j, overlap) of atom pairs nearer than their radii allow.
+def is_protein(atoms: DataFrame) -> Column:
+    """Whether an atom is a protein's; atoms without a ``modality`` column all are."""
+    return F.col("modality") == "PROTEIN" if "modality" in atoms.columns else F.lit(True)
+
+
+def clash_pairs(atoms: DataFrame, tolerance: float = TOLERANCE, tie_eps: float = 0.0, carry: Sequence[str] = (), largest: float = LARGEST_CLASH / 2) -> DataFrame:
+    """(structure_id, i, j, overlap, l_<c>, r_<c> ...) of atom pairs nearer than their radii allow, ions and ligands included.
+
+    ``largest`` is the largest radius among the atoms; the smaller it is, the fewer pairs are looked at. A larger one in
+    the data is an error.
 
     Pairs of one chain whose residues are the same or adjacent are no clashes. ``atoms`` needs chain_id, res_index and
     element. An overlap counts above ``tie_eps``.
     """
-    sized = atoms.withColumn("vdw", vdw_radius(F.col("element")))
-    pairs = neighbour_pairs(sized, LARGEST_CLASH - tolerance, ("chain_id", "res_index", "vdw"))
+    radius = vdw_radius(F.col("element"))
+    sized = atoms.withColumn("vdw", F.when(radius <= largest, radius).otherwise(F.raise_error(F.lit(f"an atom is larger than {largest}")).cast("double")))
+    pairs = neighbour_pairs(sized, 2 * largest - tolerance, ("chain_id", "res_index", "vdw", *carry))
     apart = (F.col("l_chain_id") != F.col("r_chain_id")) | (F.abs(F.col("l_res_index") - F.col("r_res_index")) > 1)
     overlap = F.col("l_vdw") + F.col("r_vdw") - F.lit(tolerance) - F.col("d")
-    return pairs.filter(apart & (overlap > tie_eps)).select("structure_id", "i", "j", overlap.alias("overlap"))
+    return pairs.filter(apart & (overlap > tie_eps)).select("structure_id", "i", "j", overlap.alias("overlap"), *(f"{s}_{c}" for s in "lr" for c in carry))
 
 
-def clashes(atoms: DataFrame, tolerance: float = TOLERANCE, tie_eps: float = 0.0) -> DataFrame:
+def clashes(atoms: DataFrame, tolerance: float = TOLERANCE, tie_eps: float = 0.0, largest: float = LARGEST_CLASH / 2) -> DataFrame:
     """(structure_id, clash_energy, clashes) of structures with a clash."""
-    return clash_pairs(atoms, tolerance, tie_eps).groupBy("structure_id").agg(F.sum(F.col("overlap") * F.col("overlap")).alias("clash_energy"), F.count(F.lit(1)).alias("clashes"))
+    return clash_pairs(atoms, tolerance, tie_eps, largest=largest).groupBy("structure_id").agg(F.sum(F.col("overlap") * F.col("overlap")).alias("clash_energy"), F.count(F.lit(1)).alias("clashes"))
 
 
 def residue_atoms(atoms: DataFrame, names: Sequence[str], carry: Sequence[str] = ("x", "y", "z")) -> DataFrame:
-    """One row a protein residue with a struct column for each name (null if absent); of equal names the last counts."""
+    """One row a residue with a struct column for each name (null if absent); of equal names the last counts.
+
+    Only protein atoms are picked: a calcium ion, a ligand or a nucleotide in the same chain and number fills no place.
+    ``n_atoms`` counts all atoms.
+    """
     fields = F.struct("atom_idx", *carry)
-    picked = [F.max(F.when(F.col("atom_name") == n, fields)).alias(n) for n in names]
+    picked = [F.max(F.when((F.col("atom_name") == n) & is_protein(atoms), fields)).alias(n) for n in names]
     return atoms.groupBy("structure_id", "chain_id", "res_index").agg(*picked, F.count(F.lit(1)).alias("n_atoms"))
 
 
 def backbone_bonds(atoms: DataFrame) -> DataFrame:
     """(structure_id, i, j, ideal): backbone bonds inside residues, and peptide bonds to residue + 1 of the chain.
 
-    Virtual atoms bond like real ones. A gap in the numbering has no bond. ``atoms`` are protein atoms.
+    Virtual atoms bond like real ones. A gap in the numbering has no bond. Only protein atoms bond.
     """
     residues = residue_atoms(atoms, ("N", "CA", "C", "O", "CB"), ())
     bond = lambda a, b, ideal: F.struct(F.col(f"{a}.atom_idx").alias("i"), F.col(f"{b}.atom_idx").alias("j"), F.lit(ideal).alias("ideal"))
@@ -108,25 +125,37 @@ def chirality_summary(centers: DataFrame, energy_margin: float = 0.3, count_marg
     return centers.groupBy("structure_id").agg(F.sum(short * short).alias("chirality_energy"), F.count_if(F.col("volume") <= count_margin + tie_eps).alias("chirality_violations"), F.count(F.lit(1)).alias("n_chiral_centers"))
 
 
+def backbone_residues(atoms: DataFrame) -> DataFrame:
+    """``residue_atoms`` of the backbone and CB with coordinates, and ``next``: the N of the residue numbered one higher.
+
+    Atoms are dealt by structure once; residues and their links follow in place.
+    """
+    residues = residue_atoms(atoms.repartition("structure_id"), ("N", "CA", "C", "O", "CB"), ("x", "y", "z"))
+    ahead = Window.partitionBy("structure_id", "chain_id").orderBy("res_index")
+    return residues.withColumn("next", F.when(F.lead("res_index").over(ahead) == F.col("res_index") + 1, F.lead("N").over(ahead)))
+
+
+#: Ends and ideal lengths of the bonds of a row of ``backbone_residues``.
+ROW_BONDS = [(p, q, ideal) for (p, q), ideal in INTRA_BONDS.items()] + [("C", "next", PEPTIDE_BOND)]
+
+
+def has_center() -> Column:
+    return F.col("CA").isNotNull() & F.col("N").isNotNull() & F.col("C").isNotNull() & F.col("CB").isNotNull()
+
+
 def backbone_summary(atoms: DataFrame, energy_margin: float = 0.3, count_margin: float = 0.0, tie_eps: float = 0.0) -> DataFrame:
     """Sizes, bond and chirality sums of every structure from one shuffle by structure.
 
-    Atoms are dealt by structure once; residues, the peptide link to the next residue (``lead``, which must be numbered
-    one higher) and the sums a structure all follow in place. The same numbers come from the graph operators above.
+    The same numbers come from the graph operators above.
     """
-    dealt = atoms.repartition("structure_id")
-    residues = residue_atoms(dealt, ("N", "CA", "C", "O", "CB"), ("x", "y", "z"))
-    ahead = Window.partitionBy("structure_id", "chain_id").orderBy("res_index")
-    residues = residues.withColumns({"next": F.lead("N").over(ahead), "next_index": F.lead("res_index").over(ahead)})
+    residues = backbone_residues(atoms)
 
-    def square(p: str, q: str, ideal: float, condition: Column | None = None) -> Column:
+    def square(p: str, q: str, ideal: float) -> Column:
         off = distance(xyz(f"{p}."), xyz(f"{q}.")) - F.lit(ideal)
-        known = F.col(p).isNotNull() & F.col(q).isNotNull()
-        return F.when(known if condition is None else known & condition, off * off)
+        return F.when(F.col(p).isNotNull() & F.col(q).isNotNull(), off * off)
 
-    squares = [square(p, q, ideal) for (p, q), ideal in INTRA_BONDS.items()] + [square("C", "next", PEPTIDE_BOND, F.col("next_index") == F.col("res_index") + 1)]
-    full = F.col("CA").isNotNull() & F.col("N").isNotNull() & F.col("C").isNotNull() & F.col("CB").isNotNull()
-    volume = F.when(full, normalized_chiral_volume(*(xyz(f"{n}.") for n in ("CA", "N", "C", "CB"))))
+    squares = [square(*bond) for bond in ROW_BONDS]
+    volume = F.when(has_center(), normalized_chiral_volume(*(xyz(f"{n}.") for n in ("CA", "N", "C", "CB"))))
     terms = residues.select("structure_id", "n_atoms", F.array(*squares).alias("squares"), volume.alias("volume"))
     short = F.greatest(F.lit(energy_margin) - F.col("volume"), F.lit(0.0))
     total = F.coalesce(F.sum(F.aggregate(F.filter("squares", lambda v: v.isNotNull()), F.lit(0.0), lambda x, v: x + v)), F.lit(0.0))
@@ -142,20 +171,43 @@ def backbone_summary(atoms: DataFrame, energy_margin: float = 0.3, count_margin:
     )
 
 
-def validity_parts(atoms: DataFrame, tie_eps: float = 0.0) -> DataFrame:
-    """One row a structure with all energies and counts; parts that a structure lacks are 0."""
-    parts = backbone_summary(atoms, tie_eps=tie_eps).join(clashes(atoms, tie_eps=tie_eps), "structure_id", "left")
+def validity_parts(atoms: DataFrame, tie_eps: float = 0.0, largest: float = LARGEST_CLASH / 2) -> DataFrame:
+    """One row a structure with all energies and counts; parts that a structure lacks are 0. ``largest`` as in ``clash_pairs``."""
+    parts = backbone_summary(atoms, tie_eps=tie_eps).join(clashes(atoms, tie_eps=tie_eps, largest=largest), "structure_id", "left")
     return parts.fillna(0, ["clash_energy", "clashes"])
 
 
-def validity_energy(atoms: DataFrame, w_clash: float = 1.0, w_bond: float = 1.0, w_chirality: float = 1.0) -> DataFrame:
+def validity_energy(atoms: DataFrame, w_clash: float = 1.0, w_bond: float = 1.0, w_chirality: float = 1.0, largest: float = LARGEST_CLASH / 2) -> DataFrame:
     total = F.lit(w_clash) * F.col("clash_energy") + F.lit(w_bond) * F.col("bond_energy") + F.lit(w_chirality) * F.col("chirality_energy")
-    return validity_parts(atoms).select("structure_id", total.alias("validity_energy"))
+    return validity_parts(atoms, largest=largest).select("structure_id", total.alias("validity_energy"))
+
+
+def validity_reports(samples: Mapping[str, DataFrame], tie_eps: float = 0.0, largest: float = LARGEST_CLASH / 2) -> DataFrame:
+    """The reports of several samples of the same structures (native, prior, guided ...) in one table, told apart by label.
+
+    Atoms of all samples go through the shuffles together, as structures of their own.
+    """
+    together = None
+    for label, atoms in samples.items():
+        rows = atoms.withColumn("structure_id", F.struct(F.lit(label).alias("label"), F.col("structure_id").alias("id")))
+        together = rows if together is None else together.unionByName(rows)
+    if together is None:
+        raise ValueError("there must be a sample")
+    found = validity_report(together, "", tie_eps, largest)
+    return found.select(F.col("structure_id.label").alias("label"), F.col("structure_id.id").alias("structure_id"), *found.columns[2:])
+
 
+def guidance_means(unguided: DataFrame, guided: DataFrame) -> DataFrame:
+    """One row: structures checked, and the means of rmsd, clashes and bond_rmsd of (structure_id, rmsd, clashes, bond_rmsd)
+    rows of unguided and of guided samples; only structures in both count."""
+    names = ("rmsd", "clashes", "bond_rmsd")
+    both = unguided.select("structure_id", *names).join(guided.select("structure_id", *(F.col(n).alias(f"g_{n}") for n in names)), "structure_id")
+    return both.agg(F.count(F.lit(1)).alias("n_checked"), *(F.avg(n).alias(f"mean_{n}") for n in names), *(F.avg(f"g_{n}").alias(f"guided_mean_{n}") for n in names))
 
-def validity_report(atoms: DataFrame, label: str, tie_eps: float = 0.0) -> DataFrame:
+
+def validity_report(atoms: DataFrame, label: str, tie_eps: float = 0.0, largest: float = LARGEST_CLASH / 2) -> DataFrame:
     """One report row a structure: clashes, clashes a hundred atoms, bond RMSD, chirality violations and centres."""
-    return validity_parts(atoms, tie_eps).select(
+    return validity_parts(atoms, tie_eps, largest).select(
         F.lit(label).alias("label"),
         "structure_id",
         "n_atoms",
@@ -171,57 +223,69 @@ def lddt(model: DataFrame, reference: DataFrame, cutoff: float = LDDT_CUTOFF, th
     """(structure_id, atom_idx, lddt): mean share of thresholds that hold over reference neighbours; 1 without any."""
     moved = model.select("structure_id", "atom_idx", *(F.col(a).alias(f"m{a}") for a in "xyz"))
     both = reference.select("structure_id", "atom_idx", "x", "y", "z").join(moved, ["structure_id", "atom_idx"])
-    pairs = neighbour_pairs(both, cutoff, ("mx", "my", "mz"), ordered=False)
+    pairs = neighbour_pairs(both, cutoff, ("mx", "my", "mz"))
     now = distance(tuple(F.col(f"l_m{a}") for a in "xyz"), tuple(F.col(f"r_m{a}") for a in "xyz"))
     off = F.abs(now - F.col("d"))
     share: Column = sum(((off <= t).cast("double") for t in thresholds), F.lit(0.0)) / len(thresholds)
-    scores = pairs.groupBy("structure_id", F.col("i").alias("atom_idx")).agg(F.avg(share).alias("lddt"))
+    ends = pairs.select("structure_id", share.alias("share"), F.explode(F.array("i", "j")).alias("atom_idx"))
+    scores = ends.groupBy("structure_id", "atom_idx").agg(F.avg("share").alias("lddt"))
     return both.select("structure_id", "atom_idx").join(scores, ["structure_id", "atom_idx"], "left").withColumn("lddt", F.coalesce("lddt", F.lit(1.0)))
 
 
-def _superpose(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Rows of p turned and shifted onto q with least squared distance (Kabsch)."""
-    cp, cq = p.mean(axis=0), q.mean(axis=0)
-    u, _, vt = np.linalg.svd((p - cp).T @ (q - cq))
-    flip = np.diag([1.0, 1.0, np.sign(np.linalg.det(vt.T @ u.T)) or 1.0])
-    return (p - cp) @ (vt.T @ flip @ u.T).T + cq
-
-
 def paired(model: DataFrame, reference: DataFrame) -> DataFrame:
     """(structure_id, atom_idx, x, y, z, rx, ry, rz): atoms of model and reference side by side."""
     return model.select("structure_id", "atom_idx", "x", "y", "z").join(reference.select("structure_id", "atom_idx", *(F.col(a).alias(f"r{a}") for a in "xyz")), ["structure_id", "atom_idx"])
 
 
-def kabsch_align(model: DataFrame, reference: DataFrame) -> DataFrame:
-    """(structure_id, atom_idx, x, y, z): the model superposed on the reference."""
-    both = paired(model, reference)
+def superposition_moments(both: DataFrame) -> DataFrame:
+    """Count, sums and products of paired coordinates a structure: all that a superposition needs, summed on the map side."""
+    sums = [F.count(F.lit(1)).alias("n")]
+    sums += [F.sum(c).alias(f"s{c}") for c in ("x", "y", "z", "rx", "ry", "rz")]
+    sums += [F.sum(F.col(a) * F.col(f"r{b}")).alias(f"m{a}{b}") for a in "xyz" for b in "xyz"]
+    sums += [F.sum(sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))).alias(name) for name, cols in (("pp", ("x", "y", "z")), ("qq", ("rx", "ry", "rz")))]
+    return both.groupBy("structure_id").agg(*sums)
 
-    def aligned(g: pd.DataFrame) -> pd.DataFrame:
-        moved = _superpose(g[["x", "y", "z"]].to_numpy(), g[["rx", "ry", "rz"]].to_numpy())
-        return pd.DataFrame({"structure_id": g["structure_id"], "atom_idx": g["atom_idx"], "x": moved[:, 0], "y": moved[:, 1], "z": moved[:, 2]})
 
-    kinds = {f.name: f.dataType.simpleString() for f in both.schema}
-    return both.groupBy("structure_id").applyInPandas(aligned, f"structure_id {kinds['structure_id']}, atom_idx {kinds['atom_idx']}, x double, y double, z double")
+def _covariance(m: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n, centre of the model, centre of the reference, covariance) of moments."""
+    n = m["n"].to_numpy(dtype=float)
+    p, q = m[["sx", "sy", "sz"]].to_numpy() / n[:, None], m[["srx", "sry", "srz"]].to_numpy() / n[:, None]
+    return n, p, q, m[[f"m{a}{b}" for a in "xyz" for b in "xyz"]].to_numpy().reshape(-1, 3, 3) - n[:, None, None] * p[:, :, None] * q[:, None, :]
 
 
-def aligned_rmsd(model: DataFrame, reference: DataFrame) -> DataFrame:
-    """(structure_id, rmsd) after superposition, from moments that Spark sums before any row leaves it.
+def kabsch_align(model: DataFrame, reference: DataFrame) -> DataFrame:
+    """(structure_id, atom_idx, x, y, z): the model turned and shifted onto the reference with least squared distance.
 
-    Seventeen sums a structure are aggregated on the map side; only they go to the singular value decomposition, so the
-    size of a structure bounds nothing.
+    The turn of each structure comes from its moments; atoms are moved by column expressions, so the size of a structure
+    bounds nothing.
     """
     both = paired(model, reference)
-    sums = [F.count(F.lit(1)).alias("n")]
-    sums += [F.sum(c).alias(f"s{c}") for c in ("x", "y", "z", "rx", "ry", "rz")]
-    sums += [F.sum(F.col(a) * F.col(f"r{b}")).alias(f"m{a}{b}") for a in "xyz" for b in "xyz"]
-    sums += [F.sum(sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))).alias(name) for name, cols in (("pp", ("x", "y", "z")), ("qq", ("rx", "ry", "rz")))]
-    moments = both.groupBy("structure_id").agg(*sums)
+    moments = superposition_moments(both)
+    names = [f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
+
+    @F.pandas_udf(", ".join(f"{c} double" for c in names))
+    def turn(m: pd.DataFrame) -> pd.DataFrame:
+        *_, h = _covariance(m)
+        u, _, vt = np.linalg.svd(h)
+        flip = np.ones((len(m), 3))
+        flip[:, 2] = np.where(np.linalg.det(u) * np.linalg.det(vt) < 0, -1.0, 1.0)
+        return pd.DataFrame((vt.transpose(0, 2, 1) * flip[:, None, :] @ u.transpose(0, 2, 1)).reshape(-1, 9), columns=names)
+
+    solved = moments.withColumn("turn", turn(F.struct(*[c for c in moments.columns if c != "structure_id"])))
+    centers = [(F.col(f"s{c}") / F.col("n")).alias(f"c{c}") for c in ("x", "y", "z", "rx", "ry", "rz")]
+    moved = both.drop("rx", "ry", "rz").join(solved.select("structure_id", *centers, "turn.*"), "structure_id")
+    matrix = [[F.col(f"r{i}{j}") for j in (1, 2, 3)] for i in (1, 2, 3)]
+    place = [p + F.col(f"cr{a}") for p, a in zip(rotate(matrix, xyz(), (F.col("cx"), F.col("cy"), F.col("cz"))), "xyz", strict=True)]
+    return moved.select("structure_id", "atom_idx", *(p.alias(a) for p, a in zip(place, "xyz", strict=True)))
+
+
+def aligned_rmsd(model: DataFrame, reference: DataFrame) -> DataFrame:
+    """(structure_id, rmsd) after superposition, from moments that Spark sums before any row leaves it."""
+    moments = superposition_moments(paired(model, reference))
 
     @F.pandas_udf("double")
     def rmsd(m: pd.DataFrame) -> pd.Series:
-        n = m["n"].to_numpy(dtype=float)
-        p, q = m[["sx", "sy", "sz"]].to_numpy() / n[:, None], m[["srx", "sry", "srz"]].to_numpy() / n[:, None]
-        h = m[[f"m{a}{b}" for a in "xyz" for b in "xyz"]].to_numpy().reshape(-1, 3, 3) - n[:, None, None] * p[:, :, None] * q[:, None, :]
+        n, p, q, h = _covariance(m)
         s = np.linalg.svd(h, compute_uv=False)
         sign = np.where(np.linalg.det(h) < 0, -1.0, 1.0)
         left = m["pp"].to_numpy() + m["qq"].to_numpy() - n * ((p * p).sum(1) + (q * q).sum(1)) - 2 * (s[:, 0] + s[:, 1] + sign * s[:, 2])

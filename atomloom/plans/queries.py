@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atomloom.functions.geometry import constraint_features, interpolant, sinusoidal_embedding
-from atomloom.functions.vocab import classify_residue, element_index, modality_index, normalize_element, polymer_atom_index, vdw_radius
-from atomloom.operators import dataset, flow, geometry, network, tokens, training
-from atomloom.plans.projections import EVENTS_SQL, MOL_SQL, MOVED_SQL, event_atoms, mol, moved
-from atomloom.sources.structures import largest_chain, restrict_to_largest_chain, with_runs
+from atomloom.functions.geometry import constraint_features, euler_step, guided_velocity, interpolant, sinusoidal_embedding
+from atomloom.functions.vocab import classify_residue, element_index, modality_index, normalize_element, polymer_atom_index, polymer_start, vdw_radius
+from atomloom.operators import dataset, flow, geometry, tokens, training
+from atomloom.plans.projections import EVENTS_SQL, LARGEST_RADIUS, MIXED_SQL, MOL_SQL, MOVED_SQL, event_atoms, mixed, mol, moved
+from atomloom.sources.structures import largest_chain, parse_status, parse_structures, restrict_to_largest_chain, with_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,13 +39,18 @@ def sql6(*names: str) -> str:
 
 
 DIST = "sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z))"
-PAIRS_SQL = f"""{MOL_SQL},
-near_enough AS (
+
+
+def pairs_sql(atoms: str = "mol") -> str:
+    return f"""near_enough AS (
   SELECT p.structure_id, p.atom_idx AS i, q.atom_idx AS j, p.vdw + q.vdw - 0.4e0 - {DIST} AS overlap
-  FROM mol p JOIN mol q ON p.structure_id = q.structure_id AND p.atom_idx < q.atom_idx
+  FROM {atoms} p JOIN {atoms} q ON p.structure_id = q.structure_id AND p.atom_idx < q.atom_idx
    AND NOT (p.chain_id = q.chain_id AND abs(p.res_index - q.res_index) <= 1)
 ),
 clash AS (SELECT * FROM near_enough WHERE overlap > 1e-9)"""
+
+
+PAIRS_SQL = f"{MOL_SQL}, {pairs_sql()}"
 BONDS_SQL = """bonds AS (
   SELECT p.structure_id, p.atom_idx AS i, q.atom_idx AS j, v.ideal
   FROM mol p JOIN mol q ON p.structure_id = q.structure_id AND p.chain_id = q.chain_id AND p.res_index = q.res_index
@@ -72,8 +77,12 @@ centers AS (
    (ax*(bby*cz-bz*cy) + ay*(bz*cx-bx*cz) + az*(bx*cy-bby*cx)) / (sqrt(ax*ax+ay*ay+az*az)*sqrt(bx*bx+bby*bby+bz*bz)*sqrt(cx*cx+cy*cy+cz*cz) + 1e-6) AS volume
   FROM quads
 )"""
-PARTS_SQL = f"""{PAIRS_SQL}, {BONDS_SQL}, {CENTERS_SQL},
-sizes AS (SELECT structure_id, count(*) AS n_atoms FROM mol GROUP BY 1),
+
+
+def parts_sql(atoms: str = "mol") -> str:
+    """Energies and counts; ``atoms`` clash and count, those of mol bond."""
+    return f"""{pairs_sql(atoms)}, {BONDS_SQL}, {CENTERS_SQL},
+sizes AS (SELECT structure_id, count(*) AS n_atoms FROM {atoms} GROUP BY 1),
 c1 AS (SELECT structure_id, sum(overlap*overlap) AS clash_energy, count(*) AS clashes FROM clash GROUP BY 1),
 b1 AS (SELECT structure_id, sum((d-ideal)*(d-ideal)) AS bond_energy, sqrt(avg((d-ideal)*(d-ideal))) AS bond_rmsd, count(*) AS n_bonds FROM lengths GROUP BY 1),
 h1 AS (SELECT structure_id, sum(greatest(0.3e0-volume,0e0)*greatest(0.3e0-volume,0e0)) AS chirality_energy, count(*) FILTER (volume <= 1e-9) AS chirality_violations, count(*) AS n_chiral_centers FROM centers GROUP BY 1),
@@ -85,9 +94,50 @@ parts AS (
 )"""
 
 
-@query(f"WITH {PARTS_SQL} SELECT 'projected' AS label, structure_id, n_atoms, clashes, round_even(100e0*clashes/n_atoms, 2) AS clashes_per_100_atoms, round_even(bond_rmsd, 3) AS bond_rmsd_angstrom, chirality_violations, n_chiral_centers FROM parts")
+PARTS_SQL = f"{MOL_SQL}, {parts_sql()}"
+REPORT_SQL = "structure_id, n_atoms, clashes, round_even(100e0*clashes/n_atoms, 2) AS clashes_per_100_atoms, round_even(bond_rmsd, 3) AS bond_rmsd_angstrom, chirality_violations, n_chiral_centers FROM parts"
+
+
+@query(f"WITH {PARTS_SQL} SELECT 'projected' AS label, {REPORT_SQL}")
 def validity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.validity_report(mol(spark, sf_dir), "projected", TIE)
+    return geometry.validity_report(mol(spark, sf_dir), "projected", TIE, LARGEST_RADIUS)
+
+
+@query(f"WITH {MOL_SQL}, {MIXED_SQL}, {parts_sql('mixed')} SELECT 'mixed' AS label, {REPORT_SQL}")
+def validity_report_of_mixed_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.validity_report(mixed(mol(spark, sf_dir)), "mixed", TIE)
+
+
+@query(f"WITH {MOL_SQL}, {BONDS_SQL} SELECT structure_id, i, j, ideal FROM bonds")
+def bond_edges_of_mixed_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.backbone_bonds(mixed(mol(spark, sf_dir)))
+
+
+@query(f"WITH {MOL_SQL}, {CENTERS_SQL} SELECT structure_id, ca, n, c, cb FROM centers")
+def chiral_centers_of_mixed_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.chiral_centers(mixed(mol(spark, sf_dir))).drop("volume")
+
+
+MOVING_SQL = MOL_SQL.replace("mol AS (", "still AS (", 1) + f", mol AS (SELECT * REPLACE ({MOVED_SQL}) FROM still)"
+
+
+@query(f"SELECT * FROM (WITH {PARTS_SQL} SELECT 'native' AS label, {REPORT_SQL}) UNION ALL SELECT * FROM (WITH {MOVING_SQL}, {parts_sql()} SELECT 'moved' AS label, {REPORT_SQL})")
+def validity_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms = mol(spark, sf_dir)
+    return geometry.validity_reports({"native": atoms, "moved": moved(atoms)}, TIE, LARGEST_RADIUS)
+
+
+@query(
+    f"""WITH {MOL_SQL}, u AS (SELECT structure_id, avg(x) AS rmsd, count(*)::DOUBLE AS clashes, max(y) AS bond_rmsd FROM mol GROUP BY 1),
+    g AS (SELECT structure_id, avg(x) AS rmsd, count(*)::DOUBLE AS clashes, max(y) AS bond_rmsd FROM mol WHERE atom_name <> 'CB' AND structure_id % 3 <> 0 GROUP BY 1)
+    SELECT count(*) AS n_checked, round(avg(u.rmsd), 6) AS mean_rmsd, round(avg(u.clashes), 6) AS mean_clashes, round(avg(u.bond_rmsd), 6) AS mean_bond_rmsd,
+    round(avg(g.rmsd), 6) AS guided_mean_rmsd, round(avg(g.clashes), 6) AS guided_mean_clashes, round(avg(g.bond_rmsd), 6) AS guided_mean_bond_rmsd FROM u JOIN g USING (structure_id)"""
+)
+def guided_and_unguided_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms = mol(spark, sf_dir)
+    measured = lambda rows: rows.groupBy("structure_id").agg(F.avg("x").alias("rmsd"), F.count(F.lit(1)).cast("double").alias("clashes"), F.max("y").alias("bond_rmsd"))
+    means = geometry.guidance_means(measured(atoms), measured(atoms.filter((F.col("atom_name") != "CB") & (F.col("structure_id") % 3 != 0))))
+    return means.select("n_checked", *(F.round(c, 6).alias(c) for c in means.columns[1:]))
 
 
 @query(f"WITH {MOL_SQL} SELECT structure_id, atom_idx, chain_id, res_index, atom_name, element, {sql6('x', 'y', 'z')} FROM mol")
@@ -164,7 +214,7 @@ def largest_chain_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {MOL_SQL} SELECT structure_id, atom_idx, CAST(CASE element WHEN 'C' THEN 1 WHEN 'N' THEN 2 WHEN 'O' THEN 3 END AS BIGINT) AS element_idx, CAST(1 AS BIGINT) AS modality_idx,
-    CAST(CASE atom_name WHEN 'N' THEN 1 WHEN 'CA' THEN 2 WHEN 'C' THEN 3 WHEN 'O' THEN 4 ELSE 5 END AS BIGINT) AS polymer_atom_idx, vdw FROM mol"""
+    CAST(CASE atom_name WHEN 'N' THEN 1 WHEN 'CA' THEN 2 WHEN 'C' THEN 3 WHEN 'O' THEN 4 WHEN 'CB' THEN 5 ELSE 335 END AS BIGINT) AS polymer_atom_idx, vdw FROM mol"""
 )
 def vocabulary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mol(spark, sf_dir).select("structure_id", "atom_idx", element_index(F.col("element")).cast("long").alias("element_idx"), modality_index(F.lit("PROTEIN")).cast("long").alias("modality_idx"), polymer_atom_index(F.lit("ALA"), F.col("atom_name")).cast("long").alias("polymer_atom_idx"), vdw_radius(F.col("element")).alias("vdw"))
@@ -185,12 +235,12 @@ def relative_position_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS_SQL} SELECT structure_id, round(sum(overlap*overlap), 6) AS clash_energy FROM clash GROUP BY 1")
 def clash_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.clashes(mol(spark, sf_dir), tie_eps=TIE).select("structure_id", F.round("clash_energy", 6).alias("clash_energy"))
+    return geometry.clashes(mol(spark, sf_dir), tie_eps=TIE, largest=LARGEST_RADIUS).select("structure_id", F.round("clash_energy", 6).alias("clash_energy"))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT structure_id, count(*) AS clashes FROM clash GROUP BY 1")
 def clash_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.clashes(mol(spark, sf_dir), tie_eps=TIE).select("structure_id", "clashes")
+    return geometry.clashes(mol(spark, sf_dir), tie_eps=TIE, largest=LARGEST_RADIUS).select("structure_id", "clashes")
 
 
 @query(f"WITH {MOL_SQL}, {BONDS_SQL} SELECT structure_id, i, j, ideal FROM bonds")
@@ -205,14 +255,18 @@ def peptide_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PARTS_SQL} SELECT structure_id, round(bond_energy, 6) AS bond_energy, n_bonds FROM parts WHERE n_bonds > 0")
 def bond_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    atoms = mol(spark, sf_dir)
-    return geometry.bond_summary(geometry.bond_deviations(atoms, geometry.backbone_bonds(atoms))).select("structure_id", F.round("bond_energy", 6).alias("bond_energy"), "n_bonds")
+    return geometry.backbone_summary(mol(spark, sf_dir)).filter("n_bonds > 0").select("structure_id", F.round("bond_energy", 6).alias("bond_energy"), "n_bonds")
 
 
 @query(f"WITH {PARTS_SQL} SELECT structure_id, round(bond_rmsd, 6) AS bond_rmsd FROM parts WHERE n_bonds > 0")
 def bond_length_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.backbone_summary(mol(spark, sf_dir)).filter("n_bonds > 0").select("structure_id", F.round("bond_rmsd", 6).alias("bond_rmsd"))
+
+
+@query(f"WITH {PARTS_SQL} SELECT structure_id, round(bond_energy, 6) AS bond_energy, n_bonds FROM parts WHERE n_bonds > 0")
+def bond_energy_from_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     atoms = mol(spark, sf_dir)
-    return geometry.bond_summary(geometry.bond_deviations(atoms, geometry.backbone_bonds(atoms))).select("structure_id", F.round("bond_rmsd", 6).alias("bond_rmsd"))
+    return geometry.bond_summary(geometry.bond_deviations(atoms, geometry.backbone_bonds(atoms))).select("structure_id", F.round("bond_energy", 6).alias("bond_energy"), "n_bonds")
 
 
 @query(f"WITH {MOL_SQL}, {CENTERS_SQL} SELECT structure_id, ca, n, c, cb, round(volume, 6) + 0e0 AS volume FROM centers")
@@ -222,7 +276,7 @@ def chiral_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PARTS_SQL} SELECT structure_id, round(chirality_energy, 6) AS chirality_energy FROM parts WHERE n_chiral_centers > 0")
 def chirality_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.chirality_summary(geometry.chiral_centers(mol(spark, sf_dir))).select("structure_id", F.round("chirality_energy", 6).alias("chirality_energy"))
+    return geometry.backbone_summary(mol(spark, sf_dir)).filter("n_chiral_centers > 0").select("structure_id", F.round("chirality_energy", 6).alias("chirality_energy"))
 
 
 @query(f"WITH {PARTS_SQL} SELECT structure_id, chirality_violations, n_chiral_centers FROM parts WHERE n_chiral_centers > 0")
@@ -232,7 +286,7 @@ def chirality_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PARTS_SQL} SELECT structure_id, round(clash_energy + bond_energy + chirality_energy, 6) AS validity_energy FROM parts")
 def validity_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.validity_energy(mol(spark, sf_dir)).select("structure_id", F.round("validity_energy", 6).alias("validity_energy"))
+    return geometry.validity_energy(mol(spark, sf_dir), largest=LARGEST_RADIUS).select("structure_id", F.round("validity_energy", 6).alias("validity_energy"))
 
 
 @query(
@@ -266,6 +320,26 @@ def chain_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.chain_guidance(atoms, [flow.ChainConstraint(2, 1, (5.0, 0.0, 0.0), 1.0)], 0.5).drop("chain_idx").withColumns(r6("x", "y", "z"))
 
 
+CENTER_SQL = ", ".join(f"avg({a}) FILTER (chain_idx = {k}) AS {s}{a}" for s, k in (("m", 2), ("r", 1)) for a in "xyz")
+
+
+@query(
+    f"""WITH {MOL_SQL}, idx AS (SELECT structure_id, chain_id, dense_rank() OVER (PARTITION BY structure_id ORDER BY min(atom_idx)) AS chain_idx FROM mol GROUP BY 1, 2),
+    a AS (SELECT m.structure_id, atom_idx, chain_idx, x, y, z FROM mol m JOIN idx USING (structure_id, chain_id)),
+    c1 AS (SELECT structure_id, {CENTER_SQL} FROM a GROUP BY 1),
+    t AS (SELECT a.structure_id, atom_idx, chain_idx, x + CASE WHEN chain_idx = 2 THEN coalesce(0.5e0*(rx + 5e0 - mx), 0e0) ELSE 0e0 END AS x,
+      y + CASE WHEN chain_idx = 2 THEN coalesce(0.5e0*(ry - my), 0e0) ELSE 0e0 END AS y, z + CASE WHEN chain_idx = 2 THEN coalesce(0.5e0*(rz - mz), 0e0) ELSE 0e0 END AS z FROM a JOIN c1 USING (structure_id)),
+    c2 AS (SELECT structure_id, {CENTER_SQL} FROM t GROUP BY 1),
+    u AS (SELECT t.structure_id, atom_idx, x + CASE WHEN chain_idx = 1 THEN coalesce(0.25e0*(mx - rx), 0e0) ELSE 0e0 END AS x,
+      y + CASE WHEN chain_idx = 1 THEN coalesce(0.25e0*(my - 3e0 - ry), 0e0) ELSE 0e0 END AS y, z + CASE WHEN chain_idx = 1 THEN coalesce(0.25e0*(mz - rz), 0e0) ELSE 0e0 END AS z FROM t JOIN c2 USING (structure_id))
+    SELECT structure_id, atom_idx, round(x + 1e-9, 5) + 0e0 AS x, round(y + 1e-9, 5) + 0e0 AS y, round(z + 1e-9, 5) + 0e0 AS z FROM u"""
+)
+def chain_guidance_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms = mol_features(spark, sf_dir).select("structure_id", "atom_idx", "chain_idx", "x", "y", "z")
+    constraints = [flow.ChainConstraint(2, 1, (5.0, 0.0, 0.0), 1.0), flow.ChainConstraint(1, 2, (0.0, -3.0, 0.0), 0.5)]
+    return flow.chain_guidance(atoms, constraints, 0.5).drop("chain_idx").withColumns({a: F.round(F.col(a) + TIE, 5) + 0.0 for a in "xyz"})
+
+
 NOISE_SQL = "n AS (SELECT *, ((atom_idx * 7 + structure_id) % 11 - 5) / 5e0 AS e0, ((atom_idx * 3 + structure_id) % 13 - 6) / 6e0 AS e1, ((atom_idx * 5 + structure_id) % 7 - 3) / 3e0 + 0.05e0 AS e2, ((atom_idx + structure_id) % 5 - 2) / 4e0 AS e3 FROM mol)"
 
 
@@ -304,6 +378,12 @@ def flow_interpolant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noisy(mol(spark, sf_dir)).select("structure_id", "atom_idx", x_t.alias("x_t"), v.alias("v")).withColumns(r6("x_t", "v"))
 
 
+@query(f"WITH {MOL_SQL}, {NOISE_SQL} SELECT structure_id, atom_idx, round(CASE WHEN atom_name = 'CA' THEN y ELSE x + 0.1e0*(e0 + 1.5e0*(e1 - e0)) END, 6) + 0e0 AS x FROM n")
+def guided_euler_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    velocity = guided_velocity(F.col("e0"), F.col("e1"), 1.5)
+    return noisy(mol(spark, sf_dir)).select("structure_id", "atom_idx", euler_step(F.col("x"), velocity, 0.1, F.col("atom_name") == "CA", F.col("y")).alias("x")).withColumns(r6("x"))
+
+
 @query(f"WITH {MOL_SQL}, {NOISE_SQL} SELECT structure_id % 16 AS batch_id, round(coalesce(sum((e0-x)*(e0-x)+(e1-y)*(e1-y)+(e2-z)*(e2-z)) FILTER (atom_name <> 'CB'), 0e0) / (3 * greatest(count(*) FILTER (atom_name <> 'CB'), 1)), 6) AS loss FROM n GROUP BY 1")
 def flow_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = noisy(mol(spark, sf_dir)).select((F.col("structure_id") % 16).alias("batch_id"), (F.col("atom_name") != "CB").alias("mask"), F.col("e0").alias("px"), F.col("e1").alias("py"), F.col("e2").alias("pz"), F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("z").alias("vz"))
@@ -399,10 +479,10 @@ def check_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.check_pool(dataset.split(order_ids(spark, sf_dir), order_key(), "id", 0.1, 0.05), "id")
 
 
-@query(f"WITH {MOL_SQL}, s AS (SELECT structure_id, count(*) AS n FROM mol GROUP BY 1 HAVING count(*) <= 12) SELECT structure_id, atom_idx FROM mol JOIN s USING (structure_id)")
+@query(f"WITH {MOL_SQL}, s AS (SELECT structure_id, count(*) AS n FROM mol GROUP BY 1 HAVING count(*) <= 95) SELECT structure_id, atom_idx FROM mol JOIN s USING (structure_id)")
 def size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     atoms = mol(spark, sf_dir)
-    return dataset.within_size(atoms, 12).select("structure_id", "atom_idx")
+    return dataset.within_size(atoms, 95).select("structure_id", "atom_idx")
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber >= 5 AND l_orderkey IS NOT NULL)")
@@ -429,13 +509,30 @@ stepped AS (SELECT m.structure_id, m.atom_idx, x - 0.05e0*coalesce(gx, 0e0) AS x
 @query(f"WITH {FORCES_SQL} SELECT structure_id, atom_idx, round(x, 5) + 0e0 AS x, round(y, 5) + 0e0 AS y, round(z, 5) + 0e0 AS z FROM stepped")
 def clash_bond_guidance_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     atoms = mol(spark, sf_dir).select("structure_id", "atom_idx", "chain_id", "res_index", "atom_name", "element", "x", "y", "z")
-    return flow.validity_step(atoms, 0.05, w_chirality=0.0).select("structure_id", "atom_idx", *((F.round(a, 5) + 0.0).alias(a) for a in "xyz"))
+    return flow.validity_step(atoms, 0.05, w_chirality=0.0, largest=LARGEST_RADIUS).select("structure_id", "atom_idx", *((F.round(a, 5) + 0.0).alias(a) for a in "xyz"))
 
 
-@query()
+#: With b1, b2, b3 from CA to N, C and CB, D = |b1||b2||b3| + eps and w = max(0, margin - V / D), the gradient of w^2 on the end of
+#: b_k is -2 w (the cross product of the other two / D - V |b1||b2||b3| / (D^2 |b_k|^2) b_k); CA gets the opposite of the three.
+CHIRAL_SQL = """solid AS (
+  SELECT *, ax*(bby*cz-bz*cy) + ay*(bz*cx-bx*cz) + az*(bx*cy-bby*cx) AS v, ax*ax+ay*ay+az*az AS q1, bx*bx+bby*bby+bz*bz AS q2, cx*cx+cy*cy+cz*cz AS q3 FROM quads
+), bent AS (
+  SELECT *, sqrt(q1)*sqrt(q2)*sqrt(q3) AS p, sqrt(q1)*sqrt(q2)*sqrt(q3) + 1e-6 AS dd FROM solid WHERE q1 > 0 AND q2 > 0 AND q3 > 0
+), pull AS (SELECT *, -2*(0.3e0 - v/dd) AS s, v*p/(dd*dd) AS r FROM bent WHERE 0.3e0 - v/dd > 0
+), three AS (
+  SELECT structure_id, ca, n, c, cb,
+   s*((bby*cz-bz*cy)/dd - r/q1*ax) AS n1, s*((bz*cx-bx*cz)/dd - r/q1*ay) AS n2, s*((bx*cy-bby*cx)/dd - r/q1*az) AS n3,
+   s*((cy*az-cz*ay)/dd - r/q2*bx) AS c1x, s*((cz*ax-cx*az)/dd - r/q2*bby) AS c2x, s*((cx*ay-cy*ax)/dd - r/q2*bz) AS c3x,
+   s*((ay*bz-az*bby)/dd - r/q3*cx) AS d1, s*((az*bx-ax*bz)/dd - r/q3*cy) AS d2, s*((ax*bby-ay*bx)/dd - r/q3*cz) AS d3 FROM pull
+), chiral_force AS (
+  SELECT structure_id, n AS atom_idx, n1 AS gx, n2 AS gy, n3 AS gz FROM three UNION ALL SELECT structure_id, c, c1x, c2x, c3x FROM three
+  UNION ALL SELECT structure_id, cb, d1, d2, d3 FROM three UNION ALL SELECT structure_id, ca, -(n1+c1x+d1), -(n2+c2x+d2), -(n3+c3x+d3) FROM three)"""
+
+
+@query(f"WITH {FORCES_SQL.replace('grad AS', f'{CENTERS_SQL}, {CHIRAL_SQL}, grad AS').replace('FROM force GROUP', 'FROM (SELECT * FROM force UNION ALL SELECT * FROM chiral_force) GROUP')} SELECT structure_id, atom_idx, round(x, 5) + 0e0 AS x, round(y, 5) + 0e0 AS y, round(z, 5) + 0e0 AS z FROM stepped")
 def validity_guidance_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     atoms = mol(spark, sf_dir).select("structure_id", "atom_idx", "chain_id", "res_index", "atom_name", "element", "x", "y", "z")
-    return flow.validity_step(atoms, 0.05).select("structure_id", "atom_idx", "x", "y", "z")
+    return flow.validity_step(atoms, 0.05, largest=LARGEST_RADIUS).select("structure_id", "atom_idx", *((F.round(a, 5) + 0.0).alias(a) for a in "xyz"))
 
 
 RMSD_SQL = f"""WITH {MOL_SQL}, ball AS (SELECT structure_id, atom_idx, x - 3.8e0 * res_index AS x, y, z, l_partkey, l_suppkey, l_linenumber FROM mol),
@@ -447,48 +544,120 @@ k AS (SELECT *, a*a+d*d+g*g k11, a*b+d*e+g*h k12, a*c+d*f+g*i k13, b*b+e*e+h*h k
 t AS (SELECT *, (k11+k22+k33)/3 AS tr, sqrt(((k11-(k11+k22+k33)/3)*(k11-(k11+k22+k33)/3)+(k22-(k11+k22+k33)/3)*(k22-(k11+k22+k33)/3)+(k33-(k11+k22+k33)/3)*(k33-(k11+k22+k33)/3)+2*(k12*k12+k13*k13+k23*k23))/6) AS p FROM k),
 u AS (SELECT *, CASE WHEN p = 0 THEN 0e0 ELSE acos(greatest(-1e0, least(1e0, ((k11-tr)*((k22-tr)*(k33-tr)-k23*k23)-k12*(k12*(k33-tr)-k23*k13)+k13*(k12*k23-(k22-tr)*k13))/(2*p*p*p))))/3 END AS phi FROM t),
 v AS (SELECT *, sqrt(greatest(tr+2*p*cos(phi),0e0)) s1, sqrt(greatest(tr+2*p*cos(phi-2.0943951023931953e0),0e0)) s2, sqrt(greatest(tr+2*p*cos(phi+2.0943951023931953e0),0e0)) s3 FROM u)
-SELECT structure_id, round(sqrt(greatest(pp+qq-2*(s1+s2+CASE WHEN det < 0 THEN -s3 ELSE s3 END),0e0)/n), 3) AS rmsd FROM v WHERE n >= 40"""
+SELECT structure_id, round(sqrt(greatest(pp+qq-2*(s1+s2+CASE WHEN det < 0 THEN -s3 ELSE s3 END),0e0)/n), 3) AS rmsd FROM v"""
+
+
+def ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projection with residues not drawn out along x: SQL's closed form is exact only where the axes are of like size."""
+    return mol(spark, sf_dir).withColumn("x", F.col("x") - F.lit(3.8) * F.col("res_index"))
 
 
 @query(RMSD_SQL)
 def aligned_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The closed form in SQL is exact only where the three axes are of like size, so residues are not drawn out along x.
-    atoms = mol(spark, sf_dir).withColumn("x", F.col("x") - F.lit(3.8) * F.col("res_index"))
-    sizes = atoms.groupBy("structure_id").count().filter("count >= 40").select("structure_id")
-    return geometry.aligned_rmsd(moved(atoms), atoms).join(sizes, "structure_id").select("structure_id", F.round("rmsd", 3).alias("rmsd"))
+    atoms = ball(spark, sf_dir)
+    return geometry.aligned_rmsd(moved(atoms), atoms).select("structure_id", F.round("rmsd", 3).alias("rmsd"))
 
 
-@query()
+@query(f"SELECT structure_id, n, round(bx, 6) + 0e0 AS cx, round(bby, 6) + 0e0 AS cy, round(bz, 6) + 0e0 AS cz, rmsd FROM ({RMSD_SQL.replace('SELECT structure_id, round(sqrt', 'SELECT structure_id, m.n, bx, bby, bz, round(sqrt').replace('/n), 3) AS rmsd FROM v', '/m.n), 3) AS rmsd FROM v JOIN m USING (structure_id)')})")
 def kabsch_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    atoms = mol(spark, sf_dir)
-    return geometry.kabsch_align(moved(atoms), atoms)
+    """What the superposed atoms of each structure have: the reference's centre and the least distance to it."""
+    atoms = ball(spark, sf_dir)
+    both = geometry.paired(geometry.kabsch_align(moved(atoms), atoms), atoms)
+    off = sum(((F.col(a) - F.col(f"r{a}")) * (F.col(a) - F.col(f"r{a}")) for a in "xyz"), F.lit(0.0))
+    centers = [(F.round(F.avg(a), 6) + 0.0).alias(f"c{a}") for a in "xyz"]
+    return both.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"), *centers, F.round(F.sqrt(F.avg(off)), 3).alias("rmsd"))
 
 
-def network_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    atoms = mol(spark, sf_dir).withColumns({"modality": F.lit("PROTEIN"), "res_name": F.lit("ALA"), "is_virtual": F.lit(False)})
-    return tokens.featurize(atoms).join(atoms.select("structure_id", "atom_idx", "x", "y", "z"), ["structure_id", "atom_idx"])
+EXAMPLE_SQL = f"""WITH {MOL_SQL}, {NOISE_SQL}, s AS (SELECT *, CASE WHEN lag(chain_id) OVER (PARTITION BY structure_id ORDER BY atom_idx) = chain_id THEN 0 ELSE 1 END AS st, sqrt(e0*e0+e1*e1+e2*e2) AS len FROM n),
+r AS (SELECT *, sum(st) OVER (PARTITION BY structure_id ORDER BY atom_idx) AS run FROM s),
+w AS (SELECT *, CASE WHEN st = 1 THEN 10e0*e0 ELSE (3.8e0+e3)*e0/len END AS sx, CASE WHEN st = 1 THEN 10e0*e1 ELSE (3.8e0+e3)*e1/len END AS sy, CASE WHEN st = 1 THEN 10e0*e2 ELSE (3.8e0+e3)*e2/len END AS sz FROM r),
+walk AS (SELECT structure_id, atom_idx, atom_name = 'CB' AS virtual, res_index < 3 AS fixed, x, y, z, (structure_id % 10)/10e0 AS t, cos((structure_id % 7)::DOUBLE) AS co, sin((structure_id % 7)::DOUBLE) AS si,
+  sum(sx) OVER v AS wx, sum(sy) OVER v AS wy, sum(sz) OVER v AS wz FROM w WINDOW v AS (PARTITION BY structure_id, run ORDER BY atom_idx)),
+c AS (SELECT structure_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM walk WHERE NOT virtual GROUP BY 1),
+p AS (SELECT *, co*(x-mx) - si*(y-my) AS tx, si*(x-mx) + co*(y-my) AS ty, z-mz AS tz, NOT virtual AND NOT fixed AS mask FROM walk JOIN c USING (structure_id)),
+q AS (SELECT *, CASE WHEN fixed THEN tx ELSE wx END AS ax, CASE WHEN fixed THEN ty ELSE wy END AS ay, CASE WHEN fixed THEN tz ELSE wz END AS az FROM p),
+e AS (SELECT *, CASE WHEN mask THEN tx ELSE ax END AS bx, CASE WHEN mask THEN ty ELSE ay END AS bby, CASE WHEN mask THEN tz ELSE az END AS bz FROM q)
+SELECT structure_id, atom_idx, mask, t, round((1-t)*ax + t*bx, 5) + 0e0 AS xt, round((1-t)*ay + t*bby, 5) + 0e0 AS yt, round((1-t)*az + t*bz, 5) + 0e0 AS zt, round(bx-ax, 5) + 0e0 AS vx, round(bby-ay, 5) + 0e0 AS vy, round(bz-az, 5) + 0e0 AS vz FROM e"""
 
 
-CONFIG = network.ModelConfig(d_single=16, d_pair=8, n_heads=4, n_encoder=1, n_decoder=1, d_time=16)
+def turns(structures: DataFrame) -> DataFrame:
+    """A turn about z of each structure by a fixed rule."""
+    angle, zero = (F.col("structure_id") % 7).cast("double"), F.lit(0.0)
+    rows = {"r11": F.cos(angle), "r12": -F.sin(angle), "r13": zero, "r21": F.sin(angle), "r22": F.cos(angle), "r23": zero, "r31": zero, "r32": zero, "r33": F.lit(1.0)}
+    return structures.select("structure_id").distinct().select("structure_id", *(c.alias(n) for n, c in rows.items()))
 
 
-@query()
-def network_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.network_forward(network_rows(spark, sf_dir), network.init_model(CONFIG), CONFIG, 0.5)
+def example_atoms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Atoms of which each CB is virtual, and the fixed ones of the first residues at their places."""
+    atoms = mol(spark, sf_dir).withColumn("is_virtual", F.col("atom_name") == "CB")
+    return atoms, atoms.filter(F.col("res_index") < 3).select("structure_id", "atom_idx", F.lit(True).alias("is_fixed"), *(F.col(a).alias(f"f{a}") for a in "xyz"))
 
 
-@query()
-def sample_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.sample_flow(network_rows(spark, sf_dir), network.init_model(CONFIG), CONFIG, 1, n_steps=4)
+@query(EXAMPLE_SQL)
+def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms, fixed = example_atoms(spark, sf_dir)
+    rows = flow.training_examples(atoms, fixed, seed=5, draws=(noisy(atoms), turns(atoms), F.col("structure_id") % 10 / 10.0))
+    return rows.withColumns({c: F.round(c, 5) + 0.0 for c in ("xt", "yt", "zt", "vx", "vy", "vz")})
 
 
 @query()
-def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    atoms = mol(spark, sf_dir).withColumn("is_virtual", F.lit(False))
-    fixed = atoms.filter(F.col("res_index") < 3).select("structure_id", "atom_idx", F.lit(True).alias("is_fixed"), F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("z").alias("fz"))
+def training_examples_of_a_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms, fixed = example_atoms(spark, sf_dir)
     return flow.training_examples(atoms, fixed, seed=5)
 
 
+@query(f"WITH {MOL_SQL} SELECT structure_id, atom_idx, false AS is_fixed, false AS is_hotspot, 0e0 AS rasa_target, false AS has_rasa, 0e0 AS fx, 0e0 AS fy, 0e0 AS fz FROM mol")
+def no_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.no_constraints(mol(spark, sf_dir))
+
+
+SERINE = polymer_start("SER")
+
+
+@query(
+    f"""WITH {MOL_SQL}, residues AS (SELECT structure_id, res_index, min(chain_id) AS chain_id FROM mol GROUP BY 1, 2), slots AS (SELECT * FROM (VALUES (0,'N'),(1,'CA'),(2,'C'),(3,'O'),(4,'CB'),(5,'OG')) s(slot_ord, atom_name)),
+    grid AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY res_index, slot_ord) AS atom_idx FROM residues CROSS JOIN slots),
+    firsts AS (SELECT structure_id, chain_id, dense_rank() OVER (PARTITION BY structure_id ORDER BY min(atom_idx)) AS chain_idx FROM grid GROUP BY 1, 2)
+    SELECT g.structure_id, CAST(g.atom_idx AS BIGINT) AS atom_idx, g.res_index, CAST(f.chain_idx AS BIGINT) AS chain_idx, CAST({SERINE} + slot_ord AS BIGINT) AS polymer_atom_idx, CAST(CASE substr(g.atom_name, 1, 1) WHEN 'C' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS BIGINT) AS element_idx,
+    m.x IS NULL AS is_virtual, round(coalesce(x, 0e0), 6) + 0e0 AS x, round(coalesce(y, 0e0), 6) + 0e0 AS y, round(coalesce(z, 0e0), 6) + 0e0 AS z, 0e0 AS is_fixed, 0e0 AS is_hotspot, 0e0 AS rasa, 0e0 AS has_rasa
+    FROM grid g JOIN firsts f ON f.structure_id = g.structure_id AND f.chain_id = g.chain_id LEFT JOIN mol m ON m.structure_id = g.structure_id AND m.res_index = g.res_index AND m.atom_name = g.atom_name"""
+)
+def structure_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flow.examples(serine_atoms(spark, sf_dir))
+    longs = [F.col(c).cast("long").alias(c) for c in ("atom_idx", "res_index", "chain_idx", "polymer_atom_idx", "element_idx")]
+    return rows.select("structure_id", *longs, "is_virtual", "x", "y", "z", "is_fixed", "is_hotspot", "rasa", "has_rasa").withColumns(r6("x", "y", "z"))
+
+
+def structure_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projection as files: PDB text for even structures, mmCIF text (rows broken over lines) for odd ones; each residue of
+    a number divisible by 4 has a water after it."""
+    atoms = mol(spark, sf_dir).select("structure_id", "atom_idx", "chain_id", "res_index", "atom_name", "element", "x", "y", "z").withColumns({"record": F.lit("ATOM"), "res_name": F.lit("ALA")})
+    waters = atoms.filter((F.col("atom_name") == "N") & (F.col("res_index") % 4 == 0)).withColumns({"atom_idx": F.col("atom_idx") + 9000, "record": F.lit("HETATM"), "res_name": F.lit("HOH"), "atom_name": F.lit("O"), "element": F.lit("O")})
+    every = atoms.unionByName(waters)
+    pdb = F.format_string("%-6s%5d %-4s %3s %s%4d    %8.3f%8.3f%8.3f  1.00  0.00          %2s", "record", F.col("atom_idx") % 100000, "atom_name", "res_name", "chain_id", "res_index", "x", "y", "z", "element")
+    cif = F.format_string("%s %d %s '%s' . %s\n%s %d %.3f %.3f %.3f", "record", "atom_idx", "element", "atom_name", "res_name", "chain_id", "res_index", "x", "y", "z")
+    odd = F.col("structure_id") % 2 == 1
+    lines = every.select("structure_id", "atom_idx", F.when(odd, cif).otherwise(pdb).alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("atom_idx", "line"))), lambda r: r["line"]), "\n")
+    names = ["group_PDB", "id", "type_symbol", "label_atom_id", "label_alt_id", "label_comp_id", "label_asym_id", "label_seq_id", "Cartn_x", "Cartn_y", "Cartn_z"]
+    head = "data_x\nloop_\n" + "".join(f"_atom_site.{n}\n" for n in names)
+    grouped = lines.groupBy("structure_id").agg(text.alias("text"))
+    return grouped.select(F.col("structure_id").cast("string").alias("structure_id"), F.when(odd, "cif").otherwise("pdb").alias("format"), F.when(odd, F.concat(F.lit(head), "text", F.lit("\n#\n"))).otherwise(F.col("text")).alias("content"))
+
+
+@query(f"WITH {MOL_SQL} SELECT CAST(structure_id AS VARCHAR) AS structure_id, chain_id, res_index, 'ALA' AS res_name, 'PROTEIN' AS modality, atom_name, element, round(x, 3) + 0e0 AS x, round(y, 3) + 0e0 AS y, round(z, 3) + 0e0 AS z FROM mol")
+def parse_structure_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms = parse_structures(structure_texts(spark, sf_dir))
+    return atoms.select("structure_id", "chain_id", F.col("res_index").cast("long").alias("res_index"), "res_name", "modality", "atom_name", "element", *((F.col(a) + 0.0).alias(a) for a in "xyz"))
+
+
+@query(f"WITH {MOL_SQL} SELECT CAST(structure_id AS VARCHAR) AS structure_id, CASE WHEN structure_id % 3 = 0 THEN 0 ELSE count(*) END AS n_atoms, CASE WHEN structure_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN structure_id % 3 = 0 THEN 'no atom records' END AS reason FROM mol GROUP BY structure_id")
+def parse_status_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = structure_texts(spark, sf_dir)
+    cut = texts.withColumn("content", F.when(F.col("structure_id").cast("long") % 3 == 0, F.substring("content", 1, 12)).otherwise(F.col("content")))
+    return parse_status(cut)
+
+
 @query(f"WITH {MOL_SQL}, s AS (SELECT structure_id, count(*) AS n FROM mol GROUP BY 1) SELECT count(*) AS n_structures, min(n) AS least, round(avg(n), 6) AS mean, max(n) AS most FROM s")
 def size_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.size_statistics(mol(spark, sf_dir)).withColumn("mean", F.round("mean", 6))

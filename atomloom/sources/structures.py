@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, islice, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atomloom.functions.vocab import STRUCTURE_SUFFIXES, WATERS, classify_residue, infer_element, normalize_element
+from atomloom.functions.vocab import MODALITIES, STRUCTURE_SUFFIXES, WATERS, atom_slots, classify_residue, infer_element, normalize_element
 
 RAW_SCHEMA = "structure_id string, atom_ord int, chain_id string, res_id int, insertion string, res_name string, atom_name string, element string, x double, y double, z double, hetero boolean"
 
@@ -59,35 +60,56 @@ def pdb_atoms(texts: DataFrame) -> DataFrame:
 _CIF_WORD = re.compile(r"""'((?:[^']|'(?=\S))*)'(?=\s|$)|"((?:[^"]|"(?=\S))*)"(?=\s|$)|(\S+)""")
 
 
+def _cif_values(lines: Iterator[str]) -> Iterator[str | None]:
+    """Values of a loop, one by one wherever lines break, up to what follows it; None for ``.`` and ``?``."""
+    for line in lines:
+        if line.startswith(";"):
+            text, line = [line[1:]], ""
+            for rest in lines:
+                if rest.startswith(";"):
+                    line = rest[1:]
+                    break
+                text.append(rest)
+            yield "\n".join(text).strip()
+        line = line.strip()
+        if line.startswith(("#", "_", "loop_", "data_")):
+            return
+        for single, double, plain in _CIF_WORD.findall(line):
+            yield None if plain in (".", "?") else single or double or plain
+
+
+def _number(text: str | None, kind: type) -> float | int | None:
+    try:
+        return kind(text)
+    except (TypeError, ValueError):
+        return None
+
+
 def _cif_rows(content: str) -> Iterator[tuple]:
-    """Values of the atom_site loop of one mmCIF text, in the columns of RAW_SCHEMA after the id."""
+    """Values of the atom_site loop of one mmCIF text, in the columns of RAW_SCHEMA after the id.
+
+    Unreadable or missing numbers are null, as in the other format, and a row that ends early has nulls for the rest.
+    """
+    lines = iter(content.splitlines())
     names: list[str] = []
-    reading, ordinal = False, 0
-    first_model = None
-    for line in content.splitlines():
-        line = line.strip()
-        if line.startswith("_atom_site."):
+    for line in lines:
+        if line.strip().startswith("_atom_site."):
             names.append(line.split()[0].removeprefix("_atom_site."))
-            reading = True
-            continue
-        if not reading:
-            continue
-        if not line or line[0] in "#_" or line.startswith(("loop_", "data_")):
+        elif names:
+            lines = chain([line], lines)
             break
-        values = [a or b or c for a, b, c in _CIF_WORD.findall(line)]
-        if len(values) != len(names):
-            continue
-        row = dict(zip(names, values, strict=True))
-        pick = lambda *keys: next((row[k] for k in keys if row.get(k, ".") not in ".?"), "")  # noqa: B023, E731
-        first_model = first_model or row.get("pdbx_PDB_model_num", "1")
-        if row.get("pdbx_PDB_model_num", "1") != first_model or row.get("label_alt_id", ".") not in (".", "?", "A"):
+    values = _cif_values(lines)
+    first_model, ordinal = None, 0
+    while names and (cells := list(islice(values, len(names)))):
+        row = dict(zip_longest(names, cells))
+        pick = lambda *keys: next((row[k] for k in keys if row.get(k) is not None), "")  # noqa: B023, E731
+        model = row.get("pdbx_PDB_model_num") or "1"
+        first_model = first_model or model
+        if model != first_model or row.get("label_alt_id") not in (None, "A"):
             continue
         ordinal += 1
-        try:
-            place = [float(row[f"Cartn_{axis}"]) for axis in "xyz"]
-            number = int(pick("auth_seq_id", "label_seq_id"))
-        except (KeyError, ValueError):
-            continue
+        place = [_number(row.get(f"Cartn_{axis}"), float) for axis in "xyz"]
+        number = _number(pick("auth_seq_id", "label_seq_id"), int)
         yield (ordinal, pick("auth_asym_id", "label_asym_id"), number, pick("pdbx_PDB_ins_code"), pick("auth_comp_id", "label_comp_id"), pick("auth_atom_id", "label_atom_id"), pick("type_symbol"), *place, row.get("group_PDB") == "HETATM")
 
 
@@ -143,7 +165,34 @@ def residues_of(raw: DataFrame) -> DataFrame:
 
 def parse_structures(texts: DataFrame) -> DataFrame:
     """The atom relation of (structure_id, format, content) rows; format cif is mmCIF, anything else PDB."""
-    return residues_of(pdb_atoms(texts.filter(F.col("format") != "cif")).unionByName(cif_atoms(texts.filter(F.col("format") == "cif"))))
+    return residues_of(raw_atoms(texts))
+
+
+def raw_atoms(texts: DataFrame) -> DataFrame:
+    """Raw atom rows of (structure_id, format, content) texts; format cif is mmCIF, anything else PDB."""
+    return pdb_atoms(texts.filter(F.col("format") != "cif")).unionByName(cif_atoms(texts.filter(F.col("format") == "cif")))
+
+
+def parse_status(texts: DataFrame) -> DataFrame:
+    """(structure_id, n_atoms, status, reason) of every text: ``ok``, or ``damaged`` or ``failed`` with a reason.
+
+    A failed structure gives no tokens: it has no atoms, waters only, or a polymer residue without a vocabulary. A damaged one
+    has atom rows whose numbers cannot be read; they are kept with nulls.
+    """
+    raw = raw_atoms(texts).withColumn("water", F.trim("res_name").isin(WATERS))
+    bad = F.greatest(*(F.col(c).isNull() for c in ("x", "y", "z", "res_id")))
+    counts = raw.groupBy("structure_id").agg(F.count_if(~F.col("water")).alias("n_atoms"), F.count_if(~F.col("water") & bad).alias("n_bad"))
+    polymer = residues_of(raw.drop("water")).filter(F.col("modality").isin(MODALITIES[:3]) & atom_slots(F.col("res_name")).isNull())
+    unknown = polymer.groupBy("structure_id").agg(F.min("res_name").alias("unknown"))
+    found = texts.select("structure_id").distinct().join(counts, "structure_id", "left").join(unknown, "structure_id", "left")
+    failed = (
+        F.when(F.col("n_atoms").isNull(), F.lit("no atom records"))
+        .when(F.col("n_atoms") == 0, F.lit("waters only"))
+        .when(F.col("unknown").isNotNull(), F.concat(F.lit("unknown polymer residue: "), F.col("unknown")))
+    )
+    damage = F.when(F.col("n_bad") > 0, F.concat(F.lit("atom rows with unreadable numbers: "), F.col("n_bad").cast("string")))
+    status = F.when(failed.isNotNull(), "failed").when(damage.isNotNull(), "damaged").otherwise("ok")
+    return found.select("structure_id", F.coalesce("n_atoms", F.lit(0)).alias("n_atoms"), status.alias("status"), F.coalesce(failed, damage).alias("reason"))
 
 
 def from_atom_array(rows: DataFrame) -> DataFrame:

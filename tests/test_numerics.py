@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from atomloom.operators import dataset, flow, geometry, network
+from atomloom.operators import dataset, flow, geometry
 
 SCHEMA = "structure_id string, atom_idx int, chain_id string, res_index int, atom_name string, element string, x double, y double, z double"
 
@@ -61,7 +61,11 @@ def test_superposition(spark):
     assert geometry.aligned_rmsd(copy, ref).first().rmsd < 1e-3
     q = p.copy()
     q[1, 0] += 2
-    brute = np.sqrt(((geometry._superpose(q, p) - p) ** 2).sum() / 4)
+    u, _, vt = np.linalg.svd((q - q.mean(axis=0)).T @ (p - p.mean(axis=0)))
+    best = (q - q.mean(axis=0)) @ (vt.T @ np.diag([1, 1, np.linalg.det(vt.T @ u.T)]) @ u.T).T + p.mean(axis=0)
+    brute = np.sqrt(((best - p) ** 2).sum() / 4)
+    mirrored = geometry.kabsch_align(frame(p * [1, 1, -1]), ref).orderBy("atom_idx").toPandas()[["x", "y", "z"]].to_numpy()
+    assert np.linalg.det((mirrored - mirrored[0])[1:]) == pytest.approx(-np.linalg.det((p - p[0])[1:]))  # turned, not reflected
     assert brute > 0.5 and geometry.aligned_rmsd(frame(q @ turn.T), ref).first().rmsd == pytest.approx(brute, abs=1e-6)
 
 
@@ -72,9 +76,9 @@ def test_guidance_lowers_energy(spark, sf):
     before = {r.structure_id: r.validity_energy for r in geometry.validity_energy(a).collect()}
     after = {r.structure_id: r.validity_energy for r in geometry.validity_energy(flow.validity_step(a, 1e-3)).collect()}
     assert all(after[k] < before[k] for k in before)
-    g = flow.validity_gradient(a.filter("structure_id = 0")).filter("atom_idx = 8").first()
+    g = flow.validity_gradient(a.filter("structure_id = 0")).filter("atom_idx = 10003").first()
     h, total = 1e-5, lambda d: geometry.validity_energy(d).filter("structure_id = 0").first().validity_energy
-    shifted = lambda s: a.withColumn("x", F.when((F.col("structure_id") == 0) & (F.col("atom_idx") == 8), F.col("x") + s).otherwise(F.col("x")))
+    shifted = lambda s: a.withColumn("x", F.when((F.col("structure_id") == 0) & (F.col("atom_idx") == 10003), F.col("x") + s).otherwise(F.col("x")))
     assert g.gx == pytest.approx((total(shifted(h)) - total(shifted(-h))) / (2 * h), rel=1e-4)
 
 
@@ -97,27 +101,6 @@ def test_training_examples(spark):
     assert gap(x1, 0, 1) == pytest.approx(1.0) and gap(x1, 0, 2) == pytest.approx(3.0) and np.abs(x1.mean(axis=0)).max() < 1e-9
 
 
-def test_network_padding_and_parameters():
-    assert network.count_params(network.init_model(network.ModelConfig())) == 77011
-    with pytest.raises(ValueError):
-        network.ModelConfig(d_single=10, n_heads=4)
-    config = network.ModelConfig(16, 8, 4, 2, 2, 16)
-    p = network.init_model(config, 1)
-    p["head.w"] = np.random.default_rng(0).normal(size=p["head.w"].shape)
-    small = pd.DataFrame({"element_idx": [1, 2, 3], "modality_idx": 1, "polymer_atom_idx": [1, 2, 3], "chain_idx": 1, "res_index": [1, 1, 2]})
-    wide = pd.concat([small, pd.DataFrame({"element_idx": [1, 1], "modality_idx": 1, "polymer_atom_idx": 1, "chain_idx": 1, "res_index": 0})], ignore_index=True)
-    x = np.random.default_rng(2).normal(size=(5, 3))
-    cond = np.zeros((5, 4))
-    a = network.velocity(p, config, small, x[:3], 0.3, cond[:3])
-    b = network.velocity(p, config, wide, x, 0.3, cond, pad=np.array([1, 1, 1, 0, 0], bool))
-    assert np.abs(a - b[:3]).max() < 1e-5
-    fixed = np.array([True, False, False])
-    out = network.sample(p, config, small, 1, 4, fixed, x[:3] + 50)
-    assert np.abs(out[0] - (x[0] + 50)).max() < 1e-9
-    confidence, logit = network.verify(network.init_verifier(), 2, small, x[:3])
-    assert ((confidence > 0) & (confidence < 1)).all() and logit.shape == (3,)
-
-
 def test_splits_are_exact(spark):
     rows = spark.range(37).withColumnRenamed("id", "id")
     parts = {r["split"]: r["count"] for r in dataset.split(rows, dataset.arithmetic_key(F.col("id"), 3), "id", 0.1, 0.1).groupBy("split").count().collect()}

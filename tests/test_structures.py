@@ -79,6 +79,40 @@ def test_unknown_polymer_is_set_aside(spark):
         structures.from_atom_array(rows.drop("x"))
 
 
+def test_every_text_has_a_status(spark):
+    """Rows over several lines, text values, a row that ends early and unreadable numbers: nothing vanishes without a reason."""
+    broken = CIF.replace('ATOM 1 C "C1\'" . G A 1 1.0 2.0 3.0', "ATOM 1 C\n;C1'\n; . G\nA 1 1.0 oops\n3.0").replace("HETATM 3 O O . HOH B 1 9.0 9.0 9.0", "ATOM 3 C C8 . G A")
+    texts = [("p", "pdb", PDB), ("c", "cif", CIF), ("broken", "cif", broken), ("none", "pdb", "HEADER"), ("empty", "cif", None), ("water", "pdb", PDB.splitlines()[-1])]
+    texts.append(("odd", "pdb", pdb_line("ATOM", 1, "N", "XXX", "A", 1, 0, 0, 0)))
+    rows = {r.structure_id: (r.n_atoms, r.status, r.reason) for r in structures.parse_status(spark.createDataFrame(texts, "structure_id string, format string, content string")).collect()}
+    assert rows == {
+        "p": (12, "ok", None),
+        "c": (2, "ok", None),
+        "broken": (3, "damaged", "atom rows with unreadable numbers: 2"),
+        "none": (0, "failed", "no atom records"),
+        "empty": (0, "failed", "no atom records"),
+        "water": (0, "failed", "waters only"),
+        "odd": (1, "failed", "unknown polymer residue: XXX"),
+    }
+    got = structures.parse_structures(spark.createDataFrame(texts[2:3], "structure_id string, format string, content string")).orderBy("atom_ord").collect()
+    assert [(r.atom_name, r.x, r.y, r.z) for r in got] == [("C1'", 1.0, None, 3.0), ("P", 0.0, 0.0, 0.0), ("C8", None, None, None)]
+
+
+def test_strangers_do_not_bond(spark):
+    """A calcium ion and a ligand nitrogen in a protein residue's chain and number: no bonds, no centres, but clashes."""
+    rows = [("s", i + 1, c, r, n, n[0], "PROTEIN", float(x), float(y), float(z)) for i, (c, r, n, x, y, z) in enumerate(TWO)]
+    rows += [("s", 50, "A", 1, "CA", "Ca", "ION", 9.0, 9.0, 9.0), ("s", 51, "A", 2, "N", "N", "LIGAND", 9.0, 0.0, 0.0), ("s", 52, "B", 9, "O", "O", "LIGAND", 9.0, 9.5, 9.0)]
+    a = spark.createDataFrame(rows, "structure_id string, atom_idx int, chain_id string, res_index int, atom_name string, element string, modality string, x double, y double, z double")
+    protein = a.filter("modality = 'PROTEIN'")
+    same = lambda f: sorted(map(tuple, f(a).collect())) == sorted(map(tuple, f(protein).collect()))
+    assert same(geometry.backbone_bonds) and same(geometry.chiral_centers)
+    whole, own = geometry.validity_parts(a).first(), geometry.validity_parts(protein).first()
+    assert (whole.n_atoms, whole.clashes, own.clashes) == (12, 1, 0)
+    assert (whole.bond_energy, whole.n_bonds, whole.chirality_energy) == (own.bond_energy, own.n_bonds, own.chirality_energy)
+    with pytest.raises(Exception, match="larger than"):
+        geometry.clash_pairs(a, largest=1.7).count()
+
+
 def test_scalar_functions(spark):
     assert SLOTS["GLY"] == ["N", "CA", "C", "O"]
     row = spark.range(1).select(normalize_element(F.lit("")).alias("a"), normalize_element(F.lit("zn")).alias("b"), infer_element(F.lit("1hb")).alias("c"), classify_residue(F.lit("SEP"), F.lit(True), F.lit(1)).alias("d"), classify_residue(F.lit("SEP"), F.lit(True), F.lit(9)).alias("e")).first()
