@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -28,8 +29,8 @@ DOCS_PER_LANGUAGE = 1500
 EM_STEPS = 3
 SMOOTHING = 0.05
 FOLDS, HELD_OUT_FOLD = 3, 1
-#: Runs of letters longer than this are cut, so that products of piece probabilities stay in range.
-LONGEST = 32
+#: Longer runs of letters are summed by logarithms place by place; products of piece probabilities stay in range for others.
+LONG = 32
 CACHE = 250_000
 GROUP_WORDS = 200_000
 LETTERS = regex.compile(r"\p{L}+")
@@ -38,10 +39,7 @@ MARK = "▁"
 
 
 def words_of(text: str | None) -> list[str]:
-    found = LETTERS.findall((text or "").lower())
-    if found and max(map(len, found)) > LONGEST:
-        return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    return LETTERS.findall((text or "").lower())
 
 
 @dataclass(frozen=True)
@@ -51,6 +49,10 @@ class Vocabulary:
     ids: dict[str, int]
     prefixes: frozenset[str]
 
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.prefixes), default=1)
+
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -58,6 +60,13 @@ class Vocabulary:
         pieces = sorted({p.lower() for p in usable if regex.fullmatch(r"▁?\p{L}*", p)})
         return cls({p: k for k, p in enumerate(pieces)}, frozenset(p[:k] for p in pieces for k in range(1, len(p) + 1)))
 
+    def ending(self, marked: str, end: int) -> Iterator[tuple[int, int]]:
+        """(begin, piece) of the pieces of a marked word that end at a place."""
+        for begin in range(max(0, end - self.longest), end):
+            piece = self.ids.get(marked[begin:end], len(self.ids) if begin == end - 1 else None)
+            if piece is not None:
+                yield begin, piece
+
     def edges(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(word, begin, end, piece) of every piece occurrence, by end, and the lengths; places count the start mark."""
         other = len(self.ids)
@@ -116,6 +125,36 @@ def expected_counts(vocabulary: Vocabulary, words: Sequence[str], times: np.ndar
     return np.bincount(piece, weights=share * times[word], minlength=len(p))
 
 
+def long_word_logs(vocabulary: Vocabulary, word: str, logs: np.ndarray) -> np.ndarray:
+    """Log probability [language] of a word of any length over all segmentations; ``logs`` are those of the pieces.
+
+    The sums of the last places are kept, as far back as a piece reaches.
+    """
+    marked, reach = MARK + word, vocabulary.longest
+    sums = {0: np.zeros(logs.shape[1])}
+    for end in range(1, len(marked) + 1):
+        sums[end] = np.logaddexp.reduce([sums[begin] + logs[piece] for begin, piece in vocabulary.ending(marked, end)])
+        sums.pop(end - reach, None)
+    return sums[len(marked)]
+
+
+def long_word_counts(vocabulary: Vocabulary, word: str, logs: np.ndarray) -> dict[int, float]:
+    """Expected number of uses of each piece in one word of any length, from the log probabilities of one language."""
+    marked = MARK + word
+    edges = [list(vocabulary.ending(marked, end)) for end in range(1, len(marked) + 1)]
+    ahead = np.full(len(marked) + 1, -np.inf)
+    back = ahead.copy()
+    ahead[0] = back[-1] = 0.0
+    for end, found in enumerate(edges, 1):
+        ahead[end] = np.logaddexp.reduce([ahead[begin] + logs[piece] for begin, piece in found])
+    counts: dict[int, float] = {}
+    for end in range(len(marked), 0, -1):
+        for begin, piece in edges[end - 1]:
+            back[begin] = np.logaddexp(back[begin], logs[piece] + back[end])
+            counts[piece] = counts.get(piece, 0.0) + float(np.exp(ahead[begin] + logs[piece] + back[end] - ahead[-1]))
+    return counts
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     vocabulary: Vocabulary
@@ -160,8 +199,13 @@ def train(docs: DataFrame, path: str) -> LanguageModel:
                 langs = np.array(batch.column("lang").to_pylist(), dtype=object)
                 words, times = batch.column("word").to_pylist(), batch.column("count").to_numpy().astype(float)
                 for lang in set(langs):
-                    own = np.flatnonzero(langs == lang)
-                    gathered[:, column[lang]] += expected_counts(vocabulary, [words[i] for i in own], times[own], current[:, column[lang]])
+                    own, k = np.flatnonzero(langs == lang), column[lang]
+                    short = [i for i in own if len(words[i]) <= LONG]
+                    gathered[:, k] += expected_counts(vocabulary, [words[i] for i in short], times[short], current[:, k])
+                    for i in own:
+                        if len(words[i]) > LONG:
+                            for piece, n in long_word_counts(vocabulary, words[i], np.log(current[:, k])).items():
+                                gathered[piece, k] += n * times[i]
             piece, k = np.nonzero(gathered)
             yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(gathered[piece, k])], names=["k", "piece", "n"])
 
@@ -178,14 +222,19 @@ class Scorer:
     def __init__(self, model: LanguageModel):
         self.model = model
         self.rows: dict[str, int] = {}
+        self.piece_logs = np.log(model.probabilities)
         self.logs = np.zeros((CACHE, len(model.languages)), dtype=np.float32)
 
     def learn(self, words: list[str]) -> np.ndarray:
         """Log probabilities [word, language]."""
         out = np.zeros((len(words), self.logs.shape[1]), dtype=np.float32)
-        for at in range(0, len(words), 5000):
-            _, total = forward(self.model.vocabulary.edges(words[at : at + 5000]), self.model.probabilities)
-            out[at : at + 5000] = np.log(np.maximum(total, 1e-300))
+        short = next((i for i, w in enumerate(words) if len(w) > LONG), len(words))  # words come by length
+        for at in range(0, short, 5000):
+            stop = min(short, at + 5000)
+            _, total = forward(self.model.vocabulary.edges(words[at:stop]), self.model.probabilities)
+            out[at:stop] = np.log(np.maximum(total, 1e-300))
+        for i in range(short, len(words)):
+            out[i] = long_word_logs(self.model.vocabulary, words[i], self.piece_logs)
         return out
 
     def totals(self, texts: Iterator[str | None]) -> Iterator[np.ndarray | None]:
@@ -242,7 +291,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: Sequence[str] = ("doc_i
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every whole text of ``documents``; fold 1 of 3 is never learnt from."""
+    """Language of every whole text of ``documents``; fold 1 of 3 is never learnt from (``held_out``; null without an id)."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return predict(docs, model).select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT_FOLD).alias("held_out"), "lang_pred", "score")

@@ -115,6 +115,32 @@ def test_forward_sums_all_segmentations():
     assert counts[2] == pytest.approx(2 * 0.05 / total[0, 0]) and counts[1] == pytest.approx(2 * (0.1 * 0.2 + 0.3 * 0.15 * 0.2) / total[0, 0])
 
 
+def test_long_words_are_summed_whole():
+    """Runs of letters beyond LONG: the same sums and counts as the tables of short words, and no cut."""
+    rng = np.random.default_rng(2)
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "bab", "c"]
+    vocabulary = langid.Vocabulary({p: i for i, p in enumerate(pieces)}, frozenset(p[:k] for p in pieces for k in range(1, len(p) + 1)))
+    p = rng.dirichlet(np.ones(len(pieces) + 1), 3).T
+    word = "".join(rng.choice(list("abcd"), 60))
+    assert langid.words_of(f"{word} x") == [word, "x"]
+    _, total = langid.forward(vocabulary.edges([word]), p)
+    assert langid.long_word_logs(vocabulary, word, np.log(p)) == pytest.approx(np.log(total[0]))
+    counts = langid.expected_counts(vocabulary, [word], np.array([1.0]), p[:, 0])
+    found = langid.long_word_counts(vocabulary, word, np.log(p[:, 0]))
+    assert [found.get(k, 0.0) for k in range(len(p))] == pytest.approx(counts.tolist())
+    scorer = langid.Scorer(langid.LanguageModel(vocabulary, ("x", "y", "z"), p))
+    long = word * 50
+    (z,) = scorer.totals([long])
+    assert np.isfinite(z).all() and z == pytest.approx(langid.long_word_logs(vocabulary, long, np.log(p)), rel=1e-4) and (z < 40 * np.log(total[0])).all()
+
+
+def test_code_points():
+    text = "aé漢\U0001f600z\u0000ß"
+    points, lead = quality.code_points(np.frombuffer(text.encode(), np.uint8))
+    assert points.tolist() == list(map(ord, text)) and lead.tolist() == [len(text[:i].encode()) for i in range(len(text))]
+    assert quality.code_points(np.zeros(0, np.uint8))[0].tolist() == []
+
+
 def test_language_held_out(spark, sf, odd_documents, no_documents):
     docs = table(spark, sf, "documents")
     model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
