@@ -9,17 +9,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomloom.llm.common import materialize, sliced, table
 from atomloom.llm.labelled import fold, labelled_sample, logistic_fit, sigmoid
-from atomloom.llm.words import IS_WORD, Texts, groups, mix, span_hashes, windows
+from atomloom.llm.words import BASE, IS_WORD, Texts, groups, mix, span_hashes, windows
 
 #: Hashed features: words and word pairs share one half of the table, character n-grams have the other.
 BITS = 17
 CHAR_GRAMS = (2, 4)
 ROWS_PER_CLASS = 3000
+#: Partitions of the fit: each step of it sums one gradient of the whole feature table a partition.
+FIT_PARTITIONS = 4
 CALIBRATION_FOLD, FOLDS = 0, 5
 #: Documents with a smaller probability of quality 1 are dropped.
 MIN_PROBABILITY = 0.5
@@ -84,27 +86,39 @@ def base_counts(texts: Texts, starts: np.ndarray, ends: np.ndarray, word_offsets
     return out
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, places of their first bytes) of UTF-8 bytes."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    first = data[lead].astype(np.uint32)
+    length = 1 + (first >= 0xC0).astype(np.int64) + (first >= 0xE0) + (first >= 0xF0)
+    value = np.where(length == 1, first, first & (0x7F >> length).astype(np.uint32))
+    padded = np.append(data, np.zeros(3, np.uint8)).astype(np.uint32)
+    for k in (1, 2, 3):
+        value = np.where(length > k, value << np.uint32(6) | padded[lead + k] & np.uint32(0x3F), value)
+    return value, lead
+
+
 def features(texts: Texts, hashes: np.ndarray, word_offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of every n-gram: words, word pairs, and character (byte) n-grams of CHAR_GRAMS, spaces included."""
+    """(bucket, text) of every n-gram: words, word pairs, and n-grams of CHAR_GRAMS characters (code points), spaces included."""
     half = np.uint64(1 << (BITS - 1))
     n = texts.hi - texts.lo
     pairs, place = windows(hashes, word_offsets, 2)
     word_owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(word_offsets))
     buckets = [(hashes & (half - np.uint64(1))).astype(np.int32), (pairs & (half - np.uint64(1))).astype(np.int32)]
     owners = [word_owner, word_owner[place]]
-    wide = texts.data.astype(np.uint64)
-    byte_owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(texts.offsets))
+    points, lead = code_points(texts.data)
+    wide = points.astype(np.uint64)
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.searchsorted(lead, texts.offsets)))
     for width in CHAR_GRAMS:
         m = len(wide) - width + 1
         if m <= 0:
             continue
-        gram = np.zeros(m, dtype=np.uint64)
-        for k in range(width):
-            gram = (gram << np.uint64(8)) | wide[k : m + k]
-        inside = byte_owner[:m] == byte_owner[width - 1 :]
-        gram = mix(gram[inside] + np.uint64(width << 40))
-        buckets.append(((gram & (half - np.uint64(1))) | half).astype(np.int32))
-        owners.append(byte_owner[:m][inside])
+        gram = np.full(m, width, dtype=np.uint64)
+        for k in range(width):  # four code points are 84 bits: the sum is taken modulo 2**64
+            gram = gram * BASE + wide[k : m + k]
+        inside = owner[:m] == owner[width - 1 :]
+        buckets.append(((mix(gram[inside]) & (half - np.uint64(1))) | half).astype(np.int32))
+        owners.append(owner[:m][inside])
     return np.concatenate(buckets), np.concatenate(owners)
 
 
@@ -145,13 +159,19 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    """Fit on a bounded sample (ROWS_PER_CLASS a class) of labelled rows and calibrate on a fold left out of the fit."""
-    sample = labelled_sample(docs, labels, "quality", F.lit(True), ROWS_PER_CLASS).withColumn("fold", fold(F.col("doc_id"), FOLDS))
+def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> QualityModel:
+    """Fit on a bounded sample (ROWS_PER_CLASS a class) of labelled rows and calibrate on a fold left out of the fit.
+
+    ``usable`` narrows the labels that may be read, by a condition on doc_id. A document labelled twice counts with its
+    larger label. Without labels of both classes all texts get one probability, the share of label 1 (1 without labels).
+    """
+    sample = labelled_sample(docs, labels, "quality", F.lit(True) if usable is None else usable, ROWS_PER_CLASS).withColumn("fold", fold(F.col("doc_id"), FOLDS))
     rows = materialize(sample.select("text", "y", "fold").mapInArrow(vectors, "y int, fold int, indices array<int>, values array<double>"), "quality-vectors")
     size = 1 << BITS
     as_vector = F.udf(lambda i, v: SparseVector(size, i, v), VectorUDT())
     fitted = rows.filter(F.col("fold") != CALIBRATION_FOLD).select(F.col("y").cast("double").alias("label"), as_vector("indices", "values").alias("features"))
+    # The sample is bounded: its vectors are made once, in a few files, and each step of the fit reads only these.
+    fitted = materialize(fitted.coalesce(FIT_PARTITIONS), "quality-fit")
     if fitted.select("label").distinct().count() < 2:
         share = rows.agg(F.coalesce(F.avg("y"), F.lit(1.0))).first()[0]
         return QualityModel(np.zeros(size, np.float32).tobytes(), 0.0, (0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3)))))

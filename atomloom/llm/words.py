@@ -41,8 +41,9 @@ class Powers:
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         while len(self.up) < n:
             k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * (self.up[-1] * BASE)])
-            self.down = np.concatenate([self.down, self.down * (self.down[-1] * _INVERSE)])
+            with np.errstate(over="ignore"):  # powers wrap
+                self.up = np.concatenate([self.up, self.up * (self.up[-1] * BASE)])
+                self.down = np.concatenate([self.down, self.down * (self.down[-1] * _INVERSE)])
             assert len(self.up) == 2 * k
         return self.up, self.down
 
