@@ -3,6 +3,10 @@
 A wavelet matrix keeps one bit-plane a bit of the ids; each plane is ordered by the bits above it, zeros before ones. With
 counts of ones before each 64-bit word, a plane answers rank and select, and the planes together answer what token stands
 at a place, how often a token occurs before a place, and where its k-th occurrence is.
+
+A file keeps its planes in blocks that are compressed one by one. Its directory has each block's place in the file and the
+ones before it (rank, and by binary search select); each block begins with the ones before every fourth of its words. So a
+single answer reads the directory and one or two blocks a plane, by their byte ranges.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ import struct
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -32,7 +36,11 @@ from atomloom.llm.bpe import byte_alphabet
 from atomloom.llm.common import materialize, shared_dir, sliced, table
 from atomloom.llm.files import put, read_files
 
-MAGIC = b"WMTX0001"
+MAGIC = b"WMTX0002"
+#: Words of 64 bits in a block of a plane, and words from one stored count of ones to the next.
+BLOCK_WORDS, SAMPLE_WORDS = 1024, 4
+#: Places that are looked up at once when a whole file is read.
+AT_ONCE = 1 << 16
 END_ID = 2
 #: Tokens after which a task begins the next file; a longer document has a file of its own.
 SHARD_TOKENS = 1 << 20
@@ -44,49 +52,71 @@ SIMPLE = re.compile(r"[!-~\xa1-\u02ff]*").fullmatch
 
 
 class WaveletMatrix:
-    """Rank, select and access over a sequence of numbers of ``bits`` bits."""
+    """Rank, select and access over a sequence of ``n`` numbers.
+
+    ``zeros`` has the zeros of each plane, ``above`` the ones before each of its blocks and in all. ``load(level, block)``
+    gives a block's words and the ones of the block before every SAMPLE_WORDS-th of them; blocks are loaded when needed.
+    """
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self.before = [np.concatenate([[0], np.cumsum(np.bitwise_count(p), dtype=np.int64)]) for p in planes]
+    def __init__(self, n: int, zeros: list[int], above: np.ndarray, load: Callable[[int, int], tuple[np.ndarray, np.ndarray]]):
+        self.n, self.zeros, self.above, self.load = n, zeros, above, load
+        levels, self.blocks = len(zeros), above.shape[1] - 1
+        self.words = np.zeros((levels, self.blocks * BLOCK_WORDS + 1), np.uint64)
+        self.before = np.zeros((levels, self.blocks * BLOCK_WORDS + 1), np.int64)
+        self.before[:, -1] = above[:, -1]
+        self.loaded = np.zeros((levels, self.blocks), bool)
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, zeros, now = [], [], ids
-        for level in range(bits - 1, -1, -1):
-            bit = (now >> level) & 1
-            ones = bit.astype(bool)
+        blocks = -(-len(ids) // (64 * BLOCK_WORDS))
+        planes, zeros, now = np.zeros((bits, blocks, BLOCK_WORDS), np.uint64), [], ids
+        for level in range(bits):
+            ones = ((now >> (bits - 1 - level)) & 1).astype(bool)
             packed = np.packbits(ones, bitorder="little")
-            planes.append(np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view(np.uint64))
+            planes[level].reshape(-1).view(np.uint8)[: len(packed)] = packed
             low = now[~ones]
             zeros.append(len(low))
             now = np.concatenate([low, now[ones]])
-        return cls(len(ids), planes, zeros)
-
-    def ones(self, level: int, place: np.ndarray) -> np.ndarray:
-        """Ones of a plane before each place."""
-        word, bit = place >> 6, (place & 63).astype(np.uint64)
-        plane = np.append(self.planes[level], np.uint64(0))
-        below = plane[word] & ((np.uint64(1) << bit) - np.uint64(1))
-        return self.before[level][word] + np.bitwise_count(below).astype(np.int64)
+        counts = np.bitwise_count(planes).astype(np.int64)
+        above = np.concatenate([np.zeros((bits, 1), np.int64), counts.sum(axis=2).cumsum(axis=1)], axis=1)
+        samples = (counts.cumsum(axis=2) - counts)[:, :, ::SAMPLE_WORDS].astype(np.uint16)
+        return cls(len(ids), zeros, above, lambda level, block: (planes[level, block], samples[level, block]))
+
+    def _need(self, level: int, word: np.ndarray) -> None:
+        wanted = np.zeros(self.blocks + 1, bool)
+        wanted[word // BLOCK_WORDS] = True
+        for block in np.flatnonzero(wanted[:-1] & ~self.loaded[level]).tolist():
+            words, samples = self.load(level, block)
+            inside = np.bitwise_count(words).reshape(-1, SAMPLE_WORDS).astype(np.int64)
+            span = slice(block * BLOCK_WORDS, (block + 1) * BLOCK_WORDS)
+            self.words[level, span] = words
+            self.before[level, span] = (self.above[level, block] + samples.astype(np.int64)[:, None] + inside.cumsum(axis=1) - inside).reshape(-1)
+            self.loaded[level, block] = True
+
+    def _look(self, level: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bit at each place, ones of the plane before it)."""
+        word, at = place >> 6, (place & 63).astype(np.uint64)
+        self._need(level, word)
+        held = self.words[level][word]
+        ones = self.before[level][word] + np.bitwise_count(held & ((np.uint64(1) << at) - np.uint64(1)))
+        return (held >> at) & np.uint64(1), ones
 
     def access(self, place: np.ndarray) -> np.ndarray:
         """The numbers at the given places."""
         place = np.asarray(place, dtype=np.int64)
         value = np.zeros(len(place), dtype=np.int64)
-        for level, plane in enumerate(self.planes):
-            bit = ((plane[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
-            ones = self.ones(level, place)
-            place = np.where(bit == 1, self.zeros[level] + ones, place - ones)
-            value = value << 1 | bit
+        for level, zeros in enumerate(self.zeros):
+            bit, ones = self._look(level, place)
+            place = np.where(bit, zeros + ones, place - ones)
+            value = value << 1 | bit.astype(np.int64)
         return value
 
     def _range(self, value: int, stop: int) -> tuple[int, int]:
         lo, hi = 0, stop
-        for level in range(len(self.planes)):
-            o = self.ones(level, np.array([lo, hi], dtype=np.int64))
-            one = value >> (len(self.planes) - 1 - level) & 1
-            lo, hi = (int(self.zeros[level] + x) for x in o) if one else (int(p - x) for p, x in zip((lo, hi), o, strict=True))
+        for level, zeros in enumerate(self.zeros):
+            _, o = self._look(level, np.array([lo, hi], dtype=np.int64))
+            one = value >> (len(self.zeros) - 1 - level) & 1
+            lo, hi = (int(zeros + x) for x in o) if one else (int(p - x) for p, x in zip((lo, hi), o, strict=True))
         return lo, hi
 
     def rank(self, value: int, stop: int) -> int:
@@ -100,28 +130,26 @@ class WaveletMatrix:
         if not 0 <= k < hi - lo:
             raise IndexError(k)
         place = lo + k
-        for level in range(len(self.planes) - 1, -1, -1):
-            one = value >> (len(self.planes) - 1 - level) & 1
+        for level in range(len(self.zeros) - 1, -1, -1):
+            one = value >> (len(self.zeros) - 1 - level) & 1
             place = self._nth(level, one, place - self.zeros[level] if one else place)
         return place
 
     def _nth(self, level: int, one: int, k: int) -> int:
-        before = self.before[level] if one else np.arange(len(self.before[level])) * 64 - self.before[level]
+        """The place of the k-th one or zero of a plane: block by the directory, word by the block's counts, then the bit."""
+        count = lambda ones, bits: ones if one else bits - ones
+        block = int(np.searchsorted(count(self.above[level], np.arange(self.blocks + 1) * 64 * BLOCK_WORDS), k, "right")) - 1
+        span = np.arange(block * BLOCK_WORDS, (block + 1) * BLOCK_WORDS)
+        self._need(level, span[:1])
+        before = count(self.before[level][span], span * 64)
         word = int(np.searchsorted(before, k, "right")) - 1
-        bits = np.unpackbits(self.planes[level][word : word + 1].view(np.uint8), bitorder="little")
-        return word * 64 + int(np.flatnonzero(bits == one)[k - int(before[word])])
+        bits = np.unpackbits(self.words[level][span[word : word + 1]].view(np.uint8), bitorder="little")
+        return int(span[word]) * 64 + int(np.flatnonzero(bits == one)[k - int(before[word])])
 
     def decode(self) -> np.ndarray:
-        """All numbers in order, by undoing the planes from the last."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32 if len(self.planes) <= 32 else np.uint64
-        value = np.zeros(self.n, dtype=kind)
-        for level in range(len(self.planes) - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level].view(np.uint8), bitorder="little")[: self.n].astype(bool)
-            above = np.empty(self.n, dtype=kind)
-            above[~ones] = value[: self.zeros[level]]
-            above[ones] = value[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
-            value = above
-        return value
+        """All numbers in order, looked up some at a time."""
+        parts = [self.access(np.arange(at, min(self.n, at + AT_ONCE))) for at in range(0, self.n, AT_ONCE)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 @dataclass(frozen=True)
@@ -135,35 +163,42 @@ class Shard:
     matrix: WaveletMatrix
 
     def to_bytes(self) -> bytes:
-        head = {
-            "part": self.part,
-            "start": self.start,
-            "n": self.matrix.n,
-            "zeros": self.matrix.zeros,
-            "docs": len(self.doc_ids),
-            "nulls": [i for i, d in enumerate(self.doc_ids) if d is None],
-        }
-        squeeze = zstandard.ZstdCompressor(level=3)
-        blocks = [json.dumps(head).encode(), np.array([d or 0 for d in self.doc_ids], dtype="<i8").tobytes(), self.lengths.astype("<i8").tobytes()]
-        blocks = [squeeze.compress(b) for b in (*blocks, *(p.astype("<u8").tobytes() for p in self.matrix.planes))]
-        return b"".join([MAGIC, struct.pack("<I", len(blocks)), *(struct.pack("<Q", len(b)) for b in blocks), *blocks])
+        m, squeeze = self.matrix, zstandard.ZstdCompressor(level=3)
+        head = {"part": self.part, "start": self.start, "n": m.n, "zeros": m.zeros, "blocks": m.blocks, "nulls": [i for i, d in enumerate(self.doc_ids) if d is None]}
+        held = [m.load(level, block) for level in range(len(m.zeros)) for block in range(m.blocks)]
+        blocks = [squeeze.compress(samples.astype("<u2").tobytes() + words.astype("<u8").tobytes()) for words, samples in held]
+        sections = [json.dumps(head).encode(), np.array([d or 0 for d in self.doc_ids], dtype="<i8").tobytes(), self.lengths.astype("<i8").tobytes()]
+        sections += [m.above.astype("<i8").tobytes(), np.array([len(b) for b in blocks], dtype="<i8").tobytes()]
+        packed = [squeeze.compress(x) for x in sections]
+        return b"".join([MAGIC, struct.pack("<5Q", *map(len, packed)), *packed, *blocks])
 
     @classmethod
-    def from_bytes(cls, raw: bytes) -> Shard:
-        if raw[:8] != MAGIC:
+    def open(cls, read: Callable[[int, int], bytes]) -> Shard:
+        """A shard over ``read(offset, length)`` of its file; only the head and the directory are read at once."""
+        if read(0, 8) != MAGIC:
             raise ValueError("not a token shard")
-        (count,) = struct.unpack_from("<I", raw, 8)
-        sizes = struct.unpack_from(f"<{count}Q", raw, 12)
-        at, blocks, expand = 12 + 8 * count, [], zstandard.ZstdDecompressor()
-        for size in sizes:
-            blocks.append(expand.decompress(raw[at : at + size]))
+        at, sections, expand = 48, [], zstandard.ZstdDecompressor()
+        for size in struct.unpack("<5Q", read(8, 40)):
+            sections.append(expand.decompress(read(at, size)))
             at += size
-        head = json.loads(blocks[0])
-        doc_ids: list[int | None] = np.frombuffer(blocks[1], dtype="<i8").tolist()
+        head = json.loads(sections[0])
+        doc_ids: list[int | None] = np.frombuffer(sections[1], dtype="<i8").tolist()
         for i in head["nulls"]:
             doc_ids[i] = None
-        planes = [np.frombuffer(b, dtype="<u8").astype(np.uint64) for b in blocks[3:]]
-        return cls(head["part"], head["start"], doc_ids, np.frombuffer(blocks[2], dtype="<i8"), WaveletMatrix(head["n"], planes, head["zeros"]))
+        ends = at + np.concatenate([[0], np.cumsum(np.frombuffer(sections[4], dtype="<i8"))]).astype(np.int64)
+
+        def load(level: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+            k = level * head["blocks"] + block
+            raw = expand.decompress(read(int(ends[k]), int(ends[k + 1] - ends[k])))
+            size = 2 * (BLOCK_WORDS // SAMPLE_WORDS)
+            return np.frombuffer(raw, dtype="<u8", offset=size).astype(np.uint64), np.frombuffer(raw[:size], dtype="<u2")
+
+        above = np.frombuffer(sections[3], dtype="<i8").reshape(len(head["zeros"]), head["blocks"] + 1).astype(np.int64)
+        return cls(head["part"], head["start"], doc_ids, np.frombuffer(sections[2], dtype="<i8"), WaveletMatrix(head["n"], head["zeros"], above, load))
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Shard:
+        return cls.open(lambda at, size: raw[at : at + size])
 
 
 class WordEncoder:
@@ -298,7 +333,8 @@ def write_shards(encoded: DataFrame, path: str, folder: str) -> DataFrame:
 
 
 def read_shards(files: DataFrame, starts: dict[int, int]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in (path, content) files; ``starts`` has the first place of each part."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in (path, content) files, its tokens looked up in the wavelet
+    matrix; ``starts`` has the first place of each part."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -78,6 +78,33 @@ def test_wavelet_matrix(values):
             m.select(v, len(places))
 
 
+def test_one_token_reads_few_blocks():
+    """Access, rank and select on a file of many blocks, by byte ranges: some two blocks a plane, not the planes."""
+    rng = np.random.default_rng(1)
+    ids = rng.zipf(1.3, 1_000_000).clip(1, 40_000).astype("<u2")
+    raw = wavelet.Shard(3, 70, [1, None], np.array([400_000, 600_000]), wavelet.WaveletMatrix.build(ids, 16)).to_bytes()
+    reads = []
+
+    def read(at, size):
+        reads.append((at, size))
+        return raw[at : at + size]
+
+    shard = wavelet.Shard.open(read)
+    assert shard.doc_ids == [1, None] and shard.lengths.tolist() == [400_000, 600_000] and (shard.part, shard.start) == (3, 70)
+    opened = len(reads)
+    assert shard.matrix.access(np.array([654_321])).tolist() == [ids[654_321]] and len(reads) - opened == 16
+    assert sum(size for _, size in reads) < 0.15 * len(raw)
+    value = int(ids[700_001])
+    places = np.flatnonzero(ids == value)
+    fresh = wavelet.Shard.open(read).matrix
+    before = len(reads)
+    assert fresh.rank(value, 700_001) == np.searchsorted(places, 700_001) and len(reads) - before <= 32
+    fresh = wavelet.Shard.open(read).matrix
+    before = len(reads)
+    assert fresh.select(value, len(places) // 2) == places[len(places) // 2] and len(reads) - before <= 48
+    assert (wavelet.Shard.from_bytes(raw).matrix.decode() == ids).all()
+
+
 def test_token_files(spark, odd_documents, no_documents, library, monkeypatch):
     monkeypatch.setattr(wavelet, "SHARD_TOKENS", 50)
     folder = shared_dir(spark, "test-tokens")
