@@ -84,7 +84,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
             low = np.minimum.reduceat((part ^ _XOR[r]) * _MULTIPLY[r], first)
             least[rows, r] = np.minimum(least[rows, r], low)
     unit = (least >> np.uint64(11)).astype(np.float64) + 0.5
-    x = -np.log1p(-unit / float(1 << 53)) / RATE
+    x = -np.log1p(-np.minimum(unit / float(1 << 53), 1.0 - 2.0**-53)) / RATE
     value = np.floor(1.0 - np.log(x) / np.log(REGISTER_BASE))
     return np.where(lengths[:, None] > 0, np.clip(value, 0, LIMIT), 0).astype(REGISTER)
 

@@ -32,5 +32,17 @@ SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
 FROM p"""
 
 
+#: Shingles as texts, exact similarities of all pairs that share one, and the transitive closure of the links.
+_NEARDUP_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+f AS (SELECT doc_id, unnest(sh) AS h FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM f x JOIN f y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 75 * (len(x.sh) + len(y.sh) - c)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS id, doc_id AS seen FROM documents UNION SELECT r.id, g.b FROM reach r JOIN both_ways g ON r.seen = g.a),
+c AS (SELECT id, min(seen) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON c.id = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": _WARC_SQL}
+    return {"op6_near_duplicates": _NEARDUP_SQL, "op9_warc": _WARC_SQL}
