@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +19,12 @@ HOT_SHARE = 1000
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder URI under the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made and used.
+    Only where that setting is absent and Spark runs on one machine a temporary folder is used; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "atomloom-shared")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

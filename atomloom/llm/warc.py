@@ -67,7 +67,11 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def build_dictionary(records: list[bytes]) -> bytes:
-    """A dictionary from an archive's records; where they are too few or too small to train on, their own bytes."""
+    """A dictionary trained on an archive's records.
+
+    Zstandard trains only on a sample of many times the dictionary's size. An archive of fewer than 16 records, or of less
+    than 20 times DICTIONARY_BYTES (640 KiB) in its sample, has the last DICTIONARY_BYTES of the records themselves instead.
+    """
     step = max(1, len(records) // SAMPLE_RECORDS)
     sample, used = [], 0
     for r in records[::step]:
@@ -125,7 +129,7 @@ def write_archives(classified: DataFrame, folder: str) -> DataFrame:
     """Write archives to ``folder``, one or more a partition, and return (archive, records, bytes) of each.
 
     A task holds one archive of about ARCHIVE_BYTES in memory, or one longer record. Rows are sorted in each partition,
-    so a repeated task writes the same archives under the same names.
+    so a repeated task writes the same archives under the same names (rows that tie are alike).
     """
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +152,7 @@ def write_archives(classified: DataFrame, folder: str) -> DataFrame:
         if held:
             yield flush()
 
-    return classified.sortWithinPartitions("page_id", "sha1").mapInArrow(written, "archive string, records long, bytes long")
+    return classified.sortWithinPartitions("page_id", "sha1", "url", "payload").mapInArrow(written, "archive string, records long, bytes long")
 
 
 def read_pages(archives: DataFrame) -> DataFrame:
