@@ -22,15 +22,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined with some certainty; texts without letters go."""
+    """Documents whose language is determined with some certainty; texts without letters go. A missing ``lang`` is filled in,
+    so that the mixture can weigh unlabelled documents."""
     model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
     found = langid.predict(docs, model, docs.columns, "_language_")
     sure = (F.col("_language_lang_pred") != langid.UNDETERMINED) & (F.col("_language_score") >= MIN_LANGUAGE_SCORE)
-    return found.filter(sure).select(*docs.columns)
+    return found.filter(sure).withColumn("lang", F.coalesce("lang", "_language_lang_pred")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one of the smallest id; of rows that share an id, one."""
+    """One document of each near-duplicate group, the one of the smallest id; of rows that share an id, the least by all
+    columns. Rows without an id stay."""
     members = neardup.near_duplicates(docs).members
     gone = materialize(members.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone_id")), "pipeline-gone")
     left = docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
@@ -38,7 +40,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = materialize(ids.select(F.col("doc_id").alias("_repeated_id")), "pipeline-repeated")
     if not repeated.limit(1).count():
         return left
-    one = left.join(repeated, left["doc_id"] == repeated["_repeated_id"], "left_semi").dropDuplicates(["doc_id"])
+    own = left.join(repeated, left["doc_id"] == repeated["_repeated_id"], "left_semi")
+    least = own.groupBy("doc_id").agg(F.min(F.struct(*(F.col(c) for c in docs.columns if c != "doc_id"))).alias("_least"))
+    one = least.select(*(F.col(c) if c == "doc_id" else F.col(f"_least.{c}").alias(c) for c in docs.columns))
     return left.join(repeated, left["doc_id"] == repeated["_repeated_id"], "left_anti").unionByName(one)
 
 
