@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key counts as hot when it holds more than one row in HOT_SHARE; there are at most HOT_SHARE such keys.
@@ -37,6 +37,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def materialize_counting(df: DataFrame, name: str, counted: Column) -> tuple[DataFrame, int]:
+    """``materialize`` and the number of rows for which ``counted`` holds, from the same job.
+
+    A stage that is run again may count rows twice, so the number is only good to tell none from some.
+    """
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count_if(counted).alias("n")), name)
+    return out, int(seen.get.get("n") or 0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

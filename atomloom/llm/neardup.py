@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm.common import join_on_key, materialize, sliced, table
+from atomloom.llm.common import join_on_key, materialize, materialize_counting, sliced, table
 from atomloom.llm.components import connected_components
 from atomloom.llm.words import BASE, groups, mix, span_hashes, windows
 
@@ -263,9 +263,9 @@ def near_duplicates(docs: DataFrame) -> Classes:
     open_buckets = materialize(span.filter(F.col("low") != F.col("high")).select("bucket"), "neardup-split")
     named = materialize(named.join(open_buckets, "bucket"), "neardup-open")
     cross = open_pairs(named, sets)
-    more = materialize(verified(plausible(cross, first), sets), "neardup-cross")
+    more, n_more = materialize_counting(verified(plausible(cross, first), sets), "neardup-cross", F.lit(True))
     links = links.unionByName(more)
-    if more.limit(1).count():
+    if n_more:
         labels = connected_components(links.unionByName(same), "neardup-all")
 
     named_classes = classes.select("fingerprint", "rows", "rep").join(labels, F.col("rep") == F.col("id"), "left")

@@ -103,6 +103,9 @@ def test_components_and_hot_join(spark):
     edges = [(i, i + 1) for i in range(1, 9)] + [(20, 30), (30, 10), (7, 7)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 10)} | {10: 10, 20: 10, 30: 10}
+    odd = connected_components(spark.createDataFrame([(None, 5), (6, None), (None, None), (8, 7)], "a long, b long"))
+    assert {(r.id, r.component) for r in odd.collect()} == {(5, 5), (6, 6), (7, 7), (8, 7)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     left = spark.range(3000).select("id", F.when(F.col("id") < 1000, "hot").when(F.col("id") < 2990, F.col("id").cast("string")).alias("k"))
     right = left.filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
     rows = join_on_key(left, right, "k", "n", 3000).toPandas()
