@@ -92,10 +92,11 @@ def within_size(library: DataFrame, max_atoms: int) -> DataFrame:
     return library.join(sizes.select("structure_id"), "structure_id", "left_semi")
 
 
-def load_targets(library: DataFrame, n_targets: int, max_atoms: int | None, seed: int) -> DataFrame:
-    """Tokens of ``n_targets`` structures of at most ``max_atoms`` atoms in a seeded order; the limit counts what passes."""
+def load_targets(library: DataFrame, n_targets: int, max_atoms: int | None, seed: int, key: Column | None = None) -> DataFrame:
+    """Tokens of ``n_targets`` structures of at most ``max_atoms`` atoms in a seeded order (or that of ``key``); the limit
+    counts what passes."""
     fit = library if max_atoms is None else within_size(library, max_atoms)
-    chosen = fit.select("structure_id").distinct().orderBy(F.xxhash64("structure_id", F.lit(seed)), "structure_id").limit(n_targets)
+    chosen = fit.select("structure_id").distinct().orderBy(F.xxhash64("structure_id", F.lit(seed)) if key is None else key, "structure_id").limit(n_targets)
     return library.join(chosen, "structure_id", "left_semi")
 
 

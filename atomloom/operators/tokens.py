@@ -18,13 +18,14 @@ def tokenize(atoms: DataFrame) -> DataFrame:
     A polymer residue has one token for each slot of its name, in order; a slot without an atom is virtual and has null
     coordinates, and atoms outside the slots are dropped. Any other residue has one token for each atom, in file order. Of
     atoms that share a name in a residue the last counts. Structures with an unknown polymer name are left out; see
-    ``quarantined``. ``atom_idx`` counts from 1 in each structure.
+    ``quarantined``. ``atom_idx`` counts from 1 in each structure. Atoms are dealt by structure once.
     """
     residue = ["structure_id", "residue_ord", "chain_id", "res_index", "res_name", "modality"]
     present = F.array_sort(F.collect_list(F.struct("atom_ord", "atom_name", "element", "x", "y", "z")))
-    rows = atoms.groupBy(*residue).agg(present.alias("present")).withColumn("slots", F.when(F.col("modality").isin(POLYMERS), atom_slots(F.col("res_name"))))
-    bad = rows.filter(F.col("modality").isin(POLYMERS) & F.col("slots").isNull()).select("structure_id").distinct()
-    rows = rows.join(bad, "structure_id", "left_anti")
+    rows = atoms.repartition("structure_id").groupBy(*residue).agg(present.alias("present"))
+    rows = rows.withColumn("slots", F.when(F.col("modality").isin(POLYMERS), atom_slots(F.col("res_name"))))
+    unknown = F.coalesce(F.col("modality").isin(POLYMERS) & F.col("slots").isNull(), F.lit(False))
+    rows = rows.withColumn("unknown", F.max(unknown).over(Window.partitionBy("structure_id"))).filter(~F.col("unknown"))
 
     def in_slot(name):
         found = F.try_element_at(F.filter("present", lambda a: a["atom_name"] == name), F.lit(-1))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atomloom.functions.geometry import constraint_features, euler_step, guided_velocity, interpolant, sinusoidal_embedding
-from atomloom.functions.vocab import classify_residue, element_index, modality_index, normalize_element, polymer_atom_index, polymer_start, vdw_radius
+from atomloom.functions.geometry import constraint_features, cross, dot, euler_step, guided_velocity, interpolant, sinusoidal_embedding
+from atomloom.functions.vocab import classify_residue, element_index, modality_index, normalize_element, polymer_atom_index, polymer_start, residue_modality, vdw_radius
 from atomloom.operators import dataset, flow, geometry, tokens, training
 from atomloom.plans.projections import EVENTS_SQL, LARGEST_RADIUS, MIXED_SQL, MOL_SQL, MOVED_SQL, event_atoms, mixed, mol, moved
 from atomloom.sources.structures import largest_chain, parse_status, parse_structures, restrict_to_largest_chain, with_runs
@@ -661,3 +661,69 @@ def parse_status_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {MOL_SQL}, s AS (SELECT structure_id, count(*) AS n FROM mol GROUP BY 1) SELECT count(*) AS n_structures, min(n) AS least, round(avg(n), 6) AS mean, max(n) AS most FROM s")
 def size_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.size_statistics(mol(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    f"""WITH {MOL_SQL}, s AS (SELECT structure_id, ((structure_id % 2147483648) * 2654435761 + 11) % 4294967296 AS k FROM mol GROUP BY 1 HAVING count(*) <= 95), t AS (SELECT structure_id FROM s ORDER BY k, structure_id LIMIT 7)
+    SELECT structure_id, atom_idx FROM mol JOIN t USING (structure_id)"""
+)
+def load_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit is the operator's: so many targets of those that pass the size filter."""
+    return dataset.load_targets(mol(spark, sf_dir), 7, 95, 0, dataset.arithmetic_key(F.col("structure_id"), 11)).select("structure_id", "atom_idx")
+
+
+@query(
+    f"""WITH {MOL_SQL}, {DENSE_SQL}, v AS (SELECT structure_id, row_number() OVER (PARTITION BY structure_id ORDER BY atom_idx) AS atom_idx, (res_index < 5)::INT::DOUBLE AS is_fixed, (atom_name = 'CA')::INT::DOUBLE AS is_hotspot FROM mol)
+    SELECT g.batch_id, g.structure_id, CAST(g.atom_idx AS BIGINT) AS atom_idx, coalesce(is_fixed, 0e0) AS is_fixed, coalesce(is_hotspot, 0e0) AS is_hotspot FROM g LEFT JOIN v ON v.structure_id = g.structure_id AND v.atom_idx = g.atom_idx"""
+)
+def pad_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = mol(spark, sf_dir).withColumn("atom_idx", F.row_number().over(Window.partitionBy("structure_id").orderBy("atom_idx")))
+    columns = constraint_features(F.col("res_index") < 5, F.col("atom_name") == "CA", F.lit(None), F.lit(None))
+    values = dense.select("structure_id", "atom_idx", *columns)
+    return tokens.pad_columns(values, padded(spark, sf_dir), ["is_fixed", "is_hotspot"]).select("batch_id", "structure_id", F.col("atom_idx").cast("long").alias("atom_idx"), "is_fixed", "is_hotspot")
+
+
+@query(f"WITH {MOL_SQL} SELECT DISTINCT structure_id, 0e0 AS off, 1e0 AS determinant FROM mol")
+def random_rotations_are_rigid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each structure's random turn is from orthonormal, and its determinant."""
+    rows = flow.random_transforms(mol(spark, sf_dir), 3)
+    r = [[F.col(f"r{i}{j}") for j in (1, 2, 3)] for i in (1, 2, 3)]
+    dots = [F.abs(dot(r[i], r[j]) - (1.0 if i == j else 0.0)) for i in range(3) for j in range(i, 3)]
+    return rows.select("structure_id", F.round(F.greatest(*dots), 6).alias("off"), F.round(dot(r[0], cross(r[1], r[2])), 6).alias("determinant"))
+
+
+def with_unknown_polymers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serine atoms; in every tenth structure the residue of the smallest number has a name without a vocabulary."""
+    first = F.min("res_index").over(Window.partitionBy("structure_id"))
+    odd = (F.col("structure_id") % 10 == 3) & (F.col("res_index") == first)
+    return serine_atoms(spark, sf_dir).withColumn("res_name", F.when(odd, F.concat(F.lit("X"), (F.col("structure_id") % 7).cast("string"))).otherwise(F.col("res_name")))
+
+
+@query(f"WITH {MOL_SQL} SELECT DISTINCT structure_id, 'unknown polymer residue: X' || (structure_id % 7) AS reason FROM mol WHERE structure_id % 10 = 3")
+def quarantined_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.quarantined(with_unknown_polymers(spark, sf_dir))
+
+
+@query(f"WITH {MOL_SQL} SELECT structure_id, 6 * count(DISTINCT res_index) AS n_tokens FROM mol WHERE structure_id % 10 <> 3 GROUP BY 1")
+def tokens_without_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tokenize(with_unknown_polymers(spark, sf_dir)).groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+
+
+@query(
+    f"""WITH {MOL_SQL}, grid AS (SELECT r.structure_id, r.res_index, s.k AS k, s.atom_name, true AS polymer FROM (SELECT DISTINCT structure_id, res_index FROM mol WHERE res_index % 6 <> 5) r CROSS JOIN (VALUES (0,'N'),(1,'CA'),(2,'C'),(3,'O'),(4,'CB'),(5,'OG')) s(k, atom_name)
+      UNION ALL SELECT structure_id, res_index, atom_idx, atom_name, false FROM mol WHERE res_index % 6 = 5)
+    SELECT g.structure_id, row_number() OVER (PARTITION BY g.structure_id ORDER BY g.res_index, g.k) AS atom_idx, g.res_index, g.atom_name, CASE WHEN polymer THEN 'PROTEIN' ELSE 'LIGAND' END AS modality, m.x IS NULL AS is_virtual, {sql6('x', 'y', 'z')}
+    FROM grid g LEFT JOIN mol m ON m.structure_id = g.structure_id AND m.res_index = g.res_index AND m.atom_name = g.atom_name"""
+)
+def ligand_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens where each sixth residue is a ligand: its atoms come as they are, without slots."""
+    ligand = F.col("res_index") % 6 == 5
+    atoms = serine_atoms(spark, sf_dir).withColumns({"res_name": F.when(ligand, "HEM").otherwise(F.col("res_name")), "modality": F.when(ligand, "LIGAND").otherwise(F.col("modality"))})
+    return tokens.tokenize(atoms).select("structure_id", F.col("atom_idx").cast("long").alias("atom_idx"), "res_index", "atom_name", "modality", "is_virtual", "x", "y", "z").withColumns(r6("x", "y", "z"))
+
+
+@query("SELECT res_name, CASE res_name WHEN 'A' THEN 'RNA' WHEN 'DT' THEN 'DNA' ELSE 'PROTEIN' END AS modality, count(*) AS n FROM (SELECT (['ALA','GLY','A','DT'])[1 + l_partkey % 4] AS res_name FROM lineitem) GROUP BY 1, 2")
+def residue_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, ("ALA", "GLY", "A", "DT"))), (F.col("l_partkey") % 4 + 1).cast("int"))
+    named = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(name.alias("res_name"))
+    return named.withColumn("modality", residue_modality(F.col("res_name"))).groupBy("res_name", "modality").agg(F.count(F.lit(1)).alias("n"))
