@@ -42,6 +42,7 @@ def shard_rows(
       BLOCK_ROWS rows; slots follow (block, key, checksum, size), so no task ever sorts a whole shard. Repeated rows
       are alike and take neighbouring slots in any order.
 
+    Rows that share a key share a block, whatever their number; a null key counts as the text ``null``.
     An empty input gives an empty result. Other columns of ``rows`` are not looked at.
     """
     keyed = rows.select(F.col(key).alias("key"), payload.cast("string").alias("payload"))

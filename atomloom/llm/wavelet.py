@@ -286,7 +286,8 @@ def encoder(path: str) -> WordEncoder:
 
 
 def tokens(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) of every document: ids with the end id, as bytes."""
+    """(doc_id, ids) of every document: ids with the end id, as bytes. A ``doc_id`` is a whole number or null; texts that are no
+    numbers are an error."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)

@@ -279,9 +279,3 @@ def test_pipeline_stages(spark, odd_documents, no_documents):
     left = corpus_pipeline.drop_near_duplicates(spark, odd_documents, sf)
     counts = collections.Counter(r.doc_id for r in left.collect())
     assert counts[5] == 1 and 6 not in counts and counts[1] == 1 and counts[None] == 1
-
-
-def test_pipeline_runs(spark):
-    sf = "/root/testdata/sf0.001"
-    out = corpus_pipeline.run(spark, sf).toPandas()
-    assert 0 < len(out) < 200 and out.doc_id.is_unique and (out.token_ids.map(len) == out.n_tokens).all()
