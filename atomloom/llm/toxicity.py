@@ -158,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     Without labels of both classes, or with too little text, margins are 0 and every text gets the classes' smoothed odds.
     """
-    sample = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != HELD_OUT_FOLD)
+    usable = fold(F.col("doc_id"), FOLDS) != HELD_OUT_FOLD
+    sample = labelled_sample(docs, labels, "toxic", usable)
     sample = materialize(sample.withColumn("fold", fold(F.col("doc_id"), FOLDS)), "toxicity-sample")
     toxic, ordinary = dictionaries(sample.filter(F.col("fold") != CALIBRATION_FOLD))
 
@@ -170,7 +171,13 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     measured = sample.filter(F.col("fold") == CALIBRATION_FOLD).select("text", "y").mapInArrow(measure, "y int, x array<double>").collect()
     x = np.array([r["x"] for r in measured], dtype=float).reshape(-1, len(MARGINS) + 1)
-    weights = logistic_fit(x, np.array([r["y"] for r in measured], dtype=float), ridge=0.3)
+    y = np.array([r["y"] for r in measured], dtype=float)
+    weights = logistic_fit(x, y, ridge=0.3)
+    # The sample has more of the rarer class than the labels have: probabilities are calibrated to the odds of the labels.
+    known = {r["toxic"]: r["count"] for r in labels.filter(usable & F.col("doc_id").isNotNull()).groupBy("toxic").count().collect()}
+    n1, n0 = known.get(1, 0), known.get(0, 0)
+    if n1 and n0 and 0 < y.sum() < len(y):
+        weights[-1] += np.log(n1 / n0) - np.log(y.sum() / (len(y) - y.sum()))
     return ToxicityModel(toxic, ordinary, tuple(weights))
 
 
