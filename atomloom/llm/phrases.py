@@ -1,8 +1,9 @@
 """Phrase collocations from sorted n-gram keys.
 
 1. Texts become chunks: words as numbers of a dictionary of the chunk, with a 0 wherever a piece ends.
-2. Words that are frequent in their language get numbers of one dictionary. Every chunk gets the numbers of its own words by
-   a join on the words, so that no task holds the dictionary; pieces are broken at all other words.
+2. Words that are frequent in their language get numbers of one dictionary. Chunks list their words, equal ones meet and are
+   numbered, and every chunk gets the numbers of its own words back, so that no task holds the dictionary; pieces are broken
+   at all other words.
 3. Pairs of numbers are counted; every chunk gets those of its pairs that are frequent, and is broken at the others.
 4. Each place that is left gives one fixed-width binary key: its number and the next ones, in big-endian order. Chunks merge
    equal keys; keys are range-partitioned and sorted, and one pass over the runs of equal prefixes counts the phrases of every
@@ -32,7 +33,7 @@ SCALE = 1000
 #: Words after which a task ends its chunks; a longer text makes a longer chunk. Bytes of text that are worked on at a time.
 CHUNK_WORDS, TEXT_BYTES = 1 << 20, 1 << 22
 #: Blocks in which words are numbered, and in which the first phrases of a language are found.
-WORD_BLOCKS, TOP_BLOCKS = 1024, 256
+WORD_BLOCKS, TOP_BLOCKS = 1 << 16, 256
 #: Bytes of a word's number in a key.
 WIDTH = 4
 
@@ -125,17 +126,21 @@ def chunks(docs: DataFrame, text: str = "text", lang: str = "lang", chunk_words:
     return docs.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(cut, CHUNK_SCHEMA)
 
 
-def word_dictionary(listed: DataFrame, min_count: int) -> DataFrame:
-    """(lang, word, f, id) of the words that occur ``min_count`` times in their language; ids count from 1 over all languages.
+def known_words(listed: DataFrame, min_count: int) -> DataFrame:
+    """(chunk, place, id, f, lang, word) of a chunk's words that occur ``min_count`` times in their language.
 
-    ``listed`` has (lang, word, count) rows. Words are numbered inside blocks, which are shifted by the words before.
+    ``listed`` has (chunk, lang, place, word, count) rows. A word has one id over all chunks, made of its block and its rank there;
+    lang and word are null in all but one of its rows. One exchange by block serves the sums and the ranks.
     """
-    block = F.pmod(F.xxhash64("lang", "word"), F.lit(WORD_BLOCKS)).cast("int")
-    frequent = materialize(listed.groupBy("lang", "word").agg(F.sum("count").alias("f")).filter(F.col("f") >= min_count).withColumn("block", block), "phrase-words")
-    sizes = frequent.groupBy("block").agg(F.count(F.lit(1)).alias("n"))  # WORD_BLOCKS rows
-    before = sizes.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("block").orderBy("lang", "word"))
-    return frequent.withColumn("inside", inside).join(F.broadcast(before), "block").select("lang", "word", "f", (F.col("inside") + F.col("before")).cast("long").alias("id"))
+    block = F.pmod(F.xxhash64("lang", "word"), F.lit(WORD_BLOCKS))
+    own = Window.partitionBy("block", "lang", "word").orderBy("chunk")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dealt = listed.withColumn("block", block).repartition("block")
+    summed = dealt.withColumns({"f": F.sum("count").over(whole), "first": F.row_number().over(own) == 1}).filter(F.col("f") >= min_count)
+    rank = F.dense_rank().over(Window.partitionBy("block").orderBy("lang", "word")).cast("long")
+    number = (rank - 1) * WORD_BLOCKS + F.col("block") + 1
+    fits = F.when(number < 1 << 31, number).otherwise(F.raise_error(F.lit("more frequent words than numbers")).cast("long"))
+    return summed.select("chunk", "place", fits.alias("id"), "f", *(F.when(F.col("first"), F.col(c)).alias(c) for c in ("lang", "word")))
 
 
 def pair_codes(codes: np.ndarray) -> np.ndarray:
@@ -146,9 +151,8 @@ def pair_codes(codes: np.ndarray) -> np.ndarray:
     return both
 
 
-def with_numbers(found: DataFrame, dictionary: DataFrame, listed: DataFrame) -> DataFrame:
-    """(chunk, codes) with the numbers of the dictionary, 0 at breaks and at words that it lacks."""
-    known = listed.join(dictionary.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "place", "id")
+def with_numbers(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(chunk, codes) with the ids of known words, 0 at breaks and at all other words."""
     own = known.groupBy("chunk").agg(F.collect_list("place").alias("places"), F.collect_list("id").alias("ids"))
 
     def renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,8 +345,9 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LON
     listed = found.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
     listed = listed.select("chunk", "lang", (F.col("at") + 1).alias("place"), F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
     sizes = found.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, c: x + c)).alias("n"))
-    dictionary = materialize(word_dictionary(listed, min_count).join(sizes, "lang"), "phrase-dictionary")
-    numbered = materialize(with_numbers(found, dictionary, listed), "phrase-numbers")
+    known = materialize(known_words(listed, min_count), "phrase-words")
+    dictionary = materialize(known.filter(F.col("word").isNotNull()).select("lang", "word", "f", "id").join(sizes, "lang"), "phrase-dictionary")
+    numbered = materialize(with_numbers(found, known), "phrase-numbers")
     keys = materialize(key_counts(numbered, pair_counts(numbered), min_count, longest), "phrase-keys")
     phrases = materialize(phrase_counts(keys, min_count, longest), "phrase-counts")
     left = spelled(scored(phrases, dictionary).join(maximal(phrases), "key", "left_semi"), dictionary)
