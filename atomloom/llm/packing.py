@@ -122,5 +122,6 @@ def write_buckets(packed: DataFrame, folder: str, rows_per_file: int = 1 << 18)
 
 def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` in sequences of binary lengths; a sequence has one piece, at offset 0."""
-    packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
+    pieces = materialize(cut_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "packing-pieces")
+    checked = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")  # ids stay where they are written
+    return number_sequences(checked).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
