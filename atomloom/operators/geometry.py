@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import product
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atomloom.functions.geometry import distance, normalized_chiral_volume, rotate, xyz
+from atomloom.functions.geometry import distance, normalized_chiral_volume, quaternion_rotation, rotate, xyz
 from atomloom.functions.vocab import LARGEST_CLASH, vdw_radius
 
 # Ideal backbone bond lengths (Å).
@@ -238,19 +236,87 @@ def paired(model: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def superposition_moments(both: DataFrame) -> DataFrame:
-    """Count, sums and products of paired coordinates a structure: all that a superposition needs, summed on the map side."""
+    """Count, sums and products of paired coordinates a structure: all that a superposition needs, summed on the map side.
+
+    Pairs with a missing coordinate do not count; a structure without others has no row.
+    """
     sums = [F.count(F.lit(1)).alias("n")]
     sums += [F.sum(c).alias(f"s{c}") for c in ("x", "y", "z", "rx", "ry", "rz")]
     sums += [F.sum(F.col(a) * F.col(f"r{b}")).alias(f"m{a}{b}") for a in "xyz" for b in "xyz"]
     sums += [F.sum(sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))).alias(name) for name, cols in (("pp", ("x", "y", "z")), ("qq", ("rx", "ry", "rz")))]
-    return both.groupBy("structure_id").agg(*sums)
+    return both.dropna(subset=["x", "y", "z", "rx", "ry", "rz"]).groupBy("structure_id").agg(*sums)
+
+
+#: Upper triangle of a symmetric matrix of four, in the order in which the columns below keep it.
+TRIANGLE = [(i, j) for i in range(4) for j in range(i, 4)]
+#: After each step the places move so, that three steps meet every pair once.
+TURN = (0, 2, 3, 1)
+JACOBI_STEPS = 18
 
 
-def _covariance(m: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(n, centre of the model, centre of the reference, covariance) of moments."""
-    n = m["n"].to_numpy(dtype=float)
-    p, q = m[["sx", "sy", "sz"]].to_numpy() / n[:, None], m[["srx", "sry", "srz"]].to_numpy() / n[:, None]
-    return n, p, q, m[[f"m{a}{b}" for a in "xyz" for b in "xyz"]].to_numpy().reshape(-1, 3, 3) - n[:, None, None] * p[:, :, None] * q[:, None, :]
+def largest_eigen(entries: Sequence[Column]) -> Column:
+    """(value, vector) of the largest eigenvalue of a symmetric matrix of four, given as its upper triangle by rows.
+
+    Jacobi rotations of two pairs of places at a time, as one column expression. They keep to rounding whether eigenvalues
+    are far apart or equal, where the roots of the characteristic polynomial lose half of their digits (straight and mirrored
+    structures); of equal ones some vector comes back.
+    """
+    place = {p: k for k, p in enumerate(TRIANGLE)}
+    at = lambda m, i, j: m.getItem(place[min(i, j), max(i, j)])
+
+    def angle(m: Column, p: int, q: int) -> Column:
+        """(c, s) of the rotation that clears entry (p, q)."""
+        off = at(m, p, q)
+        ratio = (at(m, q, q) - at(m, p, p)) / (2 * off)
+        t = F.when(off == 0, 0.0).otherwise(F.when(ratio < 0, -1.0).otherwise(1.0) / (F.abs(ratio) + F.sqrt(1 + ratio * ratio)))
+        return F.transform(F.array(t), lambda t: F.struct((1 / F.sqrt(1 + t * t)).alias("c"), (t / F.sqrt(1 + t * t)).alias("s"))).getItem(0)
+
+    def turned(m: Column, v: Column, first: Column, second: Column) -> Column:
+        side = lambda i: (first, 0) if i < 2 else (second, 2)
+
+        def mixed(i: int) -> list[tuple[Column, int]]:
+            """The old places that make up a new one, with their shares."""
+            r, base = side(i)
+            return [(r["c"], base), (-r["s"], base + 1)] if i == base else [(r["s"], base), (r["c"], base + 1)]
+
+        total = lambda terms: sum(terms[1:], terms[0])
+        cleared = {(0, 1), (2, 3)}
+        matrix = {(i, j): F.lit(0.0) if (i, j) in cleared else total([a * b * at(m, p, q) for a, p in mixed(i) for b, q in mixed(j)]) for i, j in TRIANGLE}
+        vectors = {(r, i): total([a * v.getItem(4 * r + p) for a, p in mixed(i)]) for r in range(4) for i in range(4)}
+        moved = [matrix[min(TURN[i], TURN[j]), max(TURN[i], TURN[j])] for i, j in TRIANGLE]
+        return F.struct(F.array(*moved).alias("m"), F.array(*(vectors[r, TURN[i]] for r in range(4) for i in range(4))).alias("v"))
+
+    def step(state: Column, _: Column) -> Column:
+        bound = F.array(F.struct(angle(state["m"], 0, 1).alias("a"), angle(state["m"], 2, 3).alias("b")))
+        return F.transform(bound, lambda r: turned(state["m"], state["v"], r["a"], r["b"])).getItem(0)
+
+    start = F.struct(F.array(*entries).alias("m"), F.array(*(F.lit(float(r == i)) for r in range(4) for i in range(4))).alias("v"))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(JACOBI_STEPS)), start, step)
+    pick = lambda d: F.array_max(F.array(*(F.struct(at(d["m"], i, i).alias("value"), F.array(*(d["v"].getItem(4 * r + i) for r in range(4))).alias("vector")) for i in range(4))))
+    return F.transform(F.array(done), pick).getItem(0)
+
+
+def superpositions(both: DataFrame) -> DataFrame:
+    """(structure_id, n, c<x>, cr<x>, spread, value, vector): centres of model and reference, their summed squared distances from
+    them, and the largest eigenvalue and eigenvector of the quaternion matrix of their products.
+
+    The eigenvector is the quaternion of the turn that brings the model onto the reference; the left-over squared distance is
+    spread - 2 value. Mirror images are not allowed for, so a mirrored model keeps its distance.
+    """
+    m = superposition_moments(both)
+    n = F.col("n").cast("double")
+    centers = {f"c{c}": F.col(f"s{c}") / n for c in ("x", "y", "z", "rx", "ry", "rz")}
+    m = m.withColumns(centers)
+    m = m.withColumns({f"h{a}{b}": F.col(f"m{a}{b}") - n * F.col(f"c{a}") * F.col(f"cr{b}") for a in "xyz" for b in "xyz"})
+    h = lambda a, b: F.col(f"h{a}{b}")
+    entries = [
+        h("x", "x") + h("y", "y") + h("z", "z"), h("y", "z") - h("z", "y"), h("z", "x") - h("x", "z"), h("x", "y") - h("y", "x"),
+        h("x", "x") - h("y", "y") - h("z", "z"), h("x", "y") + h("y", "x"), h("z", "x") + h("x", "z"),
+        h("y", "y") - h("x", "x") - h("z", "z"), h("y", "z") + h("z", "y"),
+        h("z", "z") - h("x", "x") - h("y", "y"),
+    ]
+    spread = F.col("pp") + F.col("qq") - n * sum((F.col(c) * F.col(c) for c in centers), F.lit(0.0))
+    return m.select("structure_id", "n", *centers, spread.alias("spread"), largest_eigen(entries).alias("top")).select("structure_id", "n", *centers, "spread", "top.*")
 
 
 def kabsch_align(model: DataFrame, reference: DataFrame) -> DataFrame:
@@ -260,35 +326,15 @@ def kabsch_align(model: DataFrame, reference: DataFrame) -> DataFrame:
     bounds nothing.
     """
     both = paired(model, reference)
-    moments = superposition_moments(both)
-    names = [f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
-
-    @F.pandas_udf(", ".join(f"{c} double" for c in names))
-    def turn(m: pd.DataFrame) -> pd.DataFrame:
-        *_, h = _covariance(m)
-        u, _, vt = np.linalg.svd(h)
-        flip = np.ones((len(m), 3))
-        flip[:, 2] = np.where(np.linalg.det(u) * np.linalg.det(vt) < 0, -1.0, 1.0)
-        return pd.DataFrame((vt.transpose(0, 2, 1) * flip[:, None, :] @ u.transpose(0, 2, 1)).reshape(-1, 9), columns=names)
-
-    solved = moments.withColumn("turn", turn(F.struct(*[c for c in moments.columns if c != "structure_id"])))
-    centers = [(F.col(f"s{c}") / F.col("n")).alias(f"c{c}") for c in ("x", "y", "z", "rx", "ry", "rz")]
-    moved = both.drop("rx", "ry", "rz").join(solved.select("structure_id", *centers, "turn.*"), "structure_id")
-    matrix = [[F.col(f"r{i}{j}") for j in (1, 2, 3)] for i in (1, 2, 3)]
-    place = [p + F.col(f"cr{a}") for p, a in zip(rotate(matrix, xyz(), (F.col("cx"), F.col("cy"), F.col("cz"))), "xyz", strict=True)]
+    matrix = quaternion_rotation(*(F.col("vector").getItem(k) for k in range(4)))
+    turns = superpositions(both).select("structure_id", "cx", "cy", "cz", "crx", "cry", "crz", *(matrix[i][j].alias(f"r{i + 1}{j + 1}") for i in range(3) for j in range(3)))
+    moved = both.drop("rx", "ry", "rz").join(turns, "structure_id")
+    rows = [[F.col(f"r{i}{j}") for j in (1, 2, 3)] for i in (1, 2, 3)]
+    place = [p + F.col(f"cr{a}") for p, a in zip(rotate(rows, xyz(), (F.col("cx"), F.col("cy"), F.col("cz"))), "xyz", strict=True)]
     return moved.select("structure_id", "atom_idx", *(p.alias(a) for p, a in zip(place, "xyz", strict=True)))
 
 
 def aligned_rmsd(model: DataFrame, reference: DataFrame) -> DataFrame:
-    """(structure_id, rmsd) after superposition, from moments that Spark sums before any row leaves it."""
-    moments = superposition_moments(paired(model, reference))
-
-    @F.pandas_udf("double")
-    def rmsd(m: pd.DataFrame) -> pd.Series:
-        n, p, q, h = _covariance(m)
-        s = np.linalg.svd(h, compute_uv=False)
-        sign = np.where(np.linalg.det(h) < 0, -1.0, 1.0)
-        left = m["pp"].to_numpy() + m["qq"].to_numpy() - n * ((p * p).sum(1) + (q * q).sum(1)) - 2 * (s[:, 0] + s[:, 1] + sign * s[:, 2])
-        return pd.Series(np.sqrt(np.maximum(left, 0) / n))
-
-    return moments.select("structure_id", rmsd(F.struct(*[c for c in moments.columns if c != "structure_id"])).alias("rmsd"))
+    """(structure_id, rmsd) after superposition, from moments that Spark sums on the map side."""
+    left = F.greatest(F.col("spread") - 2 * F.col("value"), F.lit(0.0))
+    return superpositions(paired(model, reference)).select("structure_id", F.sqrt(left / F.col("n")).alias("rmsd"))

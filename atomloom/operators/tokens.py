@@ -89,6 +89,34 @@ def relative_positions(features: DataFrame, window: int = 32) -> DataFrame:
     return pairs.select(F.col("l.structure_id").alias("structure_id"), F.col("l.atom_idx").alias("i"), F.col("r.atom_idx").alias("j"), bucket.alias("bucket"))
 
 
+def relative_position_sums(features: DataFrame, window: int = 32) -> DataFrame:
+    """(structure_id, bucket, n, weight): the pairs of ``relative_positions`` in each bucket and the sum of i * j over them.
+
+    No pair of atoms is made. Atoms are counted by residue; a residue meets those of its chain inside the window one by one,
+    those before it by a running sum, and pairs across chains are what is left of all pairs. Buckets of d and -d mirror each
+    other. Work grows with residues times the window. ``weight`` is a decimal of 38 digits.
+    """
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    residues = features.groupBy("structure_id", "chain_idx", "res_index").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("atom_idx").cast("long")).alias("s"))
+    along = Window.partitionBy("structure_id", "chain_idx").orderBy("res_index")
+    near, far = along.rangeBetween(1 - window, -1), along.rangeBetween(Window.unboundedPreceding, -window)
+    met = residues.withColumns({"near": F.collect_list(F.struct("res_index", "n", "s")).over(near), "far_n": F.sum("n").over(far), "far_s": F.sum("s").over(far)})
+    pair = lambda d, n, s: F.struct(d.cast("int").alias("d"), (F.col("n") * n).alias("n"), (wide("s") * s.cast("decimal(19,0)")).cast("decimal(38,0)").alias("weight"))
+    inside = F.transform("near", lambda r: pair(F.col("res_index") - r["res_index"], r["n"], r["s"]))
+    beyond = pair(F.lit(window), F.coalesce("far_n", F.lit(0).cast("long")), F.coalesce("far_s", F.lit(0).cast("long")))
+    own = pair(F.lit(0), F.col("n"), F.col("s"))
+    by_offset = met.select("structure_id", F.inline(F.concat(inside, F.array(beyond, own)))).groupBy("structure_id", "d").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    both = F.when(F.col("d") == 0, F.array(F.lit(window + 1))).otherwise(F.array(window + 1 + F.col("d"), window + 1 - F.col("d")))
+    same = by_offset.select("structure_id", F.explode(both).alias("bucket"), "n", "weight")
+    chains = residues.groupBy("structure_id", "chain_idx").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    square = lambda c: (c * c).cast("decimal(38,0)")
+    across = chains.groupBy("structure_id").agg(
+        (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("n"),
+        (square(F.sum("s").cast("decimal(19,0)")) - F.sum(square(wide("s")))).cast("decimal(38,0)").alias("weight"),
+    )
+    return same.unionByName(across.select("structure_id", F.lit(2 * window + 2).alias("bucket"), "n", "weight")).filter(F.col("n") > 0)
+
+
 def pad_batches(features: DataFrame, batches: DataFrame) -> DataFrame:
     """Rows of (structure_id, batch_id) batches padded to the longest structure of each.
 
@@ -120,3 +148,17 @@ def pad_pairs(pairs: DataFrame, padded: DataFrame, fill: int = 1) -> DataFrame:
     """Pair buckets over padded structures; pairs with a padded side have ``fill``."""
     frame = pad_bias(padded).drop("bias")
     return frame.join(pairs, ["structure_id", "i", "j"], "left").withColumn("bucket", F.coalesce("bucket", F.lit(fill)))
+
+
+def pad_bias_sums(padded: DataFrame, masked: float = -1e9) -> DataFrame:
+    """(batch_id, structure_id, n_pairs, bias): the pairs of ``pad_bias`` and their sum, from the lengths alone."""
+    n, hidden = F.count(F.lit(1)), F.count_if(~F.col("pad_mask"))
+    return padded.groupBy("batch_id", "structure_id").agg((n * n).alias("n_pairs"), (F.lit(masked) * n * hidden + 0.0).alias("bias"))
+
+
+def pad_position_counts(features: DataFrame, padded: DataFrame, window: int = 32, fill: int = 1) -> DataFrame:
+    """(structure_id, bucket, n): how many pairs of ``pad_pairs`` each bucket has, from sums by residue and from lengths."""
+    real = F.count_if("pad_mask")
+    n = F.count(F.lit(1))
+    fills = padded.groupBy("structure_id").agg((n * n - real * real).alias("n")).filter(F.col("n") > 0).select("structure_id", F.lit(fill).alias("bucket"), "n")
+    return relative_position_sums(features, window).select("structure_id", "bucket", "n").unionByName(fills).groupBy("structure_id", "bucket").agg(F.sum("n").alias("n"))

@@ -38,6 +38,15 @@ def sql6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) + 0e0 AS {n}" for n in names)
 
 
+def apart(digits: int, *names: str) -> dict[str, Column]:
+    """Values moved off rounding ties, which sums of another order would round apart."""
+    return {n: F.round(F.col(n) + TIE, digits) + 0.0 for n in names}
+
+
+def sql_apart(digits: int, *names: str) -> str:
+    return ", ".join(f"round({n} + 1e-9, {digits}) + 0e0 AS {n}" for n in names)
+
+
 DIST = "sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z))"
 
 
@@ -229,8 +238,17 @@ def mol_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM mol p JOIN mol q ON p.structure_id = q.structure_id GROUP BY 1"""
 )
 def relative_position_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = tokens.relative_positions(mol_features(spark, sf_dir))
-    return pairs.groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("i") * F.col("j")).alias("weight"))
+    sums = tokens.relative_position_sums(mol_features(spark, sf_dir))
+    return sums.groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.sum("n").alias("n"), F.sum("weight").cast("long").alias("weight"))
+
+
+@query(
+    f"""WITH {MOL_SQL} SELECT p.structure_id, CAST(CASE WHEN p.chain_id <> q.chain_id THEN 66 ELSE greatest(-32, least(32, p.res_index - q.res_index)) + 33 END AS BIGINT) AS bucket, count(*) AS n
+    FROM mol p JOIN mol q ON p.structure_id = q.structure_id GROUP BY 1, 2"""
+)
+def relative_position_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of each structure, counted over its pairs one by one."""
+    return tokens.relative_positions(mol_features(spark, sf_dir)).groupBy("structure_id", F.col("bucket").cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT structure_id, round(sum(overlap*overlap), 6) AS clash_energy FROM clash GROUP BY 1")
@@ -313,11 +331,11 @@ def masked_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     com AS (SELECT structure_id, avg(x) FILTER (chain_idx = 2) AS mx, avg(y) FILTER (chain_idx = 2) AS my, avg(z) FILTER (chain_idx = 2) AS mz, avg(x) FILTER (chain_idx = 1) AS rx, avg(y) FILTER (chain_idx = 1) AS ry, avg(z) FILTER (chain_idx = 1) AS rz FROM a GROUP BY 1),
     t AS (SELECT a.structure_id, atom_idx, chain_idx, x + CASE WHEN chain_idx = 2 THEN coalesce(0.5e0*(rx + 5e0 - mx), 0e0) ELSE 0e0 END AS x,
       y + CASE WHEN chain_idx = 2 THEN coalesce(0.5e0*(ry - my), 0e0) ELSE 0e0 END AS y, z + CASE WHEN chain_idx = 2 THEN coalesce(0.5e0*(rz - mz), 0e0) ELSE 0e0 END AS z FROM a JOIN com USING (structure_id))
-    SELECT structure_id, atom_idx, {sql6('x', 'y', 'z')} FROM t"""
+    SELECT structure_id, atom_idx, {sql_apart(6, 'x', 'y', 'z')} FROM t"""
 )
 def chain_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
     atoms = mol_features(spark, sf_dir).select("structure_id", "atom_idx", "chain_idx", "x", "y", "z")
-    return flow.chain_guidance(atoms, [flow.ChainConstraint(2, 1, (5.0, 0.0, 0.0), 1.0)], 0.5).drop("chain_idx").withColumns(r6("x", "y", "z"))
+    return flow.chain_guidance(atoms, [flow.ChainConstraint(2, 1, (5.0, 0.0, 0.0), 1.0)], 0.5).drop("chain_idx").withColumns(apart(6, "x", "y", "z"))
 
 
 CENTER_SQL = ", ".join(f"avg({a}) FILTER (chain_idx = {k}) AS {s}{a}" for s, k in (("m", 2), ("r", 1)) for a in "xyz")
@@ -332,12 +350,12 @@ CENTER_SQL = ", ".join(f"avg({a}) FILTER (chain_idx = {k}) AS {s}{a}" for s, k i
     c2 AS (SELECT structure_id, {CENTER_SQL} FROM t GROUP BY 1),
     u AS (SELECT t.structure_id, atom_idx, x + CASE WHEN chain_idx = 1 THEN coalesce(0.25e0*(mx - rx), 0e0) ELSE 0e0 END AS x,
       y + CASE WHEN chain_idx = 1 THEN coalesce(0.25e0*(my - 3e0 - ry), 0e0) ELSE 0e0 END AS y, z + CASE WHEN chain_idx = 1 THEN coalesce(0.25e0*(mz - rz), 0e0) ELSE 0e0 END AS z FROM t JOIN c2 USING (structure_id))
-    SELECT structure_id, atom_idx, round(x + 1e-9, 5) + 0e0 AS x, round(y + 1e-9, 5) + 0e0 AS y, round(z + 1e-9, 5) + 0e0 AS z FROM u"""
+    SELECT structure_id, atom_idx, {sql_apart(6, 'x', 'y', 'z')} FROM u"""
 )
 def chain_guidance_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     atoms = mol_features(spark, sf_dir).select("structure_id", "atom_idx", "chain_idx", "x", "y", "z")
     constraints = [flow.ChainConstraint(2, 1, (5.0, 0.0, 0.0), 1.0), flow.ChainConstraint(1, 2, (0.0, -3.0, 0.0), 0.5)]
-    return flow.chain_guidance(atoms, constraints, 0.5).drop("chain_idx").withColumns({a: F.round(F.col(a) + TIE, 5) + 0.0 for a in "xyz"})
+    return flow.chain_guidance(atoms, constraints, 0.5).drop("chain_idx").withColumns(apart(6, "x", "y", "z"))
 
 
 NOISE_SQL = "n AS (SELECT *, ((atom_idx * 7 + structure_id) % 11 - 5) / 5e0 AS e0, ((atom_idx * 3 + structure_id) % 13 - 6) / 6e0 AS e1, ((atom_idx * 5 + structure_id) % 7 - 3) / 3e0 + 0.05e0 AS e2, ((atom_idx + structure_id) % 5 - 2) / 4e0 AS e3 FROM mol)"
@@ -362,13 +380,13 @@ def prior_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {MOL_SQL}, c AS (SELECT structure_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM mol GROUP BY 1),
     q AS (SELECT structure_id, atom_idx, x-cx AS dx, y-cy AS dy, z-cz AS dz, cos((structure_id % 7)::DOUBLE) AS co, sin((structure_id % 7)::DOUBLE) AS si FROM mol JOIN c USING (structure_id)),
-    t AS (SELECT structure_id, atom_idx, co*dx - si*dy AS x, si*dx + co*dy AS y, dz AS z FROM q) SELECT structure_id, atom_idx, {sql6('x', 'y', 'z')} FROM t"""
+    t AS (SELECT structure_id, atom_idx, co*dx - si*dy AS x, si*dx + co*dy AS y, dz AS z FROM q) SELECT structure_id, atom_idx, {sql_apart(6, 'x', 'y', 'z')} FROM t"""
 )
 def rigid_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     atoms = mol(spark, sf_dir).select("structure_id", "atom_idx", "x", "y", "z")
     angle = (F.col("structure_id") % 7).cast("double")
     turn = atoms.select("structure_id").distinct().select("structure_id", F.cos(angle).alias("r11"), (-F.sin(angle)).alias("r12"), F.lit(0.0).alias("r13"), F.sin(angle).alias("r21"), F.cos(angle).alias("r22"), F.lit(0.0).alias("r23"), F.lit(0.0).alias("r31"), F.lit(0.0).alias("r32"), F.lit(1.0).alias("r33"))
-    return flow.apply_transform(atoms, turn, flow.centroids(atoms, F.lit(True))).withColumns(r6("x", "y", "z"))
+    return flow.apply_transform(atoms, turn, flow.centroids(atoms, F.lit(True))).withColumns(apart(6, "x", "y", "z"))
 
 
 @query(f"WITH {MOL_SQL}, {NOISE_SQL}, t AS (SELECT structure_id, atom_idx, (1-(structure_id % 10)/10e0)*e0 + (structure_id % 10)/10e0*x AS x_t, x - e0 AS v FROM n) SELECT structure_id, atom_idx, {sql6('x_t', 'v')} FROM t")
@@ -446,7 +464,7 @@ def pad_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MOL_SQL}, {DENSE_SQL}, f AS (SELECT g.batch_id, g.structure_id, g.atom_idx, d.atom_idx IS NOT NULL AS pad_mask FROM g LEFT JOIN d ON d.structure_id = g.structure_id AND d.atom_idx = g.atom_idx) SELECT p.structure_id, count(*) AS n_pairs, sum(CASE WHEN q.pad_mask THEN 0e0 ELSE -1e9 END) AS bias FROM f p JOIN f q ON p.structure_id = q.structure_id GROUP BY 1")
 def pad_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.pad_bias(padded(spark, sf_dir)).groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("bias").alias("bias"))
+    return tokens.pad_bias_sums(padded(spark, sf_dir)).select("structure_id", "n_pairs", "bias")
 
 
 @query(f"WITH {MOL_SQL}, {DENSE_SQL}, xyz AS (SELECT structure_id, row_number() OVER (PARTITION BY structure_id ORDER BY atom_idx) AS atom_idx, x, y, z FROM mol) SELECT g.batch_id, g.structure_id, CAST(g.atom_idx AS BIGINT) AS atom_idx, round(coalesce(x, 0e0), 6) + 0e0 AS x, round(coalesce(y, 0e0), 6) + 0e0 AS y, round(coalesce(z, 0e0), 6) + 0e0 AS z FROM g LEFT JOIN xyz v ON v.structure_id = g.structure_id AND v.atom_idx = g.atom_idx")
@@ -463,8 +481,7 @@ def pad_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pad_relative_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = padded(spark, sf_dir)
-    pairs = tokens.relative_positions(frame.filter("pad_mask"))
-    return tokens.pad_pairs(pairs, frame).groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return tokens.pad_position_counts(frame.filter("pad_mask"), frame).groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.sum("n").alias("n"))
 
 
 @query("SELECT event_id % 5 AS epoch, event_type AS phase, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS most FROM events GROUP BY 1, 2")
@@ -535,37 +552,33 @@ def validity_guidance_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.validity_step(atoms, 0.05, largest=LARGEST_RADIUS).select("structure_id", "atom_idx", *((F.round(a, 5) + 0.0).alias(a) for a in "xyz"))
 
 
-RMSD_SQL = f"""WITH {MOL_SQL}, ball AS (SELECT structure_id, atom_idx, x - 3.8e0 * res_index AS x, y, z, l_partkey, l_suppkey, l_linenumber FROM mol),
-o AS (SELECT structure_id, atom_idx, {MOVED_SQL} FROM ball),
-m AS (SELECT p.structure_id, count(*) AS n, avg(q.x) ax, avg(q.y) ay, avg(q.z) az, avg(p.x) bx, avg(p.y) bby, avg(p.z) bz FROM ball p JOIN o q USING (structure_id, atom_idx) GROUP BY 1),
-c AS (SELECT p.structure_id, n, q.x-ax AS px, q.y-ay AS py, q.z-az AS pz, p.x-bx AS qx, p.y-bby AS qy, p.z-bz AS qz FROM ball p JOIN o q USING (structure_id, atom_idx) JOIN m USING (structure_id)),
-h AS (SELECT structure_id, any_value(n) AS n, sum(px*px+py*py+pz*pz) AS pp, sum(qx*qx+qy*qy+qz*qz) AS qq, sum(px*qx) a, sum(px*qy) b, sum(px*qz) c, sum(py*qx) d, sum(py*qy) e, sum(py*qz) f, sum(pz*qx) g, sum(pz*qy) h, sum(pz*qz) i FROM c GROUP BY 1),
-k AS (SELECT *, a*a+d*d+g*g k11, a*b+d*e+g*h k12, a*c+d*f+g*i k13, b*b+e*e+h*h k22, b*c+e*f+h*i k23, c*c+f*f+i*i k33, a*(e*i-f*h)-b*(d*i-f*g)+c*(d*h-e*g) AS det FROM h),
-t AS (SELECT *, (k11+k22+k33)/3 AS tr, sqrt(((k11-(k11+k22+k33)/3)*(k11-(k11+k22+k33)/3)+(k22-(k11+k22+k33)/3)*(k22-(k11+k22+k33)/3)+(k33-(k11+k22+k33)/3)*(k33-(k11+k22+k33)/3)+2*(k12*k12+k13*k13+k23*k23))/6) AS p FROM k),
-u AS (SELECT *, CASE WHEN p = 0 THEN 0e0 ELSE acos(greatest(-1e0, least(1e0, ((k11-tr)*((k22-tr)*(k33-tr)-k23*k23)-k12*(k12*(k33-tr)-k23*k13)+k13*(k12*k23-(k22-tr)*k13))/(2*p*p*p))))/3 END AS phi FROM t),
-v AS (SELECT *, sqrt(greatest(tr+2*p*cos(phi),0e0)) s1, sqrt(greatest(tr+2*p*cos(phi-2.0943951023931953e0),0e0)) s2, sqrt(greatest(tr+2*p*cos(phi+2.0943951023931953e0),0e0)) s3 FROM u)
-SELECT structure_id, round(sqrt(greatest(pp+qq-2*(s1+s2+CASE WHEN det < 0 THEN -s3 ELSE s3 END),0e0)/n), 3) AS rmsd FROM v"""
-
-
-def ball(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The projection with residues not drawn out along x: SQL's closed form is exact only where the axes are of like size."""
-    return mol(spark, sf_dir).withColumn("x", F.col("x") - F.lit(3.8) * F.col("res_index"))
+#: The largest root of the quaternion matrix's characteristic polynomial, by Newton steps from above; its coefficients are sums of
+#: squares of the products, their determinant and the squares of its minors.
+RMSD_SQL = f"""WITH RECURSIVE {MOL_SQL}, o AS (SELECT structure_id, atom_idx, {MOVED_SQL} FROM mol),
+m AS (SELECT p.structure_id, count(*) AS n, avg(q.x) ax, avg(q.y) ay, avg(q.z) az, avg(p.x) bx, avg(p.y) bby, avg(p.z) bz FROM mol p JOIN o q USING (structure_id, atom_idx) GROUP BY 1),
+c AS (SELECT p.structure_id, n, q.x-ax AS px, q.y-ay AS py, q.z-az AS pz, p.x-bx AS qx, p.y-bby AS qy, p.z-bz AS qz FROM mol p JOIN o q USING (structure_id, atom_idx) JOIN m USING (structure_id)),
+h AS (SELECT structure_id, any_value(n) AS n, sum(px*px+py*py+pz*pz) + sum(qx*qx+qy*qy+qz*qz) AS g, sum(px*qx) a, sum(px*qy) b, sum(px*qz) c, sum(py*qx) d, sum(py*qy) e, sum(py*qz) f, sum(pz*qx) gg, sum(pz*qy) h, sum(pz*qz) i FROM c GROUP BY 1),
+k AS (SELECT *, a*a+b*b+c*c+d*d+e*e+f*f+gg*gg+h*h+i*i AS f2, a*(e*i-f*h)-b*(d*i-f*gg)+c*(d*h-e*gg) AS det,
+  (e*i-f*h)*(e*i-f*h)+(d*i-f*gg)*(d*i-f*gg)+(d*h-e*gg)*(d*h-e*gg)+(b*i-c*h)*(b*i-c*h)+(a*i-c*gg)*(a*i-c*gg)+(a*h-b*gg)*(a*h-b*gg)+(b*f-c*e)*(b*f-c*e)+(a*f-c*d)*(a*f-c*d)+(a*e-b*d)*(a*e-b*d) AS minors FROM h),
+newton AS (SELECT structure_id, n, g, f2, det, minors, 0 AS step, g/2 AS u FROM k
+  UNION ALL SELECT structure_id, n, g, f2, det, minors, step + 1, CASE WHEN 4*u*u*u-4*f2*u-8*det > 0 THEN u - (u*u*u*u-2*f2*u*u-8*det*u+f2*f2-4*minors)/(4*u*u*u-4*f2*u-8*det) ELSE u END FROM newton WHERE step < 60)
+SELECT structure_id, round(sqrt(greatest(g-2*u, 0e0)/n), 4) AS rmsd FROM newton WHERE step = 60"""
 
 
 @query(RMSD_SQL)
 def aligned_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    atoms = ball(spark, sf_dir)
-    return geometry.aligned_rmsd(moved(atoms), atoms).select("structure_id", F.round("rmsd", 3).alias("rmsd"))
+    atoms = mol(spark, sf_dir)
+    return geometry.aligned_rmsd(moved(atoms), atoms).select("structure_id", F.round("rmsd", 4).alias("rmsd"))
 
 
-@query(f"SELECT structure_id, n, round(bx, 6) + 0e0 AS cx, round(bby, 6) + 0e0 AS cy, round(bz, 6) + 0e0 AS cz, rmsd FROM ({RMSD_SQL.replace('SELECT structure_id, round(sqrt', 'SELECT structure_id, m.n, bx, bby, bz, round(sqrt').replace('/n), 3) AS rmsd FROM v', '/m.n), 3) AS rmsd FROM v JOIN m USING (structure_id)')})")
+@query(RMSD_SQL.replace("SELECT structure_id, round(sqrt(greatest(g-2*u, 0e0)/n)", f"SELECT structure_id, m.n, {sql_apart(6, 'bx', 'bby', 'bz').replace('AS bx', 'AS cx').replace('AS bby', 'AS cy').replace('AS bz', 'AS cz')}, round(sqrt(greatest(g-2*u, 0e0)/m.n)").replace("FROM newton WHERE step = 60", "FROM newton JOIN m USING (structure_id) WHERE step = 60"))
 def kabsch_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the superposed atoms of each structure have: the reference's centre and the least distance to it."""
-    atoms = ball(spark, sf_dir)
+    atoms = mol(spark, sf_dir)
     both = geometry.paired(geometry.kabsch_align(moved(atoms), atoms), atoms)
     off = sum(((F.col(a) - F.col(f"r{a}")) * (F.col(a) - F.col(f"r{a}")) for a in "xyz"), F.lit(0.0))
-    centers = [(F.round(F.avg(a), 6) + 0.0).alias(f"c{a}") for a in "xyz"]
-    return both.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"), *centers, F.round(F.sqrt(F.avg(off)), 3).alias("rmsd"))
+    centers = [(F.round(F.avg(a) + TIE, 6) + 0.0).alias(f"c{a}") for a in "xyz"]
+    return both.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"), *centers, F.round(F.sqrt(F.avg(off)), 4).alias("rmsd"))
 
 
 EXAMPLE_SQL = f"""WITH {MOL_SQL}, {NOISE_SQL}, s AS (SELECT *, CASE WHEN lag(chain_id) OVER (PARTITION BY structure_id ORDER BY atom_idx) = chain_id THEN 0 ELSE 1 END AS st, sqrt(e0*e0+e1*e1+e2*e2) AS len FROM n),
@@ -577,7 +590,7 @@ c AS (SELECT structure_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM walk WH
 p AS (SELECT *, co*(x-mx) - si*(y-my) AS tx, si*(x-mx) + co*(y-my) AS ty, z-mz AS tz, NOT virtual AND NOT fixed AS mask FROM walk JOIN c USING (structure_id)),
 q AS (SELECT *, CASE WHEN fixed THEN tx ELSE wx END AS ax, CASE WHEN fixed THEN ty ELSE wy END AS ay, CASE WHEN fixed THEN tz ELSE wz END AS az FROM p),
 e AS (SELECT *, CASE WHEN mask THEN tx ELSE ax END AS bx, CASE WHEN mask THEN ty ELSE ay END AS bby, CASE WHEN mask THEN tz ELSE az END AS bz FROM q)
-SELECT structure_id, atom_idx, mask, t, round((1-t)*ax + t*bx, 5) + 0e0 AS xt, round((1-t)*ay + t*bby, 5) + 0e0 AS yt, round((1-t)*az + t*bz, 5) + 0e0 AS zt, round(bx-ax, 5) + 0e0 AS vx, round(bby-ay, 5) + 0e0 AS vy, round(bz-az, 5) + 0e0 AS vz FROM e"""
+SELECT structure_id, atom_idx, mask, t, {sql_apart(5, 'xt', 'yt', 'zt', 'vx', 'vy', 'vz')} FROM (SELECT *, (1-t)*ax + t*bx AS xt, (1-t)*ay + t*bby AS yt, (1-t)*az + t*bz AS zt, bx-ax AS vx, bby-ay AS vy, bz-az AS vz FROM e)"""
 
 
 def turns(structures: DataFrame) -> DataFrame:
@@ -597,7 +610,7 @@ def example_atoms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     atoms, fixed = example_atoms(spark, sf_dir)
     rows = flow.training_examples(atoms, fixed, seed=5, draws=(noisy(atoms), turns(atoms), F.col("structure_id") % 10 / 10.0))
-    return rows.withColumns({c: F.round(c, 5) + 0.0 for c in ("xt", "yt", "zt", "vx", "vy", "vz")})
+    return rows.withColumns(apart(5, "xt", "yt", "zt", "vx", "vy", "vz"))
 
 
 @query()
