@@ -39,7 +39,11 @@ def read_structures(spark: SparkSession, directory: str, recursive: bool = False
 def pdb_atoms(texts: DataFrame) -> DataFrame:
     """Raw atom rows of fixed-width PDB text: first model, alternative location blank or A."""
     first_model = F.substring_index(F.col("content"), "\nENDMDL", 1)
-    lines = texts.select("structure_id", F.posexplode(F.split(first_model, "\r?\n")).alias("atom_ord", "line"))
+    return pdb_line_atoms(texts.select("structure_id", F.posexplode(F.split(first_model, "\r?\n")).alias("atom_ord", "line")))
+
+
+def pdb_line_atoms(lines: DataFrame) -> DataFrame:
+    """Raw atom rows of (structure_id, atom_ord, line) rows of first models."""
     part = lambda start, length: F.trim(F.substring("line", start, length))
     record = F.substring("line", 1, 6)
     kept = lines.filter(record.isin("ATOM  ", "HETATM") & F.substring("line", 17, 1).isin(" ", "A"))
@@ -85,11 +89,22 @@ def _number(text: str | None, kind: type) -> float | int | None:
         return None
 
 
-def _cif_rows(content: str) -> Iterator[tuple]:
-    """Values of the atom_site loop of one mmCIF text, in the columns of RAW_SCHEMA after the id.
+def cif_record(names: list[str], cells: list[str | None]) -> tuple[str, str | None, tuple]:
+    """(model, alternative location, values in the columns of RAW_SCHEMA after the ordinal) of one row of the loop.
 
     Unreadable or missing numbers are null, as in the other format, and a row that ends early has nulls for the rest.
     """
+    row = dict(zip_longest(names, cells))
+    pick = lambda *keys: next((row[k] for k in keys if row.get(k) is not None), "")
+    place = [_number(row.get(f"Cartn_{axis}"), float) for axis in "xyz"]
+    number = _number(pick("auth_seq_id", "label_seq_id"), int)
+    fields = (pick("auth_asym_id", "label_asym_id"), number, pick("pdbx_PDB_ins_code"), pick("auth_comp_id", "label_comp_id"), pick("auth_atom_id", "label_atom_id"), pick("type_symbol"), *place, row.get("group_PDB") == "HETATM")
+    return row.get("pdbx_PDB_model_num") or "1", row.get("label_alt_id"), fields
+
+
+def _cif_rows(content: str) -> Iterator[tuple]:
+    """Values of the atom_site loop of one mmCIF text, in the columns of RAW_SCHEMA after the id; the ordinal counts the rows of
+    the loop from 1."""
     lines = iter(content.splitlines())
     names: list[str] = []
     for line in lines:
@@ -101,16 +116,11 @@ def _cif_rows(content: str) -> Iterator[tuple]:
     values = _cif_values(lines)
     first_model, ordinal = None, 0
     while names and (cells := list(islice(values, len(names)))):
-        row = dict(zip_longest(names, cells))
-        pick = lambda *keys: next((row[k] for k in keys if row.get(k) is not None), "")  # noqa: B023, E731
-        model = row.get("pdbx_PDB_model_num") or "1"
-        first_model = first_model or model
-        if model != first_model or row.get("label_alt_id") not in (None, "A"):
-            continue
         ordinal += 1
-        place = [_number(row.get(f"Cartn_{axis}"), float) for axis in "xyz"]
-        number = _number(pick("auth_seq_id", "label_seq_id"), int)
-        yield (ordinal, pick("auth_asym_id", "label_asym_id"), number, pick("pdbx_PDB_ins_code"), pick("auth_comp_id", "label_comp_id"), pick("auth_atom_id", "label_atom_id"), pick("type_symbol"), *place, row.get("group_PDB") == "HETATM")
+        model, alternative, fields = cif_record(names, cells)
+        first_model = first_model or model
+        if model == first_model and alternative in (None, "A"):
+            yield ordinal, *fields
 
 
 def cif_atoms(texts: DataFrame) -> DataFrame:
