@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from atomloom.functions.geometry import constraint_features, cross, dot, euler_step, guided_velocity, interpolant, sinusoidal_embedding
 from atomloom.functions.vocab import classify_residue, element_index, modality_index, normalize_element, polymer_atom_index, polymer_start, residue_modality, vdw_radius
-from atomloom.operators import dataset, flow, geometry, tokens, training
+from atomloom.operators import dataset, flow, geometry, library, tokens, training
 from atomloom.plans.projections import EVENTS_SQL, LARGEST_RADIUS, MIXED_SQL, MOL_SQL, MOVED_SQL, event_atoms, mixed, mol, moved
+from atomloom.sources.storage import shared_dir
 from atomloom.sources.structures import largest_chain, parse_status, parse_structures, restrict_to_largest_chain, with_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -740,3 +741,45 @@ def residue_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, ("ALA", "GLY", "A", "DT"))), (F.col("l_partkey") % 4 + 1).cast("int"))
     named = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(name.alias("res_name"))
     return named.withColumn("modality", residue_modality(F.col("res_name"))).groupBy("res_name", "modality").agg(F.count(F.lit(1)).alias("n"))
+
+
+def broken_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projection as files; those of a number divisible by 3 are cut off before their first atom."""
+    texts = structure_texts(spark, sf_dir)
+    return texts.withColumn("content", F.when(F.col("structure_id").cast("long") % 3 == 0, F.substring("content", 1, 12)).otherwise(F.col("content")))
+
+
+@query(
+    f"""WITH {MOL_SQL}, s AS (SELECT DISTINCT structure_id FROM mol), e AS (SELECT structure_id % 3 = 0 AS bad, structure_id % 2 = 0 AS early FROM s)
+    SELECT 'first' AS batch, count(*) FILTER (early AND NOT bad) AS written, 0::BIGINT AS present, count(*) FILTER (early AND bad) AS failed FROM e
+    UNION ALL SELECT 'second', count(*) FILTER (NOT early AND NOT bad), count(*) FILTER (early AND NOT bad), count(*) FILTER (bad) FROM e
+    UNION ALL SELECT 'library', count(*) FILTER (NOT bad), 0, 0 FROM e"""
+)
+def library_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of two batches of a new library, of which the second has the texts of the first again, and of its structures."""
+    texts, path = broken_texts(spark, sf_dir), shared_dir(spark, "library")
+    early = texts.filter(F.col("structure_id").cast("long") % 2 == 0)
+    counts = [("first", library.add_batch(spark, path, early, "first")), ("second", library.add_batch(spark, path, texts, "second"))]
+    rows = spark.createDataFrame([(name, c["written"], c["present"], c["failed"]) for name, c in counts], "batch string, written long, present long, failed long")
+    held = library.read_library(spark, path).agg(F.lit("library").alias("batch"), F.count_distinct("structure_id").alias("written"), F.lit(0).cast("long").alias("present"), F.lit(0).cast("long").alias("failed"))
+    return rows.unionByName(held)
+
+
+@query(f"WITH {MOL_SQL} SELECT structure_id::VARCHAR AS structure_id, CASE WHEN structure_id % 3 = 0 THEN 0 ELSE count(*) END AS n_atoms, CASE WHEN structure_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN structure_id % 3 = 0 THEN 'no atom records' END AS reason FROM mol GROUP BY mol.structure_id")
+def library_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "library")
+    library.add_batch(spark, path, broken_texts(spark, sf_dir), "all")
+    return library.library_outcomes(spark, path)
+
+
+@query(
+    f"""WITH {MOL_SQL}, s AS (SELECT structure_id, ((structure_id % 2147483648) * 2654435761 + 11) % 4294967296 AS k, 5 * count(DISTINCT res_index) AS n_tokens FROM mol WHERE structure_id % 3 <> 0 GROUP BY 1)
+    SELECT structure_id::VARCHAR AS structure_id, n_tokens FROM s WHERE n_tokens <= 120 ORDER BY k, s.structure_id LIMIT 9"""
+)
+def targets_in_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first nine structures, in shuffled order, that parse and have at most 120 tokens."""
+    texts = broken_texts(spark, sf_dir)
+    key = dataset.arithmetic_key(F.col("structure_id").cast("long"), 11)
+    loader = lambda part: tokens.tokenize(parse_structures(texts.join(part, "structure_id", "left_semi")))
+    found = library.load_in_waves(library.shuffled(texts, 0, key), loader, 9, 120)
+    return found.tokens.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_tokens"))

@@ -145,32 +145,24 @@ def with_runs(rows: DataFrame, keys: list[str], order: str, partition: str = "st
     return rows.withColumn("_changed", changed).withColumn(name, F.sum("_changed").over(in_order).cast("int")).drop("_changed")
 
 
-def residues_of(raw: DataFrame) -> DataFrame:
-    """The atom relation from raw rows: contiguous runs are residues, waters go, residues are classified.
+def classified_runs(raw: DataFrame) -> DataFrame:
+    """Raw atom rows with ``residue_ord``, ``water`` and ``modality``: contiguous runs are residues and are classified.
 
-    An element that is not given is the first letter of the atom name. The number of atoms that tells ions from ligands
-    counts rows before repeated names are merged.
+    The number of atoms that tells ions from ligands counts rows before repeated names are merged.
     """
     keys = [k for k in ("chain_id", "res_id", "insertion", "res_name") if k in raw.columns]
-    runs = with_runs(raw, keys, "atom_ord", name="residue_ord")
-    runs = runs.filter(~F.trim("res_name").isin(WATERS))
+    runs = with_runs(raw, keys, "atom_ord", name="residue_ord").withColumns({"res_name": F.trim("res_name"), "water": F.trim("res_name").isin(WATERS)})
     in_run = Window.partitionBy("structure_id", "residue_ord")
+    return runs.withColumn("modality", classify_residue(F.col("res_name"), F.max("hetero").over(in_run), F.count(F.lit(1)).over(in_run)))
+
+
+def residues_of(raw: DataFrame) -> DataFrame:
+    """The atom relation from raw rows: residues without waters. An element that is not given is the first letter of the atom
+    name."""
     element = F.when(F.coalesce(F.trim("element"), F.lit("")) == "", infer_element(F.col("atom_name"))).otherwise(normalize_element(F.trim("element")))
-    return runs.select(
-        "structure_id",
-        "residue_ord",
-        "chain_id",
-        F.col("res_id").alias("res_index"),
-        F.trim("res_name").alias("res_name"),
-        classify_residue(F.trim("res_name"), F.max("hetero").over(in_run), F.count(F.lit(1)).over(in_run)).alias("modality"),
-        "hetero",
-        "atom_ord",
-        F.trim("atom_name").alias("atom_name"),
-        element.alias("element"),
-        "x",
-        "y",
-        "z",
-    )
+    runs = classified_runs(raw).filter(~F.col("water"))
+    place = [F.trim("atom_name").alias("atom_name"), element.alias("element"), "x", "y", "z"]
+    return runs.select("structure_id", "residue_ord", "chain_id", F.col("res_id").alias("res_index"), "res_name", "modality", "hetero", "atom_ord", *place)
 
 
 def parse_structures(texts: DataFrame) -> DataFrame:
@@ -187,14 +179,19 @@ def parse_status(texts: DataFrame) -> DataFrame:
     """(structure_id, n_atoms, status, reason) of every text: ``ok``, or ``damaged`` or ``failed`` with a reason.
 
     A failed structure gives no tokens: it has no atoms, waters only, or a polymer residue without a vocabulary. A damaged one
-    has atom rows whose numbers cannot be read; they are kept with nulls.
+    has atom rows whose numbers cannot be read; they are kept with nulls. Texts are parsed once.
     """
-    raw = raw_atoms(texts).withColumn("water", F.trim("res_name").isin(WATERS))
+    return status_of(texts.select("structure_id").distinct(), raw_atoms(texts))
+
+
+def status_of(ids: DataFrame, raw: DataFrame) -> DataFrame:
+    """``parse_status`` of the structures ``ids`` from their raw atom rows, which are dealt by structure once."""
     bad = F.greatest(*(F.col(c).isNull() for c in ("x", "y", "z", "res_id")))
-    counts = raw.groupBy("structure_id").agg(F.count_if(~F.col("water")).alias("n_atoms"), F.count_if(~F.col("water") & bad).alias("n_bad"))
-    polymer = residues_of(raw.drop("water")).filter(F.col("modality").isin(MODALITIES[:3]) & atom_slots(F.col("res_name")).isNull())
-    unknown = polymer.groupBy("structure_id").agg(F.min("res_name").alias("unknown"))
-    found = texts.select("structure_id").distinct().join(counts, "structure_id", "left").join(unknown, "structure_id", "left")
+    strange = F.col("modality").isin(MODALITIES[:3]) & atom_slots(F.col("res_name")).isNull() & ~F.col("water")
+    counts = classified_runs(raw).groupBy("structure_id").agg(
+        F.count_if(~F.col("water")).alias("n_atoms"), F.count_if(~F.col("water") & bad).alias("n_bad"), F.min(F.when(strange, F.col("res_name"))).alias("unknown")
+    )
+    found = ids.join(counts, "structure_id", "left")
     failed = (
         F.when(F.col("n_atoms").isNull(), F.lit("no atom records"))
         .when(F.col("n_atoms") == 0, F.lit("waters only"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from atomloom.operators import training
+from atomloom.operators.library import manifest, read_library
 from atomloom.sources.structures import read_structures
 from atomloom.streaming.library import library_stream
 
@@ -37,10 +38,12 @@ def test_library_stream_takes_each_file_once(spark, tmp_path):
     for expected, name in enumerate(("a.pdb", "b.ent"), start=1):
         (source / name).write_text("".join(LINE.format(n=k, name=f" {e}", res=1, x=k, y=0.0, z=0.0, element=e[0]) for k, e in enumerate(("N", "CA"), start=1)))
         (source / "notes.txt").write_text("no structure")
+        (source / f"empty{expected}.pdb").write_text("HEADER")
         for _ in range(2):
             library_stream(spark, str(source), library, str(tmp_path / "checkpoint")).awaitTermination()
-        rows = spark.read.parquet(library)
+        rows = read_library(spark, library)
         assert rows.select("structure_id").distinct().count() == expected and rows.count() == 5 * expected
+    assert [b["counts"] for b in manifest(spark, library).batches] == 2 * [{"written": 1, "present": 0, "failed": 1}]
 
 
 def test_files_of_a_folder(spark, tmp_path):
