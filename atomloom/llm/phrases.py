@@ -5,8 +5,8 @@
    numbered, and every chunk gets the numbers of its own words back, so that no task holds the dictionary; pieces are broken
    at all other words.
 3. Pairs of numbers are counted; every chunk gets those of its pairs that are frequent, and is broken at the others.
-4. Each place that is left gives one fixed-width binary key: its number and the next ones, in big-endian order. Chunks merge
-   equal keys; keys are range-partitioned and sorted, and one pass over the runs of equal prefixes counts the phrases of every
+4. Each place that begins three words or more gives one fixed-width binary key: its number and the next ones, in big-endian order.
+   Chunks merge equal keys; keys are range-partitioned and sorted, and one pass over the runs of equal prefixes counts the phrases of every
    length. A run that may go on in the next partition is handed on whatever its count, and such parts are summed.
 5. Phrases are scored at their cuts by joins on parts of the key.
 """
@@ -31,7 +31,7 @@ TOP = 2000
 UNKNOWN = "und"
 SCALE = 1000
 #: Words after which a task ends its chunks; a longer text makes a longer chunk. Bytes of text that are worked on at a time.
-CHUNK_WORDS, TEXT_BYTES = 1 << 20, 1 << 22
+CHUNK_WORDS, TEXT_BYTES = 1 << 21, 1 << 22
 #: Blocks in which words are numbered, and in which the first phrases of a language are found.
 WORD_BLOCKS, TOP_BLOCKS = 1 << 16, 256
 #: Bytes of a word's number in a key.
@@ -181,13 +181,13 @@ def pair_counts(numbered: DataFrame) -> DataFrame:
 
 
 def run_keys(codes: np.ndarray, frequent: np.ndarray, longest: int) -> np.ndarray:
-    """(places, longest) numbers: each place that begins a frequent pair, with the numbers after it up to the first pair that is
-    not frequent; zeros beyond. ``frequent`` is sorted."""
+    """(places, longest) numbers: each place that begins two frequent pairs, with the numbers after it up to the first pair that
+    is not frequent; zeros beyond. ``frequent`` is sorted."""
     pairs = pair_codes(codes)
     at = np.minimum(np.searchsorted(frequent, pairs), max(0, len(frequent) - 1))
     joined = (pairs > 0) & (frequent[at] == pairs) if len(frequent) else np.zeros(len(pairs), dtype=bool)
     padded, links = np.concatenate([codes, np.zeros(longest, codes.dtype)]), np.concatenate([joined, np.zeros(longest, dtype=bool)])
-    places = np.flatnonzero(joined)
+    places = np.flatnonzero(joined & links[1 : len(joined) + 1])
     out = np.zeros((len(places), longest), dtype=np.uint32)
     out[:, 0], live = padded[places], np.ones(len(places), dtype=bool)
     for k in range(1, longest):
@@ -196,10 +196,23 @@ def run_keys(codes: np.ndarray, frequent: np.ndarray, longest: int) -> np.ndarra
     return out
 
 
-def key_counts(numbered: DataFrame, pairs: DataFrame, min_count: int, longest: int) -> DataFrame:
+def frequent_pairs(pairs: DataFrame, min_count: int) -> DataFrame:
+    """(chunk, pairs, totals): the pairs of each chunk that occur ``min_count`` times in all, and, at one chunk for each pair, how
+    often."""
+    own = Window.partitionBy("pair").orderBy("chunk")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = pairs.withColumns({"total": F.sum("n").over(whole), "first": F.row_number().over(own) == 1}).filter(F.col("total") >= min_count)
+    return summed.groupBy("chunk").agg(F.collect_list("pair").alias("pairs"), F.collect_list(F.when(F.col("first"), F.struct("pair", "total"))).alias("totals"))
+
+
+def pair_phrases(frequent: DataFrame) -> DataFrame:
+    """(key, a) of the frequent pairs."""
+    each = frequent.select(F.inline("totals"))
+    return each.select(F.unhex(F.lpad(F.hex("pair"), 4 * WIDTH, "0")).alias("key"), F.col("total").alias("a"))
+
+
+def key_counts(numbered: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
     """(key, n): fixed-width keys of the places that are left in each chunk, equal ones merged."""
-    total = F.sum("n").over(Window.partitionBy("pair"))
-    frequent = pairs.withColumn("total", total).filter(F.col("total") >= min_count).groupBy("chunk").agg(F.collect_list("pair").alias("pairs"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
@@ -216,7 +229,7 @@ def key_counts(numbered: DataFrame, pairs: DataFrame, min_count: int, longest: i
                 data = pa.py_buffer(packed[lo * width : (lo + rows) * width])
                 yield pa.record_batch([pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), data]), pa.array(n[lo : lo + rows])], names=["key", "n"])
 
-    return numbered.join(frequent, "chunk").mapInArrow(keyed, "key binary, n long")
+    return numbered.join(frequent.select("chunk", "pairs"), "chunk").mapInArrow(keyed, "key binary, n long")
 
 
 class Runs:
@@ -257,13 +270,13 @@ class Runs:
 
 
 def phrase_counts(keys: DataFrame, min_count: int, longest: int) -> DataFrame:
-    """(key, a): phrases of 2 to ``longest`` words that occur ``min_count`` times; a key has WIDTH bytes for each word.
+    """(key, a): phrases of 3 to ``longest`` words that occur ``min_count`` times; a key has WIDTH bytes for each word.
 
     ``keys`` is range-partitioned, so it should be cheap to read twice.
     """
 
     def run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = [Runs(m, min_count) for m in range(2, longest + 1)]
+        runs = [Runs(m, min_count) for m in range(3, longest + 1)]
 
         def rows(found: list[tuple[bytes, int]]) -> pa.RecordBatch:
             whole = [(k, a) for k, a in found if any(k[-WIDTH:])]  # a 0 in the last place: the piece was shorter
@@ -348,8 +361,12 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LON
     known = materialize(known_words(listed, min_count), "phrase-words")
     dictionary = materialize(known.filter(F.col("word").isNotNull()).select("lang", "word", "f", "id").join(sizes, "lang"), "phrase-dictionary")
     numbered = materialize(with_numbers(found, known), "phrase-numbers")
-    keys = materialize(key_counts(numbered, pair_counts(numbered), min_count, longest), "phrase-keys")
-    phrases = materialize(phrase_counts(keys, min_count, longest), "phrase-counts")
+    frequent = materialize(frequent_pairs(pair_counts(numbered), min_count), "phrase-pairs")
+    phrases = pair_phrases(frequent)
+    if longest > 2:
+        keys = materialize(key_counts(numbered, frequent, longest), "phrase-keys")
+        phrases = phrases.unionByName(phrase_counts(keys, min_count, longest))
+    phrases = materialize(phrases, "phrase-counts")
     left = spelled(scored(phrases, dictionary).join(maximal(phrases), "key", "left_semi"), dictionary)
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     longs = [F.col(c).cast("long").alias(c) for c in ("a", "l", "r", "n", "score")]

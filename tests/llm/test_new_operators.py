@@ -162,6 +162,8 @@ def test_collocations_of_odd_documents(spark, odd_documents, no_documents):
     rows = phrases.collocations(odd_documents, min_count=2, top=50).collect()
     assert sorted(map(tuple, rows)) == plain_collocations([(r.text, r.lang) for r in odd_documents.collect()], 2, 5, 50)
     assert phrases.collocations(no_documents).count() == 0
+    pairs = phrases.collocations(odd_documents, min_count=2, longest=2, top=50).collect()
+    assert sorted(map(tuple, pairs)) == plain_collocations([(r.text, r.lang) for r in odd_documents.collect()], 2, 2, 50)
     wordless = odd_documents.filter("doc_id in (1, 2, 3)")
     assert phrases.collocations(wordless, min_count=1).count() == 0
 
