@@ -25,8 +25,11 @@ SKIPPABLE = 0x184D2A5D
 #: Records are written to a new archive once the present one holds so many bytes of records.
 ARCHIVE_BYTES = 8 << 20
 DICTIONARY_BYTES = 32 << 10
-#: Records that a dictionary is built from, spread evenly over the archive's, and their bytes in all.
-SAMPLE_RECORDS, SAMPLE_BYTES = 400, 2 << 20
+#: Bytes that a dictionary is trained on, spread evenly over the archive's records, and how many times its own size they are.
+SAMPLE_BYTES, SAMPLE_SHARE = 2 << 20, 20
+#: Bytes of a piece of the sample, and the pieces that a small archive is cut into, none shorter than LEAST_PIECE.
+PIECE_BYTES, PIECES, LEAST_PIECE = 4096, 400, 64
+LEAST_DICTIONARY = 256
 LEVEL = 6
 #: Payloads smaller than this are always responses. Every equal payload is a revisit at 0.
 MIN_REVISIT_BYTES = 0
@@ -66,24 +69,33 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["content-length"])]
 
 
+def sample_pieces(records: list[bytes]) -> list[bytes]:
+    """Pieces of an archive's records, spread evenly over all their bytes, of SAMPLE_BYTES at most in all.
+
+    Few records give shorter pieces, so that there are enough of them to train on.
+    """
+    total = sum(map(len, records))
+    size = max(LEAST_PIECE, min(PIECE_BYTES, total // PIECES))
+    pieces = [r[at : at + size] for r in records for at in range(0, len(r), size)]
+    wanted = max(1, SAMPLE_BYTES // size)
+    if len(pieces) <= wanted:
+        return pieces
+    return [pieces[k * len(pieces) // wanted] for k in range(wanted)]
+
+
 def build_dictionary(records: list[bytes]) -> bytes:
-    """A dictionary trained on an archive's records.
+    """A dictionary trained on an archive's records, of a twentieth of the sample but DICTIONARY_BYTES at most.
 
-    Zstandard trains only on a sample of many times the dictionary's size. An archive of fewer than 16 records, or of less
-    than 20 times DICTIONARY_BYTES (640 KiB) in its sample, has the last DICTIONARY_BYTES of the records themselves instead.
+    Only where Zstandard can train nothing (records of a few hundred bytes in all, or of noise), the end of the records stands in.
     """
-    step = max(1, len(records) // SAMPLE_RECORDS)
-    sample, used = [], 0
-    for r in records[::step]:
-        if used + len(r) <= SAMPLE_BYTES:
-            sample.append(r)
-            used += len(r)
-    try:
-        if len(sample) >= 16 and used >= 20 * DICTIONARY_BYTES:
-            return zstandard.train_dictionary(DICTIONARY_BYTES, sample, level=LEVEL, d=8, k=256).as_bytes()
-    except zstandard.ZstdError:
-        pass
-    return (b"".join(sample) or records[0])[-DICTIONARY_BYTES:]
+    sample = sample_pieces(records)
+    size = min(DICTIONARY_BYTES, max(LEAST_DICTIONARY, sum(map(len, sample)) // SAMPLE_SHARE))
+    while size >= LEAST_DICTIONARY:
+        try:
+            return zstandard.train_dictionary(size, sample, level=LEVEL, d=8, k=min(256, size // 4)).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b"".join(records)[-DICTIONARY_BYTES:]
 
 
 def archive(records: list[bytes]) -> bytes:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -279,3 +280,25 @@ def test_pipeline_stages(spark, odd_documents, no_documents):
     left = corpus_pipeline.drop_near_duplicates(spark, odd_documents, sf)
     counts = collections.Counter(r.doc_id for r in left.collect())
     assert counts[5] == 1 and 6 not in counts and counts[1] == 1 and counts[None] == 1
+
+
+@pytest.mark.parametrize("n", [1, 3, 20, 700])
+def test_small_archives_have_trained_dictionaries(n):
+    rng = random.Random(n)
+    words = [f"<p class='{k}'>word{k * 7919 % 1000}</p> " for k in range(120)]
+    records = [warc.record(i, "u", "".join(rng.choice(words) for _ in range(150)).encode(), "d", None) for i in range(n)]
+    packed = warc.archive(records)
+    assert packed[8:12] == b"\x37\xa4\x30\xec" and list(warc.read_archive(packed)) == records  # Zstandard's mark of a trained dictionary
+
+
+def test_untrainable_archives_are_read_alike():
+    rng = random.Random(3)
+    for records in ([b"x"], [b"", b"yy"], [rng.randbytes(90)]):
+        packed = warc.archive([warc.record(1, None, r, "d", None) for r in records])
+        assert [warc.parse(r)[1] for r in warc.read_archive(packed)] == records
+
+
+def test_samples_cover_all_records():
+    records = [bytes([k]) * 30_000 for k in range(200)]
+    pieces = warc.sample_pieces(records)
+    assert {p[0] for p in pieces} == set(range(200)) and sum(map(len, pieces)) <= warc.SAMPLE_BYTES
