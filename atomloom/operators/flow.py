@@ -43,21 +43,50 @@ def with_noise(tokens: DataFrame, seed: int) -> DataFrame:
     return tokens.withColumns({f"e{k}": normal(seed, F.col("structure_id"), F.col("atom_idx"), F.lit(k)) for k in range(4)})
 
 
-def prior_walk(tokens: DataFrame, config: PriorConfig = PriorConfig(), chain: str = "chain_id") -> DataFrame:
+#: Places of one structure that a task walks along; atoms lie in the block of their number.
+WALK_BLOCK = 1 << 16
+
+
+def prior_walk(tokens: DataFrame, config: PriorConfig = PriorConfig(), chain: str = "chain_id", block: int = WALK_BLOCK) -> DataFrame:
     """(structure_id, atom_idx, x0, y0, z0) from tokens with noise columns e0..e3.
 
     The first atom of a run of one chain is free noise; each further atom steps from the one before it by a random
     direction of length bond_length + bond_std e3. The walk is a running sum over the run.
+
+    Sums run inside blocks of ``block`` atom numbers. Each block tells what it adds to a run that it does not end and whether it
+    begins one; running sums over these rows, one a block, give the place where each block's first run goes on. So no task
+    holds the atoms of a whole structure.
     """
-    in_order = Window.partitionBy("structure_id").orderBy("atom_idx")
-    starts = F.when(F.lag(chain).over(in_order).eqNullSafe(F.col(chain)), 0).otherwise(1)
-    runs = tokens.select("structure_id", "atom_idx", chain, "e0", "e1", "e2", "e3", starts.alias("start")).withColumn("run", F.sum("start").over(in_order))
+    in_block = Window.partitionBy("structure_id", "block").orderBy("atom_idx")
     length = norm((F.col("e0"), F.col("e1"), F.col("e2")))
     reach = F.lit(config.bond_length) + F.lit(config.bond_std) * F.col("e3")
-    step = {f"s{k}": F.when(F.col("start") == 1, F.lit(config.free_std) * F.col(f"e{k}")).otherwise(F.when(length > 0, reach * F.col(f"e{k}") / length).otherwise(0.0)) for k in range(3)}
-    along = Window.partitionBy("structure_id", "run").orderBy("atom_idx").rowsBetween(Window.unboundedPreceding, 0)
-    walked = runs.withColumns(step)
-    return walked.select("structure_id", "atom_idx", *(F.sum(f"s{k}").over(along).alias(f"{a}0") for k, a in enumerate("xyz")))
+    free = {f"f{k}": F.lit(config.free_std) * F.col(f"e{k}") for k in range(3)}
+    step = {f"s{k}": F.when(length > 0, reach * F.col(f"e{k}") / length).otherwise(0.0) for k in range(3)}
+    placed = tokens.select("structure_id", "atom_idx", F.col(chain).alias("chain"), F.floor(F.col("atom_idx") / block).alias("block"), *(c.alias(n) for n, c in (free | step).items()))
+    rows = placed.withColumns({"first": F.row_number().over(in_block) == 1, "begins": ~F.lag("chain").over(in_block).eqNullSafe(F.col("chain"))})
+    rows = rows.withColumn("begins", F.col("begins") & ~F.col("first")).withColumn("run", F.sum(F.col("begins").cast("int")).over(in_block))
+
+    # What follows the last beginning inside a block; its first atom is counted apart, as its kind depends on the block before.
+    own = F.when(F.col("begins"), F.struct(*(F.col(f"f{k}").alias(f"t{k}") for k in range(3)))).otherwise(F.struct(*(F.col(f"s{k}").alias(f"t{k}") for k in range(3))))
+    by_run = rows.withColumn("own", own).groupBy("structure_id", "block", "run").agg(
+        *(F.sum(F.when(~F.col("first"), F.col(f"own.t{k}"))).alias(f"t{k}") for k in range(3)),
+        F.max(F.when(F.col("first"), F.struct("chain", *free, *step))).alias("head"),
+        F.max_by("chain", "atom_idx").alias("last"),
+    )
+    ends = by_run.groupBy("structure_id", "block").agg(F.max("head").alias("head"), F.max_by(F.struct("last", "run", "t0", "t1", "t2"), "run").alias("tail"))
+    along = Window.partitionBy("structure_id").orderBy("block")
+    fresh = F.lag(F.lit(1)).over(along).isNull() | ~F.lag("tail.last").over(along).eqNullSafe(F.col("head.chain"))
+    ends = ends.withColumn("fresh", fresh).withColumn("stretch", F.sum((F.col("fresh") | (F.col("tail.run") > 0)).cast("int")).over(along))
+    adds = [(F.coalesce(F.col(f"tail.t{k}"), F.lit(0.0)) + F.when(F.col("tail.run") > 0, 0.0).when(F.col("fresh"), F.col(f"head.f{k}")).otherwise(F.col(f"head.s{k}"))).alias(f"a{k}") for k in range(3)]
+    same = Window.partitionBy("structure_id", "stretch").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    sums = ends.select("structure_id", "block", "fresh", "stretch", *adds).withColumns({f"a{k}": F.sum(f"a{k}").over(same) for k in range(3)})
+    carried = sums.select("structure_id", "block", "fresh", *(F.when(F.col("fresh"), 0.0).otherwise(F.lag(f"a{k}").over(along)).alias(f"a{k}") for k in range(3)))
+
+    joined = rows.join(carried, ["structure_id", "block"])
+    begins = F.col("begins") | (F.col("first") & F.col("fresh"))
+    inside = Window.partitionBy("structure_id", "block", "run").orderBy("atom_idx").rowsBetween(Window.unboundedPreceding, 0)
+    place = [F.sum(F.when(begins, F.col(f"f{k}")).otherwise(F.col(f"s{k}"))).over(inside) + F.when(F.col("run") > 0, 0.0).otherwise(F.col(f"a{k}")) for k in range(3)]
+    return joined.select("structure_id", "atom_idx", *(p.alias(f"{a}0") for p, a in zip(place, "xyz", strict=True)))
 
 
 def centroids(atoms: DataFrame, mask: Column) -> DataFrame:

@@ -372,10 +372,10 @@ def noisy(atoms: DataFrame) -> DataFrame:
     f"""WITH {MOL_SQL}, {NOISE_SQL}, s AS (SELECT *, CASE WHEN lag(chain_id) OVER (PARTITION BY structure_id ORDER BY atom_idx) = chain_id THEN 0 ELSE 1 END AS st, sqrt(e0*e0+e1*e1+e2*e2) AS len FROM n),
     r AS (SELECT *, sum(st) OVER (PARTITION BY structure_id ORDER BY atom_idx) AS run FROM s),
     w AS (SELECT structure_id, atom_idx, run, CASE WHEN st = 1 THEN 10e0*e0 ELSE (3.8e0+e3)*e0/len END AS sx, CASE WHEN st = 1 THEN 10e0*e1 ELSE (3.8e0+e3)*e1/len END AS sy, CASE WHEN st = 1 THEN 10e0*e2 ELSE (3.8e0+e3)*e2/len END AS sz FROM r)
-    SELECT structure_id, atom_idx, round(sum(sx) OVER v, 5) + 0e0 AS x0, round(sum(sy) OVER v, 5) + 0e0 AS y0, round(sum(sz) OVER v, 5) + 0e0 AS z0 FROM w WINDOW v AS (PARTITION BY structure_id, run ORDER BY atom_idx)"""
+    SELECT structure_id, atom_idx, round(sum(sx) OVER v + 1e-9, 5) + 0e0 AS x0, round(sum(sy) OVER v + 1e-9, 5) + 0e0 AS y0, round(sum(sz) OVER v + 1e-9, 5) + 0e0 AS z0 FROM w WINDOW v AS (PARTITION BY structure_id, run ORDER BY atom_idx)"""
 )
 def prior_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.prior_walk(noisy(mol(spark, sf_dir))).withColumns({c: F.round(c, 5) + 0.0 for c in ("x0", "y0", "z0")})
+    return flow.prior_walk(noisy(mol(spark, sf_dir))).withColumns(apart(5, "x0", "y0", "z0"))
 
 
 @query(
