@@ -177,15 +177,19 @@ def verifier_loss(rows: DataFrame, by: Sequence[str] = ("structure_id",)) -> Dat
 def chain_guidance(atoms: DataFrame, constraints: Sequence[ChainConstraint], dt: float) -> DataFrame:
     """Atoms (structure_id, atom_idx, chain_idx, x, y, z) after each constraint in turn; later ones see earlier moves.
 
-    Only per-chain centres are computed and broadcast-free joined by structure; a structure without one of the chains is
-    left as it is.
+    Chains move as a whole, so their centres move by known amounts: one aggregate and one join serve all constraints. A structure
+    without one of the chains is left as it is by that constraint.
     """
+    if not constraints:
+        return atoms
+    chains, moving = sorted({k for c in constraints for k in (c.moving, c.reference)}), sorted({c.moving for c in constraints})
+    centers = atoms.groupBy("structure_id").agg(*(F.avg(F.when(F.col("chain_idx") == k, F.col(a))).alias(f"_c{k}{a}") for k in chains for a in "xyz"))
+    centers = centers.withColumns({f"_s{k}{a}": F.lit(0.0) for k in moving for a in "xyz"})
     for c in constraints:
-        means = [F.avg(F.when(F.col("chain_idx") == k, F.col(a))).alias(f"{side}{a}") for side, k in (("m", c.moving), ("r", c.reference)) for a in "xyz"]
-        centers = atoms.groupBy("structure_id").agg(*means)
-        pull = {a: F.col(a) + F.when((F.col("chain_idx") == c.moving) & F.col(f"m{a}").isNotNull() & F.col(f"r{a}").isNotNull(), F.lit(c.weight * dt) * (F.col(f"r{a}") + F.lit(o) - F.col(f"m{a}"))).otherwise(0.0) for a, o in zip("xyz", c.offset, strict=True)}
-        atoms = atoms.join(centers, "structure_id").withColumns(pull).select(*atoms.columns)
-    return atoms
+        pull = {a: F.coalesce(F.lit(c.weight * dt) * (F.col(f"_c{c.reference}{a}") + F.lit(o) - F.col(f"_c{c.moving}{a}")), F.lit(0.0)) for a, o in zip("xyz", c.offset, strict=True)}
+        centers = centers.withColumns({f"_{kind}{c.moving}{a}": F.col(f"_{kind}{c.moving}{a}") + p for kind in "cs" for a, p in pull.items()})
+    shift = lambda a: F.coalesce(*(F.when(F.col("chain_idx") == k, F.col(f"_s{k}{a}")) for k in moving), F.lit(0.0))
+    return atoms.join(centers, "structure_id").withColumns({a: F.col(a) + shift(a) for a in "xyz"}).select(*atoms.columns)
 
 
 def validity_gradient(atoms: DataFrame, w_clash: float = 1.0, w_bond: float = 1.0, w_chirality: float = 1.0, margin: float = 0.3, eps: float = 1e-6, tolerance: float = TOLERANCE, largest: float = LARGEST_CLASH / 2) -> DataFrame:
