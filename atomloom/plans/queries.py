@@ -13,6 +13,7 @@ from atomloom.operators import dataset, flow, geometry, library, tokens, trainin
 from atomloom.plans.projections import EVENTS_SQL, LARGEST_RADIUS, MIXED_SQL, MOL_SQL, MOVED_SQL, event_atoms, mixed, mol, moved
 from atomloom.sources.storage import shared_dir
 from atomloom.sources.structures import largest_chain, parse_status, parse_structures, restrict_to_largest_chain, with_runs
+from atomloom.sources.tensors import read_tensors, write_tensors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -475,6 +476,25 @@ def pad_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("batch_id", "structure_id", F.col("atom_idx").cast("long").alias("atom_idx"), "x", "y", "z").withColumns(r6("x", "y", "z"))
 
 
+@query(
+    f"""WITH {MOL_SQL}, {DENSE_SQL}, xyz AS (SELECT structure_id, row_number() OVER (PARTITION BY structure_id ORDER BY atom_idx) AS atom_idx, x, y, z FROM mol)
+    SELECT g.batch_id, g.structure_id, CAST(g.atom_idx AS BIGINT) AS atom_idx, CAST(coalesce(CASE d.element WHEN 'C' THEN 1 WHEN 'N' THEN 2 WHEN 'O' THEN 3 END, 1) AS BIGINT) AS element_idx,
+     coalesce(d.res_index, 0) AS res_index, d.atom_idx IS NULL AS is_virtual, d.atom_idx IS NOT NULL AS pad_mask,
+     {", ".join(f"CAST(CAST(round(coalesce({a}, 0e0), 6) + 0e0 AS FLOAT) AS DOUBLE) AS {a}" for a in "xyz")}
+    FROM g LEFT JOIN d ON d.structure_id = g.structure_id AND d.atom_idx = g.atom_idx LEFT JOIN xyz v ON v.structure_id = g.structure_id AND v.atom_idx = g.atom_idx"""
+)
+def tensors_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padded batches with coordinates after a way through files of tensors."""
+    dense = mol(spark, sf_dir).withColumn("atom_idx", F.row_number().over(Window.partitionBy("structure_id").orderBy("atom_idx")))
+    frame = padded(spark, sf_dir)
+    placed = tokens.pad_columns(dense, frame, "xyz").drop("batch_id").withColumns(r6("x", "y", "z"))
+    path = shared_dir(spark, "tensors")
+    write_tensors(frame.join(placed, ["structure_id", "atom_idx"]), path, {"coordinates": ("x", "y", "z")}, window=32)
+    back = read_tensors(spark, path)
+    whole = [F.col(c).cast("long").alias(c) for c in ("atom_idx", "element_idx")]
+    return back.select("batch_id", "structure_id", *whole, "res_index", "is_virtual", "pad_mask", "x", "y", "z")
+
+
 @query(
     f"""WITH {MOL_SQL}, {DENSE_SQL}, f AS (SELECT g.structure_id, g.atom_idx, d.chain_id, d.res_index FROM g LEFT JOIN d ON d.structure_id = g.structure_id AND d.atom_idx = g.atom_idx),
     p AS (SELECT CASE WHEN a.chain_id IS NULL OR b.chain_id IS NULL THEN 1 WHEN a.chain_id <> b.chain_id THEN 66 ELSE greatest(-32, least(32, a.res_index - b.res_index)) + 33 END AS bucket FROM f a JOIN f b ON a.structure_id = b.structure_id)
