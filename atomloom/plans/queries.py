@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from atomloom.functions.geometry import constraint_features, cross, dot, euler_step, guided_velocity, interpolant, sinusoidal_embedding
 from atomloom.functions.vocab import classify_residue, element_index, modality_index, normalize_element, polymer_atom_index, polymer_start, residue_modality, vdw_radius
-from atomloom.operators import dataset, flow, geometry, library, tokens, training
+from atomloom.operators import benchmark, dataset, flow, geometry, library, tokens, training
 from atomloom.plans.projections import EVENTS_SQL, LARGEST_RADIUS, MIXED_SQL, MOL_SQL, MOVED_SQL, event_atoms, mixed, mol, moved
 from atomloom.sources.storage import shared_dir
 from atomloom.sources.structures import largest_chain, parse_status, parse_structures, restrict_to_largest_chain, with_runs
@@ -662,6 +662,68 @@ def structure_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("structure_id", *longs, "is_virtual", "x", "y", "z", "is_fixed", "is_hotspot", "rasa", "has_rasa").withColumns(r6("x", "y", "z"))
 
 
+GRID_SQL = """residues AS (SELECT structure_id, res_index, min(chain_id) AS chain_id FROM mol GROUP BY 1, 2),
+slots AS (SELECT * FROM (VALUES (0,'N'),(1,'CA'),(2,'C'),(3,'O'),(4,'CB'),(5,'OG')) s(slot_ord, atom_name)),
+grid AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY res_index, slot_ord) AS atom_idx FROM residues CROSS JOIN slots),
+placed AS (SELECT g.structure_id, g.chain_id, g.res_index, g.atom_name, g.atom_idx, coalesce(x, 0e0) AS x, coalesce(y, 0e0) AS y, coalesce(z, 0e0) AS z
+  FROM grid g LEFT JOIN mol m ON m.structure_id = g.structure_id AND m.res_index = g.res_index AND m.atom_name = g.atom_name)"""
+
+
+@query(
+    f"""WITH {MOL_SQL}, {GRID_SQL} SELECT * FROM (WITH mol AS (SELECT * FROM placed), {BONDS_SQL}, {CENTERS_SQL},
+    begins AS (SELECT structure_id, i, count(*) AS n_bonds, min(j) AS first_end, sum(ideal) AS ideal FROM bonds GROUP BY 1, 2)
+    SELECT m.structure_id, CAST(m.atom_idx AS BIGINT) AS atom_idx, CASE substr(m.atom_name, 1, 1) WHEN 'C' THEN 'C' WHEN 'N' THEN 'N' ELSE 'O' END AS element, coalesce(n_bonds, 0) AS n_bonds,
+     CAST(coalesce(first_end, 0) AS BIGINT) AS first_end, round(coalesce(ideal, 0e0), 6) AS ideal, CAST(coalesce(h.n, 0) AS BIGINT) AS n, CAST(coalesce(h.c, 0) AS BIGINT) AS c, CAST(coalesce(h.cb, 0) AS BIGINT) AS cb, round(coalesce(h.volume, 0e0), 6) + 0e0 AS volume
+    FROM mol m LEFT JOIN begins b ON b.structure_id = m.structure_id AND b.i = m.atom_idx LEFT JOIN centers h ON h.structure_id = m.structure_id AND h.ca = m.atom_idx)"""
+)
+def benchmark_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composed examples: what begins at each token, and its centre (0 where there is none)."""
+    rows = benchmark.benchmark_examples(serine_atoms(spark, sf_dir))
+    none = F.lit(0).cast("long")
+    longs = [F.coalesce(F.col(f"center.{n}").cast("long"), none).alias(n) for n in ("n", "c", "cb")]
+    return rows.select(
+        "structure_id",
+        F.col("atom_idx").cast("long").alias("atom_idx"),
+        "element",
+        F.size("bonds").cast("long").alias("n_bonds"),
+        F.coalesce(F.try_element_at("bonds", F.lit(1))["j"].cast("long"), none).alias("first_end"),
+        F.round(F.aggregate("bonds", F.lit(0.0), lambda s, b: s + b["ideal"]), 6).alias("ideal"),
+        *longs,
+        (F.round(F.coalesce("center.volume", F.lit(0.0)), 6) + 0.0).alias("volume"),
+    )
+
+
+#: The projection as ``still``, its prior walk as ``walk``, and half way from there to it as ``half``.
+SAMPLES_SQL = MOL_SQL.replace("mol AS (", "still AS (", 1) + f""", {NOISE_SQL.replace("FROM mol", "FROM still")},
+s AS (SELECT *, CASE WHEN lag(chain_id) OVER (PARTITION BY structure_id ORDER BY atom_idx) = chain_id THEN 0 ELSE 1 END AS st, sqrt(e0*e0+e1*e1+e2*e2) AS len FROM n),
+r AS (SELECT *, sum(st) OVER (PARTITION BY structure_id ORDER BY atom_idx) AS run FROM s),
+w AS (SELECT structure_id, atom_idx, run, {", ".join(f"CASE WHEN st = 1 THEN 10e0*e{k} ELSE (3.8e0+e3)*e{k}/len END AS s{a}" for k, a in enumerate("xyz"))} FROM r),
+p AS (SELECT structure_id, atom_idx, {", ".join(f"sum(s{a}) OVER v AS {a}0" for a in "xyz")} FROM w WINDOW v AS (PARTITION BY structure_id, run ORDER BY atom_idx)),
+walk AS (SELECT o.* REPLACE ({", ".join(f"{a}0 AS {a}" for a in "xyz")}) FROM still o JOIN p USING (structure_id, atom_idx)),
+half AS (SELECT o.* REPLACE ({", ".join(f"{a}0 + 0.5e0*({a} - {a}0) AS {a}" for a in "xyz")}) FROM still o JOIN p USING (structure_id, atom_idx))"""
+STEPPED_SQL = FORCES_SQL.replace("grad AS", f"{CENTERS_SQL}, {CHIRAL_SQL}, grad AS").replace("FROM force GROUP", "FROM (SELECT * FROM force UNION ALL SELECT * FROM chiral_force) GROUP").replace(MOL_SQL, "mol AS (SELECT * FROM half)")
+
+
+def sample_report_sql(label: str, atoms: str) -> str:
+    return f"SELECT * FROM (WITH mol AS (SELECT * FROM {atoms}), {parts_sql()} SELECT '{label}' AS label, {REPORT_SQL})"
+
+
+@query(
+    f"""WITH {SAMPLES_SQL}, moved AS (SELECT * FROM (WITH {STEPPED_SQL} SELECT * FROM stepped)),
+    led AS (SELECT o.* REPLACE (m.x AS x, m.y AS y, m.z AS z) FROM still o JOIN moved m USING (structure_id, atom_idx))
+    {" UNION ALL ".join(sample_report_sql(*pair) for pair in (("native", "still"), ("prior", "walk"), ("unguided", "half"), ("guided", "led")))}"""
+)
+def benchmark_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports under all four labels; the velocity is half of the true one, in one step."""
+    atoms = mol(spark, sf_dir).select("structure_id", "atom_idx", "chain_id", "res_index", "atom_name", "element", "x", "y", "z")
+    target = atoms.select("structure_id", "atom_idx", *(F.col(a).alias(f"{a}1") for a in "xyz"))
+
+    def velocity(now: DataFrame, t: float) -> DataFrame:
+        return now.join(target, ["structure_id", "atom_idx"]).select("structure_id", "atom_idx", *((0.5 * (F.col(f"{a}1") - F.col(a))).alias(f"v{a}") for a in "xyz"))
+
+    return benchmark.benchmark_reports(atoms, noisy(atoms), velocity, 1, tie_eps=TIE, largest=LARGEST_RADIUS)
+
+
 def structure_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projection as files: PDB text for even structures, mmCIF text (rows broken over lines) for odd ones; each residue of
     a number divisible by 4 has a water after it."""

@@ -23,6 +23,8 @@ from pyspark.sql.types import StructType
 
 KEYS = ("batch_id", "structure_id", "atom_idx")
 RELATIVE = "relative_position"
+#: Atoms, padding included, after which a partition of files that are read is full.
+PARTITION_ATOMS = 1 << 20
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -178,10 +180,8 @@ class TensorWriter(DataSourceArrowWriter):
 
 
 @dataclass
-class TensorFile(InputPartition):
-    name: str
-    batch_id: int
-    vectors: dict[str, list[str]]
+class TensorFiles(InputPartition):
+    files: list[tuple[str, int, dict[str, list[str]]]]
 
 
 class TensorReader(DataSourceReader):
@@ -190,27 +190,34 @@ class TensorReader(DataSourceReader):
     def __init__(self, path: str, schema: StructType):
         self.path, self.columns = path, schema
 
-    def partitions(self) -> list[TensorFile]:
-        found = manifests(*opened(self.path)).values()
-        return [TensorFile(name, batch_id, m["layout"]["vectors"]) for m in found for name, batch_id, *_ in m["files"]] or [TensorFile("", 0, {})]
+    def partitions(self) -> list[TensorFiles]:
+        """Runs of files of about PARTITION_ATOMS each."""
+        out, size = [TensorFiles([])], 0
+        for m in manifests(*opened(self.path)).values():
+            for name, batch_id, structures, atoms in m["files"]:
+                if out[-1].files and size + structures * atoms > PARTITION_ATOMS:
+                    out.append(TensorFiles([]))
+                    size = 0
+                out[-1].files.append((name, batch_id, m["layout"]["vectors"]))
+                size += structures * atoms
+        return out
 
-    def read(self, partition: TensorFile) -> Iterator[pa.RecordBatch]:
-        if not partition.name:  # there is no file
-            return
+    def read(self, partition: TensorFiles) -> Iterator[pa.RecordBatch]:
         wanted = to_arrow_schema(self.columns)
-        place = {c: (name, k) for name, columns in partition.vectors.items() for k, c in enumerate(columns)}
-        for structure_id, tensors in read_batch(self.path, partition.name):
-            n = len(next(iter(tensors.values())))
-            values = {"batch_id": np.full(n, partition.batch_id), "atom_idx": np.arange(1, n + 1)}
-            arrays = []
-            for field in wanted:
-                if field.name == "structure_id":
-                    arrays.append(pa.array([structure_id] * n, field.type))
-                else:
-                    name, k = place.get(field.name, (field.name, None))
-                    v = values[name] if name in values else tensors[name] if k is None else tensors[name][:, k]
+        for name, batch_id, vectors in partition.files:
+            place = {c: (vector, k) for vector, columns in vectors.items() for k, c in enumerate(columns)}
+            for structure_id, tensors in read_batch(self.path, name):
+                n = len(next(iter(tensors.values())))
+                values = {"batch_id": np.full(n, batch_id), "atom_idx": np.arange(1, n + 1)}
+                arrays = []
+                for field in wanted:
+                    if field.name == "structure_id":
+                        arrays.append(pa.array([structure_id] * n, field.type))
+                        continue
+                    tensor, k = place.get(field.name, (field.name, None))
+                    v = values[tensor] if tensor in values else tensors[tensor] if k is None else tensors[tensor][:, k]
                     arrays.append(pa.array(v.astype(bool) if pa.types.is_boolean(field.type) else v).cast(field.type))
-            yield pa.RecordBatch.from_arrays(arrays, schema=wanted)
+                yield pa.RecordBatch.from_arrays(arrays, schema=wanted)
 
 
 def read_batch(path: str, name: str) -> Iterator[tuple[object, dict[str, np.ndarray]]]:
