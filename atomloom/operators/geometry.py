@@ -17,30 +17,39 @@ PEPTIDE_BOND = 1.329
 TOLERANCE = 0.4
 LDDT_CUTOFF = 15.0
 LDDT_THRESHOLDS = (0.5, 1.0, 2.0, 4.0)
+#: Side of the cubes that ``neighbour_pairs`` deals atoms to, in radii.
+CUBE = 4
 
 
 def neighbour_pairs(atoms: DataFrame, radius: float, carry: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
     """Unordered pairs of atoms of a structure within ``radius``: (structure_id, i, j, d, l_<c>, r_<c> ...) with i < j.
 
-    Atoms fall in cubic cells of side ``radius``. One side of the join is copied to its own cell and the 13 that come after
-    it, which meets every two neighbouring cells once, so the join is an equi-join on (structure, cell) and its work grows
-    with the number of close pairs, not with all pairs. Atoms with a null coordinate pair with nothing.
+    Space is cut in cubes of ``CUBE`` radii. An atom goes to its own cube and to those before it (in the order of their numbers)
+    that it is near enough to, which in a small structure are few; a pair meets once, in the first of its two cubes. Both sides of
+    the join on (structure, cube) are the same rows, so they are shuffled once. Work grows with the atoms times those of a cube,
+    not with all pairs. Atoms with a null coordinate pair with nothing.
     """
-    cell = [F.floor(F.col(a) / F.lit(radius)).alias(f"c{a}") for a in "xyz"]
-    base = atoms.select("structure_id", "atom_idx", "x", "y", "z", *carry, *cell).filter(F.col("cx").isNotNull() & F.col("cy").isNotNull() & F.col("cz").isNotNull())
-    ahead = [step for step in product((-1, 0, 1), repeat=3) if step >= (0, 0, 0)]
-    steps = F.array(*[F.struct(*(F.lit(v).cast("bigint").alias(f"d{a}") for v, a in zip(step, "xyz", strict=True))) for step in ahead])
-    around = base.withColumn("step", F.explode(steps)).withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"step.d{a}") for a in "xyz"})
-    around = around.withColumn("own", (F.col("step.dx") == 0) & (F.col("step.dy") == 0) & (F.col("step.dz") == 0)).drop("step")
-    left, right = base.alias("l"), around.alias("r")
+    side, reach = CUBE * radius, radius * (1 + 1e-6)
+    at = lambda c: F.floor(c / F.lit(side) + 0.5)
+    cube = {f"c{a}": at(F.col(a)) for a in "xyz"}
+    base = atoms.select("structure_id", "atom_idx", "x", "y", "z", *carry).filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).withColumns(cube)
+    before = [step for step in product((-1, 0, 1), repeat=3) if step <= (0, 0, 0)]
+    steps = F.array(*[F.struct(*(F.lit(v).alias(f"d{a}") for v, a in zip(step, "xyz", strict=True))) for step in before])
+    touches = [F.col(f"c{a}") + F.col(f"step.d{a}") == F.when(F.col(f"step.d{a}") < 0, at(F.col(a) - F.lit(reach))).when(F.col(f"step.d{a}") > 0, at(F.col(a) + F.lit(reach))).otherwise(F.col(f"c{a}")) for a in "xyz"]
+    dealt = base.withColumn("step", F.explode(steps)).filter(touches[0] & touches[1] & touches[2])
+    dealt = dealt.withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"step.d{a}") for a in "xyz"})
+    dealt = dealt.withColumn("own", (F.col("step.dx") == 0) & (F.col("step.dy") == 0) & (F.col("step.dz") == 0)).drop("step")
+    left, right = dealt.alias("l"), dealt.alias("r")
     keys = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("structure_id", "cx", "cy", "cz")]
     first = F.col("l.atom_idx") < F.col("r.atom_idx")
+    # One condition on both sides: a filter of either alone would make their shuffles differ.
+    met = F.when(F.col("r.own"), F.col("l.own") & first).otherwise(F.col("l.own")) & (F.abs(F.col("l.x") - F.col("r.x")) <= reach)
     d = distance(xyz("l."), xyz("r."))
     within = d <= radius if inclusive else d < radius
-    joined = left.join(right, keys[0] & keys[1] & keys[2] & keys[3] & (first | ~F.col("r.own")) & within)
-    side = lambda s, c: F.when(first, F.col(f"{s}.{c}")).otherwise(F.col(f"{'r' if s == 'l' else 'l'}.{c}"))
-    extra = [side(s, c).alias(f"{s}_{c}") for s in "lr" for c in carry]
-    return joined.select(F.col("l.structure_id").alias("structure_id"), side("l", "atom_idx").alias("i"), side("r", "atom_idx").alias("j"), d.alias("d"), *extra)
+    joined = left.join(right, keys[0] & keys[1] & keys[2] & keys[3] & met & within)
+    side_of = lambda s, c: F.when(first, F.col(f"{s}.{c}")).otherwise(F.col(f"{'r' if s == 'l' else 'l'}.{c}"))
+    extra = [side_of(s, c).alias(f"{s}_{c}") for s in "lr" for c in carry]
+    return joined.select(F.col("l.structure_id").alias("structure_id"), side_of("l", "atom_idx").alias("i"), side_of("r", "atom_idx").alias("j"), d.alias("d"), *extra)
 
 
 def is_protein(atoms: DataFrame) -> Column:
