@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from atomloom.functions.geometry import constraint_features, cross, dot, interpolant, minus, norm, quaternion_rotation, rotate, xyz
 from atomloom.functions.vocab import LARGEST_CLASH
 from atomloom.operators.geometry import ROW_BONDS, TOLERANCE, backbone_residues, clash_pairs, has_center
-from atomloom.operators.tokens import featurize, target_coordinates, tokenize
+from atomloom.operators.tokens import feature_columns, target_coordinates, tokenize, with_chain_index
 
 
 @dataclass(frozen=True)
@@ -110,10 +110,11 @@ def apply_transform(atoms: DataFrame, transforms: DataFrame, center: DataFrame)
     return joined.withColumns(dict(zip("xyz", moved, strict=True))).select(*atoms.columns)
 
 
-def no_constraints(tokens: DataFrame) -> DataFrame:
-    """The constraints of plain folding, a row a token: nothing is fixed, no hotspots, no accessibility targets."""
+def no_constraints(tokens: DataFrame, keep: Sequence[str] = ("structure_id", "atom_idx")) -> DataFrame:
+    """The constraints of plain folding, a row a token beside the columns to ``keep``: nothing is fixed, no hotspots, no
+    accessibility targets."""
     none = {"is_fixed": F.lit(False), "is_hotspot": F.lit(False), "rasa_target": F.lit(0.0), "has_rasa": F.lit(False), **{f"f{a}": F.lit(0.0) for a in "xyz"}}
-    return tokens.select("structure_id", "atom_idx", *(c.alias(n) for n, c in none.items()))
+    return tokens.select(*keep, *(c.alias(n) for n, c in none.items()))
 
 
 def examples(residue_atoms: DataFrame) -> DataFrame:
@@ -122,11 +123,10 @@ def examples(residue_atoms: DataFrame) -> DataFrame:
     A structure without tokens (no atoms, waters only, unknown polymer) has no rows; ``tokens.quarantined`` and
     ``structures.parse_status`` say which and why.
     """
-    listed = tokenize(residue_atoms)
+    listed = with_chain_index(target_coordinates(tokenize(residue_atoms)))
+    none = no_constraints(listed, keep=listed.columns)
     plain = constraint_features(*(F.col(c) for c in ("is_fixed", "is_hotspot", "rasa_target", "has_rasa")))
-    conditions = no_constraints(listed).select("structure_id", "atom_idx", *plain)
-    target = target_coordinates(listed).select("structure_id", "atom_idx", "chain_id", "res_name", "atom_name", "element", "modality", "x", "y", "z")
-    return featurize(listed).join(target, ["structure_id", "atom_idx"]).join(conditions, ["structure_id", "atom_idx"])
+    return none.select(*feature_columns(), "chain_id", "res_name", "atom_name", "element", "modality", "x", "y", "z", *plain)
 
 
 def training_examples(tokens: DataFrame, constraints: DataFrame, seed: int, config: PriorConfig = PriorConfig(), draws: tuple[DataFrame, DataFrame, Column] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atomloom.functions.vocab import MODALITIES, atom_slots, element_index, infer_element, modality_index, polymer_atom_index
@@ -23,28 +23,27 @@ def tokenize(atoms: DataFrame) -> DataFrame:
     residue = ["structure_id", "residue_ord", "chain_id", "res_index", "res_name", "modality"]
     present = F.array_sort(F.collect_list(F.struct("atom_ord", "atom_name", "element", "x", "y", "z")))
     rows = atoms.repartition("structure_id").groupBy(*residue).agg(present.alias("present"))
-    rows = rows.withColumn("slots", F.when(F.col("modality").isin(POLYMERS), atom_slots(F.col("res_name"))))
-    unknown = F.coalesce(F.col("modality").isin(POLYMERS) & F.col("slots").isNull(), F.lit(False))
+    polymer = F.col("modality").isin(POLYMERS)
+    slots = F.when(polymer, atom_slots(F.col("res_name")))
+    # Residues, not tokens, are put in order: a running count of their tokens says where each one's begin.
+    in_order = Window.partitionBy("structure_id").orderBy("residue_ord")
+    n_tokens = F.coalesce(F.size(slots), F.size("present"))
+    rows = rows.withColumn("before", F.sum(n_tokens).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - n_tokens)
+    unknown = F.coalesce(polymer & slots.isNull(), F.lit(False))
     rows = rows.withColumn("unknown", F.max(unknown).over(Window.partitionBy("structure_id"))).filter(~F.col("unknown"))
 
-    def in_slot(name):
-        found = F.try_element_at(F.filter("present", lambda a: a["atom_name"] == name), F.lit(-1))
-        return F.struct(name.alias("atom_name"), found["element"].alias("element"), found["x"].alias("x"), found["y"].alias("y"), found["z"].alias("z"), found.isNull().alias("is_virtual"))
-
-    own = F.transform("present", lambda a: F.struct(a["atom_name"].alias("atom_name"), a["element"].alias("element"), a["x"].alias("x"), a["y"].alias("y"), a["z"].alias("z"), F.lit(False).alias("is_virtual")))
-    listed = rows.withColumn("tokens", F.when(F.col("slots").isNotNull(), F.transform("slots", in_slot)).otherwise(own))
-    flat = listed.select(*residue, F.posexplode("tokens").alias("slot_ord", "token")).select(*residue, "slot_ord", "token.*")
-    in_order = Window.partitionBy("structure_id").orderBy("residue_ord", "slot_ord")
+    found_in = lambda name: F.try_element_at(F.filter("present", lambda a: a["atom_name"] == name), F.lit(-1))
+    in_slots = F.transform(slots, lambda name: F.struct(name.alias("atom_name"), found_in(name).alias("atom")))
+    own = F.transform("present", lambda a: F.struct(a["atom_name"].alias("atom_name"), a.alias("atom")))
+    flat = rows.select(*residue, "before", F.posexplode(F.coalesce(in_slots, own)).alias("slot_ord", "token"))
     return flat.select(
         "structure_id",
-        F.row_number().over(in_order).alias("atom_idx"),
+        (F.col("before") + F.col("slot_ord") + 1).cast("int").alias("atom_idx"),
         *residue[1:],
-        "atom_name",
-        F.coalesce("element", infer_element(F.col("atom_name"))).alias("element"),
-        "is_virtual",
-        "x",
-        "y",
-        "z",
+        "token.atom_name",
+        F.coalesce("token.atom.element", infer_element(F.col("token.atom_name"))).alias("element"),
+        F.col("token.atom").isNull().alias("is_virtual"),
+        *(F.col(f"token.atom.{a}").alias(a) for a in "xyz"),
     )
 
 
@@ -62,16 +61,21 @@ def with_chain_index(tokens: DataFrame) -> DataFrame:
 
 def featurize(tokens: DataFrame) -> DataFrame:
     """The six feature columns of every token."""
-    return with_chain_index(tokens).select(
-        "structure_id",
-        "atom_idx",
+    return with_chain_index(tokens).select(*feature_columns())
+
+
+def feature_columns() -> list[Column]:
+    """The keys and features of tokens that have their ``chain_idx``."""
+    return [
+        F.col("structure_id"),
+        F.col("atom_idx"),
         element_index(F.col("element")).alias("element_idx"),
         modality_index(F.col("modality")).alias("modality_idx"),
         polymer_atom_index(F.col("res_name"), F.col("atom_name")).alias("polymer_atom_idx"),
-        "chain_idx",
-        "res_index",
-        "is_virtual",
-    )
+        F.col("chain_idx"),
+        F.col("res_index"),
+        F.col("is_virtual"),
+    ]
 
 
 def target_coordinates(tokens: DataFrame) -> DataFrame:
