@@ -140,7 +140,7 @@ def training_examples(tokens: DataFrame, constraints: DataFrame, seed: int, conf
     t = F.shiftrightunsigned(F.xxhash64("structure_id", F.lit(seed), F.lit("t")), 11).cast("double") / F.lit(float(1 << 53))
     noisy, turns, t = draws or (with_noise(tokens, seed), random_transforms(tokens, seed), t)
     joined = tokens.join(constraints, ["structure_id", "atom_idx"], "left").withColumn("is_fixed", F.coalesce("is_fixed", F.lit(False)))
-    center = centroids(joined, ~F.col("is_virtual"))
+    center = centroids(tokens, ~F.col("is_virtual"))
     turned = joined.join(center, "structure_id").join(turns, "structure_id")
     matrix = [[F.col(f"r{i}{j}") for j in (1, 2, 3)] for i in (1, 2, 3)]
     move = lambda p: tuple(F.when(F.col("cx").isNull(), a).otherwise(b) for a, b in zip(p, rotate(matrix, p, (F.col("cx"), F.col("cy"), F.col("cz"))), strict=True))
