@@ -142,9 +142,10 @@ def pad_bias(padded: DataFrame, masked: float = -1e9) -> DataFrame:
     return pairs.select(F.col("l.batch_id"), F.col("l.structure_id"), F.col("l.atom_idx").alias("i"), F.col("r.atom_idx").alias("j"), F.when(F.col("r.pad_mask"), 0.0).otherwise(masked).alias("bias"))
 
 
-def pad_columns(values: DataFrame, padded: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``columns`` of (structure_id, atom_idx) rows over padded structures; padding has 0 (coordinates, constraints)."""
-    frame = padded.select("batch_id", "structure_id", "atom_idx")
+def pad_columns(values: DataFrame, padded: DataFrame, columns: Sequence[str], keep: Sequence[str] = ("batch_id", "structure_id", "atom_idx")) -> DataFrame:
+    """``columns`` of (structure_id, atom_idx) rows over padded structures, beside the columns to ``keep`` of these; padding has 0
+    (coordinates, constraints)."""
+    frame = padded.select(*keep)
     return frame.join(values.select("structure_id", "atom_idx", *columns), ["structure_id", "atom_idx"], "left").fillna(0.0, list(columns))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from atomloom.operators import flow, tokens
-from atomloom.plans.queries import serine_atoms
+from atomloom.plans.queries import QUERIES, serine_atoms
 
 
 def test_tokens_are_never_sorted_and_examples_need_no_join(spark, sf):
@@ -19,3 +19,17 @@ def test_tokens_count_through_their_structure(spark):
     atoms = spark.createDataFrame([(*r, r[-1], r[-1]) for r in rows], "structure_id string, residue_ord int, chain_id string, res_index int, res_name string, modality string, atom_ord int, atom_name string, element string, x double, y double, z double")
     got = [(r["structure_id"], r["atom_idx"], r["atom_name"], r["element"], r["is_virtual"], r["x"]) for r in tokens.tokenize(atoms).orderBy("structure_id", "atom_idx").collect()]
     assert got == [("a", 1, "N", "N", True, None), ("a", 2, "CA", "C", False, 4.0), ("a", 3, "C", "C", True, None), ("a", 4, "O", "O", True, None), ("a", 5, "X1", "N", False, 2.0), ("a", 6, "X1", "C", False, 1.0)]
+
+
+def test_examples_of_training_join_constraints_once(spark, sf):
+    """Centres come from the tokens: constraints are joined to them once."""
+    plan = QUERIES["training_examples"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftOuter") == 1
+
+
+def test_padded_columns_keep_what_the_frame_has(spark):
+    """Values are put beside all columns of a padded frame, without joining the frame to itself."""
+    frame = spark.createDataFrame([(0, 1, 1, 7), (0, 1, 2, 1)], "batch_id long, structure_id long, atom_idx int, element_idx int")
+    values = spark.createDataFrame([(1, 1, 2.5)], "structure_id long, atom_idx int, x double")
+    rows = tokens.pad_columns(values, frame, ["x"], keep=frame.columns).orderBy("atom_idx").collect()
+    assert [tuple(r[c] for c in (*frame.columns, "x")) for r in rows] == [(0, 1, 1, 7, 2.5), (0, 1, 2, 1, 0.0)]
