@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from atomloom.functions.vocab import MODALITIES, atom_slots, element_index, infer_element, modality_index, polymer_atom_index
 
 POLYMERS = MODALITIES[:3]
+#: Least tasks a core over which sums of residue pairs are dealt.
+TASKS_A_CORE = 16
 
 
 def tokenize(atoms: DataFrame) -> DataFrame:
@@ -102,6 +104,10 @@ def relative_position_sums(features: DataFrame, window: int = 32) -> DataFrame:
     """
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     residues = features.groupBy("structure_id", "chain_idx", "res_index").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("atom_idx").cast("long")).alias("s"))
+    # Residues are small on disk and large as pairs of offsets: a given number of parts keeps them from being put into one task.
+    spark = features.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    residues = residues.repartition(parts, "structure_id")
     along = Window.partitionBy("structure_id", "chain_idx").orderBy("res_index")
     near, far = along.rangeBetween(1 - window, -1), along.rangeBetween(Window.unboundedPreceding, -window)
     met = residues.withColumns({"near": F.collect_list(F.struct("res_index", "n", "s")).over(near), "far_n": F.sum("n").over(far), "far_s": F.sum("s").over(far)})

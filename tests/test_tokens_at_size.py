@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from atomloom.operators import flow, tokens
-from atomloom.plans.queries import QUERIES, serine_atoms
+from atomloom.plans.queries import QUERIES, mol_features, serine_atoms
 
 
 def test_tokens_are_never_sorted_and_examples_need_no_join(spark, sf):
@@ -33,3 +35,10 @@ def test_padded_columns_keep_what_the_frame_has(spark):
     values = spark.createDataFrame([(1, 1, 2.5)], "structure_id long, atom_idx int, x double")
     rows = tokens.pad_columns(values, frame, ["x"], keep=frame.columns).orderBy("atom_idx").collect()
     assert [tuple(r[c] for c in (*frame.columns, "x")) for r in rows] == [(0, 1, 1, 7, 2.5), (0, 1, 2, 1, 0.0)]
+
+
+def test_residue_pairs_are_not_put_into_one_task(spark, sf):
+    """Adaptive execution joins small shuffles to one task; residues, whose pairs are many, keep their parts."""
+    sums = tokens.relative_position_sums(mol_features(spark, sf))
+    rows = sums.select(F.spark_partition_id().alias("part")).distinct().count()
+    assert rows > 4
