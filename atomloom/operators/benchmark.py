@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from atomloom.functions.geometry import normalized_chiral_volume, xyz
 from atomloom.functions.vocab import LARGEST_CLASH
 from atomloom.operators.flow import PriorConfig, examples, prior_walk, validity_step
-from atomloom.operators.geometry import ROW_BONDS, backbone_residues, has_center, validity_reports
-from atomloom.sources.storage import shared_dir
+from atomloom.operators.geometry import ROW_BONDS, backbone_residues, has_center, validity_report
+from atomloom.sources.storage import Put, dealt_once, shared_dir
 
 #: Velocities of atoms at a time: (atoms, t) to (structure_id, atom_idx, vx, vy, vz).
 Velocity = Callable[[DataFrame, float], DataFrame]
@@ -48,8 +49,9 @@ def at_prior(atoms: DataFrame, noise: DataFrame, config: PriorConfig = PriorConf
     return atoms.join(walk, ["structure_id", "atom_idx"]).withColumns({a: F.col(f"{a}0") for a in "xyz"}).select(*atoms.columns)
 
 
-def flow_sample(start: DataFrame, velocity: Velocity, n_steps: int, post_step: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Atoms after ``n_steps`` equal Euler steps from time 0 to 1, with ``post_step`` after each. Atoms without a velocity stay."""
+def flow_sample(start: DataFrame, velocity: Velocity, n_steps: int, post_step: Callable[[DataFrame], DataFrame] | None = None, put: Put | None = None) -> DataFrame:
+    """Atoms after ``n_steps`` equal Euler steps from time 0 to 1, with ``post_step`` after each. Atoms without a velocity stay.
+    ``put`` writes what is written on the way; without it that is plain Parquet."""
     if n_steps < 1:
         raise ValueError("there must be a step")
     atoms = start
@@ -60,6 +62,9 @@ def flow_sample(start: DataFrame, velocity: Velocity, n_steps: int, post_step: C
         if post_step is not None:
             atoms = post_step(atoms)
         if (k + 1) % STEPS_EACH_WRITE == 0 and k + 1 < n_steps:
+            if put is not None:
+                atoms = put(atoms, "flow")
+                continue
             path, schema = shared_dir(start.sparkSession, "flow"), atoms.schema
             atoms.write.parquet(path)
             atoms = start.sparkSession.read.schema(schema).parquet(path)
@@ -70,8 +75,16 @@ def benchmark_reports(native: DataFrame, noise: DataFrame, velocity: Velocity, n
     """Validity reports of each structure under the labels native, prior, unguided and guided.
 
     The last two flow from the same prior by ``velocity``; guided ones move by ``step`` against the gradient of their validity
-    energy after every step.
+    energy after every step. Samples are dealt by structure when they are written, and each report is made from them in place.
+    Atoms, noise and velocities that come from ``dealt_once`` are not shuffled either. The reports are written and read back.
     """
-    prior = at_prior(native, noise)
-    guided = flow_sample(prior, velocity, n_steps, lambda atoms: validity_step(atoms, step, largest=largest))
-    return validity_reports({"native": native, "prior": prior, "unguided": flow_sample(prior, velocity, n_steps), "guided": guided}, tie_eps, largest)
+    spark = native.sparkSession
+    with dealt_once(spark, "structure_id") as put:
+        prior = put(at_prior(native, noise), "prior")
+        unguided = flow_sample(prior, velocity, n_steps, put=put)
+        guided = put(flow_sample(prior, velocity, n_steps, lambda atoms: validity_step(atoms, step, largest=largest), put), "guided")
+        samples = {"native": native, "prior": prior, "unguided": unguided, "guided": guided}
+        reports = reduce(DataFrame.unionByName, [validity_report(atoms, label, tie_eps, largest) for label, atoms in samples.items()])
+        path, schema = shared_dir(spark, "reports"), reports.schema
+        reports.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)

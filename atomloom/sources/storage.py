@@ -6,8 +6,10 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -20,6 +22,36 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Writes rows under a name and reads them back.
+Put = Callable[[DataFrame, str], DataFrame]
+
+
+@contextmanager
+def dealt_once(spark: SparkSession, key: str) -> Iterator[Put]:
+    """Gives a ``put`` that writes rows in buckets of ``key``, one a shuffle partition, as a table in the shared folder.
+
+    What is put is dealt by ``key`` from then on: inside the block, windows, groups and joins on ``key`` and further columns take
+    it as it lies, without a shuffle. All rows of a key go through one task, in order and with spills, but are not held there. The
+    tables leave the catalog at the end of the block, so results must be written before.
+    """
+    setting, tables = "spark.sql.requireAllClusterKeysForCoPartition", []
+    before = spark.conf.get(setting)
+
+    def put(rows: DataFrame, name: str) -> DataFrame:
+        n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"atomloom_{name}_{uuid.uuid4().hex}"
+        rows.repartition(n, key).write.bucketBy(n, key).option("path", shared_dir(spark, name)).saveAsTable(table)
+        tables.append(table)
+        return spark.table(table)
+
+    spark.conf.set(setting, "false")
+    try:
+        yield put
+    finally:
+        spark.conf.set(setting, before)
+        for table in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def _opened(spark: SparkSession, path: str):
     """(Hadoop's path, its file system)."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
