@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, islice, zip_longest
+from itertools import chain, compress, islice, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -123,17 +123,107 @@ def _cif_rows(content: str) -> Iterator[tuple]:
             yield ordinal, *fields
 
 
+#: Line breaks of Python that are not those of files; texts that have one go row by row.
+_ODD_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+_CIF_HEAD = re.compile(r"(?:^[^\S\n]*_atom_site\..*(?:\n|\Z))+", re.MULTILINE)
+_CIF_END = re.compile(r"\n\s*(?:[#_]|loop_|data_)")
+_CIF_TOKEN = re.compile(r"""'(?:[^'\n]|'(?=\S))*'(?=\s|\Z)|"(?:[^"\n]|"(?=\S))*"(?=\s|\Z)|\S+""")
+#: A quote that begins a value which does not end at the next white space.
+_CIF_LOOSE = re.compile(r"""'(?<!\S')(?!\S*'(?!\S))|"(?<!\S")(?!\S*"(?!\S))""").search
+#: Rows of several texts that go out together.
+BATCH_ROWS = 10_000
+
+
+def _cif_value(token: str) -> str | None:
+    if token in (".", "?"):
+        return None
+    return token[1:-1] if token[0] in "'\"" and len(token) > 1 and token[-1] == token[0] else token
+
+
+def _plain(tokens: list[str]) -> list[str | None]:
+    """Tokens of a column without their quotes; None for ``.`` and ``?``."""
+    changed = {t: v for t in set(tokens) if (v := _cif_value(t)) != t}
+    return [changed.get(t, t) for t in tokens] if changed else tokens
+
+
+def _cif_columns(content: str) -> list[list]:
+    """The columns of what ``_cif_rows`` gives. Values of a plain loop are split at once and taken by their place in the row;
+    text fields and odd line breaks go row by row."""
+    content = content.replace("\r\n", "\n")
+    head = _CIF_HEAD.search(content)
+    if head is None:
+        return []
+    end = _CIF_END.search(content, head.end() - 1)
+    block = content[head.end() : end.start() if end else len(content)]
+    if block.startswith(";") or "\n;" in block or any(c in content for c in _ODD_BREAKS):
+        return [list(c) for c in zip(*_cif_rows(content), strict=True)]
+    tokens = _CIF_TOKEN.findall(block) if _CIF_LOOSE(block) else block.split()
+    names = [line.split()[0].removeprefix("_atom_site.") for line in head[0].splitlines()]
+    width, n = len(names), -(-len(tokens) // len(names))
+    if not n:
+        return []
+    place, missing = {name: k for k, name in enumerate(names)}, [None] * n
+
+    def column(name: str) -> list[str | None]:
+        if name not in place:
+            return missing
+        found = _plain(tokens[place[name] :: width])
+        return found + missing[len(found) :]
+
+    def pick(*keys: str) -> list[str | None]:
+        first, *rest = [column(k) for k in keys if k in place] or [missing]
+        for other in rest:
+            first = [a if a is not None else b for a, b in zip(first, other, strict=True)]
+        return first
+
+    def numbers(kind: type, *keys: str) -> list:
+        first = next((k for k in keys if k in place), None)
+        if first is not None and len(tokens) == n * width:
+            try:
+                return list(map(kind, tokens[place[first] :: width]))
+            except ValueError:
+                pass
+        return [_number(c, kind) for c in pick(*keys)]
+
+    def words(*keys: str) -> list[str]:
+        first = pick(*keys)
+        return [a if a is not None else "" for a in first] if None in first else first
+
+    columns = [
+        list(range(1, n + 1)), words("auth_asym_id", "label_asym_id"), numbers(int, "auth_seq_id", "label_seq_id"), words("pdbx_PDB_ins_code"), words("auth_comp_id", "label_comp_id"),
+        words("auth_atom_id", "label_atom_id"), words("type_symbol"), *(numbers(float, f"Cartn_{axis}") for axis in "xyz"), [g == "HETATM" for g in column("group_PDB")],
+    ]
+    models = [m or "1" for m in column("pdbx_PDB_model_num")]
+    kept = [m == models[0] and a in (None, "A") for m, a in zip(models, column("label_alt_id"), strict=True)]
+    if all(kept):
+        return columns
+    return [list(compress(c, kept)) for c in columns] if any(kept) else []
+
+
 def cif_atoms(texts: DataFrame) -> DataFrame:
     """Raw atom rows of mmCIF text: first model, alternative location none or A."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), *[pa.string()] * 4, *[pa.float64()] * 3, pa.bool_()]
         names = [c.split()[0] for c in RAW_SCHEMA.split(", ")]
+        held: list[list] = [[] for _ in kinds]
+
+        def flush() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(c, k) for c, k in zip(held, kinds, strict=True)], names=names)
+            for c in held:
+                c.clear()
+            return out
+
         for batch in batches:
-            for sid, content in zip(batch.column("structure_id"), batch.column("content"), strict=True):
-                rows = [(sid.as_py(), *r) for r in _cif_rows(content.as_py() or "")]
-                if rows:
-                    yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            for sid, content in zip(batch.column("structure_id").to_pylist(), batch.column("content"), strict=True):
+                columns = _cif_columns(content.as_py() or "")
+                if columns:
+                    for c, more in zip(held, [[sid] * len(columns[0]), *columns], strict=True):
+                        c += more
+                if len(held[0]) >= BATCH_ROWS:
+                    yield flush()
+        if held[0]:
+            yield flush()
 
     return texts.select("structure_id", "content").mapInArrow(parsed, RAW_SCHEMA)
 
