@@ -12,7 +12,7 @@ from atomloom.functions.geometry import normalized_chiral_volume, xyz
 from atomloom.functions.vocab import LARGEST_CLASH
 from atomloom.operators.flow import PriorConfig, examples, prior_walk, validity_step
 from atomloom.operators.geometry import ROW_BONDS, backbone_residues, has_center, validity_report
-from atomloom.sources.storage import Put, dealt_once, shared_dir
+from atomloom.sources.storage import Put, dealt_once, shared_dir, stored
 
 #: Velocities of atoms at a time: (atoms, t) to (structure_id, atom_idx, vx, vy, vz).
 Velocity = Callable[[DataFrame, float], DataFrame]
@@ -85,6 +85,4 @@ def benchmark_reports(native: DataFrame, noise: DataFrame, velocity: Velocity, n
         guided = put(flow_sample(prior, velocity, n_steps, lambda atoms: validity_step(atoms, step, largest=largest), put), "guided")
         samples = {"native": native, "prior": prior, "unguided": unguided, "guided": guided}
         reports = reduce(DataFrame.unionByName, [validity_report(atoms, label, tie_eps, largest) for label, atoms in samples.items()])
-        path, schema = shared_dir(spark, "reports"), reports.schema
-        reports.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+        return stored(reports, "reports")

@@ -22,6 +22,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder once and read back, so that what reads them twice makes them once."""
+    path, schema = shared_dir(rows.sparkSession, name), rows.schema
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
 #: Writes rows under a name and reads them back.
 Put = Callable[[DataFrame, str], DataFrame]
 
