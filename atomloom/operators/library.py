@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from atomloom.operators.dataset import load_targets, new_rows, ranked, within_size
 from atomloom.operators.tokens import tokenize
-from atomloom.sources.storage import names_in, put_new, read_small, remove, shared_dir
+from atomloom.sources.storage import names_in, put_new, read_small, remove, shared_dir, stored
 from atomloom.sources.structures import list_structure_files, parse_structures, raw_atoms, residues_of, status_of
 
 MANIFEST = re.compile(r"manifest-(\d{12})\.json")
@@ -79,7 +79,8 @@ def add_batch(spark: SparkSession, path: str, texts: DataFrame, batch: str) -> d
             if b["batch"] == batch:
                 return b["counts"]
         folder = f"batch-{uuid.uuid4().hex}"
-        ids = texts.select("structure_id").distinct()
+        texts.select("structure_id").distinct().write.parquet(f"{path}/{folder}/asked")
+        ids = spark.read.parquet(f"{path}/{folder}/asked")
         fresh = new_rows(ids, library_index(spark, path), "structure_id")
         fresh.write.parquet(f"{path}/{folder}/fresh")
         fresh = spark.read.parquet(f"{path}/{folder}/fresh")
@@ -95,7 +96,7 @@ def add_batch(spark: SparkSession, path: str, texts: DataFrame, batch: str) -> d
         added = {"batch": batch, "folder": folder, "counts": counts}
         text = json.dumps({"batches": [*now.batches, added]})
         if put_new(spark, f"{path}/manifest-{now.version + 1:012d}.json", text):
-            for part in ("fresh", "parsed"):
+            for part in ("asked", "fresh", "parsed"):
                 remove(spark, f"{path}/{folder}/{part}")
             return counts
         remove(spark, f"{path}/{folder}")  # another writer was first
@@ -113,10 +114,11 @@ def load_in_waves(candidates: DataFrame, load: Callable[[DataFrame], DataFrame],
     """Tokens of the first ``n`` of (structure_id, rank) candidates, by rank from 0, that load and have at most ``max_atoms``.
 
     ``load`` turns some of the candidates into tokens and leaves out those that fail. Waves of candidates double, up to
-    WAVE_FILES, until enough have passed, so most are never loaded; the result is that of loading all.
+    WAVE_FILES, until enough have passed, so most are never loaded; the result is that of loading all. Candidates are ranked once.
     """
     spark = candidates.sparkSession
     out, low, size, passed, wave = shared_dir(spark, "waves"), 0, 2 * n, 0, 0
+    candidates = stored(candidates, "candidates")
     total = candidates.count()
     folders = []
     while passed < n and low < total:
