@@ -60,7 +60,8 @@ class SegmentTreeBpe:
         self.ids = list(range(len(self.token_bytes)))  # one object an id, shared by all that is remembered
         self.id_text = [str(i) for i in range(len(self.token_bytes))]
         self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
-        self.seen: dict[str, tuple[int, ...]] = {s: (i,) for s, i in self.specials.items()}
+        self.seen: dict[str, tuple[int, ...]] = {}
+        self.forget()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair of ids; NONE where the pair does not merge or an id is missing (-1)."""
@@ -118,6 +119,10 @@ class SegmentTreeBpe:
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
             leaves >>= 1
 
+    def forget(self) -> None:
+        """Only special tokens stay known."""
+        self.seen = {s: (i,) for s, i in self.specials.items()}
+
     def learn(self, pretokens: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of pre-tokens, merged in groups of like length."""
         learnt: dict[str, tuple[int, ...]] = {}
@@ -207,6 +212,7 @@ def encode_documents(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id"
                 [*(batch.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(digests, pa.string())],
                 names=[*keep, "token_ids", "n_tokens", "decoded_sha256"],
             )
+        bpe.forget()  # the worker may serve other operators next
 
     schema = T.StructType([docs.schema[c] for c in keep]).add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("decoded_sha256", T.StringType())
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(encoded, schema)
