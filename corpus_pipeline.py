@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,10 +11,14 @@ from pyspark.sql import functions as F
 from atomloom.llm import bpe, langid, mixing, neardup, toxicity
 from atomloom.llm.common import materialize, table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 #: A document stays if its language is determined and at least so likely.
 MIN_LANGUAGE_SCORE = 0.5
 #: The most of the tokens that the mixture keeps; less if the targets ask for more than a category has.
 RATE = 0.7
+#: Documents that go to a Python worker at once. Each of its batches is held on both sides of the pipe, and whole texts are long.
+BATCH_ROWS = 1000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +66,25 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id", "source", "lang"])
 
 
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage under BATCH_ROWS, or what the session has if that is less. The setting stays, as the stage's result is read later."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        now = int(spark.conf.get(key))
+        if now <= 0 or now > BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("language_id", keep_languages),
-    ("minhash_near_dedup", drop_near_duplicates),
-    ("mixing", mix),
-    ("bpe", encode),
+    ("toxicity", in_small_batches(drop_toxic)),
+    ("language_id", in_small_batches(keep_languages)),
+    ("minhash_near_dedup", in_small_batches(drop_near_duplicates)),
+    ("mixing", in_small_batches(mix)),
+    ("bpe", in_small_batches(encode)),
 ]
 
 #: Trained and hashed stages are beyond SQL; tests hold them against brute force.
