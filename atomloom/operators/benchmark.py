@@ -51,7 +51,8 @@ def at_prior(atoms: DataFrame, noise: DataFrame, config: PriorConfig = PriorConf
 
 def flow_sample(start: DataFrame, velocity: Velocity, n_steps: int, post_step: Callable[[DataFrame], DataFrame] | None = None, put: Put | None = None) -> DataFrame:
     """Atoms after ``n_steps`` equal Euler steps from time 0 to 1, with ``post_step`` after each. Atoms without a velocity stay.
-    ``put`` writes what is written on the way; without it that is plain Parquet."""
+    ``put`` writes what is written on the way, and what ``post_step`` takes, as that reads it several times; without it only
+    every few steps are written, as plain Parquet."""
     if n_steps < 1:
         raise ValueError("there must be a step")
     atoms = start
@@ -60,7 +61,7 @@ def flow_sample(start: DataFrame, velocity: Velocity, n_steps: int, post_step: C
         ahead = {a: F.col(a) + F.coalesce(f"v{a}", F.lit(0.0)) / n_steps for a in "xyz"}
         atoms = atoms.join(moving, ["structure_id", "atom_idx"], "left").withColumns(ahead).select(*start.columns)
         if post_step is not None:
-            atoms = post_step(atoms)
+            atoms = post_step(atoms if put is None else put(atoms, "ahead"))
         if (k + 1) % STEPS_EACH_WRITE == 0 and k + 1 < n_steps:
             if put is not None:
                 atoms = put(atoms, "flow")
@@ -79,9 +80,9 @@ def benchmark_reports(native: DataFrame, noise: DataFrame, velocity: Velocity, n
     Atoms, noise and velocities that come from ``dealt_once`` are not shuffled either. The reports are written and read back.
     """
     spark = native.sparkSession
-    with dealt_once(spark, "structure_id") as put:
+    with dealt_once(spark, "structure_id", "atom_idx") as put:
         prior = put(at_prior(native, noise), "prior")
-        unguided = flow_sample(prior, velocity, n_steps, put=put)
+        unguided = put(flow_sample(prior, velocity, n_steps, put=put), "unguided")
         guided = put(flow_sample(prior, velocity, n_steps, lambda atoms: validity_step(atoms, step, largest=largest), put), "guided")
         samples = {"native": native, "prior": prior, "unguided": unguided, "guided": guided}
         reports = reduce(DataFrame.unionByName, [validity_report(atoms, label, tie_eps, largest) for label, atoms in samples.items()])

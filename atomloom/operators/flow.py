@@ -198,34 +198,41 @@ def validity_gradient(atoms: DataFrame, w_clash: float = 1.0, w_bond: float = 1.
     Clashing pairs and backbone residues carry the coordinates of their atoms, so nothing is joined back to the atoms.
     """
 
-    def force(atom: Column, g: Sequence[Column]) -> Column:
-        return F.struct(atom.alias("atom_idx"), *(c.alias(f"g{a}") for c, a in zip(g, "xyz", strict=True)))
-
-    def ends(i: Column, j: Column, f: Column, u: Sequence[Column], apart: Column) -> list[Column]:
-        """f * u on i and its opposite on j; pairs at the same place add nothing."""
-        return [F.when(apart, force(atom, [F.lit(sign) * f * c for c in u])) for sign, atom in ((1.0, i), (-1.0, j))]
+    def force(atom: Column | str, g: Sequence[Column]) -> Column:
+        return F.struct(F.col(atom).alias("atom_idx"), *(c.alias(f"g{a}") for c, a in zip(g, "xyz", strict=True)))
 
+    # Columns in turn, as Spark compiles no generator over a lambda and evaluates its branches one by one.
     pairs = clash_pairs(atoms, tolerance, carry=("x", "y", "z"), largest=largest)
-    u = minus(tuple(F.col(f"l_{a}") for a in "xyz"), tuple(F.col(f"r_{a}") for a in "xyz"))
-    d = norm(u)
-    clash = pairs.select("structure_id", F.explode(F.array(*ends(F.col("i"), F.col("j"), F.lit(-2 * w_clash) * F.col("overlap") / d, u, d > 0))).alias("g"))
-
-    residues, forces = backbone_residues(atoms), []
-    for p, q, ideal in ROW_BONDS:
-        u = minus(xyz(f"{p}."), xyz(f"{q}."))
-        d = norm(u)
-        forces += ends(F.col(f"{p}.atom_idx"), F.col(f"{q}.atom_idx"), F.lit(2 * w_bond) * (d - F.lit(ideal)) / d, u, d > 0)
-    b = [minus(xyz(f"{n}."), xyz("CA.")) for n in ("N", "C", "CB")]
-    squares = [dot(v, v) for v in b]
-    volume, product = dot(b[0], cross(b[1], b[2])), norm(b[0]) * norm(b[1]) * norm(b[2])
-    residues = residues.withColumns({"V": volume, "P": product, "D": product + F.lit(eps)}).withColumn("w", F.greatest(F.lit(margin) - F.col("V") / F.col("D"), F.lit(0.0)))
-    usable = has_center() & (squares[0] > 0) & (squares[1] > 0) & (squares[2] > 0) & (F.col("w") > 0)
-    normals = [cross(b[1], b[2]), cross(b[2], b[0]), cross(b[0], b[1])]
-    parts = [tuple(F.lit(-2 * w_chirality) * F.col("w") * (normals[k][m] / F.col("D") - F.col("V") / (F.col("D") * F.col("D")) * F.col("P") / squares[k] * b[k][m]) for m in range(3)) for k in range(3)]
-    opposite = tuple(-(parts[0][m] + parts[1][m] + parts[2][m]) for m in range(3))
-    forces += [F.when(usable, force(F.col(f"{n}.atom_idx"), g)) for n, g in zip(("N", "C", "CB", "CA"), (*parts, opposite), strict=True)]
-    backbone = residues.select("structure_id", F.explode(F.filter(F.array(*forces), lambda g: g.isNotNull())).alias("g"))
-    every = clash.filter(F.col("g").isNotNull()).unionByName(backbone).select("structure_id", "g.*")
+    u = [(F.col(f"l_{a}") - F.col(f"r_{a}")).alias(f"u{a}") for a in "xyz"]
+    pairs = pairs.select("structure_id", "i", "j", "overlap", *u).withColumn("d", norm(xyz("u"))).filter(F.col("d") > 0)
+    pairs = pairs.withColumn("f", F.lit(-2 * w_clash) * F.col("overlap") / F.col("d"))
+    clash = pairs.select("structure_id", F.explode(F.array(*(force(atom, [F.lit(sign) * F.col("f") * c for c in xyz("u")]) for sign, atom in ((1.0, "i"), (-1.0, "j"))))).alias("g"))
+
+    names, arms, n_bonds = ("N", "CA", "C", "O", "CB", "next"), ("N", "C", "CB"), range(len(ROW_BONDS))
+    pulls, sides = [f"u{k}{a}" for k in n_bonds for a in "xyz"], [f"b{k}{a}" for k in range(3) for a in "xyz"]
+    apart = [(F.col(f"{p}.{a}") - F.col(f"{q}.{a}")).alias(f"u{k}{a}") for k, (p, q, _) in enumerate(ROW_BONDS) for a in "xyz"]
+    arm = [(F.col(f"{n}.{a}") - F.col(f"CA.{a}")).alias(f"b{k}{a}") for k, n in enumerate(arms) for a in "xyz"]
+    residues = backbone_residues(atoms).select("structure_id", *(F.col(f"{n}.atom_idx").alias(n) for n in names), *apart, *arm)
+    # What each atom gets from the bonds of its residue, which number (p, q) as ROW_BONDS does.
+    residues = residues.withColumns({f"d{k}": norm(xyz(f"u{k}")) for k in n_bonds})
+    residues = residues.withColumns({f"d{k}": F.when(F.col(f"d{k}") > 0, F.lit(2 * w_bond) * (F.col(f"d{k}") - F.lit(ideal)) / F.col(f"d{k}")) for k, (_, _, ideal) in enumerate(ROW_BONDS)})
+    pulled = [F.coalesce(F.col(f"d{c[1]}") * F.col(c), F.lit(0.0)).alias(c) for c in pulls]
+    residues = residues.select("structure_id", *names, *pulled, *sides)
+    own = [sum((F.lit(sign) * F.col(f"u{k}{a}") for k, (p, q, _) in enumerate(ROW_BONDS) for sign, end in ((1.0, p), (-1.0, q)) if end == n), F.lit(0.0)).alias(f"{n}{a}") for n in names for a in "xyz"]
+    residues = residues.select("structure_id", *names, *own, *sides)
+    # And from the centre: on the end of an arm k, w (n_k / D - r / |b_k|^2 b_k); the opposite of the three on CA.
+    b = [xyz(f"b{k}") for k in range(3)]
+    residues = residues.withColumns({f"n{k}{a}": c for k in range(3) for a, c in zip("xyz", cross(b[(k + 1) % 3], b[(k + 2) % 3]), strict=True)} | {f"s{k}": dot(b[k], b[k]) for k in range(3)})
+    residues = residues.withColumns({"V": dot(b[0], xyz("n0")), "P": F.sqrt("s0") * F.sqrt("s1") * F.sqrt("s2")}).withColumn("D", F.col("P") + F.lit(eps))
+    residues = residues.withColumn("w", F.lit(margin) - F.col("V") / F.col("D"))
+    usable = (F.col("s0") > 0) & (F.col("s1") > 0) & (F.col("s2") > 0) & (F.col("w") > 0)
+    residues = residues.withColumns({"w": F.when(usable, F.lit(-2 * w_chirality) * F.col("w")), "r": F.when(usable, F.col("V") / (F.col("D") * F.col("D")) * F.col("P"))})
+    turned = [F.when(F.col("w").isNotNull(), F.col("w") * (F.col(f"n{c[1:]}") / F.col("D") - F.col("r") / F.col(f"s{c[1]}") * F.col(c))).otherwise(0.0).alias(c) for c in sides]
+    residues = residues.select("structure_id", *names, *(f"{n}{a}" for n in names for a in "xyz"), *turned)
+    whole = {n: [F.col(f"{n}{a}") + F.col(f"b{k}{a}") for a in "xyz"] for k, n in enumerate(arms)} | {"CA": [F.col(f"CA{a}") - (F.col(f"b0{a}") + F.col(f"b1{a}") + F.col(f"b2{a}")) for a in "xyz"]}
+    forces = F.array(*(force(n, whole.get(n, xyz(n))) for n in names))
+    backbone = residues.select("structure_id", F.explode(forces).alias("g")).filter(F.col("g.atom_idx").isNotNull())
+    every = clash.unionByName(backbone).select("structure_id", "g.*")
     return every.groupBy("structure_id", "atom_idx").agg(*(F.sum(f"g{a}").alias(f"g{a}") for a in "xyz"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,12 +32,12 @@ def neighbour_pairs(atoms: DataFrame, radius: float, carry: Sequence[str] = (),
     at = lambda c: F.floor(c / F.lit(side) + 0.5)
     cube = {f"c{a}": at(F.col(a)) for a in "xyz"}
     base = atoms.select("structure_id", "atom_idx", "x", "y", "z", *carry).filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).withColumns(cube)
-    before = [step for step in product((-1, 0, 1), repeat=3) if step <= (0, 0, 0)]
-    steps = F.array(*[F.struct(*(F.lit(v).alias(f"d{a}") for v, a in zip(step, "xyz", strict=True))) for step in before])
-    touches = [F.col(f"c{a}") + F.col(f"step.d{a}") == F.when(F.col(f"step.d{a}") < 0, at(F.col(a) - F.lit(reach))).when(F.col(f"step.d{a}") > 0, at(F.col(a) + F.lit(reach))).otherwise(F.col(f"c{a}")) for a in "xyz"]
-    dealt = base.withColumn("step", F.explode(steps)).filter(touches[0] & touches[1] & touches[2])
-    dealt = dealt.withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"step.d{a}") for a in "xyz"})
-    dealt = dealt.withColumn("own", (F.col("step.dx") == 0) & (F.col("step.dy") == 0) & (F.col("step.dz") == 0)).drop("step")
+    # A cube is so wide that an atom is near to one side of it at most, so it has at most one step along each axis.
+    below, above = ({a: at(F.col(a) + F.lit(sign * reach)) == F.col(f"c{a}") + sign for a in "xyz"} for sign in (-1, 1))
+    either = lambda a, earlier: F.explode(F.when(below[a], F.array(F.lit(0), F.lit(-1))).when(above[a] & earlier, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    stepped = base.withColumn("dx", either("x", F.lit(False))).withColumn("dy", either("y", F.col("dx") < 0)).withColumn("dz", either("z", (F.col("dx") < 0) | (F.col("dy") < 0)))
+    own = (F.col("dx") == 0) & (F.col("dy") == 0) & (F.col("dz") == 0)
+    dealt = stepped.withColumn("own", own).withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"d{a}") for a in "xyz"}).drop("dx", "dy", "dz")
     left, right = dealt.alias("l"), dealt.alias("r")
     keys = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("structure_id", "cx", "cy", "cz")]
     first = F.col("l.atom_idx") < F.col("r.atom_idx")
@@ -155,18 +154,18 @@ def backbone_summary(atoms: DataFrame, energy_margin: float = 0.3, count_margin:
 
     The same numbers come from the graph operators above.
     """
+    # Columns in turn, none of them long: Java does not compile a method beyond 8 KB. A missing atom makes its terms null.
     residues = backbone_residues(atoms)
-
-    def square(p: str, q: str, ideal: float) -> Column:
-        off = distance(xyz(f"{p}."), xyz(f"{q}.")) - F.lit(ideal)
-        return F.when(F.col(p).isNotNull() & F.col(q).isNotNull(), off * off)
-
-    squares = [square(*bond) for bond in ROW_BONDS]
-    volume = F.when(has_center(), normalized_chiral_volume(*(xyz(f"{n}.") for n in ("CA", "N", "C", "CB"))))
-    terms = residues.select("structure_id", "n_atoms", F.array(*squares).alias("squares"), volume.alias("volume"))
+    bonds = range(len(ROW_BONDS))
+    lengths = [distance(xyz(f"{p}."), xyz(f"{q}.")).alias(f"d{k}") for k, (p, q, _) in enumerate(ROW_BONDS)]
+    measured = residues.select("structure_id", "n_atoms", "CA", "N", "C", "CB", *lengths)
+    volume = normalized_chiral_volume(*(xyz(f"{n}.") for n in ("CA", "N", "C", "CB")))
+    squares = [((F.col(f"d{k}") - F.lit(ideal)) * (F.col(f"d{k}") - F.lit(ideal))).alias(f"q{k}") for k, (_, _, ideal) in enumerate(ROW_BONDS)]
+    measured = measured.select("structure_id", "n_atoms", *squares, volume.alias("volume"))
+    total = sum((F.coalesce(f"q{k}", F.lit(0.0)) for k in bonds), F.lit(0.0))
+    terms = measured.select("structure_id", "n_atoms", total.alias("total"), sum((F.col(f"q{k}").isNotNull().cast("int") for k in bonds), F.lit(0)).alias("n"), "volume")
     short = F.greatest(F.lit(energy_margin) - F.col("volume"), F.lit(0.0))
-    total = F.coalesce(F.sum(F.aggregate(F.filter("squares", lambda v: v.isNotNull()), F.lit(0.0), lambda x, v: x + v)), F.lit(0.0))
-    n_bonds = F.sum(F.size(F.filter("squares", lambda v: v.isNotNull())))
+    total, n_bonds = F.coalesce(F.sum("total"), F.lit(0.0)), F.sum("n")
     return terms.groupBy("structure_id").agg(
         F.sum("n_atoms").alias("n_atoms"),
         total.alias("bond_energy"),

@@ -26,14 +26,17 @@ LARGEST_RADIUS = 1.70
 
 def mol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named protein-like atoms: an order is a residue, its first five lines backbone atoms and CB, all further ones C6, C7 and
-    so on; 25 orders are a structure of two chains. Every line is an atom."""
+    so on; 25 orders are a structure of two chains. Every line is an atom. Lines are dealt by structure, so what goes on by
+    structure needs no further shuffle."""
     item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    k = F.row_number().over(Window.partitionBy("structure_id", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     residue = F.col("l_orderkey") % 25
     return (
-        item.withColumn("k", k)
+        item.withColumn("structure_id", F.floor(F.col("l_orderkey") / 25).cast("long"))
+        .repartition("structure_id")
+        .withColumn("k", k)
         .select(
-            F.floor(F.col("l_orderkey") / 25).cast("long").alias("structure_id"),
+            "structure_id",
             (residue * 10000 + F.col("k")).cast("long").alias("atom_idx"),
             F.when(residue < 15, "A").otherwise("B").alias("chain_id"),
             residue.cast("long").alias("res_index"),

@@ -34,27 +34,30 @@ Put = Callable[[DataFrame, str], DataFrame]
 
 
 @contextmanager
-def dealt_once(spark: SparkSession, key: str) -> Iterator[Put]:
+def dealt_once(spark: SparkSession, key: str, *order: str) -> Iterator[Put]:
     """Gives a ``put`` that writes rows in buckets of ``key``, one a shuffle partition, as a table in the shared folder.
 
     What is put is dealt by ``key`` from then on: inside the block, windows, groups and joins on ``key`` and further columns take
-    it as it lies, without a shuffle. All rows of a key go through one task, in order and with spills, but are not held there. The
-    tables leave the catalog at the end of the block, so results must be written before.
+    it as it lies, without a shuffle; those on ``key`` and ``order`` do not sort it either. All rows of a key go through one task,
+    in order and with spills, but are not held there. The tables leave the catalog at the end of the block, so results must be
+    written before.
     """
-    setting, tables = "spark.sql.requireAllClusterKeysForCoPartition", []
-    before = spark.conf.get(setting)
+    settings, tables = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}, []
+    before = {setting: spark.conf.get(setting) for setting in settings}
 
     def put(rows: DataFrame, name: str) -> DataFrame:
         n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"atomloom_{name}_{uuid.uuid4().hex}"
-        rows.repartition(n, key).write.bucketBy(n, key).option("path", shared_dir(spark, name)).saveAsTable(table)
+        rows.repartition(n, key).write.bucketBy(n, key).sortBy(key, *order).option("path", shared_dir(spark, name)).saveAsTable(table)
         tables.append(table)
         return spark.table(table)
 
-    spark.conf.set(setting, "false")
+    for setting, value in settings.items():
+        spark.conf.set(setting, value)
     try:
         yield put
     finally:
-        spark.conf.set(setting, before)
+        for setting, value in before.items():
+            spark.conf.set(setting, value)
         for table in tables:
             spark.sql(f"DROP TABLE IF EXISTS {table}")
 
