@@ -208,30 +208,29 @@ def validity_gradient(atoms: DataFrame, w_clash: float = 1.0, w_bond: float = 1.
     pairs = pairs.withColumn("f", F.lit(-2 * w_clash) * F.col("overlap") / F.col("d"))
     clash = pairs.select("structure_id", F.explode(F.array(*(force(atom, [F.lit(sign) * F.col("f") * c for c in xyz("u")]) for sign, atom in ((1.0, "i"), (-1.0, "j"))))).alias("g"))
 
-    names, arms, n_bonds = ("N", "CA", "C", "O", "CB", "next"), ("N", "C", "CB"), range(len(ROW_BONDS))
-    pulls, sides = [f"u{k}{a}" for k in n_bonds for a in "xyz"], [f"b{k}{a}" for k in range(3) for a in "xyz"]
-    apart = [(F.col(f"{p}.{a}") - F.col(f"{q}.{a}")).alias(f"u{k}{a}") for k, (p, q, _) in enumerate(ROW_BONDS) for a in "xyz"]
-    arm = [(F.col(f"{n}.{a}") - F.col(f"CA.{a}")).alias(f"b{k}{a}") for k, n in enumerate(arms) for a in "xyz"]
-    residues = backbone_residues(atoms).select("structure_id", *(F.col(f"{n}.atom_idx").alias(n) for n in names), *apart, *arm)
-    # What each atom gets from the bonds of its residue, which number (p, q) as ROW_BONDS does.
-    residues = residues.withColumns({f"d{k}": norm(xyz(f"u{k}")) for k in n_bonds})
-    residues = residues.withColumns({f"d{k}": F.when(F.col(f"d{k}") > 0, F.lit(2 * w_bond) * (F.col(f"d{k}") - F.lit(ideal)) / F.col(f"d{k}")) for k, (_, _, ideal) in enumerate(ROW_BONDS)})
-    pulled = [F.coalesce(F.col(f"d{c[1]}") * F.col(c), F.lit(0.0)).alias(c) for c in pulls]
-    residues = residues.select("structure_id", *names, *pulled, *sides)
-    own = [sum((F.lit(sign) * F.col(f"u{k}{a}") for k, (p, q, _) in enumerate(ROW_BONDS) for sign, end in ((1.0, p), (-1.0, q)) if end == n), F.lit(0.0)).alias(f"{n}{a}") for n in names for a in "xyz"]
-    residues = residues.select("structure_id", *names, *own, *sides)
-    # And from the centre: on the end of an arm k, w (n_k / D - r / |b_k|^2 b_k); the opposite of the three on CA.
+    residues, n_bonds = backbone_residues(atoms), range(len(ROW_BONDS))
+    bonds = {f"u{k}{a}": F.col(f"{p}.{a}") - F.col(f"{q}.{a}") for k, (p, q, _) in enumerate(ROW_BONDS) for a in "xyz"}
+    residues = residues.withColumns(bonds).withColumns({f"d{k}": norm(xyz(f"u{k}")) for k in n_bonds})
+    scale = {f"f{k}": F.when(F.col(f"d{k}") > 0, F.lit(2 * w_bond) * (F.col(f"d{k}") - F.lit(ideal)) / F.col(f"d{k}")) for k, (_, _, ideal) in enumerate(ROW_BONDS)}
+    pulled = {f"u{k}{a}": F.coalesce(F.col(f"f{k}") * F.col(f"u{k}{a}"), F.lit(0.0)) for k in n_bonds for a in "xyz"}
+    arms = ("N", "C", "CB")
+    residues = residues.withColumns(scale).withColumns(pulled).withColumns({f"b{k}{a}": F.col(f"{n}.{a}") - F.col(f"CA.{a}") for k, n in enumerate(arms) for a in "xyz"})
     b = [xyz(f"b{k}") for k in range(3)]
     residues = residues.withColumns({f"n{k}{a}": c for k in range(3) for a, c in zip("xyz", cross(b[(k + 1) % 3], b[(k + 2) % 3]), strict=True)} | {f"s{k}": dot(b[k], b[k]) for k in range(3)})
     residues = residues.withColumns({"V": dot(b[0], xyz("n0")), "P": F.sqrt("s0") * F.sqrt("s1") * F.sqrt("s2")}).withColumn("D", F.col("P") + F.lit(eps))
     residues = residues.withColumn("w", F.lit(margin) - F.col("V") / F.col("D"))
     usable = (F.col("s0") > 0) & (F.col("s1") > 0) & (F.col("s2") > 0) & (F.col("w") > 0)
     residues = residues.withColumns({"w": F.when(usable, F.lit(-2 * w_chirality) * F.col("w")), "r": F.when(usable, F.col("V") / (F.col("D") * F.col("D")) * F.col("P"))})
-    turned = [F.when(F.col("w").isNotNull(), F.col("w") * (F.col(f"n{c[1:]}") / F.col("D") - F.col("r") / F.col(f"s{c[1]}") * F.col(c))).otherwise(0.0).alias(c) for c in sides]
-    residues = residues.select("structure_id", *names, *(f"{n}{a}" for n in names for a in "xyz"), *turned)
-    whole = {n: [F.col(f"{n}{a}") + F.col(f"b{k}{a}") for a in "xyz"] for k, n in enumerate(arms)} | {"CA": [F.col(f"CA{a}") - (F.col(f"b0{a}") + F.col(f"b1{a}") + F.col(f"b2{a}")) for a in "xyz"]}
-    forces = F.array(*(force(n, whole.get(n, xyz(n))) for n in names))
-    backbone = residues.select("structure_id", F.explode(forces).alias("g")).filter(F.col("g.atom_idx").isNotNull())
+    turned = {f"b{k}{a}": F.when(F.col("w").isNotNull(), F.col("w") * (F.col(f"n{k}{a}") / F.col("D") - F.col("r") / F.col(f"s{k}") * F.col(f"b{k}{a}"))).otherwise(0.0) for k in range(3) for a in "xyz"}
+    residues = residues.withColumns(turned)
+    # What each atom gets from the bonds of its residue, which number (p, q) as ROW_BONDS does, and from the residue's centre.
+    forces = []
+    for n in ("N", "CA", "C", "O", "CB", "next"):
+        ends = [(sign, k) for k, (p, q, _) in enumerate(ROW_BONDS) for sign, end in ((1.0, p), (-1.0, q)) if end == n]
+        shares = [(1.0, arms.index(n))] if n in arms else [(-1.0, k) for k in range(3)] if n == "CA" else []
+        terms = lambda a, ends=ends, shares=shares: [F.lit(s) * F.col(f"u{k}{a}") for s, k in ends] + [F.lit(s) * F.col(f"b{k}{a}") for s, k in shares]
+        forces.append(force(f"{n}.atom_idx", [sum(terms(a)[1:], terms(a)[0]) for a in "xyz"]))
+    backbone = residues.select("structure_id", F.explode(F.array(*forces)).alias("g")).filter(F.col("g.atom_idx").isNotNull())
     every = clash.unionByName(backbone).select("structure_id", "g.*")
     return every.groupBy("structure_id", "atom_idx").agg(*(F.sum(f"g{a}").alias(f"g{a}") for a in "xyz"))
 
